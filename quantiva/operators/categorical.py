@@ -85,5 +85,5 @@ def categorical_summary(df: DataFrame, columns=None) -> DataFrame:
         "column", "unique_values",
         F.sum("unique_values").over(Window.partitionBy()).alias("total_categories"),  # rows = columns
         F.format_string("%s: %d unique values, most frequent '%s' (%.1f%%)", "column", "unique_values",
-                        "top_value", "top_percentage").alias("summary"),
+                        "top_value", F.bround("top_percentage", 1)).alias("summary"),
     )

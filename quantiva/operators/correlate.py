@@ -137,5 +137,5 @@ def corr_summary(pairs: DataFrame) -> DataFrame:
     )
     text = F.when(F.col("total_pairs") == 0, F.lit("No significant correlations found.")).otherwise(
         F.format_string("Strongest correlation is between %s and %s (r = %.3f, %s %s correlation).",
-                        "_b.column1", "_b.column2", "_b.correlation", "_b.strength", "_b.direction"))
+                        "_b.column1", "_b.column2", F.bround("_b.correlation", 3), "_b.strength", "_b.direction"))
     return s.select("total_pairs", "strong_correlations", "moderate_correlations", text.alias("interpretation"))

@@ -72,5 +72,6 @@ def descriptive(df: DataFrame, columns=None, n_buckets: int = ranks.DEFAULT_BUCK
         "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"),
         "skewness", "kurtosis",
         F.when(F.col("mean") != 0, F.col("std_dev") / F.col("mean") * 100).alias("coef_var"),
-        F.format_string("Mean: %.2f, Median: %.2f, Std Dev: %.2f", "mean", "median", "std_dev").alias("summary"),
+        F.format_string("Mean: %.2f, Median: %.2f, Std Dev: %.2f", F.bround("mean", 2), F.bround("median", 2),
+                        F.bround("std_dev", 2)).alias("summary"),
     ).orderBy("column")

@@ -146,5 +146,5 @@ def outlier_summary(df: DataFrame, columns=None, methods=METHODS) -> DataFrame:
     return o.select(
         "column", "method", "count",
         F.sum("count").over(Window.partitionBy()).alias("total_outliers"),  # rows = columns x methods
-        F.format_string("%s: %d outliers (%.2f%%) by %s", "column", "count", "percentage", F.upper("method")).alias("summary"),
+        F.format_string("%s: %d outliers (%.2f%%) by %s", "column", "count", F.bround("percentage", 2), F.upper("method")).alias("summary"),
     )

@@ -330,7 +330,7 @@ def dataset_context(df: DataFrame, max_columns: int = 15) -> DataFrame:
     '- name (dtype): x.x% null, N unique'."""
     ov = schema_overview(df).where(F.col("cid") < max_columns)
     return ov.select("cid", "column", F.format_string("- %s (%s): %.1f%% null, %d unique", "column", "dtype",
-                                                      "null_percentage", "unique_count").alias("line"))
+                                                      F.bround("null_percentage", 1), "unique_count").alias("line"))
 
 
 def drop_empty(df: DataFrame) -> tuple[DataFrame, DataFrame]:
