@@ -39,7 +39,8 @@ def _pearson_pairs(df: DataFrame, exprs: dict[str, object], pairs: list[tuple[st
                      F.col(f"r{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)]
     out = wide.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
     # clamp rounding noise beyond +-1
-    return out.withColumn("correlation", F.greatest(F.least("correlation", F.lit(1.0)), F.lit(-1.0)))
+    r = F.col("correlation")  # least/greatest skip NULLs, so clamp only defined values
+    return out.withColumn("correlation", F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))))
 
 
 def _rank_columns(df: DataFrame, names: list[str], n_buckets: int) -> tuple[DataFrame, dict[str, object]]:

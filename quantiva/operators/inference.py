@@ -52,7 +52,7 @@ def pearson_test(df: DataFrame, column1: str, column2: str) -> DataFrame:
     denom = F.stddev_pop(a2) * F.stddev_pop(b2)
     row = df.agg(F.count_if(both).cast("long").alias("n"),
                  F.try_divide(F.covar_pop(a2, b2), F.when(denom > 0, denom)).alias("r"))
-    r = F.greatest(F.least(F.col("r"), F.lit(1.0)), F.lit(-1.0))
+    r = F.when(F.col("r").isNotNull(), F.greatest(F.least(F.col("r"), F.lit(1.0)), F.lit(-1.0)))
     p = pearson_p(r, F.col("n"))
     out = row.select(r.alias("r"), "n", p.alias("p_value"))
     return out.select(

@@ -87,7 +87,7 @@ def shapiro_wilk(values) -> tuple[float | None, float | None]:
         sd = math.exp(_poly(C6, ln))
     if math.isinf(y):
         return w, 1.0
-    return w, 1.0 - _ND.cdf((y - mu) / sd)
+    return w, _ND.cdf(-(y - mu) / sd)  # upper tail by symmetry: no cancellation
 
 
 def _kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -100,7 +100,7 @@ def normality(df: DataFrame, columns=None, by: str | None = None, max_n: int = 5
     """column, (by), statistic (W), p_value, is_normal (p > .05), sample_size_used, n."""
     names = resolve_numeric(df, columns)
     h = F.xxhash64(F.lit(seed), *[col(c) for c in df.columns])
-    g = col(by).cast("string") if by else F.lit(None).cast("string")
+    g = col(by).cast("string") if by else F.lit("")  # a non-NULL constant group keeps the joins equi-joins
     long = df.select(h.alias("_h"), g.alias("_g"),
                      F.explode(F.array(*[F.struct(F.lit(i).alias("cid"), as_double(df, n).alias("value"))
                                          for i, n in enumerate(names)])).alias("p")).select(
