@@ -50,9 +50,8 @@ def _rank_columns(df: DataFrame, names: list[str], n_buckets: int) -> tuple[Data
     (one row per distinct value) is joined back on the value -- broadcast by
     AQE when small, a sort-merge join otherwise.
     """
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("cid"), as_double(df, n).alias("value"))
-                                         for i, n in enumerate(names)])).alias("p")).select("p.*")
-    rk = ranks.average_ranks(ranks.value_counts(long, ["cid"]), ["cid"], n_buckets=n_buckets)
+    vcb = ranks.bucketed_counts(df, [as_double(df, n) for n in names], n_buckets=n_buckets)  # None: sized by rows
+    rk = ranks.average_ranks(vcb, ["cid"])
     cur = df.select(*[as_double(df, n).alias(f"_v{i}") for i, n in enumerate(names)])
     for i in range(len(names)):
         ri = rk.where(F.col("cid") == i).select(F.col("value").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}"))
@@ -60,7 +59,7 @@ def _rank_columns(df: DataFrame, names: list[str], n_buckets: int) -> tuple[Data
     return cur, {n: F.col(f"_r{i}") for i, n in enumerate(names)}
 
 
-def correlation(df: DataFrame, columns=None, method: str = "pearson", n_buckets: int = ranks.DEFAULT_BUCKETS) -> DataFrame:
+def correlation(df: DataFrame, columns=None, method: str = "pearson", n_buckets: int | None = None) -> DataFrame:
     """column1, column2, n, correlation, strength, direction
     for every pair (column order), undefined correlations kept as NULL."""
     if method not in METHODS:

@@ -6,40 +6,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
-from ..functions.columns import as_double, check_columns, long_numeric, name_at
+from ..functions.columns import as_double, check_columns, name_at
 from . import ranks
 from .roles import numeric_columns
 
 
-def _moments(df: DataFrame, names: list[str]) -> DataFrame:
-    """One wide aggregate (partial + final, fixed-size buffers), returned long: one row per column."""
+_MOMENTS = ["count", "mean", "std_dev", "variance", "min", "max", "skewness", "kurtosis", "std_pop"]
+
+
+def _moment_aggs(values) -> list:
     aggs = []
-    for i, n in enumerate(names):
-        x = as_double(df, n)
+    for i, x in enumerate(values):
         aggs += [
-            F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"),
-            F.stddev_samp(x).alias(f"sd{i}"), F.var_samp(x).alias(f"var{i}"),
+            F.count(x).alias(f"count{i}"), F.avg(x).alias(f"mean{i}"),
+            F.stddev_samp(x).alias(f"std_dev{i}"), F.var_samp(x).alias(f"variance{i}"),
             F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-            F.skewness(x).alias(f"skew{i}"), F.kurtosis(x).alias(f"kurt{i}"),
-            F.stddev_pop(x).alias(f"sdp{i}"),
+            F.skewness(x).alias(f"skewness{i}"), F.kurtosis(x).alias(f"kurtosis{i}"),
+            F.stddev_pop(x).alias(f"std_pop{i}"),
         ]
-    wide = df.agg(*aggs)
-    rows = [
-        F.struct(
-            F.lit(i).alias("cid"), F.col(f"n{i}").alias("count"), F.col(f"mean{i}").alias("mean"),
-            F.col(f"sd{i}").alias("std_dev"), F.col(f"var{i}").alias("variance"),
-            F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"),
-            F.col(f"skew{i}").alias("skewness"), F.col(f"kurt{i}").alias("kurtosis"),
-            F.col(f"sdp{i}").alias("std_pop"),
-        )
-        for i in range(len(names))
-    ]
+    return aggs
+
+
+def _long_moments(wide: DataFrame, n: int) -> DataFrame:
+    rows = [F.struct(F.lit(i).alias("cid"), *[F.col(f"{m}{i}").alias(m) for m in _MOMENTS]) for i in range(n)]
     out = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     # NaN (zero variance in skewness/kurtosis) is reported as NULL.
     return out.select(*[F.when(~F.isnan(F.col(c)), F.col(c)).alias(c) if c not in ("cid", "count") else F.col(c)
                         for c in out.columns])
 
 
+def _moments(df: DataFrame, names: list[str]) -> DataFrame:
+    """One wide aggregate (partial + final, fixed-size buffers), returned long: one row per column."""
+    return _long_moments(df.agg(*_moment_aggs([as_double(df, n) for n in names])), len(names))
+
+
+def moments_and_counts(df: DataFrame, names: list[str]):
+    """(moments, vcb): one scan gives every column's moments (fixed-size
+    buffers; the one-row result is bounded by the schema width); the counts
+    in it size the buckets of the value counts."""
+    values = [as_double(df, n) for n in names]
+    row = df.agg(*_moment_aggs(values)).collect()[0]
+    spark = df.sparkSession
+    mom = _long_moments(spark.createDataFrame(
+        [tuple([row[f"{m}{i}"] for i in range(len(names)) for m in _MOMENTS])],
+        ", ".join(f"{m}{i} {'long' if m == 'count' else 'double'}" for i in range(len(names)) for m in _MOMENTS)), len(names))
+    n_rows = max([row[f"count{i}"] or 0 for i in range(len(names))] + [0])
+    vcb = ranks.bucketed_counts(df, values, n_rows=n_rows)
+    return mom, vcb
+
+
 def resolve_numeric(df: DataFrame, columns) -> list[str]:
     if columns is None:
         return numeric_columns(df)
@@ -53,16 +68,15 @@ def resolve_numeric(df: DataFrame, columns) -> list[str]:
     return names
 
 
-def descriptive(df: DataFrame, columns=None, n_buckets: int = ranks.DEFAULT_BUCKETS) -> DataFrame:
+def descriptive(df: DataFrame, columns=None) -> DataFrame:
     """count, mean, median, mode, std_dev, variance, min, max, range, q1, q3, iqr,
     skewness, kurtosis (population, excess), coef_var (std/mean*100, NULL at mean 0)."""
     names = resolve_numeric(df, columns)
     if not names:
         raise ValidationError("No numeric columns to describe")
-    mom = _moments(df, names)
-    vc = ranks.value_counts(long_numeric(df, names), ["cid"])
-    qs = ranks.exact_quantiles(vc, ["cid"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, n_buckets=n_buckets)
-    mode = ranks.mode_of(vc, ["cid"])
+    mom, vcb = moments_and_counts(df, names)
+    qs = ranks.exact_quantiles(vcb, ["cid"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    mode = ranks.mode_of(vcb, ["cid"])
     res = mom.join(qs.drop("n"), "cid", "left").join(mode, "cid", "left")
     return res.select(
         name_at(names, F.col("cid")).alias("column"),

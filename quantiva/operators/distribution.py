@@ -52,7 +52,7 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     )
 
 
-def distribution_by_group(df: DataFrame, by: str, column: str, n_buckets: int = ranks.DEFAULT_BUCKETS) -> DataFrame:
+def distribution_by_group(df: DataFrame, by: str, column: str) -> DataFrame:
     """by, n, min, q1, median, q3, max, mean of ``column`` per non-null group.
 
     Exact quartiles per group via value counts keyed by (column id, group);
@@ -60,10 +60,11 @@ def distribution_by_group(df: DataFrame, by: str, column: str, n_buckets: int =
     many buckets instead of one task.
     """
     check_columns(df, [by, column])
-    long = df.select(F.lit(0).alias("cid"), col(by).alias("_g"), as_double(df, column).alias("value")).where(
-        F.col("_g").isNotNull() & F.col("value").isNotNull())
-    vc = ranks.value_counts(long, ["cid", "_g"])
-    q = ranks.exact_quantiles(vc, ["cid", "_g"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, n_buckets=n_buckets)
+    base = df.select(col(by).alias("_g"), as_double(df, column).alias("_x")).where(
+        F.col("_g").isNotNull() & F.col("_x").isNotNull())
+    vcb = ranks.bucketed_counts(base, [F.col("_x")], keys={"_g": F.col("_g")})
+    q = ranks.exact_quantiles(vcb, ["cid", "_g"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    long = base.select("_g", F.col("_x").alias("value"))
     mm = long.groupBy("_g").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"))
     return q.drop("cid").join(mm, "_g").select(
         F.col("_g").alias(by), F.col("n").cast("long").alias("n"), "min", "q1", "median", "q3", "max", "mean")

@@ -12,34 +12,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
-from ..functions.columns import as_double, check_columns, col, long_numeric, name_at
+from ..functions.columns import as_double, check_columns, col, name_at
 from . import ranks
-from .describe import resolve_numeric
+from .describe import moments_and_counts, resolve_numeric
 
 Z_THRESHOLD = 3.0
 IQR_FACTOR = 1.5
 METHODS = ("iqr", "zscore")
 
 
-def column_stats(df: DataFrame, names: list[str], vc: DataFrame | None = None,
-                 n_buckets: int = ranks.DEFAULT_BUCKETS) -> DataFrame:
-    """(cid, n, q1, q3, lower_bound, upper_bound, mean, std_pop) per column."""
-    vc = vc if vc is not None else ranks.value_counts(long_numeric(df, names), ["cid"])
-    q = ranks.exact_quantiles(vc, ["cid"], {"q1": 0.25, "q3": 0.75}, n_buckets=n_buckets)
-    aggs = []
-    for i, n in enumerate(names):
-        x = as_double(df, n)
-        aggs += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"s{i}")]
-    wide = df.agg(*aggs)
-    mom = wide.select(F.explode(F.array(*[F.struct(F.lit(i).alias("cid"), F.col(f"a{i}").alias("mean"),
-                                                   F.col(f"s{i}").alias("std_pop")) for i in range(len(names))])).alias("r")).select("r.*")
+def column_stats(df: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(stats, vcb): stats = (cid, n, q1, q3, lower_bound, upper_bound, mean, std_pop)
+    per column; vcb = the bucketed value counts it was computed from."""
+    mom, vcb = moments_and_counts(df, names)
+    q = ranks.exact_quantiles(vcb, ["cid"], {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
-    return q.join(mom, "cid").select(
+    stats = q.join(mom.select("cid", "mean", "std_pop"), "cid").select(
         "cid", "n", "q1", "q3",
         (F.col("q1") - F.lit(IQR_FACTOR) * iqr).alias("lower_bound"),
         (F.col("q3") + F.lit(IQR_FACTOR) * iqr).alias("upper_bound"),
         "mean", "std_pop",
     )
+    return stats, vcb
 
 
 def _flags(v, stats_prefix=""):
@@ -64,9 +58,8 @@ def outlier_values(df: DataFrame, columns=None, methods=METHODS, k: int = 10) ->
     (repeats kept), farthest from the fence (largest |z|) first, then value asc."""
     names = resolve_numeric(df, columns)
     methods = _check_methods(methods)
-    vc = ranks.value_counts(long_numeric(df, names), ["cid"])
-    stats = column_stats(df, names, vc)
-    j = vc.join(F.broadcast(stats), "cid")  # stats: one row per column
+    stats, vcb = column_stats(df, names)
+    j = vcb.join(F.broadcast(stats), "cid")  # stats: one row per column
     v = F.col("value")
     iqr_flag, z_flag, iqr_dist, z = _flags(v)
     parts = []
@@ -89,9 +82,8 @@ def outliers(df: DataFrame, columns=None, methods=METHODS, k: int = 10) -> DataF
     upper_bound (IQR), threshold (z), outlier_values (first k, see outlier_values)."""
     names = resolve_numeric(df, columns)
     methods = _check_methods(methods)
-    vc = ranks.value_counts(long_numeric(df, names), ["cid"])
-    stats = column_stats(df, names, vc)
-    j = vc.join(F.broadcast(stats), "cid")
+    stats, vcb = column_stats(df, names)
+    j = vcb.join(F.broadcast(stats), "cid")  # stats: one row per column
     iqr_flag, z_flag, _, _ = _flags(F.col("value"))
     counts = j.groupBy("cid").agg(
         F.sum(F.when(iqr_flag, F.col("cnt")).otherwise(0)).alias("iqr_count"),
@@ -124,7 +116,7 @@ def outlier_rows(df: DataFrame, column: str, method: str = "iqr") -> DataFrame:
     check_columns(df, [column])
     (method,) = _check_methods([method])
     names = [column]
-    st = column_stats(df, names).collect()  # one row: the column's fences and moments
+    st = column_stats(df, names)[0].collect()  # one row: the column's fences and moments
     if not st:
         return df.select(*[col(c) for c in df.columns], F.lit(None).cast("double").alias("score")).limit(0)
     lo, hi, mean, sdp = st[0]["lower_bound"], st[0]["upper_bound"], st[0]["mean"], st[0]["std_pop"]

@@ -4,16 +4,17 @@ A window without ``partitionBy`` (or Spark's exact ``percentile``, whose
 buffer is a map of every distinct value of the group) would put a whole
 column into one task.  Instead:
 
-1. ``value_counts``: group rows to (key..., value, cnt); partial aggregation
-   collapses repeats before the shuffle.
-2. bucket edges per column from ``percentile_approx`` over the distinct
-   values (C x B doubles, collected and inlined as literals), so each bucket
-   holds about 1/B of a column's distinct values.  Bucket membership is a
-   pure function of (column, value) -- a vectorised binary search over the
-   edges -- so equal values never straddle buckets and a
-   recomputed task puts every row in the same bucket.  Group keys (e.g.
-   per-category quantiles) reuse their column's edges, which also splits a
-   hot group over many buckets.
+1. group rows to (key..., bucket, value, cnt); partial aggregation collapses
+   repeats before the shuffle.
+2. B = rows / 1M buckets per column (B = 1 below a million rows, so small
+   inputs skip this step); edges from ``percentile_approx`` over a seeded
+   sample (C x B doubles, collected), so each bucket holds about 1/B of a
+   column's rows.
+   ``Bucketizer`` assigns buckets in the JVM before the shuffle; membership
+   is a pure function of (column, value), so equal values never straddle
+   buckets and a recomputed task puts every row in the same bucket.  Group
+   keys (e.g. per-category quantiles) reuse their column's edges, which also
+   splits a hot group over many buckets.
 3. bucket totals -> per-key prefix offsets (B rows per key).
 4. a running sum inside each (key, bucket), ordered by value, plus the offset,
    gives ``below`` = rows of the key with a smaller value.
@@ -24,19 +25,14 @@ runs on a handful of buckets per key; average ranks need all of them.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType
 
-DEFAULT_BUCKETS = 256
 APPROX_ACCURACY = 2048  # edges only need rough balance: rank error <= 1/2048
 
 
 def value_counts(long_df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """(keys..., value, cnt) with NULL values removed."""
+    """(keys..., value, cnt) with NULL values removed (no buckets)."""
     return (
         long_df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
@@ -44,47 +40,68 @@ def value_counts(long_df: DataFrame, keys: list[str], value: str = "value") -> D
     )
 
 
-def column_edges(vc: DataFrame, value: str = "value", edge_key: str = "cid",
-                 n_buckets: int = DEFAULT_BUCKETS) -> dict[int, list[float]]:
-    """Approximate equi-depth edges of the distinct values, per column id.
-
-    The result is C x B doubles (C = number of columns, B = buckets), bounded
-    by the schema width, so it is collected and used as literals.
-    """
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    rows = vc.groupBy(edge_key).agg(F.percentile_approx(value, probs, APPROX_ACCURACY).alias("e")).collect()
-    return {r[0]: sorted(set(x for x in (r[1] or []) if x is not None)) for r in rows}
+TARGET_ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 65536
+EDGE_SAMPLE_ROWS_PER_BUCKET = 64
 
 
-def bucket_expr(edges: dict[int, list[float]], key: Column, v: Column) -> Column:
-    """Bucket of v = number of its column's edges below v (``searchsorted``, left).
-
-    Arrow-batched ``pandas_udf``: O(log B) per value with the bounded edge
-    table shipped in the closure; a pure function of (column, value).
-    """
-    table = {int(k): np.asarray(e, dtype="float64") for k, e in edges.items()}
+def buckets_for(n_rows: int) -> int:
+    """Buckets bound the rows one window task sorts: about n / 1M, at least 1."""
+    return int(min(MAX_BUCKETS, max(1, -(-int(n_rows or 0) // TARGET_ROWS_PER_BUCKET))))
 
-    @pandas_udf(IntegerType())
-    def _bucket(k: pd.Series, x: pd.Series) -> pd.Series:
-        out = np.zeros(len(x), dtype="int32")
-        kv = k.to_numpy()
-        xv = x.to_numpy(dtype="float64")
-        for key_id in np.unique(kv):
-            e = table.get(int(key_id))
-            if e is None or len(e) == 0:
-                continue
-            m = kv == key_id
-            out[m] = np.searchsorted(e, xv[m], side="left")
-        return pd.Series(out)
 
-    return _bucket(key, v)
+def splits_from_edges(edges) -> list[float]:
+    """Strictly increasing split points for ``Bucketizer``: -inf, distinct edges, +inf."""
+    inner = sorted(set(float(e) for e in (edges or []) if e is not None and e == e and abs(e) != float("inf")))
+    return [float("-inf")] + inner + [float("inf")]
 
 
-def _bucketed(vc: DataFrame, keys: list[str], value: str, n_buckets: int, edge_key: str = "cid") -> DataFrame:
-    if edge_key not in keys:
-        raise ValueError(f"order statistics need the column id '{edge_key}' among the keys")
-    edges = column_edges(vc, value, edge_key, n_buckets)
-    return vc.select(*keys, value, "cnt", bucket_expr(edges, F.col(edge_key), F.col(value)).alias("_bucket"))
+def sample_edges(df: DataFrame, values: list[Column], n_rows: int, n_buckets: int, seed: int = 17) -> list[list[float]]:
+    """Approximate equi-depth edges per column from a seeded row sample of about
+    64 rows per bucket (C x B doubles collected -- bounded by the schema width
+    and MAX_BUCKETS).  Edges only balance the buckets; results never depend on them."""
+    frac = min(1.0, EDGE_SAMPLE_ROWS_PER_BUCKET * n_buckets / max(1, n_rows))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    sampled = df.select(*[v.alias(f"_v{i}") for i, v in enumerate(values)]).sample(fraction=frac, seed=seed)
+    row = sampled.agg(*[F.percentile_approx(f"_v{i}", probs, APPROX_ACCURACY).alias(f"_e{i}")
+                        for i in range(len(values))]).collect()[0]
+    return [row[f"_e{i}"] or [] for i in range(len(values))]
+
+
+def bucketed_counts(df: DataFrame, values: list[Column], keys: dict[str, Column] | None = None,
+                    n_rows: int | None = None, n_buckets: int | None = None) -> DataFrame:
+    """(keys..., cid, _bucket, value, cnt): value counts per column id, with each
+    value's bucket as part of the grouping key.
+
+    The bucket count follows the data (``buckets_for(n_rows)``; ``n_rows`` is
+    the largest non-null count of a column, counted when not given).  With
+    one bucket there is nothing to assign.  Otherwise edges come from a
+    sample and ``Bucketizer`` assigns buckets in the JVM (binary search over
+    the splits) before the shuffle: a pure function of the value, and a value
+    holding many rows gets buckets of its own.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    keys = keys or {}
+    wide = df.select(*[k.alias(n) for n, k in keys.items()], *[v.alias(f"_v{i}") for i, v in enumerate(values)])
+    if n_buckets is None:
+        if n_rows is None:
+            n_rows = max(wide.agg(*[F.count(f"_v{i}") for i in range(len(values))]).collect()[0])
+        n_buckets = buckets_for(n_rows)
+    if n_buckets > 1:
+        edges = sample_edges(wide, [F.col(f"_v{i}") for i in range(len(values))], n_rows or 0, n_buckets)
+        bz = Bucketizer(splitsArray=[splits_from_edges(e) for e in edges],
+                        inputCols=[f"_v{i}" for i in range(len(values))],
+                        outputCols=[f"_b{i}" for i in range(len(values))], handleInvalid="keep")
+        wide = bz.transform(wide)
+        bucket = [F.col(f"_b{i}").cast("int") for i in range(len(values))]
+    else:
+        bucket = [F.lit(0) for _ in values]
+    long = wide.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("cid"), bucket[i].alias("_bucket"), F.col(f"_v{i}").alias("value"))
+        for i in range(len(values))])).alias("p")).select(*keys, "p.cid", "p._bucket", "p.value")
+    return (long.where(F.col("value").isNotNull())
+            .groupBy(*keys, "cid", "_bucket", "value").agg(F.count(F.lit(1)).alias("cnt")))
 
 
 def _bucket_offsets(vcb: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,15 +124,14 @@ def _positions(vcb: DataFrame, offsets: DataFrame, keys: list[str], value: str)
     )
 
 
-def positions(vc: DataFrame, keys: list[str], value: str = "value", n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def positions(vcb: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(keys..., value, cnt, below, n) for every distinct value of every key."""
-    vcb = _bucketed(vc, keys, value, n_buckets)
     return _positions(vcb, _bucket_offsets(vcb, keys), keys, value)
 
 
-def average_ranks(vc: DataFrame, keys: list[str], value: str = "value", n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def average_ranks(vcb: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(keys..., value, rank): 1-based average rank of ties, as pandas/scipy rank."""
-    pos = positions(vc, keys, value, n_buckets)
+    pos = positions(vcb, keys, value)
     return pos.select(*keys, value, (F.col("below") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)).alias("rank"))
 
 
@@ -126,14 +142,12 @@ def _targets(n: Column, p: float) -> tuple[Column, Column, Column]:
     return h, lo, hi
 
 
-def exact_quantiles(vc: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value",
-                    n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def exact_quantiles(vcb: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value") -> DataFrame:
     """(keys..., n, <name>...) with linear interpolation between order statistics.
 
     Same definition as pandas ``quantile`` / numpy 'linear' / DuckDB
     ``quantile_cont``: h = (n-1)p, q = x[floor h] + (h - floor h)(x[ceil h] - x[floor h]).
     """
-    vcb = _bucketed(vc, keys, value, n_buckets)
     offsets = _bucket_offsets(vcb, keys)
     # Keep only buckets that hold a wanted position.
     hit = F.lit(False)
@@ -141,9 +155,12 @@ def exact_quantiles(vc: DataFrame, keys: list[str], probs: dict[str, float], val
         _, lo, hi = _targets(F.col("_n"), p)
         end = F.col("_offset") + F.col("_btot")
         hit = hit | ((lo >= F.col("_offset")) & (lo < end)) | ((hi >= F.col("_offset")) & (hi < end))
-    wanted = offsets.where(hit)
-    vcb_w = vcb.join(wanted.select(*keys, "_bucket"), on=[*keys, "_bucket"], how="left_semi")
-    pos = _positions(vcb_w, wanted, keys, value)
+    wanted = offsets.where(hit).select(*keys, "_bucket", "_offset", "_n")
+    # inner join on unique (keys, bucket): keeps only wanted buckets and brings
+    # their offsets; unlike a semi-join it is not pushed below the aggregate
+    w = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pos = vcb.join(wanted, on=[*keys, "_bucket"], how="inner").select(
+        *keys, value, "cnt", (F.col("_offset") + F.sum("cnt").over(w) - F.col("cnt")).alias("below"), F.col("_n").alias("n"))
     aggs = [F.max("n").alias("n")]
     for name, p in probs.items():
         _, lo, hi = _targets(F.col("n"), p)
@@ -159,11 +176,6 @@ def exact_quantiles(vc: DataFrame, keys: list[str], probs: dict[str, float], val
     return res.select(*out)
 
 
-def exact_quantiles_long(long_df: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value",
-                         n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    return exact_quantiles(value_counts(long_df, keys, value), keys, probs, value, n_buckets)
-
-
 def mode_of(vc: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(keys..., mode): most frequent value, smallest on ties (bounded min_by buffer)."""
     return vc.groupBy(*keys).agg(

@@ -58,5 +58,31 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+SPREAD_MIN_BYTES = 4 * 1024 * 1024
+
+
+def _input_bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+
+
+def spread(df, spark: SparkSession, path: str, min_bytes: int = SPREAD_MIN_BYTES):
+    """Give an input at least one partition per task slot.
+
+    A file stored as a single row group scans in one task whatever the split
+    size, which serialises all map-side work.  Such inputs (fewer scan
+    partitions than slots, yet not tiny) are spread round-robin once; inputs
+    that already split well -- any large table -- keep their scan
+    partitioning and pay no shuffle.  Projections and filters still push
+    down below the repartition into the scan.
+    """
+    slots = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots or _input_bytes(spark, path) < min_bytes:
+        return df
+    return df.repartition(slots)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    return spread(spark.read.parquet(path), spark, path)
