@@ -43,14 +43,15 @@ def _pearson_pairs(df: DataFrame, exprs: dict[str, object], pairs: list[tuple[st
     return out.withColumn("correlation", F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))))
 
 
-def _rank_columns(df: DataFrame, names: list[str], n_buckets: int) -> tuple[DataFrame, dict[str, object]]:
+def _rank_columns(df: DataFrame, names: list[str], n_buckets: int | None,
+                  n_rows: int | None = None) -> tuple[DataFrame, dict[str, object]]:
     """Replace each column by its average rank over the rows of ``df``.
 
     Ranks per column come from the distributed value counts; each rank table
     (one row per distinct value) is joined back on the value -- broadcast by
     AQE when small, a sort-merge join otherwise.
     """
-    vcb = ranks.bucketed_counts(df, [as_double(df, n) for n in names], n_buckets=n_buckets)  # None: sized by rows
+    vcb = ranks.bucketed_counts(df, [as_double(df, n) for n in names], n_rows=n_rows, n_buckets=n_buckets)
     rk = ranks.average_ranks(vcb, ["cid"])
     cur = df.select(*[as_double(df, n).alias(f"_v{i}") for i, n in enumerate(names)])
     for i in range(len(names)):
@@ -89,7 +90,7 @@ def _spearman(df: DataFrame, names: list[str], pairs, n_buckets: int) -> DataFra
     cheap = [(a, b) for a, b in pairs if a in complete and b in complete]
     if cheap:
         used = [n for n in names if any(n in p for p in cheap)]
-        ranked, exprs = _rank_columns(df, used, n_buckets)
+        ranked, exprs = _rank_columns(df, used, n_buckets, n_rows=row["rows"])
         parts.append(_pearson_pairs(ranked, exprs, cheap))
     for a, b in pairs:
         if (a, b) in cheap:

@@ -6,7 +6,7 @@ column into one task.  Instead:
 
 1. group rows to (key..., bucket, value, cnt); partial aggregation collapses
    repeats before the shuffle.
-2. B = rows / 1M buckets per column (B = 1 below a million rows, so small
+2. B = rows / 100k buckets per column (B = 1 below 100k rows, so small
    inputs skip this step); edges from ``percentile_approx`` over a seeded
    sample (C x B doubles, collected), so each bucket holds about 1/B of a
    column's rows.
@@ -40,13 +40,13 @@ def value_counts(long_df: DataFrame, keys: list[str], value: str = "value") -> D
     )
 
 
-TARGET_ROWS_PER_BUCKET = 1_000_000
+TARGET_ROWS_PER_BUCKET = 100_000
 MAX_BUCKETS = 65536
 EDGE_SAMPLE_ROWS_PER_BUCKET = 64
 
 
 def buckets_for(n_rows: int) -> int:
-    """Buckets bound the rows one window task sorts: about n / 1M, at least 1."""
+    """Buckets bound the rows one window task sorts: about n / 100k, at least 1."""
     return int(min(MAX_BUCKETS, max(1, -(-int(n_rows or 0) // TARGET_ROWS_PER_BUCKET))))
 
 
