@@ -60,6 +60,44 @@ def _rank_columns(df: DataFrame, names: list[str], n_buckets: int | None,
     return cur, {n: F.col(f"_r{i}") for i, n in enumerate(names)}
 
 
+def _centered_pairs(df: DataFrame, exprs: dict[str, object], means: dict[str, float], n: int,
+                    pairs: list[tuple[str, str]]) -> DataFrame:
+    """Pearson for null-free columns from centred sums (two-pass accuracy):
+    r = S_ab / sqrt(S_aa S_bb), S = sum of products of deviations from the
+    column means.  C + C(C-1)/2 plain sums in one aggregate."""
+    cols = sorted({c for p in pairs for c in p})
+    dev = {c: exprs[c] - F.lit(float(means[c])) for c in cols}
+    aggs = [F.sum(dev[c] * dev[c]).alias(f"ss{i}") for i, c in enumerate(cols)]
+    aggs += [F.sum(dev[a] * dev[b]).alias(f"sp{k}") for k, (a, b) in enumerate(pairs)]
+    wide = df.agg(*aggs)
+    idx = {c: i for i, c in enumerate(cols)}
+    rows = []
+    for k, (a, b) in enumerate(pairs):
+        den = F.sqrt(F.col(f"ss{idx[a]}") * F.col(f"ss{idx[b]}"))
+        r = F.try_divide(F.col(f"sp{k}"), F.when(den > 0, den))
+        rows.append(F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"), F.lit(int(n)).cast("long").alias("n"),
+                             r.alias("correlation")))
+    out = wide.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    r = F.col("correlation")
+    return out.withColumn("correlation", F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))))
+
+
+def _column_facts(df: DataFrame, names: list[str]) -> tuple[int, set[str], dict[str, float]]:
+    """(rows, null-free columns, means) from one aggregate (one row)."""
+    row = df.agg(F.count(F.lit(1)).alias("rows"),
+                 *[F.count(as_double(df, n)).alias(f"c{i}") for i, n in enumerate(names)],
+                 *[F.avg(as_double(df, n)).alias(f"m{i}") for i, n in enumerate(names)]).collect()[0]
+    complete = {n for i, n in enumerate(names) if row[f"c{i}"] == row["rows"]}
+    return row["rows"], complete, {n: row[f"m{i}"] for i, n in enumerate(names)}
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def correlation(df: DataFrame, columns=None, method: str = "pearson", n_buckets: int | None = None) -> DataFrame:
     """column1, column2, n, correlation, strength, direction
     for every pair (column order), undefined correlations kept as NULL."""
@@ -70,7 +108,18 @@ def correlation(df: DataFrame, columns=None, method: str = "pearson", n_buckets:
         raise AnalysisError("Need at least 2 numeric columns for correlation analysis")
     pairs = list(combinations(names, 2))
     if method == "pearson":
-        res = _pearson_pairs(df, {n: as_double(df, n) for n in names}, pairs)
+        rows, complete, means = _column_facts(df, names)
+        cheap = [(a, b) for a, b in pairs if a in complete and b in complete]
+        rest = [p for p in pairs if p not in cheap]
+        exprs = {n: as_double(df, n) for n in names}
+        parts = []
+        if cheap and rows > 0:
+            parts.append(_centered_pairs(df, exprs, means, rows, cheap))
+        else:
+            rest = pairs
+        if rest:
+            parts.append(_pearson_pairs(df, exprs, rest))
+        res = _union(parts)
     elif method == "spearman":
         res = _spearman(df, names, pairs, n_buckets)
     else:
@@ -82,26 +131,23 @@ def correlation(df: DataFrame, columns=None, method: str = "pearson", n_buckets:
                       F.when(r.isNotNull(), labels.direction(r)).alias("direction"))
 
 
-def _spearman(df: DataFrame, names: list[str], pairs, n_buckets: int) -> DataFrame:
-    # null-free columns share one ranking; otherwise each pair is re-ranked on its complete rows
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(as_double(df, n)).alias(f"c{i}") for i, n in enumerate(names)]).collect()[0]
-    complete = [n for i, n in enumerate(names) if row[f"c{i}"] == row["rows"]]
+def _spearman(df: DataFrame, names: list[str], pairs, n_buckets) -> DataFrame:
+    # null-free columns share one ranking (mean rank (n+1)/2 exactly);
+    # otherwise each pair is re-ranked on its complete rows
+    rows, complete, _ = _column_facts(df, names)
     parts = []
-    cheap = [(a, b) for a, b in pairs if a in complete and b in complete]
+    cheap = [(a, b) for a, b in pairs if a in complete and b in complete] if rows > 0 else []
     if cheap:
         used = [n for n in names if any(n in p for p in cheap)]
-        ranked, exprs = _rank_columns(df, used, n_buckets, n_rows=row["rows"])
-        parts.append(_pearson_pairs(ranked, exprs, cheap))
+        ranked, exprs = _rank_columns(df, used, n_buckets, n_rows=rows)
+        parts.append(_centered_pairs(ranked, exprs, {n: (rows + 1) / 2.0 for n in used}, rows, cheap))
     for a, b in pairs:
         if (a, b) in cheap:
             continue
         sub = df.select(col(a), col(b)).where(as_double(df, a).isNotNull() & as_double(df, b).isNotNull())
         ranked, exprs = _rank_columns(sub, [a, b], n_buckets)
         parts.append(_pearson_pairs(ranked, exprs, [(a, b)]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _union(parts)
 
 
 def correlation_matrix(df: DataFrame, columns=None, method: str = "pearson") -> DataFrame:
