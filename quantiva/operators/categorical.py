@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions.columns import check_columns, col, long_text, name_at
+from ..session import ensure_checkpoint_dir
 from .roles import categorical_columns
 
 
@@ -25,14 +26,41 @@ def _vc(df: DataFrame, names: list[str]) -> DataFrame:
     return long_text(df, names).groupBy("cid", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
+def global_rank(vc: DataFrame) -> DataFrame:
+    """Rank (1-based) of every (cid, value) by count desc, value asc -- without
+    putting a whole column in one task.
+
+    A range-partitioned global sort spreads the rows (the sort key includes
+    the value, so many equal counts still split); a reliable checkpoint fixes
+    partition ids and row ids (and cuts lineage); per-partition segment sizes
+    (one row per partition and column) give each segment's starting rank.
+    """
+    spark = vc.sparkSession
+    ensure_checkpoint_dir(spark)
+    s = vc.orderBy("cid", F.col("count").desc(), F.col("value").asc())
+    s = s.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i")).checkpoint(eager=True)
+    seg = s.groupBy("_p", "cid").agg(F.count(F.lit(1)).alias("_c"), F.min("_i").alias("_i0"))
+    w = Window.partitionBy("cid").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.select("_p", "cid", "_i0", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+    # seg: one row per (partition, column) segment -- bounded by partitions + columns
+    return s.join(F.broadcast(seg), ["_p", "cid"]).select(
+        "cid", "value", "count", (F.col("_off") + F.col("_i") - F.col("_i0") + 1).alias("rank"))
+
+
 def value_counts(df: DataFrame, columns=None, top: int | None = None) -> DataFrame:
-    """G1: column, value, count, rank (count desc, then value asc); ``top`` keeps ranks <= top."""
+    """G1: column, value, count, rank (count desc, then value asc); ``top`` keeps ranks <= top.
+
+    With ``top`` the per-column ``row_number() <= top`` is planned as a
+    window-group limit (each task keeps ``top`` rows per column before the
+    shuffle).  Without it every value is ranked by ``global_rank``.
+    """
     names = resolve_categorical(df, columns)
     vc = _vc(df, names)
-    w = Window.partitionBy("cid").orderBy(F.col("count").desc(), F.col("value").asc())
-    out = vc.select("cid", "value", "count", F.row_number().over(w).alias("rank"))
     if top is not None:
-        out = out.where(F.col("rank") <= int(top))  # planned as a partial window-group limit
+        w = Window.partitionBy("cid").orderBy(F.col("count").desc(), F.col("value").asc())
+        out = vc.select("cid", "value", "count", F.row_number().over(w).alias("rank")).where(F.col("rank") <= int(top))
+    else:
+        out = global_rank(vc)
     return out.select(name_at(names, F.col("cid")).alias("column"), "value",
                       F.col("count").cast("long").alias("count"), F.col("rank").cast("long").alias("rank"))
 

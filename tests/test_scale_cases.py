@@ -63,3 +63,11 @@ def test_streaming_ingest_once(spark):
     q.awaitTermination(120)
     got = {r["id"]: r for r in spark.read.parquet(os.path.join(out, "t")).collect()}
     assert got["1"]["v"] == 10.0 and got["2"]["v"] is None and got["3"]["__source_file__"] == "b.csv"
+
+
+def test_value_counts_global_rank_matches_window(spark):
+    from quantiva.operators import categorical
+    df = spark.read.parquet("/root/testdata/sf0.001/part.parquet").repartition(5)
+    got = {(r["column"], r["value"]): r["rank"] for r in categorical.value_counts(df, ["p_name", "p_brand"]).collect()}
+    top = {(r["column"], r["value"]): r["rank"] for r in categorical.value_counts(df, ["p_name", "p_brand"], top=10**6).collect()}
+    assert got == top and sorted(v for k, v in got.items() if k[0] == "p_brand") == list(range(1, 1 + sum(1 for k in got if k[0] == "p_brand")))
