@@ -9,12 +9,14 @@ over the distinct points, so every bucket holds about 1/B of them; a value
 that is itself an edge gets a singleton bucket of its own):
 
 (a) pairs in different x-buckets and different y-buckets: decided by the
-    bucket indices alone, counted on the (<= B^2) bucket cells;
+    bucket indices alone -- the discordant pairs of the bucket-cell table,
+    counted by the same procedure one level down (B <= sqrt(m/2) keeps the
+    cell table smaller than the points, so the recursion ends);
 (b) pairs in the same x-bucket: counted per x-bucket;
 (c) pairs in different x-buckets but the same y-bucket: counted per y-bucket
     with x replaced by its bucket index.
 
-Each count is a weighted inversion count done in ``applyInPandas`` on one
+Leaf counts are weighted inversion counts done in ``applyInPandas`` on one
 bounded group.  Singleton buckets (one value) hold no discordant pair in (b)
 or (c) and are never shipped, so a value holding a third of all rows costs
 nothing extra.
@@ -32,9 +34,10 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from ..functions.columns import as_double
+from ..session import ensure_checkpoint_dir
 
 TARGET_POINTS_PER_BUCKET = 200_000
-MAX_BUCKETS = 1024
+MAX_BUCKETS = 4096
 _ACCURACY = 4096
 
 
@@ -83,18 +86,18 @@ def _discordant_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"gid": [gid], "d": [str(d)]})
 
 
-def _bucketer(edges_by_pid: dict[int, list[float]]):
-    table = {k: np.asarray(v, dtype="float64") for k, v in edges_by_pid.items()}
+def _bucketer(edges_by_gid: dict[int, list[float]]):
+    table = {k: np.asarray(v, dtype="float64") for k, v in edges_by_gid.items()}
 
     @pandas_udf(IntegerType())
-    def bucket(pid: pd.Series, v: pd.Series) -> pd.Series:
+    def bucket(gid: pd.Series, v: pd.Series) -> pd.Series:
         out = np.zeros(len(v), dtype="int32")
-        pv, vv = pid.to_numpy(), v.to_numpy(dtype="float64")
-        for k in np.unique(pv):
+        gv, vv = gid.to_numpy(), v.to_numpy(dtype="float64")
+        for k in np.unique(gv):
             e = table.get(int(k))
             if e is None or len(e) == 0:
                 continue
-            m = pv == k
+            m = gv == k
             lo = np.searchsorted(e, vv[m], side="left")
             hi = np.searchsorted(e, vv[m], side="right")
             # even id: open interval between edges; odd id: exactly an edge value
@@ -104,50 +107,83 @@ def _bucketer(edges_by_pid: dict[int, list[float]]):
     return bucket
 
 
+def _buckets(m: int) -> int:
+    """Buckets per axis: about m / TARGET, capped, and at most sqrt(m/2) so the
+    B x B cell table is always smaller than the point set it summarises."""
+    return int(max(1, min(MAX_BUCKETS, math.ceil(m / TARGET_POINTS_PER_BUCKET), math.isqrt(max(1, m // 2)))))
+
+
+_SCHEMA = "gid long, d string"
+_FANOUT = 4 * MAX_BUCKETS + 4  # child ids per group: 1 cell table + 2B+1 x-buckets + 2B+1 y-buckets
+
+
+def _kernel(points: DataFrame) -> DataFrame:
+    return points.select("gid", "x", "y", "w").groupBy("gid").applyInPandas(_discordant_group, _SCHEMA)
+
+
+def count_discordant(points: DataFrame, depth: int = 0) -> DataFrame:
+    """(gid, d): weighted discordant pairs of every group of points (gid, x, y, w).
+
+    Groups of at most TARGET points go to the kernel whole.  Larger groups are
+    split on a grid of value buckets: pairs inside an x-bucket and pairs in
+    one y-bucket but different x-buckets go to the kernel per bucket (about
+    TARGET points each; singleton buckets skipped); pairs across both are
+    the discordant pairs of the bucket-cell table, counted by the same
+    function one level down (it is at most B^2 < m points).  Driver-side
+    state is one size and B edges per group.
+    """
+    sizes = {r[0]: r[1] for r in points.groupBy("gid").count().collect()}
+    big = {g: _buckets(m) for g, m in sizes.items() if m > TARGET_POINTS_PER_BUCKET and depth < 4}
+    big = {g: b for g, b in big.items() if b > 1}
+    spark = points.sparkSession
+    if not big:
+        return _kernel(points)
+    bigdf = F.broadcast(spark.createDataFrame([(int(g),) for g in big], "gid long"))  # one row per large group
+    parts = [_kernel(points.join(bigdf, "gid", "left_anti"))]
+    pts = points.join(bigdf, "gid", "inner")
+    bmax = max(big.values())
+    probs = [i / bmax for i in range(1, bmax)]
+    ex, ey = {}, {}
+    for r in pts.groupBy("gid").agg(F.percentile_approx("x", probs, _ACCURACY).alias("ex"),
+                                    F.percentile_approx("y", probs, _ACCURACY).alias("ey")).collect():
+        step = max(1, bmax // big[r[0]])
+        ex[r[0]] = sorted(set(r[1][step - 1::step]))
+        ey[r[0]] = sorted(set(r[2][step - 1::step]))
+    gb = pts.select("gid", "x", "y", "w", _bucketer(ex)(F.col("gid"), F.col("x")).alias("bx"),
+                    _bucketer(ey)(F.col("gid"), F.col("y")).alias("by"))
+    gb = gb.checkpoint(eager=True)  # cut lineage between levels; reused by three branches
+    fan = F.lit(_FANOUT).cast("long")
+
+    def back(child: DataFrame) -> DataFrame:
+        return child.select(F.expr(f"gid div {_FANOUT}").alias("gid"), "d")  # exact integer parent id
+
+    cells = gb.groupBy("gid", "bx", "by").agg(F.sum("w").alias("w")).select(
+        (F.col("gid") * fan).alias("gid"), F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y"), "w")
+    parts.append(back(count_discordant(cells, depth + 1)))
+    inx = gb.where(F.col("bx") % 2 == 0).select((F.col("gid") * fan + 1 + F.col("bx")).alias("gid"), "x", "y", "w")
+    parts.append(back(_kernel(inx)))
+    iny = gb.where(F.col("by") % 2 == 0).select((F.col("gid") * fan + 2 * MAX_BUCKETS + 3 + F.col("by")).alias("gid"),
+                                                F.col("bx").cast("double").alias("x"), "y", "w")
+    parts.append(back(_kernel(iny)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """column1, column2, n, concordant, discordant, ties_x, ties_y, ties_xy, tau_b (one row per pair)."""
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     pts = None
     for pid, (a, b) in enumerate(pairs):
         p = df.select(F.lit(pid).alias("pid"), as_double(df, a).alias("x"), as_double(df, b).alias("y")).where(
             F.col("x").isNotNull() & F.col("y").isNotNull())
         pts = p if pts is None else pts.unionByName(p)
     g = pts.groupBy("pid", "x", "y").agg(F.count(F.lit(1)).alias("w"))  # distinct points with weights
-
-    # bucket count from the number of distinct points (one small aggregate)
-    m = {r[0]: r[1] for r in g.groupBy("pid").count().collect()}
-    nb = {pid: int(min(MAX_BUCKETS, max(1, math.ceil(m.get(pid, 0) / TARGET_POINTS_PER_BUCKET)))) for pid in range(len(pairs))}
-    bmax = max(nb.values()) if nb else 1
-    probs = [i / bmax for i in range(1, bmax)]
-    ex, ey = {}, {}
-    if bmax > 1:
-        for r in g.groupBy("pid").agg(F.percentile_approx("x", probs, _ACCURACY).alias("ex"),
-                                      F.percentile_approx("y", probs, _ACCURACY).alias("ey")).collect():
-            step = max(1, bmax // nb[r[0]])
-            ex[r[0]] = sorted(set(r[1][step - 1::step]))
-            ey[r[0]] = sorted(set(r[2][step - 1::step]))
-    gb = g.select("pid", "x", "y", "w",
-                  _bucketer(ex)(F.col("pid"), F.col("x")).alias("bx"),
-                  _bucketer(ey)(F.col("pid"), F.col("y")).alias("by"))
-
-    schema = "gid long, d string"
-    shift = F.lit(1 << 24).cast("long")
-
-    def count_in_groups(frame: DataFrame, bucket: str | None) -> DataFrame:
-        gid = F.col("pid").cast("long") * shift + (F.col(bucket) if bucket else F.lit(0))
-        out = frame.select(gid.alias("gid"), "x", "y", "w").groupBy("gid").applyInPandas(_discordant_group, schema)
-        return out.select((F.col("gid") / shift).cast("int").alias("pid"), "d")
-
-    # (a) cells of the grid, one bounded group per pair
-    cells = gb.groupBy("pid", "bx", "by").agg(F.sum("w").alias("w")).select(
-        "pid", F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y"), "w")
-    da = count_in_groups(cells, None)
-    # (b) inside each non-singleton x-bucket
-    db = count_in_groups(gb.where(F.col("bx") % 2 == 0), "bx")
-    # (c) inside each non-singleton y-bucket, across x-buckets (x replaced by its bucket)
-    dc = count_in_groups(gb.where(F.col("by") % 2 == 0).select("pid", "by", F.col("bx").cast("double").alias("x"), "y", "w"), "by")
+    counted = count_discordant(g.select(F.col("pid").cast("long").alias("gid"), "x", "y", "w"))
     dec = "decimal(38,0)"
-    disc = da.unionByName(db).unionByName(dc).groupBy("pid").agg(F.sum(F.col("d").cast(dec)).alias("discordant"))
+    disc = counted.groupBy(F.col("gid").cast("int").alias("pid")).agg(F.sum(F.col("d").cast(dec)).alias("discordant"))
 
     def tie(cols):
         t = g.groupBy("pid", *cols).agg(F.sum("w").cast(dec).alias("c"))
