@@ -42,9 +42,11 @@ def infer_types(df: DataFrame, threshold: float = 0.5, narrow: bool = False) ->
         for i, n in enumerate(texts):
             x = coerce_numeric(col(n))
             aggs += [F.count(x).alias(f"p{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
-                     F.coalesce(F.bool_and(F.when(x.isNotNull(), (x % 1) == 0)), F.lit(True)).alias(f"int{i}"),
-                     F.count_distinct(col(n)).alias(f"u{i}")]
+                     F.coalesce(F.bool_and(F.when(x.isNotNull(), (x % 1) == 0)), F.lit(True)).alias(f"int{i}")]
         row = df.agg(*aggs).collect()[0]
+        # exact distinct counts from one long-form grouping (not an Expand of rows x columns)
+        from .profile import distinct_counts
+        uniq = {r["cid"]: r["unique_count"] for r in distinct_counts(df.select(*[col(n) for n in texts])).collect()}
         rows = row["rows"]
         for i, n in enumerate(texts):
             parsed, mn, mx, integral = row[f"p{i}"], row[f"mn{i}"], row[f"mx{i}"], row[f"int{i}"]
@@ -64,7 +66,7 @@ def infer_types(df: DataFrame, threshold: float = 0.5, narrow: bool = False) ->
                 role = "numeric"
             else:
                 target = "string"
-                role = "categorical" if rows and row[f"u{i}"] / rows < 0.5 else "text"
+                role = "categorical" if rows and uniq.get(i, 0) / rows < 0.5 else "text"
             report_rows.append((n, int(parsed), int(rows), bool(integral), mn, mx, target, role))
     out = df.select(*[coerce_numeric(col(f.name)).cast(casts[f.name]).alias(f.name) if f.name in casts else col(f.name)
                       for f in df.schema.fields])

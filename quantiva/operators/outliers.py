@@ -53,12 +53,7 @@ def _check_methods(methods) -> list[str]:
     return methods
 
 
-def outlier_values(df: DataFrame, columns=None, methods=METHODS, k: int = 10) -> DataFrame:
-    """O3 in long form: column, method, rank, value -- the first k outlier values
-    (repeats kept), farthest from the fence (largest |z|) first, then value asc."""
-    names = resolve_numeric(df, columns)
-    methods = _check_methods(methods)
-    stats, vcb = column_stats(df, names)
+def _values_from(vcb: DataFrame, stats: DataFrame, names: list[str], methods: list[str], k: int) -> DataFrame:
     j = vcb.join(F.broadcast(stats), "cid")  # stats: one row per column
     v = F.col("value")
     iqr_flag, z_flag, iqr_dist, z = _flags(v)
@@ -73,10 +68,20 @@ def outlier_values(df: DataFrame, columns=None, methods=METHODS, k: int = 10) ->
     # a distinct value stands for cnt rows: repeat it (at most k times)
     rep = u.select("cid", "method", "value", "_d", F.explode(F.array_repeat(F.lit(1), F.least(F.col("cnt"), F.lit(k)).cast("int"))).alias("_x"))
     w = Window.partitionBy("cid", "method").orderBy(F.col("_d").desc(), F.col("value").asc())
+    # row_number() <= k is planned as a window-group limit: k rows per task and group before the shuffle
     top = rep.select("cid", "method", "value", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
     return top.select(name_at(names, F.col("cid")).alias("column"), "method", F.col("rank").cast("long").alias("rank"), "value")
 
 
+def outlier_values(df: DataFrame, columns=None, methods=METHODS, k: int = 10) -> DataFrame:
+    """O3 in long form: column, method, rank, value -- the first k outlier values
+    (repeats kept), farthest from the fence (largest |z|) first, then value asc."""
+    names = resolve_numeric(df, columns)
+    methods = _check_methods(methods)
+    stats, vcb = column_stats(df, names)
+    return _values_from(vcb, stats, names, methods, k)
+
+
 def outliers(df: DataFrame, columns=None, methods=METHODS, k: int = 10) -> DataFrame:
     """Column, method, count, percentage (of non-null), lower_bound,
     upper_bound (IQR), threshold (z), outlier_values (first k, see outlier_values)."""
@@ -99,7 +104,7 @@ def outliers(df: DataFrame, columns=None, methods=METHODS, k: int = 10) -> DataF
                              F.lit(None).cast("double").alias("lower_bound"), F.lit(None).cast("double").alias("upper_bound"),
                              F.lit(Z_THRESHOLD).alias("threshold")))
     long = counts.select("cid", "n", F.explode(F.array(*rows)).alias("r")).select("cid", "n", "r.*")
-    vals = outlier_values(df, names, methods, k).groupBy("column", "method").agg(
+    vals = _values_from(vcb, stats, names, methods, k).groupBy("column", "method").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("outlier_values"))
     out = long.select(name_at(names, F.col("cid")).alias("column"), "method",
                       F.col("count").cast("long").alias("count"),
