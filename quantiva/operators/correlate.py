@@ -51,8 +51,8 @@ def _rank_columns(df: DataFrame, names: list[str], n_buckets: int | None,
     (one row per distinct value) is joined back on the value -- broadcast by
     AQE when small, a sort-merge join otherwise.
     """
-    vcb = ranks.bucketed_counts(df, [as_double(df, n) for n in names], n_rows=n_rows, n_buckets=n_buckets)
-    rk = ranks.average_ranks(vcb, ["cid"])
+    vcb, nb = ranks.bucketed_counts_b(df, [as_double(df, n) for n in names], n_rows=n_rows, n_buckets=n_buckets)
+    rk = ranks.average_ranks(vcb, ["cid"], single_bucket=nb == 1)
     cur = df.select(*[as_double(df, n).alias(f"_v{i}") for i, n in enumerate(names)])
     for i in range(len(names)):
         ri = rk.where(F.col("cid") == i).select(F.col("value").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}"))

@@ -41,7 +41,7 @@ def _moments(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def moments_and_counts(df: DataFrame, names: list[str]):
-    """(moments, vcb): one scan gives every column's moments (fixed-size
+    """(moments, vcb, single_bucket): one scan gives every column's moments (fixed-size
     buffers; the one-row result is bounded by the schema width); the counts
     in it size the buckets of the value counts."""
     values = [as_double(df, n) for n in names]
@@ -51,8 +51,8 @@ def moments_and_counts(df: DataFrame, names: list[str]):
         [tuple([row[f"{m}{i}"] for i in range(len(names)) for m in _MOMENTS])],
         ", ".join(f"{m}{i} {'long' if m == 'count' else 'double'}" for i in range(len(names)) for m in _MOMENTS)), len(names))
     n_rows = max([row[f"count{i}"] or 0 for i in range(len(names))] + [0])
-    vcb = ranks.bucketed_counts(df, values, n_rows=n_rows)
-    return mom, vcb
+    vcb, nb = ranks.bucketed_counts_b(df, values, n_rows=n_rows)
+    return mom, vcb, nb == 1
 
 
 def resolve_numeric(df: DataFrame, columns) -> list[str]:
@@ -74,8 +74,8 @@ def descriptive(df: DataFrame, columns=None) -> DataFrame:
     names = resolve_numeric(df, columns)
     if not names:
         raise ValidationError("No numeric columns to describe")
-    mom, vcb = moments_and_counts(df, names)
-    qs = ranks.exact_quantiles(vcb, ["cid"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    mom, vcb, single = moments_and_counts(df, names)
+    qs = ranks.exact_quantiles(vcb, ["cid"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, single_bucket=single)
     mode = ranks.mode_of(vcb, ["cid"])
     res = mom.join(qs.drop("n"), "cid", "left").join(mode, "cid", "left")
     return res.select(

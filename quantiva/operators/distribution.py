@@ -62,8 +62,8 @@ def distribution_by_group(df: DataFrame, by: str, column: str) -> DataFrame:
     check_columns(df, [by, column])
     base = df.select(col(by).alias("_g"), as_double(df, column).alias("_x")).where(
         F.col("_g").isNotNull() & F.col("_x").isNotNull())
-    vcb = ranks.bucketed_counts(base, [F.col("_x")], keys={"_g": F.col("_g")})
-    q = ranks.exact_quantiles(vcb, ["cid", "_g"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    vcb, nb = ranks.bucketed_counts_b(base, [F.col("_x")], keys={"_g": F.col("_g")})
+    q = ranks.exact_quantiles(vcb, ["cid", "_g"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, single_bucket=nb == 1)
     long = base.select("_g", F.col("_x").alias("value"))
     mm = long.groupBy("_g").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"))
     return q.drop("cid").join(mm, "_g").select(

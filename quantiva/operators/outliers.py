@@ -24,8 +24,8 @@ METHODS = ("iqr", "zscore")
 def column_stats(df: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
     """(stats, vcb): stats = (cid, n, q1, q3, lower_bound, upper_bound, mean, std_pop)
     per column; vcb = the bucketed value counts it was computed from."""
-    mom, vcb = moments_and_counts(df, names)
-    q = ranks.exact_quantiles(vcb, ["cid"], {"q1": 0.25, "q3": 0.75})
+    mom, vcb, single = moments_and_counts(df, names)
+    q = ranks.exact_quantiles(vcb, ["cid"], {"q1": 0.25, "q3": 0.75}, single_bucket=single)
     iqr = F.col("q3") - F.col("q1")
     stats = q.join(mom.select("cid", "mean", "std_pop"), "cid").select(
         "cid", "n", "q1", "q3",

@@ -70,6 +70,11 @@ def sample_edges(df: DataFrame, values: list[Column], n_rows: int, n_buckets: in
 
 def bucketed_counts(df: DataFrame, values: list[Column], keys: dict[str, Column] | None = None,
                     n_rows: int | None = None, n_buckets: int | None = None) -> DataFrame:
+    return bucketed_counts_b(df, values, keys, n_rows, n_buckets)[0]
+
+
+def bucketed_counts_b(df: DataFrame, values: list[Column], keys: dict[str, Column] | None = None,
+                      n_rows: int | None = None, n_buckets: int | None = None) -> tuple[DataFrame, int]:
     """(keys..., cid, _bucket, value, cnt): value counts per column id, with each
     value's bucket as part of the grouping key.
 
@@ -100,8 +105,9 @@ def bucketed_counts(df: DataFrame, values: list[Column], keys: dict[str, Column]
     long = wide.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(i).alias("cid"), bucket[i].alias("_bucket"), F.col(f"_v{i}").alias("value"))
         for i in range(len(values))])).alias("p")).select(*keys, "p.cid", "p._bucket", "p.value")
-    return (long.where(F.col("value").isNotNull())
-            .groupBy(*keys, "cid", "_bucket", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    vcb = (long.where(F.col("value").isNotNull())
+           .groupBy(*keys, "cid", "_bucket", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    return vcb, n_buckets
 
 
 def _bucket_offsets(vcb: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,14 +130,25 @@ def _positions(vcb: DataFrame, offsets: DataFrame, keys: list[str], value: str)
     )
 
 
-def positions(vcb: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def _single_bucket_positions(vcb: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """All of a key's values in one bucket (at most TARGET_ROWS_PER_BUCKET rows):
+    offsets are zero, so one window gives positions and totals."""
+    w = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wall = Window.partitionBy(*keys, "_bucket")
+    return vcb.select(*keys, value, "cnt", (F.sum("cnt").over(w) - F.col("cnt")).alias("below"),
+                      F.sum("cnt").over(wall).alias("n"))
+
+
+def positions(vcb: DataFrame, keys: list[str], value: str = "value", single_bucket: bool = False) -> DataFrame:
     """(keys..., value, cnt, below, n) for every distinct value of every key."""
+    if single_bucket:
+        return _single_bucket_positions(vcb, keys, value)
     return _positions(vcb, _bucket_offsets(vcb, keys), keys, value)
 
 
-def average_ranks(vcb: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def average_ranks(vcb: DataFrame, keys: list[str], value: str = "value", single_bucket: bool = False) -> DataFrame:
     """(keys..., value, rank): 1-based average rank of ties, as pandas/scipy rank."""
-    pos = positions(vcb, keys, value)
+    pos = positions(vcb, keys, value, single_bucket)
     return pos.select(*keys, value, (F.col("below") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)).alias("rank"))
 
 
@@ -142,12 +159,15 @@ def _targets(n: Column, p: float) -> tuple[Column, Column, Column]:
     return h, lo, hi
 
 
-def exact_quantiles(vcb: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value") -> DataFrame:
+def exact_quantiles(vcb: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value",
+                    single_bucket: bool = False) -> DataFrame:
     """(keys..., n, <name>...) with linear interpolation between order statistics.
 
     Same definition as pandas ``quantile`` / numpy 'linear' / DuckDB
     ``quantile_cont``: h = (n-1)p, q = x[floor h] + (h - floor h)(x[ceil h] - x[floor h]).
     """
+    if single_bucket:
+        return _quantiles_from(_single_bucket_positions(vcb, keys, value), keys, probs, value)
     offsets = _bucket_offsets(vcb, keys)
     # Keep only buckets that hold a wanted position.
     hit = F.lit(False)
@@ -161,6 +181,10 @@ def exact_quantiles(vcb: DataFrame, keys: list[str], probs: dict[str, float], va
     w = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pos = vcb.join(wanted, on=[*keys, "_bucket"], how="inner").select(
         *keys, value, "cnt", (F.col("_offset") + F.sum("cnt").over(w) - F.col("cnt")).alias("below"), F.col("_n").alias("n"))
+    return _quantiles_from(pos, keys, probs, value)
+
+
+def _quantiles_from(pos: DataFrame, keys: list[str], probs: dict[str, float], value: str) -> DataFrame:
     aggs = [F.max("n").alias("n")]
     for name, p in probs.items():
         _, lo, hi = _targets(F.col("n"), p)
