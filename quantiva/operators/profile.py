@@ -24,6 +24,16 @@ FIXED_WIDTH = {
 }
 
 
+def attach(base: DataFrame, *one_row: DataFrame) -> DataFrame:
+    """Add the columns of one-row results to ``base`` as scalar subqueries
+    (each evaluated once; no join, so no nested-loop or cartesian plan)."""
+    cols = [F.col(f"`{c}`") for c in base.columns]
+    for d in one_row:
+        sub = d.select(F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias("s")).scalar()
+        cols += [sub.getField(c).alias(c) for c in d.columns]
+    return base.select(*cols)
+
+
 def _family(dt: T.DataType) -> str:
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
         return "integral"
@@ -188,12 +198,8 @@ def basic_info(df: DataFrame, numeric: list[str] | None = None) -> DataFrame:
     numeric = numeric_columns(df) if numeric is None else numeric
     n_cols = len(df.columns)
     counts = df.agg(F.count(F.lit(1)).alias("total_rows"))
-    # three one-row results combined with a one-row broadcast join on a constant key
-    k = F.lit(1).alias("_k")
-    res = (counts.select("*", k)
-           .join(F.broadcast(missing_cells(df).select("missing_cells", k)), "_k")
-           .join(F.broadcast(estimated_bytes(df).select("estimated_bytes", k)), "_k")
-           .join(F.broadcast(duplicate_rows(df).select("duplicate_rows", k)), "_k"))
+    res = attach(counts, missing_cells(df).select("missing_cells"), estimated_bytes(df).select("estimated_bytes"),
+                 duplicate_rows(df))
     return res.select(
         F.col("total_rows").cast("long").alias("total_rows"),
         F.lit(n_cols).cast("long").alias("total_columns"),
@@ -219,10 +225,7 @@ def quality_report(df: DataFrame) -> DataFrame:
     )  # lists over columns: bounded by the schema width
     n_num = sum(1 for f in df.schema.fields if is_numeric_type(f.dataType) and not isinstance(f.dataType, T.BooleanType))
     n_cat = sum(1 for f in df.schema.fields if isinstance(f.dataType, T.StringType))
-    k = F.lit(1).alias("_k")
-    res = (lists.select("*", k)
-           .join(F.broadcast(duplicate_rows(df).select("duplicate_rows", k)), "_k")
-           .join(F.broadcast(estimated_bytes(df).select("estimated_bytes", k)), "_k"))
+    res = attach(lists, duplicate_rows(df), estimated_bytes(df).select("estimated_bytes"))
     return res.select(
         F.col("rows").cast("long").alias("total_rows"),
         F.lit(len(names)).cast("long").alias("total_columns"),
@@ -278,9 +281,7 @@ def column_info(df: DataFrame, column: str, limit: int = 100) -> DataFrame:
         F.array_sort(F.collect_list(F.col("value").cast("string"))).alias("unique_values"))
     smp = sample_values(one, 10).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("sample_values"))
-    k = F.lit(1).alias("_k")
-    return (ov.select("*", k).join(F.broadcast(uv.select("*", k)), "_k")
-            .join(F.broadcast(smp.select("*", k)), "_k").drop("_k"))
+    return attach(ov, uv, smp)
 
 
 def column_info_maps(df: DataFrame) -> DataFrame:

@@ -30,8 +30,7 @@ def analysis_summary(df: DataFrame) -> DataFrame:
         parts.append(_kv(o, "outliers", F.col("column"), ["count", "percentage", "lower_bound", "upper_bound"]))
     if len(numeric) >= 2:
         pairs = correlate.correlation(df, numeric, "pearson")
-        s = correlate.corr_summary(pairs).join(
-            pairs.agg(F.max(F.abs("correlation")).alias("strongest_abs_r")), how="left")  # two one-row results
+        s = profile.attach(correlate.corr_summary(pairs), pairs.agg(F.max(F.abs("correlation")).alias("strongest_abs_r")))
         parts.append(_kv(s, "correlation", F.lit("pairs"), ["total_pairs", "strong_correlations", "strongest_abs_r"]))
     out = parts[0]
     for p in parts[1:]:
@@ -44,12 +43,11 @@ def dataset_info(df: DataFrame, folder: str | None = None, glob: str | None = No
     spark = df.sparkSession
     info = profile.basic_info(df)
     maps = profile.column_info_maps(df)
-    res = info.join(maps, how="left")  # one row each
+    extra = [maps]
     if folder:
-        st = storage.storage_stats(spark, folder, glob).agg(F.sum("size_bytes").alias("storage_bytes"),
-                                                           F.count(F.lit(1)).alias("storage_files"))
-        res = res.join(st, how="left")
-    return res
+        extra.append(storage.storage_stats(spark, folder, glob).agg(F.sum("size_bytes").alias("storage_bytes"),
+                                                                    F.count(F.lit(1)).alias("storage_files")))
+    return profile.attach(info, *extra)
 
 
 def ingest(spark: SparkSession, paths, dest: str, narrow: bool = False) -> DataFrame:
@@ -58,7 +56,7 @@ def ingest(spark: SparkSession, paths, dest: str, narrow: bool = False) -> DataF
     df = csvsrc.read_csv(spark, paths, narrow=narrow)
     q = profile.quality_report(df)
     files = df.agg(F.array_sort(F.collect_set(csvsrc.SOURCE_FILE)).alias("file_names"))  # one name per input file
-    rep = q.join(files, how="left").join(profile.column_info_maps(df).select("numeric_columns", "categorical_columns"), how="left")
+    rep = profile.attach(q, files, profile.column_info_maps(df).select("numeric_columns", "categorical_columns"))
     row = rep.collect()[0].asDict()
     storage.save_dataset(df, dest, {k: v for k, v in row.items()})
     return spark.createDataFrame([row], rep.schema).select(
