@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +49,13 @@ def moments_and_counts(df: DataFrame, names: list[str]):
     values = [as_double(df, n) for n in names]
     row = df.agg(*_moment_aggs(values)).collect()[0]
     spark = df.sparkSession
-    mom = _long_moments(spark.createDataFrame(
-        [tuple([row[f"{m}{i}"] for i in range(len(names)) for m in _MOMENTS])],
-        ", ".join(f"{m}{i} {'long' if m == 'count' else 'double'}" for i in range(len(names)) for m in _MOMENTS)), len(names))
+
+    def clean(v):  # NaN (zero variance in skewness/kurtosis) is reported as NULL
+        return None if isinstance(v, float) and math.isnan(v) else v
+
+    mom = spark.createDataFrame(
+        [tuple([i] + [clean(row[f"{m}{i}"]) for m in _MOMENTS]) for i in range(len(names))],
+        "cid int, count long, " + ", ".join(f"{m} double" for m in _MOMENTS[1:]))
     n_rows = max([row[f"count{i}"] or 0 for i in range(len(names))] + [0])
     vcb, nb = ranks.bucketed_counts_b(df, values, n_rows=n_rows)
     return mom, vcb, nb == 1

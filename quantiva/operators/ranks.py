@@ -99,7 +99,9 @@ def bucketed_counts_b(df: DataFrame, values: list[Column], keys: dict[str, Colum
                         inputCols=[f"_v{i}" for i in range(len(values))],
                         outputCols=[f"_b{i}" for i in range(len(values))], handleInvalid="keep")
         wide = bz.transform(wide)
-        bucket = [F.col(f"_b{i}").cast("int") for i in range(len(values))]
+        # non-nullable: a join on the bucket then infers no IS NOT NULL filter, which
+        # would be pushed below the value-count aggregate and block exchange reuse
+        bucket = [F.coalesce(F.col(f"_b{i}").cast("int"), F.lit(0)) for i in range(len(values))]
     else:
         bucket = [F.lit(0) for _ in values]
     long = wide.select(*keys, F.explode(F.array(*[
@@ -171,7 +173,7 @@ def exact_quantiles(vcb: DataFrame, keys: list[str], probs: dict[str, float], va
     offsets = _bucket_offsets(vcb, keys)
     # Keep only buckets that hold a wanted position.
     hit = F.lit(False)
-    for p in probs.values():
+    for p in sorted(set(probs.values())):
         _, lo, hi = _targets(F.col("_n"), p)
         end = F.col("_offset") + F.col("_btot")
         hit = hit | ((lo >= F.col("_offset")) & (lo < end)) | ((hi >= F.col("_offset")) & (hi < end))
@@ -186,10 +188,12 @@ def exact_quantiles(vcb: DataFrame, keys: list[str], probs: dict[str, float], va
 
 def _quantiles_from(pos: DataFrame, keys: list[str], probs: dict[str, float], value: str) -> DataFrame:
     aggs = [F.max("n").alias("n")]
+    end = F.col("below") + F.col("cnt")
+    v = F.col(value)
     for name, p in probs.items():
         _, lo, hi = _targets(F.col("n"), p)
-        aggs.append(F.min(F.when(F.col("below") + F.col("cnt") > lo, F.col(value))).alias(f"_{name}_lo"))
-        aggs.append(F.min(F.when(F.col("below") + F.col("cnt") > hi, F.col(value))).alias(f"_{name}_hi"))
+        aggs.append(F.min(F.when(end > lo, v)).alias(f"_{name}_lo"))
+        aggs.append(F.min(F.when(end > hi, v)).alias(f"_{name}_hi"))
     res = pos.groupBy(*keys).agg(*aggs)
     out = [*keys, "n"]
     for name, p in probs.items():
