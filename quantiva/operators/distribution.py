@@ -25,6 +25,23 @@ def distribution(df: DataFrame, columns=None) -> DataFrame:
     )
 
 
+def distribution_report(df: DataFrame, columns=None, max_n: int = 5000, seed: int = 42) -> DataFrame:
+    """N1-N6 in one row per column: shape, labels, suggested type, Shapiro-Wilk
+    on the seeded sample, and the interpretation sentence (p with 4 decimals)."""
+    from .normality import normality
+
+    shape = distribution(df, columns)
+    norm = normality(df, columns, max_n=max_n, seed=seed).select("column", "statistic", "p_value", "is_normal",
+                                                                  "sample_size_used")
+    j = shape.join(norm, "column", "left")
+    text = F.format_string(
+        "Distribution analysis for '%s': %s distribution (Shapiro-Wilk p-value: %.4f). Shape: %s, %s. Suggested type: %s",
+        F.col("column"), F.when(F.col("is_normal"), "Normal").otherwise("Non-normal"), F.bround("p_value", 4),
+        F.col("skew_label"), F.col("kurt_label"), F.col("distribution_type"))
+    return j.select("column", "n", "skewness", "kurtosis", "skew_label", "kurt_label", "distribution_type",
+                    "statistic", "p_value", "is_normal", "sample_size_used", text.alias("interpretation"))
+
+
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Equal-width bins over [min, max], last bin closed (numpy ``histogram``):
     bin, lo, hi, count; empty bins are listed with count 0."""

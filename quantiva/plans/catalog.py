@@ -253,6 +253,33 @@ def sql_outlier_rows():
       SELECT col AS "column", method, rk AS rank, {S('v')} AS value FROM r WHERE rk <= 10"""
 
 
+def q_outlier_records(spark, sf):
+    r = outliers.outlier_rows(_t(spark, sf, "events"), "value", "iqr")
+    return sig(r.select("event_id", "user_id", "value", "score"))
+
+
+def sql_outlier_records():
+    return _flags_sql("events", ["value"]) + f"""
+      SELECT e.event_id, e.user_id, {S('e.value')} AS value, {S('greatest(f.lo - e.value, e.value - f.hi)')} AS score
+      FROM events e, f WHERE e.value IS NOT NULL AND (e.value < f.lo OR e.value > f.hi)"""
+
+
+def q_outlier_records_z(spark, sf):
+    r = outliers.outlier_rows(_t(spark, sf, "events"), "value", "zscore")
+    return sig(r.select("event_id", "value", "score"))
+
+
+def sql_outlier_records_z():
+    return f"""WITH f AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events)
+      SELECT event_id, {S('value')} AS value, {S('abs((value - m) / s)')} AS score
+      FROM events, f WHERE value IS NOT NULL AND s > 0 AND abs((value - m) / s) > 3"""
+
+
+def q_distribution_report(spark, sf):
+    d = distribution.distribution_report(_t(spark, sf, "lineitem"), LINE4)
+    return sig(d)
+
+
 def q_outlier_summary(spark, sf):
     return sig(outliers.outlier_summary(_t(spark, sf, "events"), ["value"]))
 
@@ -978,6 +1005,9 @@ QUERIES = {
     "outliers_both": (q_outliers_both, sql_outliers_both),
     "outlier_rows": (q_outlier_rows, sql_outlier_rows),
     "outlier_summary": (q_outlier_summary, sql_outlier_summary),
+    "outlier_records": (q_outlier_records, sql_outlier_records),
+    "outlier_records_z": (q_outlier_records_z, sql_outlier_records_z),
+    "distribution_report": (q_distribution_report, None),
     "distribution_shape": (q_distribution_shape, sql_distribution_shape),
     "distribution_type": (q_distribution_type, sql_distribution_type),
     "normality_shapiro": (q_normality_shapiro, None),

@@ -125,3 +125,20 @@ def test_kendall_fine_buckets_equal_single_bucket(spark, monkeypatch):
     monkeypatch.setattr(K, "TARGET_POINTS_PER_BUCKET", 7)
     many = {(r["column1"], r["column2"]): (r["discordant"], r["tau_b"]) for r in K.kendall_pairs(df, pairs).collect()}
     assert one == many
+
+
+def test_explicit_test_types_and_errors(employees):
+    from quantiva.errors import ValidationError
+    c = inference.hypothesis_test(employees, "age", "salary", "correlation").collect()[0]
+    assert c["test_type"] == "Pearson Correlation" and c["statistic"] is not None
+    x = inference.hypothesis_test(employees, "department", "name", "chi_square").collect()[0]
+    assert x["test_type"] == "Chi-square Test of Independence"
+    with pytest.raises(ValidationError):
+        inference.hypothesis_test(employees, "age", "salary", "t_test")
+
+
+def test_distribution_report_sentence(spark):
+    from quantiva.operators.distribution import distribution_report
+    df = spark.createDataFrame([(float(v),) for v in [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]], "x double")
+    r = distribution_report(df, ["x"]).collect()[0]
+    assert r["interpretation"].startswith("Distribution analysis for 'x': Non-normal distribution (Shapiro-Wilk p-value: 0.0067).")
