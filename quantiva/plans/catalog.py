@@ -225,7 +225,7 @@ def q_outliers_zscore(spark, sf):
 def sql_outliers_zscore():
     return _flags_sql("events", EVENTS3) + f"""
       SELECT col AS "column", 'zscore' AS method, count(*) FILTER (WHERE z > 3) AS count,
-        {S('count(*) FILTER (WHERE z > 3) * 100.0 / max(n)')} AS percentage, 3.0 AS threshold FROM j GROUP BY col"""
+        {S('count(*) FILTER (WHERE z > 3) * 100.0 / max(n)')} AS percentage, CAST(3.0 AS DOUBLE) AS threshold FROM j GROUP BY col"""
 
 
 def q_outliers_both(spark, sf):
@@ -290,7 +290,7 @@ def sql_outlier_summary():
                 count(*) FILTER (WHERE iqr_flag) * 100.0 / max(n) AS pct FROM j GROUP BY col
               UNION ALL SELECT col, 'zscore', count(*) FILTER (WHERE z > 3), count(*) FILTER (WHERE z > 3) * 100.0 / max(n)
               FROM j GROUP BY col)
-      SELECT col AS "column", method, count, sum(count) OVER () AS total_outliers,
+      SELECT col AS "column", method, count, CAST(sum(count) OVER () AS BIGINT) AS total_outliers,
         printf('%s: %d outliers (%.2f%%) by %s', col, count, round_even(pct, 2), upper(method)) AS summary FROM c"""
 
 
@@ -415,7 +415,7 @@ def sql_categorical_summary():
     return f"""WITH v AS ({_vc_sql('part', PART3)}),
       t AS (SELECT col, value, count, row_number() OVER (PARTITION BY col ORDER BY count DESC, value ASC) AS rk,
               count(*) OVER (PARTITION BY col) AS u, sum(count) OVER (PARTITION BY col) AS nn FROM v)
-      SELECT col AS "column", u AS unique_values, sum(u) OVER () AS total_categories,
+      SELECT col AS "column", u AS unique_values, CAST(sum(u) OVER () AS BIGINT) AS total_categories,
         printf('%s: %d unique values, most frequent ''%s'' (%.1f%%)', col, u, value, round_even(count * 100.0 / nn, 1)) AS summary
       FROM t WHERE rk = 1"""
 
@@ -470,7 +470,8 @@ def sql_anova_test():
             FROM g, t GROUP BY t.k, t.n),
       f AS (SELECT k, n, k - 1 AS df1, n - k AS df2, (ssb / (k - 1)) / (ssw / (n - k)) AS f FROM s),
       p AS (SELECT *, power((df2 * 1.0) / (df2 + 2 * f), df2 / 2.0) AS p FROM f)
-      SELECT 'One-way ANOVA' AS test_type, {S('f')} AS statistic, {S('p')} AS p_value, df1, df2, n, p < 0.05 AS is_significant,
+      SELECT 'One-way ANOVA' AS test_type, {S('f')} AS statistic, {S('p')} AS p_value, df1, CAST(df2 AS BIGINT) AS df2,
+        CAST(n AS BIGINT) AS n, p < 0.05 AS is_significant,
         CASE WHEN p < 0.05 THEN 'Significant' ELSE 'Non-significant' END || ' difference between groups' AS interpretation,
         k AS groups FROM p"""
 
@@ -505,7 +506,7 @@ def sql_chi_square_test():
     # 3 x 2 table: dof 2, upper tail exp(-x/2)
     return _chi_sql("lineitem", "l_returnflag", "l_linestatus") + f"""
       SELECT 'Chi-square Test of Independence' AS test_type, {S('chi2')} AS statistic, {S('exp(-chi2 / 2)')} AS p_value,
-        (nr - 1) * (nc - 1) AS df1, (SELECT n FROM n) AS n, exp(-chi2 / 2) < 0.05 AS is_significant,
+        (nr - 1) * (nc - 1) AS df1, CAST((SELECT n FROM n) AS BIGINT) AS n, exp(-chi2 / 2) < 0.05 AS is_significant,
         CASE WHEN exp(-chi2 / 2) < 0.05 THEN 'Significant' ELSE 'Non-significant' END || ' association between variables' AS interpretation
       FROM x"""
 
@@ -521,7 +522,7 @@ def sql_chi_square_2x2():
               * exp(-power(i * sqrt(x.chi2) / 2000, 2) / 2) / sqrt(2 * pi())) FROM range(0, 2001) t(i))"""
     return _chi_sql("labels", "quality", "toxic") + f"""
       SELECT 'Chi-square Test of Independence' AS test_type, {S('chi2')} AS statistic, {S(p)} AS p_value,
-        (nr - 1) * (nc - 1) AS df1, (SELECT n FROM n) AS n, {p} < 0.05 AS is_significant FROM x"""
+        (nr - 1) * (nc - 1) AS df1, CAST((SELECT n FROM n) AS BIGINT) AS n, {p} < 0.05 AS is_significant FROM x"""
 
 
 def q_crosstab(spark, sf):
@@ -543,7 +544,7 @@ def sql_chi_square_wide():
     return _chi_sql("orders", "o_orderstatus", "o_orderpriority") + f"""
       SELECT {S('chi2')} AS statistic,
         {S('exp(-chi2 / 2) * (1 + chi2 / 2 + power(chi2 / 2, 2) / 2 + power(chi2 / 2, 3) / 6)')} AS p_value,
-        (nr - 1) * (nc - 1) AS df1, (SELECT n FROM n) AS n FROM x"""
+        (nr - 1) * (nc - 1) AS df1, CAST((SELECT n FROM n) AS BIGINT) AS n FROM x"""
 
 
 def q_hypothesis_auto(spark, sf):
@@ -558,7 +559,7 @@ def sql_hypothesis_auto():
       s AS (SELECT t.k, t.n, sum(g.n * (g.m - t.gm) * (g.m - t.gm)) AS ssb, sum(coalesce((g.n - 1) * g.v, 0)) AS ssw
             FROM g, t GROUP BY t.k, t.n)
       SELECT 'One-way ANOVA' AS test_type, 'l_quantity,l_returnflag' AS variables,
-        {S('(ssb / (k - 1)) / (ssw / (n - k))')} AS statistic, k - 1 AS df1, n - k AS df2, n FROM s"""
+        {S('(ssb / (k - 1)) / (ssw / (n - k))')} AS statistic, k - 1 AS df1, CAST(n - k AS BIGINT) AS df2, CAST(n AS BIGINT) AS n FROM s"""
 
 
 # ---------------------------------------------------------------- ad-hoc
@@ -650,10 +651,11 @@ def q_basic_info(spark, sf):
 
 
 def sql_basic_info():
-    return """SELECT count(*) AS total_rows, 5 AS total_columns, 3 AS numeric_columns, 2 AS categorical_columns,
+    return """SELECT count(*) AS total_rows, CAST(5 AS BIGINT) AS total_columns, CAST(3 AS BIGINT) AS numeric_columns,
+      CAST(2 AS BIGINT) AS categorical_columns,
       count(*) * 5 - count(c_custkey) - count(c_name) - count(c_nationkey) - count(c_acctbal) - count(c_mktsegment) AS missing_values,
-      count(c_custkey) * 8 + coalesce(sum(strlen(c_name)), 0) + count(c_nationkey) * 4 + count(c_acctbal) * 8
-        + coalesce(sum(strlen(c_mktsegment)), 0) AS estimated_bytes,
+      CAST(count(c_custkey) * 8 + coalesce(sum(strlen(c_name)), 0) + count(c_nationkey) * 4 + count(c_acctbal) * 8
+        + coalesce(sum(strlen(c_mktsegment)), 0) AS BIGINT) AS estimated_bytes,
       count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM customer)) AS duplicate_rows FROM customer"""
 
 
@@ -684,7 +686,7 @@ def q_estimated_bytes(spark, sf):
 
 def sql_estimated_bytes():
     e = "count(doc_id) * 8 + coalesce(sum(strlen(text)), 0) + coalesce(sum(strlen(lang)), 0) + coalesce(sum(strlen(source)), 0) + count(n_chars) * 8"
-    return f"SELECT {e} AS estimated_bytes, {S(f'({e}) / 1024.0 / 1024.0')} AS estimated_mb FROM documents"
+    return f"SELECT CAST({e} AS BIGINT) AS estimated_bytes, {S(f'({e}) / 1024.0 / 1024.0')} AS estimated_mb FROM documents"
 
 
 LINE_ALL = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
@@ -773,13 +775,14 @@ def q_quality_report(spark, sf):
 
 
 def sql_quality_report():
-    return f"""SELECT count(*) AS total_rows, 5 AS total_columns,
+    return f"""SELECT count(*) AS total_rows, CAST(5 AS BIGINT) AS total_columns,
       {S('(count(*) * 5 - count(event_id) - count(user_id) - count(event_type) - count(value) - count(props)) * 100.0 / (count(*) * 5)')}
         AS missing_data_percentage,
       count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {EVENTS_GAPS_SQL} d)) AS duplicate_rows,
       concat_ws(',', CASE WHEN count(value) < count(*) THEN 'value' END, CASE WHEN count(props) < count(*) THEN 'props' END)
         AS columns_with_missing_data,
-      '' AS columns_all_missing, 3 AS numeric_columns_count, 2 AS categorical_columns_count FROM {EVENTS_GAPS_SQL} e"""
+      '' AS columns_all_missing, CAST(3 AS BIGINT) AS numeric_columns_count, CAST(2 AS BIGINT) AS categorical_columns_count
+      FROM {EVENTS_GAPS_SQL} e"""
 
 
 def q_column_info_maps(spark, sf):
@@ -793,7 +796,7 @@ def q_column_info_maps(spark, sf):
 
 
 def sql_column_info_maps():
-    return """SELECT 6 AS total_columns, 'event_id,user_id,value' AS numeric_columns,
+    return """SELECT CAST(6 AS BIGINT) AS total_columns, 'event_id,user_id,value' AS numeric_columns,
       concat_ws(',', CASE WHEN count(DISTINCT event_type) * 1.0 / count(*) < 0.5 THEN 'event_type' END,
                      CASE WHEN count(DISTINCT props) * 1.0 / count(*) < 0.5 THEN 'props' END) AS categorical_columns,
       'ts' AS datetime_columns,
@@ -913,7 +916,8 @@ def q_conversation_unfold(spark, sf):
 
 
 def sql_conversation_unfold():
-    return """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position, turn, role, text
+    return """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INTEGER) AS position,
+      turn, role, text
       FROM conversations"""
 
 
