@@ -86,29 +86,8 @@ def name_at(names: list[str], idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), idx + 1)
 
 
-def long_numeric(df: DataFrame, names: list[str], drop_null: bool = True) -> DataFrame:
-    """Unpivot numeric columns to (cid int, value double); cid indexes ``names``.
-
-    An integer id keeps the shuffled key narrow; names are restored at the end.
-    """
-    pairs = [F.struct(F.lit(i).alias("cid"), as_double(df, n).alias("value")) for i, n in enumerate(names)]
-    out = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.cid", "p.value")
-    return out.where(F.col("value").isNotNull()) if drop_null else out
-
-
 def long_text(df: DataFrame, names: list[str], drop_null: bool = True) -> DataFrame:
     """Unpivot any columns to (cid int, value string)."""
     pairs = [F.struct(F.lit(i).alias("cid"), col(n).cast("string").alias("value")) for i, n in enumerate(names)]
     out = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.cid", "p.value")
     return out.where(F.col("value").isNotNull()) if drop_null else out
-
-
-def round_doubles(df: DataFrame, digits: int = 6, only=None) -> DataFrame:
-    """Round every double column (used for comparable query output)."""
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and (only is None or f.name in only):
-            cols.append(F.round(col(f.name), digits).alias(f.name))
-        else:
-            cols.append(col(f.name))
-    return df.select(*cols)

@@ -109,9 +109,10 @@ def categorical_distribution_map(df: DataFrame, columns=None, k: int = 10) -> Da
 def categorical_summary(df: DataFrame, columns=None) -> DataFrame:
     """Total categories over the columns, plus one text line per column."""
     prof = categorical(df, columns)
+    total = prof.select(F.sum("unique_values")).scalar()  # scalar subquery; its exchanges are reused
     return prof.select(
         "column", "unique_values",
-        F.sum("unique_values").over(Window.partitionBy()).alias("total_categories"),  # rows = columns
+        total.cast("long").alias("total_categories"),
         F.format_string("%s: %d unique values, most frequent '%s' (%.1f%%)", "column", "unique_values",
                         "top_value", F.bround("top_percentage", 1)).alias("summary"),
     )

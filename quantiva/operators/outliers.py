@@ -140,8 +140,9 @@ def outlier_rows(df: DataFrame, column: str, method: str = "iqr") -> DataFrame:
 def outlier_summary(df: DataFrame, columns=None, methods=METHODS) -> DataFrame:
     """Total outliers over columns and methods, and one line per (column, method)."""
     o = outliers(df, columns, methods).select("column", "method", "count", "percentage")
+    total = o.select(F.sum("count")).scalar()  # scalar subquery; its exchanges are reused
     return o.select(
         "column", "method", "count",
-        F.sum("count").over(Window.partitionBy()).alias("total_outliers"),  # rows = columns x methods
+        total.cast("long").alias("total_outliers"),
         F.format_string("%s: %d outliers (%.2f%%) by %s", "column", "count", F.bround("percentage", 2), F.upper("method")).alias("summary"),
     )

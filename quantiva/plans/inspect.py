@@ -16,10 +16,14 @@ def assert_no_cartesian(df: DataFrame) -> None:
 
 
 def assert_no_global_window(df: DataFrame) -> None:
-    """No window without partitionBy over rows (it would run in a single task)."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    for line in plan.splitlines():
-        if "Window [" in line and "windowspecdefinition(" in line:
-            spec = line.split("windowspecdefinition(", 1)[1]
-            if spec.startswith("specifiedwindowframe") or spec.startswith("unspecifiedframe"):
-                raise AssertionError("window without partitionBy:\n" + line)
+    """No window fed by a single-partition exchange (a window without
+    ``partitionBy`` over its input runs in one task)."""
+    lines = physical_plan(df).splitlines()
+    for i, line in enumerate(lines):
+        if "Window [" not in line or "WindowGroupLimit" in line:
+            continue
+        for below in lines[i + 1:]:
+            if "Exchange" in below:
+                if "SinglePartition" in below:
+                    raise AssertionError("window over a single partition:\n" + line.strip())
+                break

@@ -98,3 +98,21 @@ def test_entry_contract(spark):
     assert set(E.oracle_sql()) <= set(E.queries())
     out = E.entry(spark)
     assert out.count() == 4 and "median" in out.columns
+
+
+def test_wide_forms(spark):
+    from quantiva.operators import categorical
+    df = _table(spark, [[10, 5], [4, 11]])
+    wide = {r["a"]: (r["c0"], r["c1"]) for r in inference.crosstab_wide(df, "a", "b").collect()}
+    assert wide == {"r0": (10, 5), "r1": (4, 11)}
+    m = categorical.categorical_distribution_map(df, ["a", "b"], 1).collect()
+    assert {r["column"]: dict(r["distribution"]) for r in m} == {"a": {"r0": 15}, "b": {"c1": 16}}
+
+
+def test_no_window_over_a_whole_table(spark):
+    from pyspark.sql import Window
+    from quantiva.plans.inspect import assert_no_global_window
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    assert_no_global_window(descriptive(df, ["l_quantity", "l_extendedprice"]))
+    with pytest.raises(AssertionError):
+        assert_no_global_window(df.select(F.row_number().over(Window.orderBy("l_quantity")).alias("r")))

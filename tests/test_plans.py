@@ -1,17 +1,22 @@
 """Plan shape of every registered query."""
 
 import __spark_entry__ as E
+from quantiva.plans.inspect import assert_no_global_window
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_no_cartesian_or_nested_loop_in_any_registered_query(spark):
+def test_no_cartesian_nested_loop_or_global_window_in_any_registered_query(spark):
     bad = []
     for key, fn in E.queries().items():
         df = fn(spark, SF)
         df.collect()  # final adaptive plan
         plan = df._jdf.queryExecution().executedPlan().toString()
         hits = [w for w in ("CartesianProduct", "BroadcastNestedLoopJoin") if w in plan]
+        try:
+            assert_no_global_window(df)
+        except AssertionError:
+            hits.append("single-partition window")
         if hits:
             bad.append((key, hits))
     assert bad == []
