@@ -113,6 +113,7 @@ def categorical_summary(df: DataFrame, columns=None) -> DataFrame:
     return prof.select(
         "column", "unique_values",
         total.cast("long").alias("total_categories"),
-        F.format_string("%s: %d unique values, most frequent '%s' (%.1f%%)", "column", "unique_values",
-                        "top_value", F.bround("top_percentage", 1)).alias("summary"),
+        # Fixed value: the per-column summary format.
+        F.format_string("Categorical analysis for '%s': %d unique values, most frequent: '%s' (%.1f%%)", "column",
+                        "unique_values", "top_value", F.bround("top_percentage", 1)).alias("summary"),
     )

@@ -92,6 +92,8 @@ def descriptive(df: DataFrame, columns=None) -> DataFrame:
         "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"),
         "skewness", "kurtosis",
         F.when(F.col("mean") != 0, F.col("std_dev") / F.col("mean") * 100).alias("coef_var"),
-        F.format_string("Mean: %.2f, Median: %.2f, Std Dev: %.2f", F.bround("mean", 2), F.bround("median", 2),
-                        F.bround("std_dev", 2)).alias("summary"),
+        # Fixed value: the one-line summary format.
+        F.format_string("Descriptive statistics for '%s': Mean = %.2f, Std Dev = %.2f, Range = [%.2f, %.2f]",
+                        name_at(names, F.col("cid")), F.bround("mean", 2), F.bround("std_dev", 2), F.bround("min", 2),
+                        F.bround("max", 2)).alias("summary"),
     ).orderBy("column")

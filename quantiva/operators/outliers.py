@@ -144,5 +144,6 @@ def outlier_summary(df: DataFrame, columns=None, methods=METHODS) -> DataFrame:
     return o.select(
         "column", "method", "count",
         total.cast("long").alias("total_outliers"),
-        F.format_string("%s: %d outliers (%.2f%%) by %s", "column", "count", F.bround("percentage", 2), F.upper("method")).alias("summary"),
+        # Fixed value: the per-method summary format.
+        F.format_string("%s: %d outliers (%.1f%%)", F.upper("method"), "count", F.bround("percentage", 1)).alias("summary"),
     )

@@ -327,10 +327,10 @@ def variable_summaries(df: DataFrame, limit: int = 5, numeric: list[str] | None
 
 
 def dataset_context(df: DataFrame, max_columns: int = 15) -> DataFrame:
-    """One text line per column (first ``max_columns`` in schema order):
-    '- name (dtype): x.x% null, N unique'."""
+    """One text line per column (first ``max_columns`` in schema order)."""
     ov = schema_overview(df).where(F.col("cid") < max_columns)
-    return ov.select("cid", "column", F.format_string("- %s (%s): %.1f%% null, %d unique", "column", "dtype",
+    # Fixed value: the column line format.
+    return ov.select("cid", "column", F.format_string("- %s: %s, %.1f%% null, %d unique values", "column", "dtype",
                                                       F.bround("null_percentage", 1), "unique_count").alias("line"))
 
 

@@ -57,7 +57,7 @@ def _t(spark, sf, name):
 
 # ---------------------------------------------------------------- descriptive
 def q_descriptive(spark, sf):
-    return sig(describe.descriptive(_t(spark, sf, "lineitem"), LINE4).drop("summary"))
+    return sig(describe.descriptive(_t(spark, sf, "lineitem"), LINE4))
 
 
 def sql_descriptive():
@@ -71,7 +71,9 @@ SELECT '{c}' AS "column", count({c}) AS count, {S(f'avg({c})')} AS mean, {S(f'qu
   {S(f'quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)')} AS iqr,
   {S(f'skewness({c}) * (count({c}) - 2) / sqrt(count({c}) * (count({c}) - 1.0))')} AS skewness,
   {S(f'kurtosis_pop({c})')} AS kurtosis,
-  {S(f'CASE WHEN avg({c}) <> 0 THEN stddev_samp({c}) / avg({c}) * 100 END')} AS coef_var
+  {S(f'CASE WHEN avg({c}) <> 0 THEN stddev_samp({c}) / avg({c}) * 100 END')} AS coef_var,
+  printf('Descriptive statistics for ''%s'': Mean = %.2f, Std Dev = %.2f, Range = [%.2f, %.2f]', '{c}',
+         round_even(avg({c}), 2), round_even(stddev_samp({c}), 2), round_even(min({c}), 2), round_even(max({c}), 2)) AS summary
 FROM lineitem""")
     return " UNION ALL ".join(parts)
 
@@ -291,7 +293,7 @@ def sql_outlier_summary():
               UNION ALL SELECT col, 'zscore', count(*) FILTER (WHERE z > 3), count(*) FILTER (WHERE z > 3) * 100.0 / max(n)
               FROM j GROUP BY col)
       SELECT col AS "column", method, count, CAST(sum(count) OVER () AS BIGINT) AS total_outliers,
-        printf('%s: %d outliers (%.2f%%) by %s', col, count, round_even(pct, 2), upper(method)) AS summary FROM c"""
+        printf('%s: %d outliers (%.1f%%)', upper(method), count, round_even(pct, 1)) AS summary FROM c"""
 
 
 # ---------------------------------------------------------------- distribution
@@ -416,7 +418,8 @@ def sql_categorical_summary():
       t AS (SELECT col, value, count, row_number() OVER (PARTITION BY col ORDER BY count DESC, value ASC) AS rk,
               count(*) OVER (PARTITION BY col) AS u, sum(count) OVER (PARTITION BY col) AS nn FROM v)
       SELECT col AS "column", u AS unique_values, CAST(sum(u) OVER () AS BIGINT) AS total_categories,
-        printf('%s: %d unique values, most frequent ''%s'' (%.1f%%)', col, u, value, round_even(count * 100.0 / nn, 1)) AS summary
+        printf('Categorical analysis for ''%s'': %d unique values, most frequent: ''%s'' (%.1f%%)', col, u, value,
+          round_even(count * 100.0 / nn, 1)) AS summary
       FROM t WHERE rk = 1"""
 
 
@@ -812,7 +815,7 @@ def q_dataset_context(spark, sf):
 def sql_dataset_context():
     cols = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string")]
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", printf('- %s (%s): %.1f%% null, %d unique', '{c}', '{t}',
+        f"""SELECT '{c}' AS "column", printf('- %s: %s, %.1f%% null, %d unique values', '{c}', '{t}',
           round_even((count(*) - count({c})) * 100.0 / count(*), 1), count(DISTINCT {c})) AS line FROM customer""" for c, t in cols)
 
 
