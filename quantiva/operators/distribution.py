@@ -57,9 +57,18 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
         return spark.createDataFrame([], "bin int, lo double, hi double, count long")
     if mn == mx:
         mn, mx = mn - 0.5, mx + 0.5
-    idx = F.least(F.floor((F.col("x") - F.lit(mn)) * F.lit(bins / (mx - mn))), F.lit(bins - 1)).cast("int")
-    counts = x.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     width = (mx - mn) / bins
+    # numpy's rule: scaled index, the maximum in the last bin, then one step of
+    # correction against the edges start + k * step where rounding put a value
+    # on the wrong side of an edge
+    xv = F.col("x")
+    i1 = F.least(F.floor((xv - F.lit(mn)) * F.lit(bins / (mx - mn))), F.lit(bins - 1)).cast("int")
+    lo_edge = F.lit(mn) + i1 * F.lit(width)
+    hi_edge = F.lit(mn) + (i1 + 1) * F.lit(width)
+    idx = (F.when(xv < lo_edge, i1 - 1)
+           .when((xv >= hi_edge) & (i1 != bins - 1), i1 + 1)
+           .otherwise(i1))
+    counts = x.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return grid.join(counts, "bin", "left").select(
         "bin",

@@ -346,8 +346,10 @@ def q_histogram(spark, sf):
 
 def sql_histogram():
     return f"""WITH s AS (SELECT min(l_extendedprice) AS mn, max(l_extendedprice) AS mx FROM lineitem),
-      b AS (SELECT CAST(least(floor((l_extendedprice - mn) * (10.0 / (mx - mn))), 9) AS INTEGER) AS bin
-            FROM lineitem, s WHERE l_extendedprice IS NOT NULL),
+      i AS (SELECT l_extendedprice AS x, mn, CAST(least(floor((l_extendedprice - mn) * (10.0 / (mx - mn))), 9) AS INTEGER) AS i1,
+              (mx - mn) / 10.0 AS w FROM lineitem, s WHERE l_extendedprice IS NOT NULL),
+      b AS (SELECT CASE WHEN x < mn + i1 * w THEN i1 - 1 WHEN x >= mn + (i1 + 1) * w AND i1 <> 9 THEN i1 + 1 ELSE i1 END AS bin
+            FROM i),
       c AS (SELECT bin, count(*) AS count FROM b GROUP BY bin),
       g AS (SELECT CAST(i AS INTEGER) AS bin FROM range(0, 10) t(i))
       SELECT g.bin, {S('mn + g.bin * ((mx - mn) / 10.0)')} AS lo, {S('mn + (g.bin + 1) * ((mx - mn) / 10.0)')} AS hi,

@@ -74,3 +74,12 @@ def test_bucketed_positions_equal_single_bucket(spark):
     a = {(r["cid"], r["value"]): r["rank"] for r in ranks.average_ranks(one, ["cid"], single_bucket=True).collect()}
     b = {(r["cid"], r["value"]): r["rank"] for r in ranks.average_ranks(many, ["cid"]).collect()}
     assert a == b
+
+
+def test_histogram_constant_and_edge_values_match_numpy(spark):
+    cases = [[0.1], [-999999.9], [123456.789, 123456.789], [0.0, 0.3, 0.6, 0.9], [1e-9, 2e-9, 3e-9]]
+    for xs in cases:
+        for bins in (2, 3, 7):
+            df = spark.createDataFrame([(x,) for x in xs], "x double")
+            got = [r["count"] for r in sorted(distribution.histogram(df, "x", bins).collect(), key=lambda r: r["bin"])]
+            assert got == list(np.histogram(xs, bins=bins)[0]), (xs, bins)
