@@ -826,6 +826,38 @@ def q_analysis_summary(spark, sf):
     return sig(analysis_summary(_t(spark, sf, "lineitem")))
 
 
+def sql_analysis_summary():
+    num = LINE8
+    cols = ", ".join(LINE_ALL)
+    basic = f"""SELECT 'basic' AS section, 'dataset.' || k AS item, v AS value FROM (
+        SELECT 'total_rows' AS k, CAST(count(*) AS DOUBLE) AS v FROM lineitem
+        UNION ALL SELECT 'total_columns', 11.0 UNION ALL SELECT 'numeric_columns', 8.0
+        UNION ALL SELECT 'categorical_columns', 3.0
+        UNION ALL SELECT 'missing_values', CAST({' + '.join(f'count(*) - count({c})' for c in LINE_ALL)} AS DOUBLE) FROM lineitem
+        UNION ALL SELECT 'duplicate_rows', CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT {cols} FROM lineitem)) AS DOUBLE)
+          FROM lineitem) b"""
+    var = " UNION ALL ".join(
+        f"""SELECT 'variables', '{c}.' || k, v FROM (SELECT 'mean' AS k, avg({c}) AS v FROM lineitem
+            UNION ALL SELECT 'std', stddev_samp({c}) FROM lineitem UNION ALL SELECT 'min', CAST(min({c}) AS DOUBLE) FROM lineitem
+            UNION ALL SELECT 'max', CAST(max({c}) AS DOUBLE) FROM lineitem
+            UNION ALL SELECT 'missing', CAST(count(*) - count({c}) AS DOUBLE) FROM lineitem
+            UNION ALL SELECT 'count', CAST(count({c}) AS DOUBLE) FROM lineitem) x{i}""" for i, c in enumerate(num))
+    c0 = num[0]
+    out = f"""SELECT 'outliers', '{c0}.' || k, v FROM (
+        WITH f AS (SELECT quantile_cont({c0}, 0.25) AS q1, quantile_cont({c0}, 0.75) AS q3, count({c0}) AS n FROM lineitem),
+        g AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi, n FROM f),
+        c AS (SELECT count(*) AS k FROM lineitem, g WHERE {c0} < lo OR {c0} > hi)
+        SELECT 'count' AS k, CAST(c.k AS DOUBLE) AS v FROM c UNION ALL SELECT 'percentage', c.k * 100.0 / g.n FROM c, g
+        UNION ALL SELECT 'lower_bound', lo FROM g UNION ALL SELECT 'upper_bound', hi FROM g) o"""
+    pairs = _pearson_sql("lineitem", num)
+    corr = f"""SELECT 'correlation', 'pairs.' || k, v FROM (
+        WITH p AS (SELECT * FROM ({pairs}) t WHERE correlation IS NOT NULL)
+        SELECT 'total_pairs' AS k, CAST(count(*) AS DOUBLE) AS v FROM p
+        UNION ALL SELECT 'strong_correlations', CAST(count(*) FILTER (WHERE abs(correlation) >= 0.6) AS DOUBLE) FROM p
+        UNION ALL SELECT 'strongest_abs_r', max(abs(correlation)) FROM p) q"""
+    return f"""SELECT section, item, {S('value')} AS value FROM ({basic} UNION ALL {var} UNION ALL {out} UNION ALL {corr}) u"""
+
+
 def q_dataset_info(spark, sf):
     from ..operators.summary import dataset_info
     return dataset_info(_t(spark, sf, "customer"), sf, "customer.parquet")
@@ -1053,7 +1085,7 @@ QUERIES = {
     "quality_report": (q_quality_report, sql_quality_report),
     "column_info_maps": (q_column_info_maps, sql_column_info_maps),
     "dataset_context": (q_dataset_context, sql_dataset_context),
-    "analysis_summary": (q_analysis_summary, None),
+    "analysis_summary": (q_analysis_summary, sql_analysis_summary),
     "dataset_info": (q_dataset_info, None),
     "null_tokens": (q_null_tokens, sql_null_tokens),
     "coerce_numeric": (q_coerce_numeric, sql_coerce_numeric),
