@@ -25,7 +25,7 @@ def _list_files(spark: SparkSession, paths: list[str], ext: str = ".csv") -> lis
                 it = fs.listFiles(st.getPath(), True)
                 while it.hasNext():
                     f = it.next().getPath().toString()
-                    if f.lower().endswith(ext):
+                    if f.lower().endswith(ext) or f.lower().endswith(ext + ".gz"):
                         out.append(f)
             else:
                 out.append(st.getPath().toString())
@@ -33,11 +33,17 @@ def _list_files(spark: SparkSession, paths: list[str], ext: str = ".csv") -> lis
 
 
 def _header(spark: SparkSession, path: str) -> str | None:
-    """First line of a file (one line read per file; file metadata, not data)."""
+    """First line of a file (one line read per file; file metadata, not data).
+    Compressed files are read through their Hadoop codec, as Spark reads them."""
     jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
+    fs = p.getFileSystem(conf)
+    stream = fs.open(p)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+    if codec is not None:
+        stream = codec.createInputStream(stream)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
     try:
         return reader.readLine()
     finally:

@@ -69,3 +69,13 @@ def test_file_admission(spark):
     r = {x["file_name"]: x for x in admission.file_admission(spark, d, max_bytes=100).collect()}
     assert r["a.csv"]["accepted"] and not r["b.txt"]["accepted"] and not r["c.xlsx"]["accepted"]
     assert "Unsupported file type: .txt" in r["b.txt"]["reason"] and "too large" in r["c.xlsx"]["reason"]
+
+
+def test_csv_gzip_header(spark):
+    import gzip
+    base = tempfile.mkdtemp(prefix="qv-gz-")
+    with gzip.open(os.path.join(base, "a.csv.gz"), "wt") as f:
+        f.write("id,x\n1,2.5\n2,3.5\n")
+    df = csvsrc.read_csv(spark, base)
+    assert sorted(df.columns) == ["__source_file__", "id", "x"] and dict(df.dtypes)["x"] == "double"
+    assert df.count() == 2
