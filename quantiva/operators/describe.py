@@ -74,14 +74,31 @@ def resolve_numeric(df: DataFrame, columns) -> list[str]:
     return names
 
 
-def descriptive(df: DataFrame, columns=None) -> DataFrame:
+def _approx_quartiles(df: DataFrame, names: list[str], accuracy: int) -> DataFrame:
+    """(cid, q1, median, q3) from one pass of percentile_approx sketches (opt-in:
+    rank error <= n / accuracy, no interpolation, no value-count shuffle)."""
+    row = df.agg(*[F.percentile_approx(as_double(df, n), [0.25, 0.5, 0.75], accuracy).alias(f"p{i}")
+                   for i, n in enumerate(names)])
+    return row.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("cid"), F.col(f"p{i}")[0].cast("double").alias("q1"),
+                 F.col(f"p{i}")[1].cast("double").alias("median"), F.col(f"p{i}")[2].cast("double").alias("q3"))
+        for i in range(len(names))])).alias("r")).select("r.*")
+
+
+def descriptive(df: DataFrame, columns=None, approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """count, mean, median, mode, std_dev, variance, min, max, range, q1, q3, iqr,
-    skewness, kurtosis (population, excess), coef_var (std/mean*100, NULL at mean 0)."""
+    skewness, kurtosis (population, excess), coef_var (std/mean*100, NULL at mean 0).
+
+    ``approx=True`` takes quartiles and median from ``percentile_approx``
+    instead of the exact bucketed order statistics (the mode stays exact)."""
     names = resolve_numeric(df, columns)
     if not names:
         raise ValidationError("No numeric columns to describe")
     mom, vcb, single = moments_and_counts(df, names)
-    qs = ranks.exact_quantiles(vcb, ["cid"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, single_bucket=single)
+    if approx:
+        qs = _approx_quartiles(df, names, accuracy)
+    else:
+        qs = ranks.exact_quantiles(vcb, ["cid"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, single_bucket=single)
     mode = ranks.mode_of(vcb, ["cid"])
     res = mom.join(qs.drop("n"), "cid", "left").join(mode, "cid", "left")
     return res.select(

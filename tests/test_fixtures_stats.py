@@ -142,3 +142,14 @@ def test_distribution_report_sentence(spark):
     df = spark.createDataFrame([(float(v),) for v in [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]], "x double")
     r = distribution_report(df, ["x"]).collect()[0]
     assert r["interpretation"].startswith("Distribution analysis for 'x': Non-normal distribution (Shapiro-Wilk p-value: 0.0067).")
+
+
+def test_descriptive_approx_quartiles_close_to_exact(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    exact = {r["column"]: r for r in describe.descriptive(df, ["l_quantity", "l_extendedprice"]).collect()}
+    appr = {r["column"]: r for r in describe.descriptive(df, ["l_quantity", "l_extendedprice"], approx=True).collect()}
+    assert abs(appr["l_quantity"]["median"] - exact["l_quantity"]["median"]) <= 1.0
+    span = exact["l_extendedprice"]["range"]
+    for k in ("q1", "median", "q3"):
+        assert abs(appr["l_extendedprice"][k] - exact["l_extendedprice"][k]) <= 0.01 * span
+    assert appr["l_quantity"]["mode"] == exact["l_quantity"]["mode"]
