@@ -180,7 +180,7 @@ class Codec:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
            keep_ids: bool = True) -> DataFrame:
-    """doc_id, ids (array<bigint>, if ``keep_ids``), n_tokens, ids_sha256, decoded_sha256, round_trip.
+    """doc_id, ids (array<int>, if ``keep_ids``), n_tokens, ids_sha256, decoded_sha256, round_trip.
 
     Each match of ``pattern`` is encoded by itself; there are no special
     tokens.  ``ids_sha256`` is over the ids as little-endian unsigned 32-bit
@@ -196,7 +196,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     entries = read_ranks(ranks_path)
     shared = spark.sparkContext.broadcast((entries, PerfectHash(entries)))  # size fixed by the vocabulary
     key = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {key}, " + "ids array<bigint>, " * keep_ids + \
+    schema = f"doc_id {key}, " + "ids array<int>, " * keep_ids + \
         "n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
     names = ["doc_id"] + ["ids"] * keep_ids + ["n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
 
@@ -211,7 +211,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 decoded = [codec.decode(x) for x in ids]
                 cols = [b.column("doc_id").slice(lo, hi - lo)]
                 if keep_ids:
-                    cols.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
+                    cols.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 cols += [pa.array([len(x) for x in ids], pa.int64()),
                          pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
                          pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import byte_bpe, decontaminate, line_dedup, token_counts, warc
+from . import (ann_partitions, byte_bpe, decontaminate, jaccard_join, language_id, line_dedup, lm_interpolation, quality_cnn,
+               token_counts, warc)
 from .common import scratch_dir
 
 
@@ -30,6 +31,22 @@ SELECT d.page_id, d.payload_bytes,
 FROM d JOIN f USING (body)"""
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.near_duplicates(docs, n=3, percent=90).select("doc_id", "n_shingles", "component_id", "class_id",
+                                                                      "component_size")
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_partitions.search(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"),
+                                 F.col("id") % 20 == 0, k=20)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs, columns=["doc_id"]).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("bigint").alias("n_bytes_left"),
@@ -90,11 +107,25 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                            keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_interpolation.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_cnn.score(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 # name -> (query, oracle SQL or None)
 QUERIES = {
     "op1_warc": (op1_warc, SQL_OP1),
+    "op2_jaccard_join": (op2_jaccard_join, None),
+    "op3_ann": (op3_ann, None),
+    "op4_language_id": (op4_language_id, None),
     "op5_line_dedup": (op5_line_dedup, SQL_OP5),
     "op6_token_counts": (op6_token_counts, None),
     "op7_decontaminate": (op7_decontaminate, SQL_OP7),
     "op8_byte_bpe": (op8_byte_bpe, None),
+    "op9_lm_score": (op9_lm_score, None),
+    "op10_quality": (op10_quality, None),
 }
