@@ -32,26 +32,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at 80 % of five-word shingles: the one with the smallest id.
-
-    Of rows that repeat an id and its text one stays; a group of null ids alone stays as it is.
-    """
-    docs = docs.select(*COLUMNS)
-    found = stored(jaccard_join.near_duplicates(docs, n=5, percent=80), "duplicates")
-    drop = found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    again = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated-ids")
-    if again.isEmpty():
-        return docs.join(drop.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
-    # ids that stand for several rows: their texts decide
-    digest = F.xxhash64("doc_id", "text")
-    key = docs.withColumn("row_key", digest)
-    many = key.join(again, key["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
-    once = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_anti").join(
-        drop.select("doc_id"), "doc_id", "left_anti")
-    first = many.groupBy("row_key").agg(*[F.first(c).alias(c) for c in COLUMNS]).select(*COLUMNS)
-    lost = drop.select("doc_id").distinct()
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return once.select(*COLUMNS).union(first.join(lost.join(kept, "doc_id", "left_anti"), "doc_id", "left_anti").select(*COLUMNS))
+    """One document of each group linked at 80 % of five-word shingles: the one with the smallest id."""
+    return jaccard_join.keep_one(docs.select(*COLUMNS), n=5, percent=80)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

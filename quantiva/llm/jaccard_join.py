@@ -45,6 +45,11 @@ BLOCK = 256          # entries of a block of an inverted list, about
 _U = np.uint64
 
 
+def row_key(id_col: str, text_col: str):
+    """Hash of a row's id and text (null text: empty)."""
+    return F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, hasher: Hasher, n: int):
     """(row, sorted distinct shingle hashes) of each text; a text of fewer words is one shingle, without words none."""
     for lo, hi, bounds, h in hasher.words(raw, offsets):
@@ -98,7 +103,7 @@ def prefix_length(n, percent: int):
 
 
 def document_sets(rows: DataFrame, n: int, percent: int, ranks) -> DataFrame:
-    """doc_id, c (class), n_shingles, prefix (in order), histogram; one row per document."""
+    """doc_id, row_key, c (class), n_shingles, prefix (in order), histogram; one row per document."""
     key = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -115,11 +120,11 @@ def document_sets(rows: DataFrame, n: int, percent: int, ranks) -> DataFrame:
                 out[k] = (class_key(s), len(s), s[first].view(np.int64), pack(h))
             c, size, prefix, hist = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(c, pa.int64()), pa.array(size, pa.int64()),
+                [b.column("doc_id"), b.column("row_key"), pa.array(c, pa.int64()), pa.array(size, pa.int64()),
                  pa.array(prefix, pa.list_(pa.int64())), pa.array(hist, pa.binary())],
-                ["doc_id", "c", "n_shingles", "prefix", "histogram"])
+                ["doc_id", "row_key", "c", "n_shingles", "prefix", "histogram"])
 
-    return rows.mapInArrow(run, f"doc_id {key}, c bigint, n_shingles bigint, prefix array<bigint>, histogram binary")
+    return rows.mapInArrow(run, f"doc_id {key}, row_key bigint, c bigint, n_shingles bigint, prefix array<bigint>, histogram binary")
 
 
 def bitmap(ids: DataFrame, column: str) -> np.ndarray:
@@ -262,7 +267,7 @@ def _least_common(n1, n2, percent: int):
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id, component_size; one row per input row.
+    """doc_id, row_key, n_shingles, class_id, component_id, component_size, component_key; one row per input row.
 
     A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``, a document's set holds its distinct n-word
     shingles (the whole sequence, if it has fewer words).  Two documents link when 100 times the
@@ -272,11 +277,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     Texts without words (null, empty, blank) have no shingles, link with nothing and are their own
     component of size 1 (class_id and component_id are their id).  Null ids are never the smallest: a
     component of null ids alone has a null id.  Rows that repeat a document have the same result; an
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored.  row_key is ``row_key`` of id and
+    text, component_key tells components apart where ids repeat (null for texts without words).
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), row_key(id_col, text_col).alias("row_key"))
     ranks = spark.sparkContext.broadcast(rarity(rows, n))  # fixed size
     sets = stored(document_sets(rows, n, percent, ranks), "shingle-sets")
     classes = stored(sets.filter("c is not null").groupBy("c").agg(
@@ -319,9 +326,29 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     placed = classes.join(groups.withColumnRenamed("node", "c"), "c", "left").select(
         "c", "class_id", "copies", F.coalesce("root", "c").alias("root"))
     whole = placed.groupBy("root").agg(F.min("class_id").alias("component_id"), F.sum("copies").alias("component_size"))
-    placed = placed.join(whole, "root").select("c", "class_id", "component_id", "component_size")
-    out = sets.select("doc_id", "n_shingles", "c").join(placed, "c", "left")
+    placed = placed.join(whole, "root").select("c", "class_id", "component_id", "component_size", "root")
+    out = sets.select("doc_id", "row_key", "n_shingles", "c").join(placed, "c", "left")
     alone = F.col("n_shingles") == 0
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    return out.select("doc_id", "row_key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                       F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-                      F.when(alone, 1).otherwise(F.col("component_size")).cast("bigint").alias("component_size"))
+                      F.when(alone, 1).otherwise(F.col("component_size")).cast("bigint").alias("component_size"),
+                      F.col("root").alias("component_key"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input without all but one document of each component: the one with the smallest id stays
+    (nulls last, ties by row_key), and of rows equal in id and text one.  Texts without words stay."""
+    found = stored(near_duplicates(docs, n, percent, id_col, text_col).filter("component_key is not null")
+                   .select("doc_id", "row_key", "component_key"), "duplicates")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    first = found.groupBy("component_key").agg(F.min(place).alias("first"), F.count("*").alias("k")).filter("k > 1")
+    drop = found.join(first, "component_key").filter("row_key != first.row_key").select("row_key").distinct()
+    mark = "__row_key"
+    out = docs.withColumn(mark, row_key(id_col, text_col)).join(
+        drop.withColumnRenamed("row_key", mark), mark, "left_anti")
+    again = stored(found.groupBy("row_key").agg(F.count("*").alias("k")).filter("k > 1")
+                   .select(F.col("row_key").alias(mark)), "repeated-rows")
+    if not again.isEmpty():
+        one = out.join(again, mark, "left_semi").groupBy(mark).agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        out = out.join(again, mark, "left_anti").unionByName(one)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
