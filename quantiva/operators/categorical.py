@@ -43,7 +43,7 @@ def global_rank(vc: DataFrame) -> DataFrame:
     w = Window.partitionBy("cid").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.select("_p", "cid", "_i0", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
     # seg: one row per (partition, column) segment -- bounded by partitions + columns
-    return s.join(F.broadcast(seg), ["_p", "cid"]).select(
+    return s.join(seg, ["_p", "cid"]).select(
         "cid", "value", "count", (F.col("_off") + F.col("_i") - F.col("_i0") + 1).alias("rank"))
 
 

@@ -43,23 +43,6 @@ def _pearson_pairs(df: DataFrame, exprs: dict[str, object], pairs: list[tuple[st
     return out.withColumn("correlation", F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))))
 
 
-def _rank_columns(df: DataFrame, names: list[str], n_buckets: int | None,
-                  n_rows: int | None = None) -> tuple[DataFrame, dict[str, object]]:
-    """Replace each column by its average rank over the rows of ``df``.
-
-    Ranks per column come from the distributed value counts; each rank table
-    (one row per distinct value) is joined back on the value -- broadcast by
-    AQE when small, a sort-merge join otherwise.
-    """
-    vcb, nb = ranks.bucketed_counts_b(df, [as_double(df, n) for n in names], n_rows=n_rows, n_buckets=n_buckets)
-    rk = ranks.average_ranks(vcb, ["cid"], single_bucket=nb == 1)
-    cur = df.select(*[as_double(df, n).alias(f"_v{i}") for i, n in enumerate(names)])
-    for i in range(len(names)):
-        ri = rk.where(F.col("cid") == i).select(F.col("value").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}"))
-        cur = cur.join(ri, f"_v{i}", "left")
-    return cur, {n: F.col(f"_r{i}") for i, n in enumerate(names)}
-
-
 def _centered_pairs(df: DataFrame, exprs: dict[str, object], means: dict[str, float], n: int,
                     pairs: list[tuple[str, str]]) -> DataFrame:
     """Pearson for null-free columns from centred sums (two-pass accuracy):
@@ -98,7 +81,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def correlation(df: DataFrame, columns=None, method: str = "pearson", n_buckets: int | None = None) -> DataFrame:
+def correlation(df: DataFrame, columns=None, method: str = "pearson") -> DataFrame:
     """column1, column2, n, correlation, strength, direction
     for every pair (column order), undefined correlations kept as NULL."""
     if method not in METHODS:
@@ -121,7 +104,7 @@ def correlation(df: DataFrame, columns=None, method: str = "pearson", n_buckets:
             parts.append(_pearson_pairs(df, exprs, rest))
         res = _union(parts)
     elif method == "spearman":
-        res = _spearman(df, names, pairs, n_buckets)
+        res = _spearman(df, names, pairs)
     else:
         from .kendall import kendall_pairs
         res = kendall_pairs(df, pairs).select("column1", "column2", "n", F.col("tau_b").alias("correlation"))
@@ -131,22 +114,40 @@ def correlation(df: DataFrame, columns=None, method: str = "pearson", n_buckets:
                       F.when(r.isNotNull(), labels.direction(r)).alias("direction"))
 
 
-def _spearman(df: DataFrame, names: list[str], pairs, n_buckets) -> DataFrame:
-    # null-free columns share one ranking (mean rank (n+1)/2 exactly);
-    # otherwise each pair is re-ranked on its complete rows
-    rows, complete, _ = _column_facts(df, names)
+PAIRS_AT_ONCE = 64
+
+
+def _spearman(df: DataFrame, names: list[str], pairs) -> DataFrame:
+    """Pearson of the average ranks of each pair's complete rows.
+
+    Rows are collapsed to (pair, x, y, count) before anything else, ranks come from the value counts
+    of each side of a pair, and these are joined to the collapsed rows, never to raw ones.  Nulls
+    need no other plan: each pair ranks its own rows.
+    """
     parts = []
-    cheap = [(a, b) for a, b in pairs if a in complete and b in complete] if rows > 0 else []
-    if cheap:
-        used = [n for n in names if any(n in p for p in cheap)]
-        ranked, exprs = _rank_columns(df, used, n_buckets, n_rows=rows)
-        parts.append(_centered_pairs(ranked, exprs, {n: (rows + 1) / 2.0 for n in used}, rows, cheap))
-    for a, b in pairs:
-        if (a, b) in cheap:
-            continue
-        sub = df.select(col(a), col(b)).where(as_double(df, a).isNotNull() & as_double(df, b).isNotNull())
-        ranked, exprs = _rank_columns(sub, [a, b], n_buckets)
-        parts.append(_pearson_pairs(ranked, exprs, [(a, b)]))
+    for a in range(0, len(pairs), PAIRS_AT_ONCE):
+        some = pairs[a:a + PAIRS_AT_ONCE]
+        cells = F.array(*[F.struct(F.lit(k).alias("pid"), as_double(df, x).alias("x"), as_double(df, y).alias("y"))
+                          for k, (x, y) in enumerate(some)])
+        cells = F.filter(cells, lambda c: c["x"].isNotNull() & c["y"].isNotNull())
+        points = ranks.stored_table(df.select(F.explode(cells).alias("p")).select("p.*").groupBy("pid", "x", "y").agg(
+            F.count(F.lit(1)).alias("w")), "pair-points")
+        sides = points.select("pid", "w", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("value")),
+                                                            F.struct(F.lit(1).alias("side"), F.col("y").alias("value")))).alias("s"))
+        vc = sides.groupBy("pid", "s.side", "s.value").agg(F.sum("w").alias("cnt"))
+        rk = ranks.average_ranks(vc, ["pid", "side"])
+        of = lambda side, v: rk.where(F.col("side") == side).select("pid", F.col("value").alias(v), F.col("rank").alias(f"r{v}"), F.col("n").alias(f"n{v}"))
+        ranked = points.join(of(0, "x"), ["pid", "x"]).join(of(1, "y"), ["pid", "y"])
+        mean = (F.col("nx") + 1) / F.lit(2.0)
+        dx, dy, w = F.col("rx") - mean, F.col("ry") - mean, F.col("w").cast("double")
+        sums = ranked.groupBy("pid").agg(F.max("nx").alias("n"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"),
+                                         F.sum(w * dx * dy).alias("xy"))
+        den = F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))
+        r = F.try_divide(F.col("xy"), F.when(den > 0, den))
+        labels_ = df.sparkSession.createDataFrame([(k, x, y) for k, (x, y) in enumerate(some)], "pid int, column1 string, column2 string")
+        parts.append(labels_.join(sums, "pid", "left").select(
+            "column1", "column2", F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+            F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias("correlation")))
     return _union(parts)
 
 

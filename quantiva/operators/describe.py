@@ -42,12 +42,11 @@ def _moments(df: DataFrame, names: list[str]) -> DataFrame:
     return _long_moments(df.agg(*_moment_aggs([as_double(df, n) for n in names])), len(names))
 
 
-def moments_and_counts(df: DataFrame, names: list[str]):
-    """(moments, vcb, single_bucket): one scan gives every column's moments (fixed-size
-    buffers; the one-row result is bounded by the schema width); the counts
-    in it size the buckets of the value counts."""
+def moments_and_sketch(df: DataFrame, names: list[str], probs: dict[str, float]):
+    """(moments, sketch): one scan gives every column's moments (a literal table of one row per
+    column) and the bracketing sketch that ``ranks.exact_quantiles`` starts from."""
     values = [as_double(df, n) for n in names]
-    row = df.agg(*_moment_aggs(values)).collect()[0]
+    row = df.agg(*_moment_aggs(values), *ranks.sketch_aggs(values, probs)).collect()[0]
     spark = df.sparkSession
 
     def clean(v):  # NaN (zero variance in skewness/kurtosis) is reported as NULL
@@ -56,9 +55,10 @@ def moments_and_counts(df: DataFrame, names: list[str]):
     mom = spark.createDataFrame(
         [tuple([i] + [clean(row[f"{m}{i}"]) for m in _MOMENTS]) for i in range(len(names))],
         "cid int, count long, " + ", ".join(f"{m} double" for m in _MOMENTS[1:]))
-    n_rows = max([row[f"count{i}"] or 0 for i in range(len(names))] + [0])
-    vcb, nb = ranks.bucketed_counts_b(df, values, n_rows=n_rows)
-    return mom, vcb, nb == 1
+    parts = [(f"_n{i}", f"_min{i}", f"_max{i}", f"_s{i}") for i in range(len(names))]
+    schema = ", ".join(f"{n} long, {lo} double, {hi} double, {s} array<double>" for n, lo, hi, s in parts)
+    sketch = spark.createDataFrame([tuple(row[c] for four in parts for c in four)], schema)
+    return mom, sketch
 
 
 def resolve_numeric(df: DataFrame, columns) -> list[str]:
@@ -90,16 +90,18 @@ def descriptive(df: DataFrame, columns=None, approx: bool = False, accuracy: int
     skewness, kurtosis (population, excess), coef_var (std/mean*100, NULL at mean 0).
 
     ``approx=True`` takes quartiles and median from ``percentile_approx``
-    instead of the exact bucketed order statistics (the mode stays exact)."""
+    instead of the exact order statistics (the mode stays exact)."""
     names = resolve_numeric(df, columns)
     if not names:
         raise ValidationError("No numeric columns to describe")
-    mom, vcb, single = moments_and_counts(df, names)
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    mom, sketch = moments_and_sketch(df, names, probs)
+    values = [as_double(df, n) for n in names]
     if approx:
         qs = _approx_quartiles(df, names, accuracy)
     else:
-        qs = ranks.exact_quantiles(vcb, ["cid"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, single_bucket=single)
-    mode = ranks.mode_of(vcb, ["cid"])
+        qs = ranks.exact_quantiles(df, values, probs, sketch=sketch)
+    mode = ranks.mode_of(ranks.value_counts(ranks.long_values(df, values), ["cid"]), ["cid"])
     res = mom.join(qs.drop("n"), "cid", "left").join(mode, "cid", "left")
     return res.select(
         name_at(names, F.col("cid")).alias("column"),

@@ -81,16 +81,16 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 def distribution_by_group(df: DataFrame, by: str, column: str) -> DataFrame:
     """by, n, min, q1, median, q3, max, mean of ``column`` per non-null group.
 
-    Exact quartiles per group via value counts keyed by (column id, group);
-    bucket edges come from the whole column, so a hot group is spread over
-    many buckets instead of one task.
+    Exact quartiles by selection (``ranks.exact_quantiles``), so a hot group costs no more than
+    its rows: only sketches, counts and the rows around the quartiles are shuffled.
     """
     check_columns(df, [by, column])
     base = df.select(col(by).alias("_g"), as_double(df, column).alias("_x")).where(
         F.col("_g").isNotNull() & F.col("_x").isNotNull())
-    vcb, nb = ranks.bucketed_counts_b(base, [F.col("_x")], keys={"_g": F.col("_g")})
-    q = ranks.exact_quantiles(vcb, ["cid", "_g"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, single_bucket=nb == 1)
-    long = base.select("_g", F.col("_x").alias("value"))
-    mm = long.groupBy("_g").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"))
-    return q.drop("cid").join(mm, "_g").select(
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    x = F.col("_x")
+    facts = ranks.stored_table(base.groupBy("_g").agg(F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"),
+                                                      *ranks.sketch_aggs([x], probs)), "group-facts")
+    q = ranks.exact_quantiles(base, [x], probs, keys={"_g": F.col("_g")}, sketch=facts.drop("min", "max", "mean"))
+    return q.drop("cid").join(facts.select("_g", "min", "max", "mean"), "_g").select(
         F.col("_g").alias(by), F.col("n").cast("long").alias("n"), "min", "q1", "median", "q3", "max", "mean")

@@ -5,21 +5,22 @@ the pairs tied in x, in y and in both (sums of c(c-1)/2 over grouped counts)
 and C = n0 - tx - ty + txy - D.  Only the discordant count D needs pairs.
 
 D is split over a grid of value buckets (edges from ``percentile_approx``
-over the distinct points, so every bucket holds about 1/B of them; a value
-that is itself an edge gets a singleton bucket of its own):
+over a group's points; a value that is itself an edge gets a bucket of its
+own):
 
 (a) pairs in different x-buckets and different y-buckets: decided by the
-    bucket indices alone -- the discordant pairs of the bucket-cell table,
-    counted by the same procedure one level down (B <= sqrt(m/2) keeps the
-    cell table smaller than the points, so the recursion ends);
-(b) pairs in the same x-bucket: counted per x-bucket;
-(c) pairs in different x-buckets but the same y-bucket: counted per y-bucket
-    with x replaced by its bucket index.
-
-Leaf counts are weighted inversion counts done in ``applyInPandas`` on one
-bounded group.  Singleton buckets (one value) hold no discordant pair in (b)
-or (c) and are never shipped, so a value holding a third of all rows costs
-nothing extra.
+    bucket numbers alone, so they are the discordant pairs of the table of
+    grid cells;
+(b) pairs in the same x-bucket: a group of its own for each x-bucket;
+(c) pairs in different x-buckets but the same y-bucket: a group for each
+    y-bucket, with x replaced by its bucket number.
+
+Each of these is a smaller group of weighted points and is split again, for
+as many rounds as it takes, until it holds at most ``TARGET_POINTS``; then it
+is counted in ``applyInPandas``.  Buckets of one value hold no discordant
+pair in (b) or (c) and are dropped, so a value holding a third of all rows
+costs nothing extra.  All groups of a round go through the same few jobs; the
+driver only sees whether a round is left.
 """
 
 from __future__ import annotations
@@ -30,15 +31,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType
 
 from ..functions.columns import as_double
-from ..session import ensure_checkpoint_dir
+from .ranks import stored_table
 
-TARGET_POINTS_PER_BUCKET = 200_000
-MAX_BUCKETS = 4096
-_ACCURACY = 4096
+TARGET_POINTS = 200_000   # of a group that one task counts
+EDGES = 128               # of a grid axis; the cell table of a grid is always a small group
+ACCURACY = 4096
+PAIRS_AT_ONCE = 64
 
 
 def weighted_discordant(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int:
@@ -81,128 +81,96 @@ def weighted_discordant(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int:
 
 
 def _discordant_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    gid = int(pdf["gid"].iloc[0])
     d = weighted_discordant(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
-    return pd.DataFrame({"gid": [gid], "d": [str(d)]})
-
-
-def _bucketer(edges_by_gid: dict[int, list[float]]):
-    table = {k: np.asarray(v, dtype="float64") for k, v in edges_by_gid.items()}
-
-    @pandas_udf(IntegerType())
-    def bucket(gid: pd.Series, v: pd.Series) -> pd.Series:
-        out = np.zeros(len(v), dtype="int32")
-        gv, vv = gid.to_numpy(), v.to_numpy(dtype="float64")
-        for k in np.unique(gv):
-            e = table.get(int(k))
-            if e is None or len(e) == 0:
-                continue
-            m = gv == k
-            lo = np.searchsorted(e, vv[m], side="left")
-            hi = np.searchsorted(e, vv[m], side="right")
-            # even id: open interval between edges; odd id: exactly an edge value
-            out[m] = 2 * lo + (hi > lo)
-        return pd.Series(out)
-
-    return bucket
-
-
-def _buckets(m: int) -> int:
-    """Buckets per axis: about m / TARGET, capped, and at most sqrt(m/2) so the
-    B x B cell table is always smaller than the point set it summarises."""
-    return int(max(1, min(MAX_BUCKETS, math.ceil(m / TARGET_POINTS_PER_BUCKET), math.isqrt(max(1, m // 2)))))
-
-
-_SCHEMA = "gid long, d string"
-_FANOUT = 4 * MAX_BUCKETS + 4  # child ids per group: 1 cell table + 2B+1 x-buckets + 2B+1 y-buckets
+    return pd.DataFrame({"pid": [int(pdf["pid"].iloc[0])], "d": [str(d)]})
 
 
 def _kernel(points: DataFrame) -> DataFrame:
-    return points.select("gid", "x", "y", "w").groupBy("gid").applyInPandas(_discordant_group, _SCHEMA)
+    return points.groupBy("pid", "gid").applyInPandas(_discordant_group, "pid int, d string")
+
+
+def _bucket(edges, v):
+    """Even: between two edges; odd: exactly an edge."""
+    return 2 * F.size(F.filter(edges, lambda e: e < v)) + F.array_contains(edges, v).cast("int")
+
+
+def _split(points: DataFrame, edges: int) -> DataFrame:
+    """The smaller groups (pid, gid, x, y, w) that stand for the pairs of large groups."""
+    probs = [i / (edges + 1) for i in range(1, edges + 1)]
+    grid = points.groupBy("pid", "gid").agg(
+        F.array_distinct(F.percentile_approx("x", probs, ACCURACY)).alias("ex"),
+        F.array_distinct(F.percentile_approx("y", probs, ACCURACY)).alias("ey"))
+    placed = points.join(stored_table(grid, "kendall-grid"), ["pid", "gid"]).select(
+        "pid", "gid", "x", "y", "w", _bucket(F.col("ex"), F.col("x")).alias("bx"), _bucket(F.col("ey"), F.col("y")).alias("by"))
+    placed = stored_table(placed, "kendall-points")
+    child = lambda kind, *key: F.xxhash64(F.lit(kind), "gid", *key).alias("gid")
+    as_x = F.col("bx").cast("double").alias("x")
+    cells = placed.groupBy("pid", "gid", "bx", "by").agg(F.sum("w").alias("w")).select(
+        "pid", child("cells"), as_x, F.col("by").cast("double").alias("y"), "w")
+    in_x = placed.where("bx % 2 = 0").select("pid", child("x", "bx"), "x", "y", "w")
+    in_y = placed.where("by % 2 = 0").groupBy("pid", "gid", "by", "bx", "y").agg(F.sum("w").alias("w")).select(
+        "pid", child("y", "by"), as_x, "y", "w")
+    return cells.unionByName(in_x).unionByName(in_y)
+
+
+def count_discordant(points: DataFrame) -> DataFrame:
+    """(pid, d): weighted discordant pairs of every pair's points (pid, x, y, w)."""
+    edges = max(1, min(EDGES, math.isqrt(TARGET_POINTS) // 2 - 1))
+    largest = max(TARGET_POINTS, (2 * edges + 1) ** 2)
+    work, parts = points.withColumn("gid", F.col("pid").cast("long")), []
+    while True:
+        big = stored_table(work.groupBy("pid", "gid").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > largest)
+                           .select("pid", "gid"), "kendall-large")
+        if big.isEmpty():
+            parts.append(_kernel(work))
+            break
+        parts.append(_kernel(work.join(big, ["pid", "gid"], "left_anti")))
+        work = stored_table(_split(work.join(big, ["pid", "gid"], "left_semi"), edges), "kendall-groups")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def count_discordant(points: DataFrame, depth: int = 0) -> DataFrame:
-    """(gid, d): weighted discordant pairs of every group of points (gid, x, y, w).
+def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """column1, column2, n, concordant, discordant, ties_x, ties_y, ties_xy, tau_b (one row per pair).
 
-    Groups of at most TARGET points go to the kernel whole.  Larger groups are
-    split on a grid of value buckets: pairs inside an x-bucket and pairs in
-    one y-bucket but different x-buckets go to the kernel per bucket (about
-    TARGET points each; singleton buckets skipped); pairs across both are
-    the discordant pairs of the bucket-cell table, counted by the same
-    function one level down (it is at most B^2 < m points).  Driver-side
-    state is one size and B edges per group.
+    One scan per block of ``PAIRS_AT_ONCE`` pairs collapses the rows to distinct points, which are stored
+    and read by everything else.  Pair counts are decimal(38,0).
     """
-    sizes = {r[0]: r[1] for r in points.groupBy("gid").count().collect()}
-    big = {g: _buckets(m) for g, m in sizes.items() if m > TARGET_POINTS_PER_BUCKET and depth < 4}
-    big = {g: b for g, b in big.items() if b > 1}
-    spark = points.sparkSession
-    if not big:
-        return _kernel(points)
-    bigdf = F.broadcast(spark.createDataFrame([(int(g),) for g in big], "gid long"))  # one row per large group
-    parts = [_kernel(points.join(bigdf, "gid", "left_anti"))]
-    pts = points.join(bigdf, "gid", "inner")
-    bmax = max(big.values())
-    probs = [i / bmax for i in range(1, bmax)]
-    ex, ey = {}, {}
-    for r in pts.groupBy("gid").agg(F.percentile_approx("x", probs, _ACCURACY).alias("ex"),
-                                    F.percentile_approx("y", probs, _ACCURACY).alias("ey")).collect():
-        step = max(1, bmax // big[r[0]])
-        ex[r[0]] = sorted(set(r[1][step - 1::step]))
-        ey[r[0]] = sorted(set(r[2][step - 1::step]))
-    gb = pts.select("gid", "x", "y", "w", _bucketer(ex)(F.col("gid"), F.col("x")).alias("bx"),
-                    _bucketer(ey)(F.col("gid"), F.col("y")).alias("by"))
-    gb = gb.checkpoint(eager=True)  # cut lineage between levels; reused by three branches
-    fan = F.lit(_FANOUT).cast("long")
-
-    def back(child: DataFrame) -> DataFrame:
-        return child.select(F.expr(f"gid div {_FANOUT}").alias("gid"), "d")  # exact integer parent id
-
-    cells = gb.groupBy("gid", "bx", "by").agg(F.sum("w").alias("w")).select(
-        (F.col("gid") * fan).alias("gid"), F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y"), "w")
-    parts.append(back(count_discordant(cells, depth + 1)))
-    inx = gb.where(F.col("bx") % 2 == 0).select((F.col("gid") * fan + 1 + F.col("bx")).alias("gid"), "x", "y", "w")
-    parts.append(back(_kernel(inx)))
-    iny = gb.where(F.col("by") % 2 == 0).select((F.col("gid") * fan + 2 * MAX_BUCKETS + 3 + F.col("by")).alias("gid"),
-                                                F.col("bx").cast("double").alias("x"), "y", "w")
-    parts.append(back(_kernel(iny)))
+    parts = [_pairs_block(df, pairs[a:a + PAIRS_AT_ONCE]) for a in range(0, len(pairs), PAIRS_AT_ONCE)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.orderBy("column1", "column2")
 
 
-def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """column1, column2, n, concordant, discordant, ties_x, ties_y, ties_xy, tau_b (one row per pair)."""
+def _pairs_block(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    pts = None
-    for pid, (a, b) in enumerate(pairs):
-        p = df.select(F.lit(pid).alias("pid"), as_double(df, a).alias("x"), as_double(df, b).alias("y")).where(
-            F.col("x").isNotNull() & F.col("y").isNotNull())
-        pts = p if pts is None else pts.unionByName(p)
-    g = pts.groupBy("pid", "x", "y").agg(F.count(F.lit(1)).alias("w"))  # distinct points with weights
-    counted = count_discordant(g.select(F.col("pid").cast("long").alias("gid"), "x", "y", "w"))
+    cells = F.array(*[F.struct(F.lit(k).alias("pid"), as_double(df, a).alias("x"), as_double(df, b).alias("y"))
+                      for k, (a, b) in enumerate(pairs)])
+    cells = F.filter(cells, lambda c: c["x"].isNotNull() & c["y"].isNotNull())
+    g = stored_table(df.select(F.explode(cells).alias("p")).select("p.*").groupBy("pid", "x", "y").agg(
+        F.count(F.lit(1)).alias("w")), "kendall-distinct")
     dec = "decimal(38,0)"
-    disc = counted.groupBy(F.col("gid").cast("int").alias("pid")).agg(F.sum(F.col("d").cast(dec)).alias("discordant"))
+    disc = count_discordant(g).groupBy("pid").agg(F.sum(F.col("d").cast(dec)).alias("discordant"))
+
+    def tied(c):
+        return (F.col(c) * (F.col(c) - 1) / 2).cast(dec)
 
-    def tie(cols):
-        t = g.groupBy("pid", *cols).agg(F.sum("w").cast(dec).alias("c"))
-        return t.groupBy("pid").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).cast(dec).alias("t"))
+    def tie(column, name):
+        t = g.groupBy("pid", column).agg(F.sum("w").cast(dec).alias("c"))
+        return t.groupBy("pid").agg(F.sum(tied("c")).cast(dec).alias(name))
 
-    tot = g.groupBy("pid").agg(F.sum("w").cast(dec).alias("n"), F.sum(F.col("w").cast(dec) * (F.col("w") - 1) / 2).cast(dec).alias("txy"))
-    res = (tot.join(tie(["x"]).withColumnRenamed("t", "tx"), "pid")
-           .join(tie(["y"]).withColumnRenamed("t", "ty"), "pid")
-           .join(disc, "pid", "left"))
-    n0 = (F.col("n") * (F.col("n") - 1) / 2).cast(dec)
+    tot = g.withColumn("c", F.col("w").cast("decimal(19,0)")).groupBy("pid").agg(
+        F.sum("c").cast(dec).alias("n"), F.sum(tied("c")).cast(dec).alias("txy"))
+    res = tot.join(tie("x", "tx"), "pid").join(tie("y", "ty"), "pid").join(disc, "pid", "left")
+    n0 = tied("n")
     d = F.coalesce(F.col("discordant"), F.lit(0).cast(dec))
     conc = (n0 - F.col("tx") - F.col("ty") + F.col("txy") - d).cast(dec)
-    den = F.sqrt((n0 - F.col("tx")).cast("double") * (n0 - F.col("ty")).cast("double"))
+    den = F.sqrt((n0 - F.col("tx")).cast("double")) * F.sqrt((n0 - F.col("ty")).cast("double"))
     names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pid int, column1 string, column2 string")
-    out = F.broadcast(names).join(res, "pid", "left")  # names: one row per pair
-    return out.select(
+    return names.join(res, "pid", "left").select(
         "column1", "column2", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"),
-        conc.cast("long").alias("concordant"), d.cast("long").alias("discordant"),
-        F.col("tx").cast("long").alias("ties_x"), F.col("ty").cast("long").alias("ties_y"),
-        F.col("txy").cast("long").alias("ties_xy"),
-        F.try_divide((conc - d).cast("double"), F.when(den > 0, den)).alias("tau_b"),
-    ).orderBy("column1", "column2")
+        conc.alias("concordant"), d.alias("discordant"), F.col("tx").alias("ties_x"), F.col("ty").alias("ties_y"),
+        F.col("txy").alias("ties_xy"), F.try_divide((conc - d).cast("double"), F.when(den > 0, den)).alias("tau_b"))

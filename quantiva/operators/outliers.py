@@ -1,9 +1,9 @@
 """Outliers (O1-O5): IQR fences and |z| > 3, per numeric column.
 
-Plan: exact quartiles (ranks.exact_quantiles) and population moments give
-one stats row per column; that table is bounded by the schema width, so it
-is broadcast to the distinct-value counts, where flags are summed with the
-counts.  Raw rows are touched only by the value-count aggregation.
+Exact quartiles (ranks.exact_quantiles) and population moments give one row
+of statistics per column; these become literals, so raw rows are flagged
+where they are read.  Only flag counts and the first k values of each task
+are shuffled.
 """
 
 from __future__ import annotations
@@ -14,35 +14,39 @@ from pyspark.sql import functions as F
 from ..errors import ValidationError
 from ..functions.columns import as_double, check_columns, col, name_at
 from . import ranks
-from .describe import moments_and_counts, resolve_numeric
+from .describe import moments_and_sketch, resolve_numeric
 
 Z_THRESHOLD = 3.0
 IQR_FACTOR = 1.5
 METHODS = ("iqr", "zscore")
 
 
-def column_stats(df: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(stats, vcb): stats = (cid, n, q1, q3, lower_bound, upper_bound, mean, std_pop)
-    per column; vcb = the bucketed value counts it was computed from."""
-    mom, vcb, single = moments_and_counts(df, names)
-    q = ranks.exact_quantiles(vcb, ["cid"], {"q1": 0.25, "q3": 0.75}, single_bucket=single)
-    iqr = F.col("q3") - F.col("q1")
-    stats = q.join(mom.select("cid", "mean", "std_pop"), "cid").select(
-        "cid", "n", "q1", "q3",
-        (F.col("q1") - F.lit(IQR_FACTOR) * iqr).alias("lower_bound"),
-        (F.col("q3") + F.lit(IQR_FACTOR) * iqr).alias("upper_bound"),
-        "mean", "std_pop",
-    )
-    return stats, vcb
-
-
-def _flags(v, stats_prefix=""):
-    lo, hi = F.col("lower_bound"), F.col("upper_bound")
-    iqr_flag = (v < lo) | (v > hi)
-    z = F.abs(F.try_divide(v - F.col("mean"), F.when(F.col("std_pop") > 0, F.col("std_pop"))))
-    z_flag = F.coalesce(z > F.lit(Z_THRESHOLD), F.lit(False))
-    iqr_dist = F.greatest(lo - v, v - hi)
-    return iqr_flag, z_flag, iqr_dist, z
+def column_stats(df: DataFrame, names: list[str]) -> list[dict]:
+    """n, q1, q3, lower_bound, upper_bound, mean, std_pop of each column (None without values)."""
+    probs = {"q1": 0.25, "q3": 0.75}
+    mom, sketch = moments_and_sketch(df, names, probs)
+    q = {r["cid"]: r for r in ranks.exact_quantiles(df, [as_double(df, n) for n in names], probs, sketch=sketch).collect()}
+    out = []
+    for r in mom.orderBy("cid").collect():  # one row per column
+        own = q.get(r["cid"])
+        if own is None:
+            out.append({"n": 0, "q1": None, "q3": None, "lower_bound": None, "upper_bound": None, "mean": None, "std_pop": None})
+            continue
+        iqr = own["q3"] - own["q1"]
+        out.append({"n": r["count"], "q1": own["q1"], "q3": own["q3"], "lower_bound": own["q1"] - IQR_FACTOR * iqr,
+                    "upper_bound": own["q3"] + IQR_FACTOR * iqr, "mean": r["mean"], "std_pop": r["std_pop"]})
+    return out
+
+
+def _flag(v, st: dict, method: str):
+    """(is an outlier, distance) of a value, with the column's statistics as literals."""
+    if method == "iqr":
+        lo, hi = (F.lit(st[x]).cast("double") for x in ("lower_bound", "upper_bound"))
+        return F.coalesce((v < lo) | (v > hi), F.lit(False)), F.greatest(lo - v, v - hi)
+    if not st["std_pop"]:
+        return F.lit(False), F.lit(None).cast("double")
+    z = F.abs((v - F.lit(st["mean"])) / F.lit(st["std_pop"]))
+    return F.coalesce(z > F.lit(Z_THRESHOLD), F.lit(False)), z
 
 
 def _check_methods(methods) -> list[str]:
@@ -53,23 +57,22 @@ def _check_methods(methods) -> list[str]:
     return methods
 
 
-def _values_from(vcb: DataFrame, stats: DataFrame, names: list[str], methods: list[str], k: int) -> DataFrame:
-    j = vcb.join(F.broadcast(stats), "cid")  # stats: one row per column
-    v = F.col("value")
-    iqr_flag, z_flag, iqr_dist, z = _flags(v)
-    parts = []
-    if "iqr" in methods:
-        parts.append(j.where(iqr_flag).select("cid", F.lit("iqr").alias("method"), "value", "cnt", iqr_dist.alias("_d")))
-    if "zscore" in methods:
-        parts.append(j.where(z_flag).select("cid", F.lit("zscore").alias("method"), "value", "cnt", z.alias("_d")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    # a distinct value stands for cnt rows: repeat it (at most k times)
-    rep = u.select("cid", "method", "value", "_d", F.explode(F.array_repeat(F.lit(1), F.least(F.col("cnt"), F.lit(k)).cast("int"))).alias("_x"))
+def _cells(df: DataFrame, names: list[str], stats: list[dict], methods: list[str]):
+    """(column number, method, value, flag, distance) of every column and method."""
+    for i, n in enumerate(names):
+        v = as_double(df, n)
+        for m in methods:
+            yield i, m, v, *_flag(v, stats[i], m)
+
+
+def _first_values(df: DataFrame, names: list[str], stats: list[dict], methods: list[str], k: int) -> DataFrame:
+    """column, method, rank, value: the first k flagged values, farthest first, then value asc."""
+    structs = [F.struct(F.lit(i).alias("cid"), F.lit(m).alias("method"), v.alias("value"), d.alias("_d"), flag.alias("_f"))
+               for i, m, v, flag, d in _cells(df, names, stats, methods)]
+    hit = df.select(F.explode(F.filter(F.array(*structs), lambda s: s["_f"])).alias("p")).select("p.*")
     w = Window.partitionBy("cid", "method").orderBy(F.col("_d").desc(), F.col("value").asc())
     # row_number() <= k is planned as a window-group limit: k rows per task and group before the shuffle
-    top = rep.select("cid", "method", "value", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+    top = hit.select("cid", "method", "value", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
     return top.select(name_at(names, F.col("cid")).alias("column"), "method", F.col("rank").cast("long").alias("rank"), "value")
 
 
@@ -77,9 +80,25 @@ def outlier_values(df: DataFrame, columns=None, methods=METHODS, k: int = 10) ->
     """O3 in long form: column, method, rank, value -- the first k outlier values
     (repeats kept), farthest from the fence (largest |z|) first, then value asc."""
     names = resolve_numeric(df, columns)
-    methods = _check_methods(methods)
-    stats, vcb = column_stats(df, names)
-    return _values_from(vcb, stats, names, methods, k)
+    return _first_values(df, names, column_stats(df, names), _check_methods(methods), k)
+
+
+def _counts(df: DataFrame, names: list[str], stats: list[dict], methods: list[str]) -> DataFrame:
+    """column, method, count, percentage (of non-null), lower_bound, upper_bound, threshold."""
+    cells = list(_cells(df, names, stats, methods))
+    wide = df.agg(*[F.count_if(flag).alias(f"c{x}") for x, (_, _, _, flag, _) in enumerate(cells)])
+    rows = []
+    for x, (i, m, *_) in enumerate(cells):
+        st = stats[i]
+        rows.append(F.struct(
+            F.lit(names[i]).alias("column"), F.lit(m).alias("method"), F.col(f"c{x}").cast("long").alias("count"),
+            F.lit(st["n"]).cast("long").alias("n"),
+            F.lit(st["lower_bound"] if m == "iqr" else None).cast("double").alias("lower_bound"),
+            F.lit(st["upper_bound"] if m == "iqr" else None).cast("double").alias("upper_bound"),
+            F.lit(Z_THRESHOLD if m == "zscore" else None).cast("double").alias("threshold")))
+    long = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where(F.col("n") > 0)
+    return long.select("column", "method", "count", (F.try_divide(F.col("count"), F.col("n")) * 100).alias("percentage"),
+                       "lower_bound", "upper_bound", "threshold")
 
 
 def outliers(df: DataFrame, columns=None, methods=METHODS, k: int = 10) -> DataFrame:
@@ -87,30 +106,10 @@ def outliers(df: DataFrame, columns=None, methods=METHODS, k: int = 10) -> DataF
     upper_bound (IQR), threshold (z), outlier_values (first k, see outlier_values)."""
     names = resolve_numeric(df, columns)
     methods = _check_methods(methods)
-    stats, vcb = column_stats(df, names)
-    j = vcb.join(F.broadcast(stats), "cid")  # stats: one row per column
-    iqr_flag, z_flag, _, _ = _flags(F.col("value"))
-    counts = j.groupBy("cid").agg(
-        F.sum(F.when(iqr_flag, F.col("cnt")).otherwise(0)).alias("iqr_count"),
-        F.sum(F.when(z_flag, F.col("cnt")).otherwise(0)).alias("z_count"),
-    ).join(stats, "cid")
-    rows = []
-    if "iqr" in methods:
-        rows.append(F.struct(F.lit("iqr").alias("method"), F.col("iqr_count").alias("count"),
-                             F.col("lower_bound").alias("lower_bound"), F.col("upper_bound").alias("upper_bound"),
-                             F.lit(None).cast("double").alias("threshold")))
-    if "zscore" in methods:
-        rows.append(F.struct(F.lit("zscore").alias("method"), F.col("z_count").alias("count"),
-                             F.lit(None).cast("double").alias("lower_bound"), F.lit(None).cast("double").alias("upper_bound"),
-                             F.lit(Z_THRESHOLD).alias("threshold")))
-    long = counts.select("cid", "n", F.explode(F.array(*rows)).alias("r")).select("cid", "n", "r.*")
-    vals = _values_from(vcb, stats, names, methods, k).groupBy("column", "method").agg(
+    stats = column_stats(df, names)
+    vals = _first_values(df, names, stats, methods, k).groupBy("column", "method").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("outlier_values"))
-    out = long.select(name_at(names, F.col("cid")).alias("column"), "method",
-                      F.col("count").cast("long").alias("count"),
-                      (F.try_divide(F.col("count"), F.col("n")) * 100).alias("percentage"),
-                      "lower_bound", "upper_bound", "threshold")
-    return out.join(vals, ["column", "method"], "left").select(
+    return _counts(df, names, stats, methods).join(vals, ["column", "method"], "left").select(
         "column", "method", "count", "percentage", "lower_bound", "upper_bound", "threshold",
         F.coalesce(F.col("outlier_values"), F.array().cast("array<double>")).alias("outlier_values"))
 
@@ -120,26 +119,16 @@ def outlier_rows(df: DataFrame, column: str, method: str = "iqr") -> DataFrame:
     (distance beyond the fence for IQR, |z| for z-score)."""
     check_columns(df, [column])
     (method,) = _check_methods([method])
-    names = [column]
-    st = column_stats(df, names)[0].collect()  # one row: the column's fences and moments
-    if not st:
-        return df.select(*[col(c) for c in df.columns], F.lit(None).cast("double").alias("score")).limit(0)
-    lo, hi, mean, sdp = st[0]["lower_bound"], st[0]["upper_bound"], st[0]["mean"], st[0]["std_pop"]
-    x = F.col("_x")
-    j = df.withColumn("_x", as_double(df, column))
-    if method == "iqr":
-        out = j.where((x < F.lit(lo)) | (x > F.lit(hi))).withColumn("score", F.greatest(F.lit(lo) - x, x - F.lit(hi)))
-    else:
-        if not sdp:
-            return df.select(*[col(c) for c in df.columns], F.lit(None).cast("double").alias("score")).limit(0)
-        z = F.abs((x - F.lit(mean)) / F.lit(sdp))
-        out = j.where(z > F.lit(Z_THRESHOLD)).withColumn("score", z)
-    return out.select(*[col(c) for c in df.columns], "score")
+    (st,) = column_stats(df, [column])
+    x = as_double(df, column)
+    flag, score = _flag(x, st, method)
+    return df.select(*[col(c) for c in df.columns], flag.alias("__flag"), score.alias("score")).where("__flag").drop("__flag")
 
 
 def outlier_summary(df: DataFrame, columns=None, methods=METHODS) -> DataFrame:
     """Total outliers over columns and methods, and one line per (column, method)."""
-    o = outliers(df, columns, methods).select("column", "method", "count", "percentage")
+    names = resolve_numeric(df, columns)
+    o = _counts(df, names, column_stats(df, names), _check_methods(methods)).select("column", "method", "count", "percentage")
     total = o.select(F.sum("count")).scalar()  # scalar subquery; its exchanges are reused
     return o.select(
         "column", "method", "count",

@@ -1,26 +1,16 @@
 """Exact order statistics without a single-task sort.
 
-A window without ``partitionBy`` (or Spark's exact ``percentile``, whose
-buffer is a map of every distinct value of the group) would put a whole
-column into one task.  Instead:
-
-1. group rows to (key..., bucket, value, cnt); partial aggregation collapses
-   repeats before the shuffle.
-2. B = rows / 100k buckets per column (B = 1 below 100k rows, so small
-   inputs skip this step); edges from ``percentile_approx`` over a seeded
-   sample (C x B doubles, collected), so each bucket holds about 1/B of a
-   column's rows.
-   ``Bucketizer`` assigns buckets in the JVM before the shuffle; membership
-   is a pure function of (column, value), so equal values never straddle
-   buckets and a recomputed task puts every row in the same bucket.  Group
-   keys (e.g. per-category quantiles) reuse their column's edges, which also
-   splits a hot group over many buckets.
-3. bucket totals -> per-key prefix offsets (B rows per key).
-4. a running sum inside each (key, bucket), ordered by value, plus the offset,
-   gives ``below`` = rows of the key with a smaller value.
-
-Quantiles only need the buckets that contain the wanted positions, so step 4
-runs on a handful of buckets per key; average ranks need all of them.
+Quantiles (``exact_quantiles``) by selection: a sketch brackets the wanted
+positions, an exact count says how many rows lie below and inside each
+bracket, and brackets that hold many rows are narrowed by another sketch of
+their rows only.  At the end the rows inside the brackets are counted by
+value; nothing else is shuffled but sketches and counts.  The sketches only
+choose the brackets: a bracket that misses its position is moved, and a
+bracket of any size gives the exact answer.  The same steps run at every
+input size.
+
+Ranks (``positions``) need every value: the value counts are sorted by range
+partitions, stored, and numbered with one offset per partition and key.
 """
 
 from __future__ import annotations
@@ -28,11 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-APPROX_ACCURACY = 2048  # edges only need rough balance: rank error <= 1/2048
+from ..session import scratch_dir
+
+ACCURACY = 10_000        # of the bracketing sketches: rank error at most rows / ACCURACY
+MARGIN = 0.0005          # half width of a bracket, as a share of the rows it is cut from
+ROWS_IN_BRACKET = 100_000  # larger brackets are narrowed before their rows are counted by value
 
 
 def value_counts(long_df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """(keys..., value, cnt) with NULL values removed (no buckets)."""
+    """(keys..., value, cnt) with NULL values removed."""
     return (
         long_df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
@@ -40,168 +34,214 @@ def value_counts(long_df: DataFrame, keys: list[str], value: str = "value") -> D
     )
 
 
-TARGET_ROWS_PER_BUCKET = 100_000
-MAX_BUCKETS = 65536
-EDGE_SAMPLE_ROWS_PER_BUCKET = 64
-
-
-def buckets_for(n_rows: int) -> int:
-    """Buckets bound the rows one window task sorts: about n / 100k, at least 1."""
-    return int(min(MAX_BUCKETS, max(1, -(-int(n_rows or 0) // TARGET_ROWS_PER_BUCKET))))
-
-
-def splits_from_edges(edges) -> list[float]:
-    """Strictly increasing split points for ``Bucketizer``: -inf, distinct edges, +inf."""
-    inner = sorted(set(float(e) for e in (edges or []) if e is not None and e == e and abs(e) != float("inf")))
-    return [float("-inf")] + inner + [float("inf")]
-
-
-def sample_edges(df: DataFrame, values: list[Column], n_rows: int, n_buckets: int, seed: int = 17) -> list[list[float]]:
-    """Approximate equi-depth edges per column from a seeded row sample of about
-    64 rows per bucket (C x B doubles collected -- bounded by the schema width
-    and MAX_BUCKETS).  Edges only balance the buckets; results never depend on them."""
-    frac = min(1.0, EDGE_SAMPLE_ROWS_PER_BUCKET * n_buckets / max(1, n_rows))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    sampled = df.select(*[v.alias(f"_v{i}") for i, v in enumerate(values)]).sample(fraction=frac, seed=seed)
-    row = sampled.agg(*[F.percentile_approx(f"_v{i}", probs, APPROX_ACCURACY).alias(f"_e{i}")
-                        for i in range(len(values))]).collect()[0]
-    return [row[f"_e{i}"] or [] for i in range(len(values))]
-
-
-def bucketed_counts(df: DataFrame, values: list[Column], keys: dict[str, Column] | None = None,
-                    n_rows: int | None = None, n_buckets: int | None = None) -> DataFrame:
-    return bucketed_counts_b(df, values, keys, n_rows, n_buckets)[0]
-
-
-def bucketed_counts_b(df: DataFrame, values: list[Column], keys: dict[str, Column] | None = None,
-                      n_rows: int | None = None, n_buckets: int | None = None) -> tuple[DataFrame, int]:
-    """(keys..., cid, _bucket, value, cnt): value counts per column id, with each
-    value's bucket as part of the grouping key.
-
-    The bucket count follows the data (``buckets_for(n_rows)``; ``n_rows`` is
-    the largest non-null count of a column, counted when not given).  With
-    one bucket there is nothing to assign.  Otherwise edges come from a
-    sample and ``Bucketizer`` assigns buckets in the JVM (binary search over
-    the splits) before the shuffle: a pure function of the value, and a value
-    holding many rows gets buckets of its own.
-    """
-    from pyspark.ml.feature import Bucketizer
-
+def long_values(df: DataFrame, values: list[Column], keys: dict[str, Column] | None = None) -> DataFrame:
+    """(keys..., cid, value): the non-null values of every column."""
     keys = keys or {}
-    wide = df.select(*[k.alias(n) for n, k in keys.items()], *[v.alias(f"_v{i}") for i, v in enumerate(values)])
-    if n_buckets is None:
-        if n_rows is None:
-            n_rows = max(wide.agg(*[F.count(f"_v{i}") for i in range(len(values))]).collect()[0])
-        n_buckets = buckets_for(n_rows)
-    if n_buckets > 1:
-        edges = sample_edges(wide, [F.col(f"_v{i}") for i in range(len(values))], n_rows or 0, n_buckets)
-        bz = Bucketizer(splitsArray=[splits_from_edges(e) for e in edges],
-                        inputCols=[f"_v{i}" for i in range(len(values))],
-                        outputCols=[f"_b{i}" for i in range(len(values))], handleInvalid="keep")
-        wide = bz.transform(wide)
-        # non-nullable: a join on the bucket then infers no IS NOT NULL filter, which
-        # would be pushed below the value-count aggregate and block exchange reuse
-        bucket = [F.coalesce(F.col(f"_b{i}").cast("int"), F.lit(0)) for i in range(len(values))]
-    else:
-        bucket = [F.lit(0) for _ in values]
-    long = wide.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("cid"), bucket[i].alias("_bucket"), F.col(f"_v{i}").alias("value"))
-        for i in range(len(values))])).alias("p")).select(*keys, "p.cid", "p._bucket", "p.value")
-    vcb = (long.where(F.col("value").isNotNull())
-           .groupBy(*keys, "cid", "_bucket", "value").agg(F.count(F.lit(1)).alias("cnt")))
-    return vcb, n_buckets
-
-
-def _bucket_offsets(vcb: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., _bucket, _btot, _offset, _n): rows before each bucket of a key."""
-    bt = vcb.groupBy(*keys, "_bucket").agg(F.sum("cnt").alias("_btot"))
-    w = Window.partitionBy(*keys).orderBy("_bucket")
-    wall = Window.partitionBy(*keys)
-    return bt.select(
-        *keys, "_bucket", "_btot",
-        (F.sum("_btot").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_btot")).alias("_offset"),
-        F.sum("_btot").over(wall).alias("_n"),
-    )
-
-
-def _positions(vcb: DataFrame, offsets: DataFrame, keys: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = vcb.select(*keys, "_bucket", value, "cnt", (F.sum("cnt").over(w) - F.col("cnt")).alias("_inner"))
-    return inner.join(offsets.select(*keys, "_bucket", "_offset", "_n"), on=[*keys, "_bucket"], how="inner").select(
-        *keys, value, "cnt", (F.col("_offset") + F.col("_inner")).alias("below"), F.col("_n").alias("n")
-    )
-
-
-def _single_bucket_positions(vcb: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """All of a key's values in one bucket (at most TARGET_ROWS_PER_BUCKET rows):
-    offsets are zero, so one window gives positions and totals."""
-    w = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wall = Window.partitionBy(*keys, "_bucket")
-    return vcb.select(*keys, value, "cnt", (F.sum("cnt").over(w) - F.col("cnt")).alias("below"),
-                      F.sum("cnt").over(wall).alias("n"))
-
+    return df.select(*[k.alias(n) for n, k in keys.items()], F.explode(F.array(*[
+        F.struct(F.lit(i).alias("cid"), v.alias("value")) for i, v in enumerate(values)])).alias("p")).select(
+        *keys, "p.cid", "p.value").where(F.col("value").isNotNull())
 
-def positions(vcb: DataFrame, keys: list[str], value: str = "value", single_bucket: bool = False) -> DataFrame:
-    """(keys..., value, cnt, below, n) for every distinct value of every key."""
-    if single_bucket:
-        return _single_bucket_positions(vcb, keys, value)
-    return _positions(vcb, _bucket_offsets(vcb, keys), keys, value)
 
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared scratch folder and read back: fixes partition numbers and cuts lineage."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-def average_ranks(vcb: DataFrame, keys: list[str], value: str = "value", single_bucket: bool = False) -> DataFrame:
-    """(keys..., value, rank): 1-based average rank of ties, as pandas/scipy rank."""
-    pos = positions(vcb, keys, value, single_bucket)
-    return pos.select(*keys, value, (F.col("below") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)).alias("rank"))
 
-
-def _targets(n: Column, p: float) -> tuple[Column, Column, Column]:
+# ------------------------------------------------------------------ selection
+def _wanted(n: Column, p: float) -> tuple[Column, Column, Column]:
+    """h = (n-1)p and the two positions (from 0) around it."""
     h = (n - F.lit(1)).cast("double") * F.lit(p)
-    lo = F.floor(h).cast("long")
-    hi = F.ceil(h).cast("long")
-    return h, lo, hi
-
-
-def exact_quantiles(vcb: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value",
-                    single_bucket: bool = False) -> DataFrame:
-    """(keys..., n, <name>...) with linear interpolation between order statistics.
-
-    Same definition as pandas ``quantile`` / numpy 'linear' / DuckDB
-    ``quantile_cont``: h = (n-1)p, q = x[floor h] + (h - floor h)(x[ceil h] - x[floor h]).
+    return h, F.floor(h).cast("long"), F.ceil(h).cast("long")
+
+
+def sketch_aggs(values: list[Column], probs: dict[str, float]) -> list[Column]:
+    """Count, extremes and bracketing sketch of each column, as aggregates of one pass."""
+    at = [x for p in probs.values() for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    out = []
+    for i, v in enumerate(values):
+        out += [F.count(v).alias(f"_n{i}"), F.min(v).alias(f"_min{i}"), F.max(v).alias(f"_max{i}"),
+                F.percentile_approx(v, at, ACCURACY).alias(f"_s{i}")]
+    return out
+
+
+def _brackets(probs: dict[str, float], i: int) -> list[Column]:
+    """lo / hi of each wanted probability of column i, from its sketch."""
+    out = []
+    for j, p in enumerate(probs.values()):
+        lo = F.col(f"_min{i}") if p - MARGIN <= 0 else F.get(f"_s{i}", F.lit(2 * j))
+        hi = F.col(f"_max{i}") if p + MARGIN >= 1 else F.get(f"_s{i}", F.lit(2 * j + 1))
+        out += [lo.alias(f"_lo{i}_{j}"), hi.alias(f"_hi{i}_{j}")]
+    return out
+
+
+class _Selection:
+    """The bracket table (one row per key, or literals without keys) and the passes over the data."""
+
+    def __init__(self, base: DataFrame, k: int, keys: list[str], probs: dict[str, float]):
+        self.base, self.k, self.keys, self.probs = base, k, keys, probs
+        self.cells = [(i, j) for i in range(k) for j in range(len(probs))]
+
+    def start(self, table: DataFrame) -> None:
+        cols = [F.col(f"`{x}`") for x in self.keys]
+        for i in range(self.k):
+            cols += [F.col(f"_n{i}"), F.col(f"_min{i}"), F.col(f"_max{i}"), *_brackets(self.probs, i)]
+        self.keep(table.select(*cols))
+
+    def keep(self, table: DataFrame) -> None:
+        """Without keys the table is one row and becomes literals; with keys it is stored, and Spark
+        broadcasts it or not by its size."""
+        if self.keys:
+            self.table = stored_table(table, "brackets")
+        else:
+            row = table.collect()[0].asDict()  # a few numbers for each column
+            self.table = self.base.sparkSession.createDataFrame([tuple(row.values())], table.schema)
+            self.row = row
+
+    def rows(self) -> DataFrame:
+        """The data with its bracket columns."""
+        if self.keys:
+            return self.base.join(self.table, self.keys)
+        return self.base.select("*", *[F.lit(v).cast(self.table.schema[c].dataType).alias(c) for c, v in self.row.items()])
+
+    def count(self) -> None:
+        """Exact numbers of rows below each bracket and up to its end; brackets that miss are moved."""
+        d = self.rows()
+        aggs = []
+        for i, j in self.cells:
+            v = F.col(f"_v{i}")
+            aggs += [F.count_if(v < F.col(f"_lo{i}_{j}")).alias(f"_b{i}_{j}"), F.count_if(v <= F.col(f"_hi{i}_{j}")).alias(f"_u{i}_{j}")]
+        counts = d.groupBy(*self.keys).agg(*aggs) if self.keys else d.agg(*aggs)
+        if self.keys:
+            both = self.table.join(counts, self.keys)
+        else:
+            both = counts.select(*[F.lit(v).cast(self.table.schema[c].dataType).alias(c) for c, v in self.row.items()], "*")
+        base_cols = [F.col(f"`{c}`") for c in self.table.columns if not c.startswith(("_lo", "_hi", "_b", "_u", "_miss"))]
+        out = []
+        for i, j in self.cells:
+            p = list(self.probs.values())[j]
+            _, first, last = _wanted(F.col(f"_n{i}"), p)
+            lo, hi, below, upto = (F.col(f"_{x}{i}_{j}") for x in ("lo", "hi", "b", "u"))
+            early, late = below > first, upto <= last
+            out += [F.when(early, F.col(f"_min{i}")).otherwise(lo).alias(f"_lo{i}_{j}"),
+                    F.when(late, F.col(f"_max{i}")).otherwise(hi).alias(f"_hi{i}_{j}"),
+                    F.when(early, 0).otherwise(below).alias(f"_b{i}_{j}"),
+                    F.when(late, F.col(f"_n{i}")).otherwise(upto).alias(f"_u{i}_{j}")]
+        self.keep(both.select(*base_cols, *out))
+
+    def largest(self) -> int:
+        """Rows in the largest bracket that can still be narrowed."""
+        sizes = [F.max(F.when(F.col(f"_lo{i}_{j}") < F.col(f"_hi{i}_{j}"), F.col(f"_u{i}_{j}") - F.col(f"_b{i}_{j}")))
+                 for i, j in self.cells]
+        row = self.table.agg(*[F.coalesce(s, F.lit(0)).alias(f"s{x}") for x, s in enumerate(sizes)]).collect()[0]
+        return max(row)
+
+    def narrow(self) -> None:
+        """A sketch of each bracket's own rows around the wanted place gives a narrower one."""
+        d = self.rows()
+        aggs = []
+        steps = [x / 200 for x in range(1, 200)]
+        for i, j in self.cells:
+            v, lo, hi = F.col(f"_v{i}"), F.col(f"_lo{i}_{j}"), F.col(f"_hi{i}_{j}")
+            aggs.append(F.percentile_approx(F.when((v >= lo) & (v <= hi), v), steps, ACCURACY).alias(f"_q{i}_{j}"))
+        sketch = d.groupBy(*self.keys).agg(*aggs) if self.keys else d.agg(*aggs)
+        if self.keys:
+            both = self.table.join(sketch, self.keys)
+        else:
+            both = sketch.select(*[F.lit(v).cast(self.table.schema[c].dataType).alias(c) for c, v in self.row.items()], "*")
+        base_cols = [F.col(f"`{c}`") for c in self.table.columns if not c.startswith(("_lo", "_hi", "_b", "_u"))]
+        out = []
+        for i, j in self.cells:
+            p = list(self.probs.values())[j]
+            _, first, last = _wanted(F.col(f"_n{i}"), p)
+            lo, hi, below, upto, q = (F.col(f"_{x}{i}_{j}") for x in ("lo", "hi", "b", "u", "q"))
+            size = (upto - below).cast("double")
+            left = F.floor(200 * (first - below) / size).cast("int") - 2   # one step below the place, as an index of steps
+            right = F.ceil(200 * (last + 1 - below) / size).cast("int")
+            out += [F.when(left >= 0, F.coalesce(F.get(q, left), lo)).otherwise(lo).alias(f"_lo{i}_{j}"),
+                    F.when(right < 199, F.coalesce(F.get(q, right), hi)).otherwise(hi).alias(f"_hi{i}_{j}")]
+        self.keep(both.select(*base_cols, *out))
+
+    def finish(self) -> DataFrame:
+        """Count the rows inside the brackets by value and interpolate."""
+        d = self.rows()
+        inside = [F.struct(F.lit(i).alias("cid"), F.lit(j).alias("_j"), F.col(f"_v{i}").alias("value"),
+                           F.col(f"_lo{i}_{j}").alias("lo"), F.col(f"_hi{i}_{j}").alias("hi"),
+                           F.col(f"_b{i}_{j}").alias("_below"), F.col(f"_n{i}").alias("n")) for i, j in self.cells]
+        hit = F.filter(F.array(*inside), lambda s: (s["value"] >= s["lo"]) & (s["value"] <= s["hi"]))
+        some = d.select(*[F.col(f"`{x}`") for x in self.keys], F.explode(hit).alias("p")).select(
+            *self.keys, "p.cid", "p._j", "p.value", "p._below", "p.n")
+        by = [*self.keys, "cid", "_j"]
+        vc = some.groupBy(*by, "value", "_below", "n").agg(F.count(F.lit(1)).alias("cnt"))
+        w = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        pos = vc.withColumn("end", F.col("_below") + F.sum("cnt").over(w))
+        aggs, names = [F.max("n").alias("n")], list(self.probs)
+        for j, (name, p) in enumerate(self.probs.items()):
+            _, first, last = _wanted(F.col("n"), p)
+            own = F.col("_j") == j
+            aggs += [F.min(F.when(own & (F.col("end") > first), F.col("value"))).alias(f"_a{j}"),
+                     F.min(F.when(own & (F.col("end") > last), F.col("value"))).alias(f"_z{j}")]
+        res = pos.groupBy(*self.keys, "cid").agg(*aggs)
+        out = [F.col(f"`{x}`") for x in self.keys] + [F.col("cid"), F.col("n")]
+        for j, name in enumerate(names):
+            h, first, _ = _wanted(F.col("n"), self.probs[name])
+            frac = h - first.cast("double")
+            a, b = F.col(f"_a{j}"), F.col(f"_z{j}")
+            out.append(F.when(frac == 0, a).otherwise(a + (b - a) * frac).alias(name))
+        return res.select(*out)
+
+
+def exact_quantiles(df: DataFrame, values: list[Column], probs: dict[str, float], keys: dict[str, Column] | None = None,
+                    sketch: DataFrame | None = None) -> DataFrame:
+    """(keys..., cid, n, <name>...) with linear interpolation between order statistics; columns and keys
+    without values have no row.
+
+    Same definition as pandas ``quantile`` / numpy 'linear' / DuckDB ``quantile_cont``:
+    h = (n-1)p, q = x[floor h] + (h - floor h)(x[ceil h] - x[floor h]).  ``sketch`` is the result of
+    ``sketch_aggs`` over the same data, when the caller has it from another pass.
+    """
+    keys = keys or {}
+    base = df.select(*[k.alias(n) for n, k in keys.items()], *[v.alias(f"_v{i}") for i, v in enumerate(values)])
+    own = [F.col(f"_v{i}") for i in range(len(values))]
+    if sketch is None:
+        sketch = base.groupBy(*keys).agg(*sketch_aggs(own, probs)) if keys else base.agg(*sketch_aggs(own, probs))
+    s = _Selection(base, len(values), list(keys), probs)
+    s.start(sketch)
+    s.count()
+    size = s.largest()
+    while size > ROWS_IN_BRACKET:
+        s.narrow()
+        s.count()
+        before, size = size, s.largest()
+        if size > before // 2:  # few distinct values: their counts are short, whatever their rows
+            break
+    return s.finish()
+
+
+# ---------------------------------------------------------------------- ranks
+def positions(vc: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys..., value, cnt, below, n) for every distinct value of every key; ``vc`` has value counts.
+
+    Distinct rows are sorted into range partitions (so no key or value can fill one), stored with
+    their partition number, and summed inside each (partition, key); offsets are one row per
+    (partition, key).
     """
-    if single_bucket:
-        return _quantiles_from(_single_bucket_positions(vcb, keys, value), keys, probs, value)
-    offsets = _bucket_offsets(vcb, keys)
-    # Keep only buckets that hold a wanted position.
-    hit = F.lit(False)
-    for p in sorted(set(probs.values())):
-        _, lo, hi = _targets(F.col("_n"), p)
-        end = F.col("_offset") + F.col("_btot")
-        hit = hit | ((lo >= F.col("_offset")) & (lo < end)) | ((hi >= F.col("_offset")) & (hi < end))
-    wanted = offsets.where(hit).select(*keys, "_bucket", "_offset", "_n")
-    # inner join on unique (keys, bucket): keeps only wanted buckets and brings
-    # their offsets; unlike a semi-join it is not pushed below the aggregate
-    w = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pos = vcb.join(wanted, on=[*keys, "_bucket"], how="inner").select(
-        *keys, value, "cnt", (F.col("_offset") + F.sum("cnt").over(w) - F.col("cnt")).alias("below"), F.col("_n").alias("n"))
-    return _quantiles_from(pos, keys, probs, value)
-
-
-def _quantiles_from(pos: DataFrame, keys: list[str], probs: dict[str, float], value: str) -> DataFrame:
-    aggs = [F.max("n").alias("n")]
-    end = F.col("below") + F.col("cnt")
-    v = F.col(value)
-    for name, p in probs.items():
-        _, lo, hi = _targets(F.col("n"), p)
-        aggs.append(F.min(F.when(end > lo, v)).alias(f"_{name}_lo"))
-        aggs.append(F.min(F.when(end > hi, v)).alias(f"_{name}_hi"))
-    res = pos.groupBy(*keys).agg(*aggs)
-    out = [*keys, "n"]
-    for name, p in probs.items():
-        h, lo, _ = _targets(F.col("n"), p)
-        frac = h - lo.cast("double")
-        a, b = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append(F.when(frac == 0, a).otherwise(a + (b - a) * frac).alias(name))
-    return res.select(*out)
+    s = vc.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id())
+    s = stored_table(s.select(*keys, value, "cnt", "_part"), "sorted-values")
+    seg = s.groupBy(*keys, "_part").agg(F.sum("cnt").alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.select(*keys, "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
+                     F.sum("_c").over(Window.partitionBy(*keys)).alias("n"))
+    w = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = s.withColumn("_in", F.sum("cnt").over(w) - F.col("cnt"))
+    return inner.join(seg, [*keys, "_part"]).select(*keys, value, "cnt", (F.col("_off") + F.col("_in")).alias("below"), "n")
+
+
+def average_ranks(vc: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys..., value, rank, n): 1-based average rank of ties, as pandas/scipy rank."""
+    return positions(vc, keys, value).select(*keys, value, (F.col("below") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)).alias("rank"), "n")
 
 
 def mode_of(vc: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

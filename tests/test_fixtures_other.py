@@ -79,10 +79,9 @@ def test_conversation_fold_roundtrip(spark):
     assert back.count() == c.count()
 
 
-def test_exact_quantiles_match_percentile_under_forced_buckets(spark):
+def test_exact_quantiles_match_percentile(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
-    long = df.select(F.lit(0).alias("cid"), F.col("l_extendedprice").alias("value"))
-    q = ranks.exact_quantiles(ranks.bucketed_counts(long, [F.col("value")], n_buckets=64), ["cid"], {"a": 0.1, "b": 0.5, "c": 0.93}).collect()[0]
+    q = ranks.exact_quantiles(df, [F.col("l_extendedprice")], {"a": 0.1, "b": 0.5, "c": 0.93}).collect()[0]
     ref = df.select(F.percentile("l_extendedprice", [0.1, 0.5, 0.93])).collect()[0][0]
     assert [round(q["a"], 6), round(q["b"], 6), round(q["c"], 6)] == [round(x, 6) for x in ref]
 

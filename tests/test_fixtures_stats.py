@@ -117,12 +117,12 @@ def test_kendall_kernel_matches_brute_force():
         assert weighted_discordant(x, y, w) == brute
 
 
-def test_kendall_fine_buckets_equal_single_bucket(spark, monkeypatch):
+def test_kendall_split_groups_equal_one_group(spark, monkeypatch):
     import quantiva.operators.kendall as K
     df = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
     pairs = [("c_nationkey", "c_acctbal"), ("c_custkey", "c_nationkey")]
     one = {(r["column1"], r["column2"]): (r["discordant"], r["tau_b"]) for r in K.kendall_pairs(df, pairs).collect()}
-    monkeypatch.setattr(K, "TARGET_POINTS_PER_BUCKET", 7)
+    monkeypatch.setattr(K, "TARGET_POINTS", 7)
     many = {(r["column1"], r["column2"]): (r["discordant"], r["tau_b"]) for r in K.kendall_pairs(df, pairs).collect()}
     assert one == many
 

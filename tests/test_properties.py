@@ -66,16 +66,6 @@ def test_chi_square_shortcut_and_entropy_bounds(spark, cells):
     assert -1e-12 <= prof["entropy"] <= math.log(prof["unique_values"]) + 1e-12
 
 
-def test_bucketed_positions_equal_single_bucket(spark):
-    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
-    from pyspark.sql import functions as F
-    one = ranks.bucketed_counts_b(df, [F.col("o_totalprice"), F.col("o_custkey").cast("double")], n_buckets=1)[0]
-    many = ranks.bucketed_counts_b(df, [F.col("o_totalprice"), F.col("o_custkey").cast("double")], n_buckets=24)[0]
-    a = {(r["cid"], r["value"]): r["rank"] for r in ranks.average_ranks(one, ["cid"], single_bucket=True).collect()}
-    b = {(r["cid"], r["value"]): r["rank"] for r in ranks.average_ranks(many, ["cid"]).collect()}
-    assert a == b
-
-
 def test_histogram_constant_and_edge_values_match_numpy(spark):
     cases = [[0.1], [-999999.9], [123456.789, 123456.789], [0.0, 0.3, 0.6, 0.9], [1e-9, 2e-9, 3e-9]]
     for xs in cases:

@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,24 +28,70 @@ def test_kendall_hot_value_fine_buckets(spark, monkeypatch):
     n = len(x)
     d = sum(1 for i in range(n) for j in range(n) if x[i] < x[j] and y[i] > y[j])
     c = sum(1 for i in range(n) for j in range(n) if x[i] < x[j] and y[i] < y[j])
-    monkeypatch.setattr(K, "TARGET_POINTS_PER_BUCKET", 10)
+    monkeypatch.setattr(K, "TARGET_POINTS", 10)
     r = K.kendall_pairs(df, [("x", "y")]).collect()[0]
     assert r["discordant"] == d and r["concordant"] == c
 
 
-def test_quantiles_hot_value_many_buckets(spark):
+@pytest.mark.parametrize("rows", [1, 40, 100_000])
+def test_quantiles_with_a_hot_value_and_narrowed_brackets(spark, monkeypatch, rows):
+    monkeypatch.setattr(ranks, "ROWS_IN_BRACKET", rows)
+    monkeypatch.setattr(ranks, "MARGIN", 0.2)
+    monkeypatch.setattr(ranks, "ACCURACY", 50)
     df, _, _ = _skewed(spark, n=3000)
-    vcb = ranks.bucketed_counts(df, [F.col("x"), F.col("y")], n_buckets=32)
-    q = {r["cid"]: r for r in ranks.exact_quantiles(vcb, ["cid"], {"a": 0.2, "b": 0.5, "c": 0.77}).collect()}
-    ref = df.agg(F.percentile("x", [0.2, 0.5, 0.77]), F.percentile("y", [0.2, 0.5, 0.77])).collect()[0]
+    probs = {"a": 0.0, "b": 0.2, "c": 0.5, "d": 0.77, "e": 1.0}
+    q = {r["cid"]: r for r in ranks.exact_quantiles(df, [F.col("x"), F.col("y")], probs).collect()}
+    ref = df.agg(F.percentile("x", list(probs.values())), F.percentile("y", list(probs.values()))).collect()[0]
     for cid in (0, 1):
-        assert [round(q[cid][k], 9) for k in "abc"] == [round(v, 9) for v in ref[cid]]
+        assert [round(q[cid][k], 9) for k in "abcde"] == [round(v, 9) for v in ref[cid]]
+    keyed = df.withColumn("g", F.pmod(F.xxhash64("y", "x"), F.lit(3)))
+    q = {r["g"]: r for r in ranks.exact_quantiles(keyed, [F.col("x")], probs, keys={"g": F.col("g")}).collect()}
+    for r in keyed.groupBy("g").agg(F.percentile("x", list(probs.values())).alias("p"), F.count("*").alias("n")).collect():
+        assert [round(q[r["g"]][k], 9) for k in "abcde"] == [round(v, 9) for v in r["p"]] and q[r["g"]]["n"] == r["n"]
+
+
+def test_quartiles_shuffle_only_rows_inside_the_brackets(spark):
+    df = spark.range(200_000).select((F.xxhash64("id") % 1_000_003).cast("double").alias("x"))
+    out = ranks.exact_quantiles(df, [F.col("x")], {"q1": 0.25, "q3": 0.75})
+    out.collect()
+    read = 0
+    plan = out._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    stack = [plan]
+    while stack:  # rows that the value count reads from the scan, after the bracket filter
+        node = stack.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            stack.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            stack.append(node.plan())
+            continue
+        if node.nodeName() == "Exchange":
+            read = max(read, node.metrics().get("shuffleRecordsWritten").get().value())
+        stack += [node.children().apply(i) for i in range(node.children().size())]
+    assert 0 < read < 2_000
+
+
+def test_positions_over_many_partitions(spark):
+    df = spark.range(60_000).select((F.xxhash64("id") % 20_011).cast("double").alias("v"), (F.col("id") % 3).alias("k"))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        vc = ranks.value_counts(df, ["k"], "v")
+        pos = ranks.positions(vc.repartition(64), ["k"], "v").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    seen = {}
+    for r in sorted(pos, key=lambda r: (r["k"], r["v"])):
+        assert r["below"] == seen.get(r["k"], 0) and r["n"] == 20_000
+        seen[r["k"]] = r["below"] + r["cnt"]
+    assert set(seen.values()) == {20_000}
 
 
 def test_average_ranks_match_rank_window(spark):
     df, _, _ = _skewed(spark, n=500)
-    vcb = ranks.bucketed_counts(df, [F.col("x")], n_buckets=16)
-    got = {r["value"]: r["rank"] for r in ranks.average_ranks(vcb, ["cid"]).collect()}
+    vc = ranks.value_counts(ranks.long_values(df, [F.col("x")]), ["cid"])
+    got = {r["value"]: r["rank"] for r in ranks.average_ranks(vc, ["cid"]).collect()}
     from pyspark.sql import Window
     w = Window.orderBy("x")  # fine on a 500-row fixture
     ref = df.select("x", (F.rank().over(w) + (F.count("*").over(Window.partitionBy("x")) - 1) / 2.0).alias("r")).distinct()
