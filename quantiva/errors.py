@@ -17,8 +17,8 @@ class DataProcessingError(QuantivaError):
     """Input could not be read or combined (422 class)."""
 
 
-class FileAdmissionError(QuantivaError):
-    """A file was refused by extension or size (400 class)."""
+class ConfigurationError(QuantivaError):
+    """The session lacks a setting that the library needs."""
 
 
 class NotFoundError(QuantivaError):

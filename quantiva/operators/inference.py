@@ -43,8 +43,15 @@ def _recommendations(test_type: str, p):
         F.array(*[F.lit(t) for t in REC_NOT_SIGNIFICANT]))
 
 
+def _one_row(df: DataFrame) -> DataFrame:
+    """A one-row result as literals (its aggregate runs once)."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def pearson_test(df: DataFrame, column1: str, column2: str) -> DataFrame:
-    """H3: r, two-sided p (t with n-2 dof), n on pairwise-complete rows (one row)."""
+    """H3: r, two-sided p (t with n-2 dof), n on pairwise-complete rows (one row).
+
+    Fewer than three complete pairs raise ``AnalysisError``."""
     check_columns(df, [column1, column2])
     a, b = as_double(df, column1), as_double(df, column2)
     both = a.isNotNull() & b.isNotNull()
@@ -52,6 +59,9 @@ def pearson_test(df: DataFrame, column1: str, column2: str) -> DataFrame:
     denom = F.stddev_pop(a2) * F.stddev_pop(b2)
     row = df.agg(F.count_if(both).cast("long").alias("n"),
                  F.try_divide(F.covar_pop(a2, b2), F.when(denom > 0, denom)).alias("r"))
+    row = _one_row(row)
+    if row.first()["n"] < 3:
+        raise AnalysisError("Insufficient data for correlation test")
     r = F.when(F.col("r").isNotNull(), F.greatest(F.least(F.col("r"), F.lit(1.0)), F.lit(-1.0)))
     p = pearson_p(r, F.col("n"))
     out = row.select(r.alias("r"), "n", p.alias("p_value"))
@@ -82,6 +92,7 @@ def anova_test(df: DataFrame, numeric: str, category: str) -> DataFrame:
 
     SSB = sum n_g (mean_g - grand)^2, SSW = sum (n_g - 1) var_g, from the
     per-group table; the grand mean is a scalar subquery over that table.
+    Fewer than two groups raise ``AnalysisError``.
     """
     gs = anova_groups(df, numeric, category)
     grand = gs.select(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n"))).scalar()
@@ -90,8 +101,11 @@ def anova_test(df: DataFrame, numeric: str, category: str) -> DataFrame:
         F.sum(F.col("n") * (F.col("mean") - grand) * (F.col("mean") - grand)).alias("ssb"),
         F.sum(F.coalesce((F.col("n") - 1) * F.col("var"), F.lit(0.0))).alias("ssw"),
     )
+    t = _one_row(t)
+    if t.first()["k"] < 2:
+        raise AnalysisError("Need at least 2 groups for ANOVA")
     d1, d2 = F.col("k") - 1, F.col("n") - F.col("k")
-    f = F.try_divide(F.col("ssb") / d1, F.try_divide(F.col("ssw"), d2))
+    f = F.try_divide(F.col("ssb") / d1, F.try_divide(F.col("ssw"), d2.cast("double")))
     out = t.select("k", "n", d1.cast("long").alias("df1"), d2.cast("long").alias("df2"), f.alias("statistic"))
     out = out.select("*", F.when(F.col("k") >= 2, f_test_p(F.col("statistic"), F.col("df1"), F.col("df2"))).alias("p_value"))
     return out.select(
@@ -121,20 +135,26 @@ def crosstab_wide(df: DataFrame, column1: str, column2: str) -> DataFrame:
 def chi_square_test(df: DataFrame, column1: str, column2: str) -> DataFrame:
     """H5: chi-square test of independence (one row).
 
-    chi2 = N (sum O^2 / (R C) - 1) over the non-empty cells only, so the
-    r x c grid is never materialised.  With one degree of freedom (2 x 2) the
-    continuity correction is applied cell by cell (|O - E| reduced by at most
-    0.5), which needs all four cells: that table is bounded (4 cells) and is
-    finished on the driver.  One row or column: chi2 = 0, p = 1.
+    chi2 = sum (O - E)^2 / E over the non-empty cells plus, for the empty
+    ones, N - sum E over the non-empty cells: the r x c grid is never
+    materialised, and a weak association loses no digits.  All products are
+    in double, so counts of any size fit.  With one degree of freedom (2 x 2)
+    the continuity correction is applied cell by cell (|O - E| reduced by at
+    most 0.5), which needs all four cells: that table is bounded (4 cells)
+    and is finished on the driver.  One row or column: chi2 = 0, p = 1.
     """
-    ct = crosstab(df, column1, column2)
+    return chi_square_of(crosstab(df, column1, column2), column1, column2)
+
+
+def chi_square_of(ct: DataFrame, column1: str, column2: str) -> DataFrame:
+    """The test on a contingency table in long form (a, b, n)."""
     dims = ct.agg(F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"),
-                  F.coalesce(F.sum("n"), F.lit(0)).alias("N")).collect()[0]
+                  F.coalesce(F.sum(F.col("n").cast("decimal(38,0)")), F.lit(0)).alias("N")).collect()[0]
     r, c, n = int(dims["r"]), int(dims["c"]), int(dims["N"])
     if n == 0:
         raise AnalysisError("No valid data for chi-square test")
     dof = (r - 1) * (c - 1)
-    spark = df.sparkSession
+    spark = ct.sparkSession
     if dof == 1:
         cells = {(x["a"], x["b"]): x["n"] for x in ct.collect()}  # exactly a 2 x 2 table
         rows = sorted({k[0] for k in cells})
@@ -152,11 +172,13 @@ def chi_square_test(df: DataFrame, column1: str, column2: str) -> DataFrame:
     elif dof == 0:
         base = spark.createDataFrame([(0.0, 0, n, 1.0)], "statistic double, df1 long, n long, p_value double")
     else:
-        rs = ct.groupBy("a").agg(F.sum("n").alias("R"))
-        cs = ct.groupBy("b").agg(F.sum("n").alias("C"))
-        s = ct.join(rs, "a").join(cs, "b").agg(F.sum(F.col("n") * F.col("n") / (F.col("R") * F.col("C"))).alias("s"))
-        base = s.select((F.lit(float(n)) * (F.col("s") - 1)).alias("statistic"), F.lit(dof).cast("long").alias("df1"),
-                        F.lit(n).cast("long").alias("n"))
+        rs = ct.groupBy("a").agg(F.sum(F.col("n").cast("double")).alias("R"))
+        cs = ct.groupBy("b").agg(F.sum(F.col("n").cast("double")).alias("C"))
+        e = F.col("R") * F.col("C") / F.lit(float(n))
+        o = F.col("n").cast("double")
+        s = ct.join(rs, "a").join(cs, "b").agg(F.sum((o - e) * (o - e) / e).alias("s"), F.sum(e).alias("e"))
+        empty = F.when(F.lit(r * c) > ct.agg(F.count(F.lit(1))).scalar(), F.lit(float(n)) - F.col("e")).otherwise(0.0)
+        base = s.select((F.col("s") + empty).alias("statistic"), F.lit(dof).cast("long").alias("df1"), F.lit(n).cast("long").alias("n"))
         base = base.select("*", chi2_test_p(F.col("statistic"), F.col("df1")).alias("p_value"))
     return base.select(
         F.lit(CHI2).alias("test_type"), F.array(F.lit(column1), F.lit(column2)).alias("variables"),

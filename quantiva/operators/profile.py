@@ -25,19 +25,19 @@ FIXED_WIDTH = {
 
 
 def attach(base: DataFrame, *one_row: DataFrame) -> DataFrame:
-    """Add the columns of one-row results to ``base`` as scalar subqueries
-    (each evaluated once; no join, so no nested-loop or cartesian plan)."""
-    cols = [F.col(f"`{c}`") for c in base.columns]
-    for d in one_row:
-        sub = d.select(F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias("s")).scalar()
-        cols += [sub.getField(c).alias(c) for c in d.columns]
-    return base.select(*cols)
+    """Add the columns of one-row results to ``base`` as scalar subqueries, one for each result
+    (no join, so no nested-loop or cartesian plan)."""
+    names, wide = [F.col(f"`{c}`") for c in base.columns], base
+    for k, d in enumerate(one_row):
+        wide = wide.withColumn(f"__row{k}", d.select(F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias("s")).scalar())
+        names += [F.col(f"__row{k}").getField(c).alias(c) for c in d.columns]
+    return wide.select(*names)
 
 
 def _family(dt: T.DataType) -> str:
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
         return "integral"
-    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
         return "floating"
     return "other"
 
@@ -125,36 +125,50 @@ def schema_overview(df: DataFrame, approx: bool = False, numeric: list[str] | No
     )
 
 
-def column_roles(df: DataFrame, numeric: list[str] | None = None) -> DataFrame:
-    """T6 + T8: column, dtype, is_numeric_strict, role (numeric/datetime/categorical/text)."""
+def column_roles(df: DataFrame, numeric: list[str] | None = None, counts: bool = False) -> DataFrame:
+    """T6 + T8: column, dtype, is_numeric_strict, role (numeric/datetime/categorical/text); with
+    ``counts`` also null_count and unique_count, which the roles are derived from."""
     ov = schema_overview(df, numeric=numeric)
     role = (F.when(F.col("dtype_role") == "numeric", "numeric")
             .when(F.col("dtype_role") == "datetime", "datetime")
             .when(F.try_divide(F.col("unique_count"), F.col("rows")) < 0.5, "categorical")
             .otherwise("text"))
-    return ov.select("cid", "column", "dtype", F.col("is_numeric").alias("is_numeric_strict"), role.alias("role"))
+    return ov.select("cid", "column", "dtype", F.col("is_numeric").alias("is_numeric_strict"), role.alias("role"),
+                     *(["null_count", "unique_count"] if counts else []))
+
+
+def _row_hashes(df: DataFrame) -> list:
+    """Two 64-bit hashes of a row and its pattern of NULLs: equal rows (NULLs equal) have equal ones."""
+    cols = []
+    for f in df.schema.fields:
+        c = col(f.name)
+        cols.append(c + F.lit(0.0).cast(f.dataType) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else
+                    F.to_json(c) if isinstance(f.dataType, T.MapType) else c)  # -0.0 is 0.0
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols])
+    return [F.xxhash64(nulls, *cols).alias("__h1"), F.xxhash64(F.lit(0x9E3779B9), *cols, nulls).alias("__h2")]
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """Groups of identical rows (NULLs equal) with their count, only groups of 2+.
 
-    A 64-bit hash of the whole row is grouped first (8 bytes shuffled per
-    row); only rows whose hash repeats are shuffled in full and grouped
-    exactly, so wide unique rows never cross the network.
+    The 128-bit hashes of the rows are grouped first (16 bytes shuffled per
+    row, less after partial aggregation); full rows are joined to the repeated
+    hashes -- broadcast when these are few -- and grouped exactly.
     """
     cols = [col(n) for n in df.columns]
-    # NULLs are skipped by the hash, so (NULL, 1) and (1, NULL) may collide:
-    # that only adds candidates; the exact grouping below decides.
-    hashed = df.select(F.xxhash64(*cols).alias("_h"), *cols)
-    repeated = hashed.groupBy("_h").count().where(F.col("count") > 1).select("_h")
-    cand = hashed.join(repeated, "_h", "left_semi").drop("_h")
+    hashed = df.select(*_row_hashes(df), *cols)
+    repeated = hashed.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    cand = hashed.join(repeated, ["__h1", "__h2"], "left_semi").drop("__h1", "__h2")
     return cand.groupBy(*cols).agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > 1)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """A3: one row, duplicate_rows = rows after their first occurrence."""
-    g = duplicate_groups(df)
-    return g.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
+    """A3: one row, duplicate_rows = rows after their first occurrence.
+
+    Counted on 128-bit hashes of the rows alone (two different rows among n are taken for equal with a
+    chance of about n^2 / 2^129); no row is shuffled."""
+    g = df.select(*_row_hashes(df)).groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("n"))
+    return g.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
 def duplicate_records(df: DataFrame) -> DataFrame:
@@ -173,8 +187,7 @@ def missing_cells(df: DataFrame) -> DataFrame:
     )
 
 
-def estimated_bytes(df: DataFrame) -> DataFrame:
-    """A4 re-aimed: data volume = fixed widths x non-null cells + bytes of text values."""
+def _bytes_agg(df: DataFrame):
     parts = []
     for f in df.schema.fields:
         c = col(f.name)
@@ -187,25 +200,29 @@ def estimated_bytes(df: DataFrame) -> DataFrame:
             parts.append(F.count(c) * F.lit(16))
         else:
             parts.append(F.coalesce(F.sum(F.octet_length(F.to_json(c))), F.lit(0)))
-    total = sum(parts[1:], parts[0]) if parts else F.lit(0)
-    return df.agg(total.cast("long").alias("estimated_bytes")).select(
+    return (sum(parts[1:], parts[0]) if parts else F.lit(0)).cast("long")
+
+
+def estimated_bytes(df: DataFrame) -> DataFrame:
+    """A4 re-aimed: data volume = fixed widths x non-null cells + bytes of text values."""
+    return df.agg(_bytes_agg(df).alias("estimated_bytes")).select(
         "estimated_bytes", (F.col("estimated_bytes") / 1024 / 1024).alias("estimated_mb"))
 
 
 def basic_info(df: DataFrame, numeric: list[str] | None = None) -> DataFrame:
     """A1: total_rows, total_columns, numeric_columns, categorical_columns,
-    missing_values, estimated_bytes, duplicate_rows (one row)."""
+    missing_values, estimated_bytes, duplicate_rows (one row).  One scan counts
+    rows, missing cells and bytes, another the duplicates."""
     numeric = numeric_columns(df) if numeric is None else numeric
     n_cols = len(df.columns)
-    counts = df.agg(F.count(F.lit(1)).alias("total_rows"))
-    res = attach(counts, missing_cells(df).select("missing_cells"), estimated_bytes(df).select("estimated_bytes"),
-                 duplicate_rows(df))
-    return res.select(
+    missing = sum((F.count_if(_missing(df, n)) for n in df.columns), F.lit(0))
+    counts = df.agg(F.count(F.lit(1)).alias("total_rows"), missing.alias("missing_cells"), _bytes_agg(df).alias("estimated_bytes"))
+    return attach(counts, duplicate_rows(df)).select(
         F.col("total_rows").cast("long").alias("total_rows"),
         F.lit(n_cols).cast("long").alias("total_columns"),
         F.lit(len(numeric)).cast("long").alias("numeric_columns"),
         F.lit(n_cols - len(numeric)).cast("long").alias("categorical_columns"),
-        F.col("missing_cells").alias("missing_values"),
+        F.col("missing_cells").cast("long").alias("missing_values"),
         "estimated_bytes", "duplicate_rows",
     )
 
@@ -214,25 +231,22 @@ def quality_report(df: DataFrame) -> DataFrame:
     """Rows, columns, missing %, duplicates, columns with any / all missing,
     numeric and categorical counts by dtype, data volume (one row)."""
     names = df.columns
-    ov = column_counts(df).select("cid", "rows", "null_count")
-    nm = name_at(names, F.col("cid"))
-    lists = ov.agg(
-        F.max("rows").alias("rows"),
-        F.sum("null_count").alias("missing"),
-        F.array_sort(F.collect_list(F.when(F.col("null_count") > 0, F.struct("cid", nm.alias("n"))))).alias("_any"),
-        F.array_sort(F.collect_list(F.when((F.col("null_count") == F.col("rows")) & (F.col("rows") > 0),
-                                           F.struct("cid", nm.alias("n"))))).alias("_all"),
-    )  # lists over columns: bounded by the schema width
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), _bytes_agg(df).alias("estimated_bytes"),
+                    *[F.count_if(_missing(df, n)).alias(f"m{i}") for i, n in enumerate(names)])
+    m = [F.col(f"m{i}") for i in range(len(names))]
+    listed = lambda test: F.array_compact(F.array(*[F.when(test(m[i]), F.lit(n)) for i, n in enumerate(names)]))
+    lists = counts.select("rows", "estimated_bytes", sum(m, F.lit(0)).alias("missing"), listed(lambda c: c > 0).alias("_any"),
+                          listed(lambda c: (c == F.col("rows")) & (F.col("rows") > 0)).alias("_all"))
     n_num = sum(1 for f in df.schema.fields if is_numeric_type(f.dataType) and not isinstance(f.dataType, T.BooleanType))
     n_cat = sum(1 for f in df.schema.fields if isinstance(f.dataType, T.StringType))
-    res = attach(lists, duplicate_rows(df), estimated_bytes(df).select("estimated_bytes"))
+    res = attach(lists, duplicate_rows(df))
     return res.select(
         F.col("rows").cast("long").alias("total_rows"),
         F.lit(len(names)).cast("long").alias("total_columns"),
         (F.try_divide(F.col("missing"), F.col("rows") * F.lit(len(names))) * 100).alias("missing_data_percentage"),
         "duplicate_rows",
-        F.transform("_any", lambda s: s["n"]).alias("columns_with_missing_data"),
-        F.transform("_all", lambda s: s["n"]).alias("columns_all_missing"),
+        F.col("_any").alias("columns_with_missing_data"),
+        F.col("_all").alias("columns_all_missing"),
         F.lit(n_num).cast("long").alias("numeric_columns_count"),
         F.lit(n_cat).cast("long").alias("categorical_columns_count"),
         "estimated_bytes",
@@ -284,11 +298,9 @@ def column_info(df: DataFrame, column: str, limit: int = 100) -> DataFrame:
     return attach(ov, uv, smp)
 
 
-def column_info_maps(df: DataFrame) -> DataFrame:
+def column_info_maps(df: DataFrame, numeric: list[str] | None = None) -> DataFrame:
     """A10: column_types, missing_values, unique_counts maps and the role lists (one row)."""
-    roles = column_roles(df)
-    ov = schema_overview(df).select("cid", "null_count", "unique_count")
-    t = roles.join(ov, "cid")
+    t = column_roles(df, numeric, counts=True)
 
     def names_where(role):
         return F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("cid", "column")))),

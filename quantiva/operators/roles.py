@@ -13,39 +13,20 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-_TEXT_VERDICTS: dict[tuple, frozenset] = {}
-_MEMO_SIZE = 256
-
-
 def numeric_columns(df: DataFrame) -> list[str]:
     """Strict numeric columns, in schema order.
 
     Typed numeric columns (and booleans) qualify from the schema alone; a text
     column qualifies when every non-null value parses.  Only text columns
-    cost an aggregate, all of them share one pass, and the verdict is
-    remembered per logical plan (``semanticHash``) so composed reports do not
-    rescan the data.
+    cost an aggregate, and all of them share one pass; composed reports hand
+    the result on (``numeric=``).
     """
     texts = text_columns(df)
     ok_text: set[str] = set()
-    key = (df.semanticHash(), tuple(texts)) if texts else None
-    if key is not None and key in _TEXT_VERDICTS:
-        ok_text = set(_TEXT_VERDICTS[key])
-        texts = []
     if texts:
-        aggs = []
-        for i, n in enumerate(texts):
-            aggs.append((F.count(col(n)) == F.count(coerce_numeric(col(n)))).alias(f"t{i}"))
-        row = df.agg(*aggs).collect()[0]
+        row = df.agg(*[(F.count(col(n)) == F.count(coerce_numeric(col(n)))).alias(f"t{i}") for i, n in enumerate(texts)]).collect()[0]
         ok_text = {n for i, n in enumerate(texts) if row[f"t{i}"]}
-        if len(_TEXT_VERDICTS) >= _MEMO_SIZE:
-            _TEXT_VERDICTS.clear()
-        _TEXT_VERDICTS[key] = frozenset(ok_text)
-    out = []
-    for f in df.schema.fields:
-        if is_numeric_type(f.dataType) or f.name in ok_text:
-            out.append(f.name)
-    return out
+    return [f.name for f in df.schema.fields if is_numeric_type(f.dataType) or f.name in ok_text]
 
 
 def categorical_columns(df: DataFrame, numeric: list[str] | None = None) -> list[str]:

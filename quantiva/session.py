@@ -2,18 +2,21 @@
 
 On a cluster the session is created by the platform; the library only reads
 its settings.  ``scratch_dir`` returns the shared folder named by
-``spark.checkpoint.dir``; only when that is unset (tests, local runs) does it
-create one under /tmp.
+``spark.checkpoint.dir``; only on a local master (tests) does it create one
+under the temporary folder.  What is written there goes when the session ends.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from .errors import ConfigurationError
+
 
 def _driver_memory() -> str:
     """At most 8g and about 60 % of this machine's memory (local mode runs in the driver)."""
@@ -47,10 +50,13 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a local one only if unset."""
+    """Return the session's checkpoint folder.  Where none is set, a local master gets one under
+    the temporary folder; on a cluster that folder would not be shared, so it is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ConfigurationError("spark.checkpoint.dir must name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="quantiva-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not sc.getCheckpointDir():
@@ -61,40 +67,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-SPREAD_MIN_BYTES = 4 * 1024 * 1024
-
-
-def _input_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
-
-
-def spread(df, spark: SparkSession, path: str, min_bytes: int = SPREAD_MIN_BYTES):
-    """Give an input at least one partition per task slot.
-
-    A file stored as a single row group scans in one task whatever the split
-    size, which serialises all map-side work.  Such inputs (fewer scan
-    partitions than slots, yet not tiny) are spread round-robin once; inputs
-    that already split well -- any large table -- keep their scan
-    partitioning and pay no shuffle.  Projections and filters still push
-    down below the repartition into the scan.
-    """
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots or _input_bytes(spark, path) < min_bytes:
-        return df
-    return df.repartition(slots)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str):
-    """Plain parquet scan (pushdown and pruning intact).  ``spread`` is opt-in:
-    measured on the single-row-group test tables its extra shuffle cost more
-    than the parallel map side saved."""
+    """Plain parquet scan (pushdown and pruning intact)."""
     return spark.read.parquet(table_path(sf_dir, name))
