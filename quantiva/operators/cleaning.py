@@ -37,15 +37,16 @@ def exact_integer(c):
     return F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("bigint")).when(whole, x.try_cast("bigint"))
 
 
-def infer_types(df: DataFrame, threshold: float = 0.5, narrow: bool = False) -> tuple[DataFrame, DataFrame]:
+def infer_types(df: DataFrame, threshold: float = 0.5, narrow: bool = False, skip=()) -> tuple[DataFrame, DataFrame]:
     """Convert a text column when more than ``threshold`` of all rows parse
     as numbers (unparseable values become NULL); pick widths (T4); tag the rest
     as categorical (unique/rows < .5) or string.  One aggregate decides all
     columns, then one ``select`` applies the casts.  Returns (typed df, report).
 
-    Integers keep all 64 bits; a column with a whole number beyond them is double.
+    Integers keep all 64 bits; a column with a whole number beyond them is double.  Columns in
+    ``skip`` stay as they are.
     """
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in skip]
     report_rows = []
     casts = {}
     if texts:

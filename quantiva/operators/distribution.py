@@ -25,15 +25,16 @@ def distribution(df: DataFrame, columns=None) -> DataFrame:
     )
 
 
-def distribution_report(df: DataFrame, columns=None, max_n: int = 5000, seed: int = 42) -> DataFrame:
+def distribution_report(df: DataFrame, columns=None, max_n: int = 5000, seed: int = 42, key: list[str] | None = None) -> DataFrame:
     """N1-N6 in one row per column: shape, labels, suggested type, Shapiro-Wilk
     on the seeded sample, and the interpretation sentence (p with 4 decimals)."""
     from .normality import normality
 
     shape = distribution(df, columns)
-    norm = normality(df, columns, max_n=max_n, seed=seed).select("column", "statistic", "p_value", "is_normal",
+    norm = normality(df, columns, max_n=max_n, seed=seed, key=key).select("column", "statistic", "p_value", "is_normal",
                                                                   "sample_size_used")
     j = shape.join(norm, "column", "left")
+    # Fixed value: the sentence.
     text = F.format_string(
         "Distribution analysis for '%s': %s distribution (Shapiro-Wilk p-value: %.4f). Shape: %s, %s. Suggested type: %s",
         F.col("column"), F.when(F.col("is_normal"), "Normal").otherwise("Non-normal"), F.bround("p_value", 4),

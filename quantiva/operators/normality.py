@@ -1,10 +1,12 @@
-"""Shapiro-Wilk normality (N5): seeded sample of at most ``max_n`` rows per
+"""Shapiro-Wilk normality (N5): seeded sample of at most ``max_n`` values per
 column (and group), then one bounded ``applyInPandas`` task per column.
 
-Sampling: bottom-k of a 64-bit hash of the whole row and a seed -- a pure
-function of the row, so reruns and recomputed tasks pick the same rows.  A
-hash threshold first keeps about 2k rows per column (a narrow filter), then
-``row_number() <= k`` per column runs on that small remainder only.
+Sampling: the ``max_n`` smallest md5 digests of the seed and the row's key
+columns, a pure function of the key, so reruns and recomputed tasks pick the
+same rows and equal values are picked independently of each other.  Without
+key columns a seeded random number stands for the digest.  A threshold on the
+digest first keeps about 2 * max_n rows per column (a narrow filter), so the
+ranking runs on a small remainder only.
 W and p follow Royston's AS R94 (1995); numpy + ``statistics.NormalDist``
 replace scipy.
 """
@@ -19,8 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_double, col, name_at
+from ..functions.columns import as_double, check_columns, col, name_at
 from .describe import resolve_numeric
+from .ranks import stored_table
 
 ALPHA = 0.05
 
@@ -93,34 +96,56 @@ def shapiro_wilk(values) -> tuple[float | None, float | None]:
 def _kernel(pdf: pd.DataFrame) -> pd.DataFrame:
     w, p = shapiro_wilk(pdf["value"].to_numpy())
     return pd.DataFrame({"cid": [int(pdf["cid"].iloc[0])], "_g": [pdf["_g"].iloc[0]],
-                         "statistic": [w], "p_value": [p], "sample_size_used": [len(pdf)]})
+                         "statistic": [w], "p_value": [p], "sample_size_used": [len(pdf)],
+                         "repeated": [len(pdf) - pdf["_h"].nunique()]})
 
 
-def normality(df: DataFrame, columns=None, by: str | None = None, max_n: int = 5000, seed: int = 42) -> DataFrame:
-    """column, (by), statistic (W), p_value, is_normal (p > .05), sample_size_used, n."""
+_SPACE = 16 ** 15  # of the first 15 hex digits of a digest
+
+
+def _digest(key: list[str] | None, seed: int):
+    if key is None:
+        return (F.rand(seed) * float(_SPACE)).cast("long")
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(c).cast("string"), F.lit("")) for c in key])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def normality(df: DataFrame, columns=None, by: str | None = None, max_n: int = 5000, seed: int = 42,
+              key: list[str] | None = None) -> DataFrame:
+    """column, (by), statistic (W), p_value, is_normal (p > .05), sample_size_used, n.
+
+    Every column (and group) with values has a row; W and p are NULL where they are undefined
+    (fewer than three values, or all equal).  ``key`` names columns that identify a row; if a column
+    with more than ``max_n`` values meets a key that does not, the query fails with an error.
+    """
     names = resolve_numeric(df, columns)
-    h = F.xxhash64(F.lit(seed), *[col(c) for c in df.columns])
+    if key is not None:
+        check_columns(df, key)
     g = col(by).cast("string") if by else F.lit("")  # a non-NULL constant group keeps the joins equi-joins
-    long = df.select(h.alias("_h"), g.alias("_g"),
-                     F.explode(F.array(*[F.struct(F.lit(i).alias("cid"), as_double(df, n).alias("value"))
-                                         for i, n in enumerate(names)])).alias("p")).select(
+    wide = df.select(_digest(key, seed).alias("_h"), g.alias("_g"), *[as_double(df, n).alias(f"_v{i}") for i, n in enumerate(names)])
+    long = wide.select("_h", "_g", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("cid"), F.col(f"_v{i}").alias("value")) for i in range(len(names))])).alias("p")).select(
         "_h", "_g", "p.cid", "p.value").where(F.col("value").isNotNull())
     if by:
         long = long.where(F.col("_g").isNotNull())
-    counts = long.groupBy("cid", "_g").agg(F.count(F.lit(1)).alias("n"))
-    # keep hash <= threshold: expected ~2 max_n rows per (column, group); the
-    # per-group threshold table is one row per (column, group)
-    frac = F.least(F.lit(1.0), F.lit(2.0 * max_n) / F.col("n"))
-    thr = counts.select("cid", "_g", "n", F.when(frac >= 1.0, F.lit(None).cast("double")).otherwise(
-        F.lit(-(2.0 ** 63)) + frac * F.lit(2.0 ** 64)).alias("_t"))
-    kept = long.join(thr, ["cid", "_g"]).where(F.col("_t").isNull() | (F.col("_h").cast("double") <= F.col("_t")))
+        counts = stored_table(long.groupBy("cid", "_g").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+        sized = long.join(counts, ["cid", "_g"])  # one row per column and group: broadcast if small
+    else:
+        row = df.agg(*[F.count(as_double(df, n)).alias(f"n{i}") for i, n in enumerate(names)]).collect()[0]
+        sizes = [int(row[f"n{i}"]) for i in range(len(names))]
+        counts = df.sparkSession.createDataFrame([(i, "", n) for i, n in enumerate(sizes) if n], "cid int, _g string, n long")
+        sized = long.withColumn("n", F.get(F.array(*[F.lit(n).cast("long") for n in sizes]), F.col("cid")))
+    few = F.col("n") <= 2 * max_n
+    kept = sized.where(few | (F.col("_h") < F.lit(float(_SPACE)) * 2 * max_n / F.col("n")))
     w = Window.partitionBy("cid", "_g").orderBy("_h", "value")
-    sample = kept.select("cid", "_g", "value", "n", F.row_number().over(w).alias("_r")).where(F.col("_r") <= max_n)
-    res = sample.select("cid", "_g", "value").groupBy("cid", "_g").applyInPandas(
-        _kernel, "cid int, _g string, statistic double, p_value double, sample_size_used long")
-    out = res.join(counts, ["cid", "_g"]).select(
+    sample = kept.select("cid", "_g", "value", "_h", F.row_number().over(w).alias("_r")).where(F.col("_r") <= max_n)
+    res = sample.select("cid", "_g", "value", "_h").groupBy("cid", "_g").applyInPandas(
+        _kernel, "cid int, _g string, statistic double, p_value double, sample_size_used long, repeated long")
+    joined = counts.join(res, ["cid", "_g"], "left")
+    bad = (F.col("n") > max_n) & ((F.coalesce("sample_size_used", F.lit(0)) < max_n) | (F.col("repeated") > 0))
+    used = F.when(bad, F.raise_error(F.lit("The sampling key does not identify rows"))).otherwise(F.col("sample_size_used"))
+    return joined.select(
         name_at(names, F.col("cid")).alias("column"),
         *([F.col("_g").alias(by)] if by else []),
-        "statistic", "p_value", (F.col("p_value") > ALPHA).alias("is_normal"), "sample_size_used",
+        "statistic", "p_value", (F.col("p_value") > ALPHA).alias("is_normal"), used.cast("long").alias("sample_size_used"),
         F.col("n").cast("long").alias("n"))
-    return out

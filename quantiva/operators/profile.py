@@ -228,7 +228,7 @@ def basic_info(df: DataFrame, numeric: list[str] | None = None) -> DataFrame:
 
 
 def quality_report(df: DataFrame) -> DataFrame:
-    """Rows, columns, missing %, duplicates, columns with any / all missing,
+    """Rows, columns, missing cells and %, duplicates, columns with any / all missing,
     numeric and categorical counts by dtype, data volume (one row)."""
     names = df.columns
     counts = df.agg(F.count(F.lit(1)).alias("rows"), _bytes_agg(df).alias("estimated_bytes"),
@@ -244,7 +244,7 @@ def quality_report(df: DataFrame) -> DataFrame:
         F.col("rows").cast("long").alias("total_rows"),
         F.lit(len(names)).cast("long").alias("total_columns"),
         (F.try_divide(F.col("missing"), F.col("rows") * F.lit(len(names))) * 100).alias("missing_data_percentage"),
-        "duplicate_rows",
+        "duplicate_rows", F.col("missing").cast("long").alias("missing_values"),
         F.col("_any").alias("columns_with_missing_data"),
         F.col("_all").alias("columns_all_missing"),
         F.lit(n_num).cast("long").alias("numeric_columns_count"),

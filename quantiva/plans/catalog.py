@@ -12,11 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import NULL_TOKENS
 from ..operators import (adhoc, categorical, cleaning, conversations, correlate, describe, distribution, inference,
-                         normality, outliers, profile)
+                         kendall, normality, outliers, profile)
 from ..session import read_table, scratch_dir
-from ..sources import admission, csv as csvsrc, storage
+from ..sources import csv as csvsrc, storage
 
 LINE4 = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINE8 = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"] + LINE4
@@ -132,6 +131,47 @@ def sql_corr_spearman():
     return _labelled(_pearson_sql(f"(SELECT {ranks} FROM lineitem) r", LINE4))
 
 
+def _line_gaps(spark, sf):
+    return _t(spark, sf, "lineitem").select(
+        "l_quantity", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_discount")).alias("l_discount"),
+        F.when(F.col("l_partkey") % 5 != 0, F.col("l_extendedprice")).alias("l_extendedprice"))
+
+
+GAPS3 = ["l_quantity", "l_discount", "l_extendedprice"]
+
+
+def q_corr_spearman_gaps(spark, sf):
+    return sig(correlate.correlation(_line_gaps(spark, sf), GAPS3, "spearman"))
+
+
+def sql_corr_spearman_gaps():
+    src = """(SELECT l_quantity, CASE WHEN l_orderkey % 7 <> 0 THEN l_discount END AS l_discount,
+      CASE WHEN l_partkey % 5 <> 0 THEN l_extendedprice END AS l_extendedprice FROM lineitem)"""
+    parts = []
+    for a, b in _pairs(GAPS3):
+        ranks = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in (a, b))
+        parts.append(_pearson_sql(f"(SELECT {ranks} FROM {src} x WHERE {a} IS NOT NULL AND {b} IS NOT NULL) r", [a, b]))
+    return _labelled(" UNION ALL ".join(parts))
+
+
+def q_corr_kendall_lineitem(spark, sf):
+    return sig(kendall.kendall_pairs(_t(spark, sf, "lineitem"), [("l_quantity", "l_discount")]).select(
+        "column1", "column2", "n", *[F.col(c).cast("long").alias(c) for c in ("concordant", "discordant", "ties_x", "ties_y", "ties_xy")],
+        "tau_b"))
+
+
+def sql_corr_kendall_lineitem():
+    return f"""WITH c AS (SELECT l_quantity AS x, l_discount AS y, CAST(count(*) AS HUGEINT) AS w FROM lineitem
+              WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL GROUP BY 1, 2),
+      p AS (SELECT sum(CASE WHEN a.x < b.x AND a.y < b.y THEN a.w * b.w ELSE 0 END) AS con,
+                   sum(CASE WHEN a.x < b.x AND a.y > b.y THEN a.w * b.w ELSE 0 END) AS dis FROM c a, c b),
+      t AS (SELECT (SELECT sum(w) FROM c) AS n, (SELECT sum(k * (k - 1) // 2) FROM (SELECT sum(w) AS k FROM c GROUP BY x)) AS tx,
+              (SELECT sum(k * (k - 1) // 2) FROM (SELECT sum(w) AS k FROM c GROUP BY y)) AS ty, (SELECT sum(w * (w - 1) // 2) FROM c) AS txy)
+      SELECT 'l_quantity' AS column1, 'l_discount' AS column2, CAST(n AS BIGINT) AS n, CAST(con AS BIGINT) AS concordant,
+        CAST(dis AS BIGINT) AS discordant, CAST(tx AS BIGINT) AS ties_x, CAST(ty AS BIGINT) AS ties_y, CAST(txy AS BIGINT) AS ties_xy,
+        {S('CAST(con - dis AS DOUBLE) / sqrt(CAST(n * (n - 1) // 2 - tx AS DOUBLE) * CAST(n * (n - 1) // 2 - ty AS DOUBLE))')} AS tau_b FROM p, t"""
+
+
 CUST3 = ["c_custkey", "c_nationkey", "c_acctbal"]
 
 
@@ -207,16 +247,33 @@ def _flags_sql(table, cols):
               CASE WHEN f.sdp > 0 THEN abs((v.v - f.mean) / f.sdp) END AS z FROM v JOIN f USING (col))"""
 
 
+def _values_text(column):
+    """An array of doubles as text (ten-thousandths, the same arithmetic as ``_VALUES_SQL``)."""
+    return F.concat_ws(",", F.transform(column, lambda v: F.floor(v * 10000 + 0.5).cast("bigint").cast("string")))
+
+
+_VALUES_SQL = "CAST(CAST(floor(v * 10000 + 0.5) AS BIGINT) AS VARCHAR)"
+
+
+def _first_values_sql():
+    """t: the first ten flagged values of each column and method as text."""
+    return f""", u AS (SELECT col, 'iqr' AS method, v, greatest(lo - v, v - hi) AS d FROM j WHERE iqr_flag
+              UNION ALL SELECT col, 'zscore', v, z FROM j WHERE z > 3),
+      r AS (SELECT col, method, v, row_number() OVER (PARTITION BY col, method ORDER BY d DESC, v ASC) AS rk FROM u),
+      t AS (SELECT col, method, string_agg({_VALUES_SQL}, ',' ORDER BY rk) AS vals FROM r WHERE rk <= 10 GROUP BY col, method)"""
+
+
 def q_outliers_iqr(spark, sf):
     o = outliers.outliers(_t(spark, sf, "events"), EVENTS3, ["iqr"])
-    return sig(o.select("column", "method", "count", "percentage", "lower_bound", "upper_bound"))
+    return sig(o).withColumn("outlier_values", _values_text("outlier_values"))
 
 
 def sql_outliers_iqr():
-    return _flags_sql("events", EVENTS3) + f"""
+    return _flags_sql("events", EVENTS3) + _first_values_sql() + f"""
       SELECT col AS "column", 'iqr' AS method, count(*) FILTER (WHERE iqr_flag) AS count,
         {S('count(*) FILTER (WHERE iqr_flag) * 100.0 / max(n)')} AS percentage, {S('max(lo)')} AS lower_bound,
-        {S('max(hi)')} AS upper_bound FROM j GROUP BY col"""
+        {S('max(hi)')} AS upper_bound, CAST(NULL AS DOUBLE) AS threshold,
+        coalesce(max((SELECT vals FROM t WHERE t.col = j.col AND t.method = 'iqr')), '') AS outlier_values FROM j GROUP BY col"""
 
 
 def q_outliers_zscore(spark, sf):
@@ -232,15 +289,17 @@ def sql_outliers_zscore():
 
 def q_outliers_both(spark, sf):
     o = outliers.outliers(_t(spark, sf, "orders"), ["o_totalprice"])
-    return sig(o.select("column", "method", "count", "percentage"))
+    return sig(o).withColumn("outlier_values", _values_text("outlier_values"))
 
 
 def sql_outliers_both():
-    return _flags_sql("orders", ["o_totalprice"]) + f"""
+    vals = "coalesce(max((SELECT vals FROM t WHERE t.col = j.col AND t.method = '{m}')), '') AS outlier_values"
+    return _flags_sql("orders", ["o_totalprice"]) + _first_values_sql() + f"""
       SELECT col AS "column", 'iqr' AS method, count(*) FILTER (WHERE iqr_flag) AS count,
-        {S('count(*) FILTER (WHERE iqr_flag) * 100.0 / max(n)')} AS percentage FROM j GROUP BY col
-      UNION ALL SELECT col, 'zscore', count(*) FILTER (WHERE z > 3), {S('count(*) FILTER (WHERE z > 3) * 100.0 / max(n)')}
-      FROM j GROUP BY col"""
+        {S('count(*) FILTER (WHERE iqr_flag) * 100.0 / max(n)')} AS percentage, {S('max(lo)')} AS lower_bound, {S('max(hi)')} AS upper_bound,
+        CAST(NULL AS DOUBLE) AS threshold, {vals.format(m='iqr')} FROM j GROUP BY col
+      UNION ALL SELECT col, 'zscore', count(*) FILTER (WHERE z > 3), {S('count(*) FILTER (WHERE z > 3) * 100.0 / max(n)')},
+        NULL, NULL, CAST(3.0 AS DOUBLE), {vals.format(m='zscore')} FROM j GROUP BY col"""
 
 
 def q_outlier_rows(spark, sf):
@@ -277,11 +336,6 @@ def sql_outlier_records_z():
       FROM events, f WHERE value IS NOT NULL AND s > 0 AND abs((value - m) / s) > 3"""
 
 
-def q_distribution_report(spark, sf):
-    d = distribution.distribution_report(_t(spark, sf, "lineitem"), LINE4)
-    return sig(d)
-
-
 def q_outlier_summary(spark, sf):
     return sig(outliers.outlier_summary(_t(spark, sf, "events"), ["value"]))
 
@@ -325,19 +379,97 @@ def sql_distribution_shape():
 
 def q_distribution_type(spark, sf):
     d = distribution.distribution(_t(spark, sf, "events"), EVENTS3)
-    return sig(d.select("column", "min", "distribution_type"))
+    return sig(d)
 
 
 def sql_distribution_type():
-    return f"""SELECT "column", {S('mn')} AS min,
-      CASE WHEN abs(s) < 0.5 AND abs(k) < 0.5 THEN 'Normal distribution'
-           WHEN abs(s) > 1 THEN 'Exponential or Log-normal distribution'
-           WHEN mn >= 0 AND abs(s) > 0.5 THEN 'Gamma or Weibull distribution'
-           ELSE 'Non-standard distribution' END AS distribution_type FROM ({_shape_sql('events', EVENTS3)}) t"""
+    return f"""SELECT "column", n, {S('s')} AS skewness, {S('k')} AS kurtosis, {S('mn')} AS min, {_skew_label('s')} AS skew_label,
+      {_kurt_label('k')} AS kurt_label, {_type_sql('s', 'k', 'mn')} AS distribution_type FROM ({_shape_sql('events', EVENTS3)}) t"""
+
+
+LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]
 
 
 def q_normality_shapiro(spark, sf):
-    return sig(normality.normality(_t(spark, sf, "lineitem"), LINE4))
+    return sig(normality.normality(_t(spark, sf, "lineitem"), LINE4, key=LINE_KEY))
+
+
+# Wichura's algorithm AS 241 (numerator and denominator, highest power first) for the
+# central part and the tail, and Royston's AS R94 polynomials (lowest power first).
+AS241_CENTRE = (["2509.0809287301226727", "33430.575583588128105", "67265.770927008700853", "45921.953931549871457",
+                 "13731.693765509461125", "1971.5909503065514427", "133.14166789178437745", "3.387132872796366608"],
+                ["5226.495278852854561", "28729.085735721942674", "39307.89580009271061", "21213.794301586595867",
+                 "5394.1960214247511077", "687.1870074920579083", "42.313330701600911252", "1.0"])
+AS241_TAIL = (["0.000774545014278341407640", "0.0227238449892691845833", "0.241780725177450611770", "1.27045825245236838258",
+               "3.64784832476320460504", "5.76949722146069140550", "4.63033784615654529590", "1.42343711074968357734"],
+              ["0.00000000105075007164441684324", "0.000547593808499534494600", "0.0151986665636164571966", "0.148103976427480074590",
+               "0.689767334985100004550", "1.67638483018380384940", "2.05319162663775882187", "1.0"])
+ROYSTON = {"c1": [0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056], "c2": [0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633],
+           "mu": [-1.5861, -0.31082, -0.083751, 0.0038915], "sd": [-0.4803, -0.082676, 0.0030302]}
+
+
+def _horner(coefficients, x):
+    out = str(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out}) * {x} + ({c})"
+    return f"({out})"
+
+
+def _shapiro_sql(table, cols, key):
+    """CTEs down to w(col, n, total, w, p): AS R94 for samples of 12 values or more."""
+    ks = ", ".join(f"CAST({k} AS VARCHAR)" for k in key)
+    picked = " UNION ALL ".join(
+        f"""SELECT '{c}' AS col, CAST({c} AS DOUBLE) AS v, row_number() OVER (ORDER BY substr(md5(concat_ws('|', '42', {ks})), 1, 15), {c}) AS r,
+        count(*) OVER () AS total FROM {table} WHERE {c} IS NOT NULL""" for c in cols)
+    centre = f"(pr - 0.5) * {_horner(AS241_CENTRE[0], 'rc')} / {_horner(AS241_CENTRE[1], 'rc')}"
+    tail = f"-{_horner(AS241_TAIL[0], 'rt')} / {_horner(AS241_TAIL[1], 'rt')}"
+    poly = lambda k, x: _horner(list(reversed(ROYSTON[k])), x)
+    return f"""pick AS (SELECT col, v, total, row_number() OVER (PARTITION BY col ORDER BY v) AS i,
+              count(*) OVER (PARTITION BY col) AS n FROM ({picked}) q WHERE r <= 5000),
+      pr AS (SELECT col, i, n, (i - 0.375) / (n + 0.25) AS pr FROM pick WHERE i <= n // 2),
+      r2 AS (SELECT *, 0.180625 - (pr - 0.5) * (pr - 0.5) AS rc, sqrt(-ln(pr)) - 1.6 AS rt FROM pr),
+      m AS (SELECT col, i, n, CASE WHEN abs(pr - 0.5) <= 0.425 THEN {centre} ELSE {tail} END AS m FROM r2),
+      t AS (SELECT col, n, 2 * sum(m * m) AS s2, max(CASE WHEN i = 1 THEN m END) AS m1, max(CASE WHEN i = 2 THEN m END) AS m2,
+              1 / sqrt(n) AS rn FROM m GROUP BY col, n),
+      a1 AS (SELECT *, {poly('c1', 'rn')} - m1 / sqrt(s2) AS a1, {poly('c2', 'rn')} - m2 / sqrt(s2) AS a2 FROM t),
+      fac AS (SELECT *, sqrt((s2 - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) AS f FROM a1),
+      b AS (SELECT m.col, sum(CASE m.i WHEN 1 THEN a1 WHEN 2 THEN a2 ELSE -m.m / f END * (hi.v - lo.v)) AS b
+            FROM m JOIN fac USING (col) JOIN pick lo ON lo.col = m.col AND lo.i = m.i
+              JOIN pick hi ON hi.col = m.col AND hi.i = m.n + 1 - m.i GROUP BY m.col),
+      q AS (SELECT col, max(n) AS n, max(total) AS total, var_pop(v) * max(n) AS ssq FROM pick GROUP BY col),
+      w0 AS (SELECT q.col, n, total, b * b / ssq AS w, ln(n) AS ln FROM q JOIN b USING (col)),
+      z AS (SELECT *, (ln(1 - w) - {poly('mu', 'ln')}) / exp({poly('sd', 'ln')}) AS z FROM w0),
+      zz AS (SELECT *, least(10.0, 45.0 / greatest(abs(z), 4.5)) / 4000 AS h FROM z),
+      tl AS (SELECT col, n, total, w, z, exp(-z * z / 2) / sqrt(2 * pi()) * h / 3 * sum(CASE WHEN i = 0 OR i = 4000 THEN 1
+               WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-abs(z) * i * h - i * h * i * h / 2)) AS t
+             FROM zz, range(0, 4001) g(i) GROUP BY col, n, total, w, z, h),
+      w AS (SELECT col, n, total, w, CASE WHEN z >= 0 THEN t ELSE 1 - t END AS p FROM tl)"""
+
+
+def sql_normality_shapiro():
+    return f"""WITH {_shapiro_sql('lineitem', LINE4, LINE_KEY)}
+      SELECT col AS "column", {S('w')} AS statistic, {S('p')} AS p_value, p > 0.05 AS is_normal, n AS sample_size_used, total AS n FROM w"""
+
+
+def q_distribution_report(spark, sf):
+    return sig(distribution.distribution_report(_t(spark, sf, "lineitem"), LINE4, key=LINE_KEY))
+
+
+def _type_sql(s, k, mn):
+    return f"""CASE WHEN abs({s}) < 0.5 AND abs({k}) < 0.5 THEN 'Normal distribution'
+           WHEN abs({s}) > 1 THEN 'Exponential or Log-normal distribution'
+           WHEN {mn} >= 0 AND abs({s}) > 0.5 THEN 'Gamma or Weibull distribution'
+           ELSE 'Non-standard distribution' END"""
+
+
+def sql_distribution_report():
+    return f"""WITH {_shapiro_sql('lineitem', LINE4, LINE_KEY)}, d AS ({_shape_sql('lineitem', LINE4)}),
+      l AS (SELECT d."column", d.n, d.s, d.k, {_skew_label('d.s')} AS sl, {_kurt_label('d.k')} AS kl, {_type_sql('d.s', 'd.k', 'd.mn')} AS ty,
+              w.w, w.p, w.n AS used FROM d JOIN w ON w.col = d."column")
+      SELECT "column", n, {S('s')} AS skewness, {S('k')} AS kurtosis, sl AS skew_label, kl AS kurt_label, ty AS distribution_type,
+        {S('w')} AS statistic, {S('p')} AS p_value, p > 0.05 AS is_normal, used AS sample_size_used,
+        printf('Distribution analysis for ''%s'': %s distribution (Shapiro-Wilk p-value: %.4f). Shape: %s, %s. Suggested type: %s',
+          "column", CASE WHEN p > 0.05 THEN 'Normal' ELSE 'Non-normal' END, round_even(p, 4), sl, kl, ty) AS interpretation FROM l"""
 
 
 def q_histogram(spark, sf):
@@ -439,8 +571,7 @@ def _tp_cte(src):
 
 def q_pearson_test(spark, sf):
     t = inference.pearson_test(_t(spark, sf, "lineitem"), "l_quantity", "l_discount")
-    return sig(t.select("test_type", "statistic", "p_value", "df1", "n", "is_significant", "interpretation",
-                        F.concat_ws(" | ", "recommendations").alias("recommendations")))
+    return _whole(t)
 
 
 def _recs_sql(p, test):
@@ -455,15 +586,20 @@ def sql_pearson_test():
     r = "corr(l_quantity, l_discount)"
     n = "count(*)"
     return f"""WITH s AS (SELECT {r} AS r, {n} AS n FROM lineitem), {_tp_cte('s')}
-      SELECT 'Pearson Correlation' AS test_type, {S('r')} AS statistic, {S('p')} AS p_value, n - 2 AS df1, n,
-        p < 0.05 AS is_significant,
+      SELECT 'Pearson Correlation' AS test_type, 'l_quantity,l_discount' AS variables, {S('r')} AS statistic, {S('p')} AS p_value,
+        n - 2 AS df1, CAST(NULL AS BIGINT) AS df2, n, p < 0.05 AS is_significant,
         (CASE WHEN p < 0.05 THEN 'Significant ' ELSE 'Non-significant ' END) || lower({_strength_sql('r')}) || ' correlation' AS interpretation,
         {_recs_sql('p', 'Pearson Correlation')} AS recommendations FROM p"""
 
 
+def _whole(t):
+    """A test's whole result row, arrays as text."""
+    t = t.withColumn("variables", F.concat_ws(",", "variables")).withColumn("recommendations", F.concat_ws(" | ", "recommendations"))
+    return sig(t)
+
+
 def q_anova_test(spark, sf):
-    t = inference.anova_test(_t(spark, sf, "lineitem"), "l_quantity", "l_returnflag")
-    return sig(t.select("test_type", "statistic", "p_value", "df1", "df2", "n", "is_significant", "interpretation", "groups"))
+    return _whole(inference.anova_test(_t(spark, sf, "lineitem"), "l_quantity", "l_returnflag"))
 
 
 def sql_anova_test():
@@ -475,10 +611,10 @@ def sql_anova_test():
             FROM g, t GROUP BY t.k, t.n),
       f AS (SELECT k, n, k - 1 AS df1, n - k AS df2, (ssb / (k - 1)) / (ssw / (n - k)) AS f FROM s),
       p AS (SELECT *, power((df2 * 1.0) / (df2 + 2 * f), df2 / 2.0) AS p FROM f)
-      SELECT 'One-way ANOVA' AS test_type, {S('f')} AS statistic, {S('p')} AS p_value, df1, CAST(df2 AS BIGINT) AS df2,
-        CAST(n AS BIGINT) AS n, p < 0.05 AS is_significant,
+      SELECT 'One-way ANOVA' AS test_type, 'l_quantity,l_returnflag' AS variables, {S('f')} AS statistic, {S('p')} AS p_value, df1,
+        CAST(df2 AS BIGINT) AS df2, CAST(n AS BIGINT) AS n, p < 0.05 AS is_significant,
         CASE WHEN p < 0.05 THEN 'Significant' ELSE 'Non-significant' END || ' difference between groups' AS interpretation,
-        k AS groups FROM p"""
+        {_recs_sql('p', 'One-way ANOVA')} AS recommendations, k AS groups FROM p"""
 
 
 def q_anova_groups(spark, sf):
@@ -503,31 +639,31 @@ def _chi_sql(table, a, b):
 
 
 def q_chi_square_test(spark, sf):
-    t = inference.chi_square_test(_t(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
-    return sig(t.select("test_type", "statistic", "p_value", "df1", "n", "is_significant", "interpretation"))
+    return _whole(inference.chi_square_test(_t(spark, sf, "lineitem"), "l_returnflag", "l_linestatus"))
 
 
 def sql_chi_square_test():
     # 3 x 2 table: dof 2, upper tail exp(-x/2)
-    return _chi_sql("lineitem", "l_returnflag", "l_linestatus") + f"""
-      SELECT 'Chi-square Test of Independence' AS test_type, {S('chi2')} AS statistic, {S('exp(-chi2 / 2)')} AS p_value,
-        (nr - 1) * (nc - 1) AS df1, CAST((SELECT n FROM n) AS BIGINT) AS n, exp(-chi2 / 2) < 0.05 AS is_significant,
-        CASE WHEN exp(-chi2 / 2) < 0.05 THEN 'Significant' ELSE 'Non-significant' END || ' association between variables' AS interpretation
-      FROM x"""
+    return _chi_row("lineitem", "l_returnflag", "l_linestatus", "exp(-chi2 / 2)")
+
+
+def _chi_row(table, a, b, p):
+    return _chi_sql(table, a, b) + f"""
+      SELECT 'Chi-square Test of Independence' AS test_type, '{a},{b}' AS variables, {S('chi2')} AS statistic, {S(p)} AS p_value,
+        (nr - 1) * (nc - 1) AS df1, CAST(NULL AS BIGINT) AS df2, CAST((SELECT n FROM n) AS BIGINT) AS n, {p} < 0.05 AS is_significant,
+        CASE WHEN {p} < 0.05 THEN 'Significant' ELSE 'Non-significant' END || ' association between variables' AS interpretation,
+        {_recs_sql(p, 'Chi-square Test of Independence')} AS recommendations FROM x"""
 
 
 def q_chi_square_2x2(spark, sf):
-    t = inference.chi_square_test(_t(spark, sf, "labels"), "quality", "toxic")
-    return sig(t.select("test_type", "statistic", "p_value", "df1", "n", "is_significant"))
+    return _whole(inference.chi_square_test(_t(spark, sf, "labels"), "quality", "toxic"))
 
 
 def sql_chi_square_2x2():
     # dof 1 with the continuity correction; p = 1 - 2 * int_0^sqrt(x) phi (Simpson)
     p = """(SELECT 1 - 2 * (sqrt(x.chi2) / 2000) / 3 * sum(CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
               * exp(-power(i * sqrt(x.chi2) / 2000, 2) / 2) / sqrt(2 * pi())) FROM range(0, 2001) t(i))"""
-    return _chi_sql("labels", "quality", "toxic") + f"""
-      SELECT 'Chi-square Test of Independence' AS test_type, {S('chi2')} AS statistic, {S(p)} AS p_value,
-        (nr - 1) * (nc - 1) AS df1, CAST((SELECT n FROM n) AS BIGINT) AS n, {p} < 0.05 AS is_significant FROM x"""
+    return _chi_row("labels", "quality", "toxic", p)
 
 
 def q_crosstab(spark, sf):
@@ -540,31 +676,66 @@ def sql_crosstab():
 
 
 def q_chi_square_wide(spark, sf):
-    t = inference.chi_square_test(_t(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
-    return sig(t.select("statistic", "p_value", "df1", "n"))
+    return _whole(inference.chi_square_test(_t(spark, sf, "orders"), "o_orderstatus", "o_orderpriority"))
 
 
 def sql_chi_square_wide():
     # 3 x 5 table: dof 8, upper tail e^(-x/2) * sum_{i<4} (x/2)^i / i!
-    return _chi_sql("orders", "o_orderstatus", "o_orderpriority") + f"""
-      SELECT {S('chi2')} AS statistic,
-        {S('exp(-chi2 / 2) * (1 + chi2 / 2 + power(chi2 / 2, 2) / 2 + power(chi2 / 2, 3) / 6)')} AS p_value,
-        (nr - 1) * (nc - 1) AS df1, CAST((SELECT n FROM n) AS BIGINT) AS n FROM x"""
+    return _chi_row("orders", "o_orderstatus", "o_orderpriority", _TAIL8)
+
+
+_TAIL8 = "exp(-chi2 / 2) * (1 + chi2 / 2 + power(chi2 / 2, 2) / 2 + power(chi2 / 2, 3) / 6)"
+
+
+def _cut(sql):
+    """The columns of ``hypothesis_test`` from a test's own oracle."""
+    return "SELECT " + ", ".join(inference.RESULT_COLUMNS) + f" FROM ({sql}) cut"
 
 
 def q_hypothesis_auto(spark, sf):
-    t = inference.hypothesis_test(_t(spark, sf, "lineitem"), "l_returnflag", "l_quantity")
-    return sig(t.select("test_type", F.concat_ws(",", "variables").alias("variables"), "statistic", "df1", "df2", "n"))
+    return _whole(inference.hypothesis_test(_t(spark, sf, "lineitem"), "l_returnflag", "l_quantity"))
 
 
 def sql_hypothesis_auto():
-    return f"""WITH g AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v
-              FROM lineitem WHERE l_returnflag IS NOT NULL AND l_quantity IS NOT NULL GROUP BY l_returnflag),
-      t AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) / sum(n) AS gm FROM g),
-      s AS (SELECT t.k, t.n, sum(g.n * (g.m - t.gm) * (g.m - t.gm)) AS ssb, sum(coalesce((g.n - 1) * g.v, 0)) AS ssw
-            FROM g, t GROUP BY t.k, t.n)
-      SELECT 'One-way ANOVA' AS test_type, 'l_quantity,l_returnflag' AS variables,
-        {S('(ssb / (k - 1)) / (ssw / (n - k))')} AS statistic, k - 1 AS df1, CAST(n - k AS BIGINT) AS df2, CAST(n AS BIGINT) AS n FROM s"""
+    return _cut(sql_anova_test())
+
+
+def q_hypothesis_auto_pearson(spark, sf):
+    return _whole(inference.hypothesis_test(_t(spark, sf, "lineitem"), "l_quantity", "l_discount"))
+
+
+def sql_hypothesis_auto_pearson():
+    return _cut(sql_pearson_test())
+
+
+def q_hypothesis_auto_chi(spark, sf):
+    return _whole(inference.hypothesis_test(_t(spark, sf, "orders"), "o_orderstatus", "o_orderpriority"))
+
+
+def sql_hypothesis_auto_chi():
+    return _cut(sql_chi_square_wide())
+
+
+def q_hypothesis_explicit(spark, sf):
+    """Every explicit type, one row each."""
+    li = _t(spark, sf, "lineitem")
+    rows = [inference.hypothesis_test(li, "l_quantity", "l_discount", "correlation"),
+            inference.hypothesis_test(li, "l_quantity", "l_returnflag", "anova"),
+            inference.hypothesis_test(li, "l_returnflag", "l_linestatus", "chi_square")]
+    return _whole(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+
+
+def sql_hypothesis_explicit():
+    return " UNION ALL ".join(_cut(x) for x in (sql_pearson_test(), sql_anova_test(), sql_chi_square_test()))
+
+
+def q_crosstab_wide(spark, sf):
+    return inference.crosstab_wide(_t(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+def sql_crosstab_wide():
+    return """SELECT l_returnflag AS a, count(*) FILTER (WHERE l_linestatus = 'F') AS "F", count(*) FILTER (WHERE l_linestatus = 'O') AS "O"
+      FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1"""
 
 
 # ---------------------------------------------------------------- ad-hoc
@@ -738,25 +909,29 @@ NATION = ["n_nationkey", "n_name", "n_regionkey"]
 
 def q_column_listing(spark, sf):
     cl = profile.column_listing(_t(spark, sf, "nation"), 5)
-    return sig(cl.select("column", "null_count", "unique_count", F.concat_ws(",", "sample_values").alias("sample_values")))
+    return sig(cl.drop("cid").withColumn("sample_values", F.concat_ws(",", "sample_values")))
 
 
 def sql_column_listing():
+    kinds = {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"}
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", (SELECT count(*) - count({c}) FROM nation) AS null_count,
+        f"""SELECT '{c}' AS "column", '{kinds[c]}' AS dtype, (SELECT count(*) - count({c}) FROM nation) AS null_count,
+        (SELECT {S(f'(count(*) - count({c})) * 100.0 / count(*)')} FROM nation) AS null_percentage,
         (SELECT count(DISTINCT {c}) FROM nation) AS unique_count,
+        (SELECT {S(f'count(DISTINCT {c}) * 100.0 / count(*)')} FROM nation) AS unique_percentage, {str(kinds[c] == 'int').lower()} AS is_numeric,
         (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT CAST({c} AS VARCHAR) AS v FROM nation WHERE {c} IS NOT NULL
            ORDER BY v LIMIT 5)) AS sample_values""" for c in NATION)
 
 
 def q_column_info(spark, sf):
     ci = profile.column_info(_t(spark, sf, "customer"), "c_mktsegment", 100)
-    return sig(ci.select("column", "null_count", "unique_count", F.concat_ws(",", "unique_values").alias("unique_values"),
-                         F.concat_ws(",", "sample_values").alias("sample_values")))
+    return sig(ci.withColumns({c: F.concat_ws(",", c) for c in ("unique_values", "sample_values")}))
 
 
 def sql_column_info():
-    return """SELECT 'c_mktsegment' AS "column", count(*) - count(c_mktsegment) AS null_count, count(DISTINCT c_mktsegment) AS unique_count,
+    return f"""SELECT 'c_mktsegment' AS "column", 'string' AS dtype, count(*) - count(c_mktsegment) AS null_count,
+      {S('(count(*) - count(c_mktsegment)) * 100.0 / count(*)')} AS null_percentage, count(DISTINCT c_mktsegment) AS unique_count,
+      {S('count(DISTINCT c_mktsegment) * 100.0 / count(*)')} AS unique_percentage, false AS is_numeric,
       (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT c_mktsegment AS v FROM customer WHERE c_mktsegment IS NOT NULL
          ORDER BY v LIMIT 100)) AS unique_values,
       (SELECT string_agg(v, ',' ORDER BY rn) FROM (SELECT c_mktsegment AS v, row_number() OVER (ORDER BY c_mktsegment) AS rn
@@ -776,7 +951,7 @@ def q_quality_report(spark, sf):
     return sig(q.select("total_rows", "total_columns", "missing_data_percentage", "duplicate_rows",
                         F.concat_ws(",", "columns_with_missing_data").alias("columns_with_missing_data"),
                         F.concat_ws(",", "columns_all_missing").alias("columns_all_missing"),
-                        "numeric_columns_count", "categorical_columns_count"))
+                        "numeric_columns_count", "categorical_columns_count", "missing_values", "estimated_bytes"))
 
 
 def sql_quality_report():
@@ -786,7 +961,10 @@ def sql_quality_report():
       count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {EVENTS_GAPS_SQL} d)) AS duplicate_rows,
       concat_ws(',', CASE WHEN count(value) < count(*) THEN 'value' END, CASE WHEN count(props) < count(*) THEN 'props' END)
         AS columns_with_missing_data,
-      '' AS columns_all_missing, CAST(3 AS BIGINT) AS numeric_columns_count, CAST(2 AS BIGINT) AS categorical_columns_count
+      '' AS columns_all_missing, CAST(3 AS BIGINT) AS numeric_columns_count, CAST(2 AS BIGINT) AS categorical_columns_count,
+      count(*) * 5 - count(event_id) - count(user_id) - count(event_type) - count(value) - count(props) AS missing_values,
+      CAST(8 * (count(event_id) + count(user_id) + count(value)) + coalesce(sum(strlen(event_type)), 0) + coalesce(sum(strlen(props)), 0)
+        AS BIGINT) AS estimated_bytes
       FROM {EVENTS_GAPS_SQL} e"""
 
 
@@ -796,18 +974,21 @@ def q_column_info_maps(spark, sf):
                     F.concat_ws(",", "categorical_columns").alias("categorical_columns"),
                     F.concat_ws(",", "datetime_columns").alias("datetime_columns"),
                     F.concat_ws(",", "text_columns").alias("text_columns"),
-                    F.element_at("unique_counts", "user_id").alias("user_id_unique"),
-                    F.element_at("missing_values", "value").alias("value_missing"))
+                    *[F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))),
+                                   ",").alias(c) for c in ("column_types", "missing_values", "unique_counts")])
 
 
 def sql_column_info_maps():
-    return """SELECT CAST(6 AS BIGINT) AS total_columns, 'event_id,user_id,value' AS numeric_columns,
+    listed = lambda f: " || ',' || ".join(f"'{c}=' || CAST({f.format(c=c)} AS VARCHAR)" for c in sorted(EVENTS_ALL))
+    kinds = ",".join(f"{c}={t}" for c, t in sorted(zip(EVENTS_ALL, EVENTS_TYPES)))
+    return f"""SELECT CAST(6 AS BIGINT) AS total_columns, 'event_id,user_id,value' AS numeric_columns,
       concat_ws(',', CASE WHEN count(DISTINCT event_type) * 1.0 / count(*) < 0.5 THEN 'event_type' END,
                      CASE WHEN count(DISTINCT props) * 1.0 / count(*) < 0.5 THEN 'props' END) AS categorical_columns,
       'ts' AS datetime_columns,
       concat_ws(',', CASE WHEN count(DISTINCT event_type) * 1.0 / count(*) >= 0.5 THEN 'event_type' END,
                      CASE WHEN count(DISTINCT props) * 1.0 / count(*) >= 0.5 THEN 'props' END) AS text_columns,
-      count(DISTINCT user_id) AS user_id_unique, count(*) - count(value) AS value_missing FROM events"""
+      '{kinds}' AS column_types, {listed('count(*) - count({c})')} AS missing_values, {listed('count(DISTINCT {c})')} AS unique_counts
+      FROM events"""
 
 
 def q_dataset_context(spark, sf):
@@ -853,14 +1034,58 @@ def sql_analysis_summary():
     corr = f"""SELECT 'correlation', 'pairs.' || k, v FROM (
         WITH p AS (SELECT * FROM ({pairs}) t WHERE correlation IS NOT NULL)
         SELECT 'total_pairs' AS k, CAST(count(*) AS DOUBLE) AS v FROM p
-        UNION ALL SELECT 'strong_correlations', CAST(count(*) FILTER (WHERE abs(correlation) >= 0.6) AS DOUBLE) FROM p
-        UNION ALL SELECT 'strongest_abs_r', max(abs(correlation)) FROM p) q"""
-    return f"""SELECT section, item, {S('value')} AS value FROM ({basic} UNION ALL {var} UNION ALL {out} UNION ALL {corr}) u"""
+        UNION ALL SELECT 'strong_correlations', CAST(count(*) FILTER (WHERE abs(correlation) >= 0.6) AS DOUBLE) FROM p) q"""
+    schema = " UNION ALL ".join(
+        f"""SELECT 'schema', '{c}.' || k, v, t FROM (SELECT 'dtype' AS k, CAST(NULL AS DOUBLE) AS v, '{ty}' AS t
+            UNION ALL SELECT 'null_count', CAST(count(*) - count({c}) AS DOUBLE), NULL FROM lineitem
+            UNION ALL SELECT 'null_percentage', (count(*) - count({c})) * 100.0 / count(*), NULL FROM lineitem
+            UNION ALL SELECT 'unique_count', CAST(count(DISTINCT {c}) AS DOUBLE), NULL FROM lineitem
+            UNION ALL SELECT 'unique_percentage', count(DISTINCT {c}) * 100.0 / count(*), NULL FROM lineitem
+            UNION ALL SELECT 'is_numeric', {0.0 if ty in ('string', 'timestamp_ntz') else 1.0}, NULL) s{i}"""
+        for i, (c, ty) in enumerate(zip(LINE_ALL, LINE_TYPES)))
+    best = f"""SELECT 'correlation', 'pairs.' || k, v, t FROM (
+        WITH b AS (SELECT * FROM ({_labelled(pairs)}) t WHERE correlation IS NOT NULL ORDER BY abs(correlation) DESC, column1, column2 LIMIT 1)
+        SELECT 'strongest_r' AS k, correlation AS v, CAST(NULL AS VARCHAR) AS t FROM b UNION ALL SELECT 'strongest_column1', NULL, column1 FROM b
+        UNION ALL SELECT 'strongest_column2', NULL, column2 FROM b UNION ALL SELECT 'strongest_strength', NULL, strength FROM b
+        UNION ALL SELECT 'strongest_direction', NULL, direction FROM b) q"""
+    recs = """SELECT 'recommendations', k, CAST(NULL AS DOUBLE), t FROM (VALUES
+        ('1', 'Start with descriptive statistics to understand your data'), ('2', 'Check for correlations between numeric variables'),
+        ('3', 'Identify and investigate outliers'), ('4', 'Analyze distributions for normality assumptions'),
+        ('5', 'Use hypothesis testing to validate relationships')) r(k, t)"""
+    return f"""SELECT section, item, {S('value')} AS value, text FROM (
+      SELECT section, item, value, CAST(NULL AS VARCHAR) AS text FROM ({basic} UNION ALL {var} UNION ALL {out} UNION ALL {corr}) u
+      UNION ALL {schema} UNION ALL {best} UNION ALL {recs}) x"""
 
 
 def q_dataset_info(spark, sf):
     from ..operators.summary import dataset_info
-    return dataset_info(_t(spark, sf, "customer"), sf, "customer.parquet")
+    d = dataset_info(_t(spark, sf, "customer"), {"file_names": ["customer.parquet"]})
+    lists = ("file_names", "numeric_columns", "categorical_columns", "datetime_columns", "text_columns")
+    return d.withColumns({c: F.concat_ws(",", c) for c in lists} | {"columns": F.array_join(F.transform(
+        "columns", lambda s: F.concat_ws(":", s["column"], s["dtype"], s["null_count"], s["unique_count"])), ",")})
+
+
+def sql_dataset_info():
+    kinds = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string")]
+    cols = " || ',' || ".join(f"'{c}:{t}:' || CAST(count(*) - count({c}) AS VARCHAR) || ':' || CAST(count(DISTINCT {c}) AS VARCHAR)" for c, t in kinds)
+    share = "CASE WHEN count(DISTINCT {c}) * 1.0 / count(*) {op} 0.5 THEN '{c}' END"
+    texts = lambda op: "concat_ws(',', " + ", ".join(share.format(c=c, op=op) for c in ("c_name", "c_mktsegment")) + ")"
+    return f"""SELECT b.total_rows, b.total_columns, b.estimated_bytes, b.missing_values, b.duplicate_rows, 'customer.parquet' AS file_names,
+      CAST(NULL AS VARCHAR) AS saved_at, i.* FROM ({sql_basic_info()}) b, (SELECT {cols} AS columns,
+      'c_custkey,c_nationkey,c_acctbal' AS numeric_columns, {texts('<')} AS categorical_columns, '' AS datetime_columns,
+      {texts('>=')} AS text_columns FROM customer) i"""
+
+
+def q_context_record(spark, sf):
+    from ..operators.summary import dataset_context_record
+    r = dataset_context_record(_events_with_gaps(spark, sf), ["events.parquet"])
+    return sig(r.withColumns({c: F.concat_ws(",", c) for c in ("file_names", "numeric_columns", "categorical_columns")}))
+
+
+def sql_context_record():
+    return f"""SELECT total_rows AS rows, total_columns AS columns, 'events.parquet' AS file_names, 'event_id,user_id,value' AS numeric_columns,
+      'event_type,props' AS categorical_columns, missing_values, missing_data_percentage AS missing_percentage, duplicate_rows
+      FROM ({sql_quality_report()}) q"""
 
 
 # ---------------------------------------------------------------- typing / cleaning
@@ -883,7 +1108,9 @@ MIXED_SQL = """(SELECT event_id,
        ELSE ' ' || CAST(user_id AS VARCHAR) || ' ' END AS s_num,
   CASE WHEN event_id % 4 = 0 THEN 'N/A' ELSE CAST(value AS VARCHAR) END AS s_major,
   CASE WHEN event_id % 10 < 4 THEN CAST(user_id AS VARCHAR) ELSE 'x' END AS s_minor FROM events)"""
-_TOKENS_SQL = ", ".join("'" + t.replace("'", "''") + "'" for t in NULL_TOKENS)
+# The missing-value tokens, written out here on their own.
+_TOKENS_SQL = """'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN',
+  'None', 'n/a', 'nan', 'null'"""
 _NUM_RE = r"'^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]|[iI][nN][fF][iI][nN][iI][tT][yY])\s*$'"
 
 
@@ -915,11 +1142,61 @@ def sql_infer_types():
       FROM (SELECT event_id, CASE WHEN s_major = 'N/A' THEN NULL ELSE s_major END AS s_major, s_minor, s_tok FROM {MIXED_SQL} m) t"""
 
 
-def q_drop_empty(spark, sf):
+def _typed_source(spark, sf):
+    """Text columns of every target: integers beyond 2**53, small integers, decimals, mostly text, categories."""
+    e = _t(spark, sf, "events")
+    return e.select(
+        (F.col("event_id") + 9007199254740993).cast("string").alias("big"), (F.col("event_id") % 100).cast("string").alias("small"),
+        F.concat((F.col("event_id") % 30000).cast("string"), F.lit(".0")).alias("whole"), F.col("value").cast("string").alias("dec"),
+        F.when(F.col("event_id") % 10 < 4, F.col("user_id").cast("string")).otherwise(F.concat(F.lit("x"), F.col("event_id"))).alias("txt"),
+        "event_type")
+
+
+def q_infer_types_exact(spark, sf):
+    df, _ = cleaning.infer_types(_typed_source(spark, sf), narrow=True)
+    return df.select("big", F.col("small").cast("int").alias("small"), F.col("whole").cast("int").alias("whole"), "txt", "event_type")
+
+
+def sql_infer_types_exact():
+    return """SELECT event_id + 9007199254740993 AS big, CAST(event_id % 100 AS INTEGER) AS small, CAST(event_id % 30000 AS INTEGER) AS whole,
+      CASE WHEN event_id % 10 < 4 THEN CAST(user_id AS VARCHAR) ELSE 'x' || CAST(event_id AS VARCHAR) END AS txt, event_type FROM events"""
+
+
+def q_infer_types_report(spark, sf):
+    return sig(cleaning.infer_types(_typed_source(spark, sf), narrow=True)[1])
+
+
+def sql_infer_types_report():
+    row = lambda c, x, integral, target, role, where="": f"""SELECT '{c}' AS "column", count({x}) AS parsed,
+      (SELECT count(*) FROM events) AS total, {integral} AS all_integral, {S(f'CAST(min({x}) AS DOUBLE)')} AS min, {S(f'CAST(max({x}) AS DOUBLE)')} AS max,
+      '{target}' AS target_type, {role} AS role FROM events{where}"""
+    cat = lambda x: f"CASE WHEN count(DISTINCT {x}) * 1.0 / count(*) < 0.5 THEN 'categorical' ELSE 'text' END"
+    num = "'numeric'"
+    return " UNION ALL ".join([
+        row("big", "event_id + 9007199254740993", "true", "bigint", num), row("small", "event_id % 100", "true", "tinyint", num),
+        row("whole", "event_id % 30000", "true", "smallint", num), row("dec", "value", "count(value) = count(*) FILTER (WHERE value % 1 = 0)", "float", num),
+        row("txt", "CASE WHEN event_id % 10 < 4 THEN user_id END", "true", "string",
+            cat("CASE WHEN event_id % 10 < 4 THEN CAST(user_id AS VARCHAR) ELSE 'x' || CAST(event_id AS VARCHAR) END")),
+        row("event_type", "CASE WHEN false THEN 1 END", "true", "string", cat("event_type"))])
+
+
+def _gapped_customers(spark, sf):
     c = _t(spark, sf, "customer")
     gap = F.col("c_custkey") % 50 == 0
-    d = c.select(*[F.when(~gap, F.col(n)).alias(n) for n in c.columns], F.lit(None).cast("string").alias("empty_col"))
-    clean, _ = profile.drop_empty(d)
+    return c.select(*[F.when(~gap, F.col(n)).alias(n) for n in c.columns], F.lit(None).cast("string").alias("empty_col"))
+
+
+def q_drop_empty_report(spark, sf):
+    r = profile.drop_empty(_gapped_customers(spark, sf))[1]
+    return r.withColumn("removed_columns", F.concat_ws(",", "removed_columns"))
+
+
+def sql_drop_empty_report():
+    return "SELECT count(*) AS rows_removed, CAST(1 AS BIGINT) AS columns_removed, 'empty_col' AS removed_columns FROM customer WHERE c_custkey % 50 = 0"
+
+
+def q_drop_empty(spark, sf):
+    clean, _ = profile.drop_empty(_gapped_customers(spark, sf))
     return sig(clean)
 
 
@@ -939,13 +1216,13 @@ def sql_sanitize_columns():
 # ---------------------------------------------------------------- conversations
 def q_conversation_fold(spark, sf):
     f = conversations.conversation_fold(_t(spark, sf, "conversations"))
-    return f.select("conv_id", "message_count", F.col("messages")[0]["role"].alias("first_role"),
-                    F.element_at("messages", -1)["turn"].alias("last_turn"))
+    return f.select("conv_id", "message_count", F.md5(F.array_join(F.transform(
+        "messages", lambda m: F.concat_ws("|", m["turn"].cast("string"), m["role"], m["text"])), "\n")).alias("messages_md5"))
 
 
 def sql_conversation_fold():
-    return """SELECT conv_id, count(*) AS message_count, arg_min(role, struct_pack(turn, role, text)) AS first_role,
-      max(turn) AS last_turn FROM conversations GROUP BY conv_id"""
+    return """SELECT conv_id, count(*) AS message_count, md5(string_agg(concat_ws('|', CAST(turn AS VARCHAR), role, text), chr(10)
+      ORDER BY turn, role, text)) AS messages_md5 FROM conversations GROUP BY conv_id"""
 
 
 def q_conversation_unfold(spark, sf):
@@ -972,64 +1249,81 @@ def q_query_topics(spark, sf):
 
 
 def sql_query_topics():
-    parts = []
-    for tag, words in conversations.TOPIC_RULES:
-        cond = " OR ".join(f"contains(lower(text), '{w}')" for w in words)
-        parts.append(f"CASE WHEN {cond} THEN '{tag}' END")
-    joined = f"concat_ws(',', {', '.join(parts)})"
-    return f"SELECT conv_id, turn, role, CASE WHEN {joined} = '' THEN 'general_inquiry' ELSE {joined} END AS topics FROM conversations"
+    # Topics and their words, written out here on their own.
+    return """WITH t AS (SELECT conv_id, turn, role, lower(text) AS x FROM conversations),
+      h AS (SELECT conv_id, turn, role, concat_ws(',',
+        CASE WHEN contains(x, 'mean') OR contains(x, 'average') OR contains(x, 'median') OR contains(x, 'std') OR contains(x, 'statistics')
+          THEN 'descriptive_statistics' END,
+        CASE WHEN contains(x, 'correlation') OR contains(x, 'relationship') THEN 'correlation_analysis' END,
+        CASE WHEN contains(x, 'outlier') OR contains(x, 'anomaly') THEN 'outlier_detection' END,
+        CASE WHEN contains(x, 'distribution') OR contains(x, 'normal') THEN 'distribution_analysis' END,
+        CASE WHEN contains(x, 'test') OR contains(x, 'hypothesis') THEN 'hypothesis_testing' END) AS topics FROM t)
+      SELECT conv_id, turn, role, CASE WHEN topics = '' THEN 'general_inquiry' ELSE topics END AS topics FROM h"""
 
 
 # ---------------------------------------------------------------- sources
 def q_csv_roundtrip(spark, sf):
+    """Whole texts with quotes, line breaks and commas through CSV files."""
     path = scratch_dir(spark, "csv-roundtrip")
-    csvsrc.write_csv(_t(spark, sf, "customer"), path)
-    return sig(csvsrc.read_csv(spark, path).drop(csvsrc.SOURCE_FILE))
+    docs = _t(spark, sf, "documents")
+    quoted = F.concat(F.lit('say "'), F.col("source"), F.lit('", then: '), F.col("text"))
+    csvsrc.write_csv(docs.select("doc_id", quoted.alias("text"), "lang"), path)
+    back = csvsrc.read_csv(spark, path)
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "lang",
+                       F.col(csvsrc.SOURCE_FILE).rlike(r"^part-\d+-.*\.csv$").alias("from_part_file"))
 
 
 def sql_csv_roundtrip():
-    return f"SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, {S('c_acctbal')} AS c_acctbal, c_mktsegment FROM customer"
+    return """SELECT doc_id, md5('say "' || source || '", then: ' || text) AS text_md5, lang, true AS from_part_file FROM documents"""
 
 
 def q_multi_file_union(spark, sf):
+    """Two folders with different columns; lineage: no file holds rows of both."""
     base = scratch_dir(spark, "multi-file")
     o = _t(spark, sf, "orders")
     keep = F.col("o_orderstatus") != "P"
     csvsrc.write_csv(o.where(keep).select("o_orderkey", "o_orderstatus", "o_totalprice"), f"{base}/a")
     csvsrc.write_csv(o.where(~keep).select("o_orderkey", "o_orderstatus", "o_orderpriority"), f"{base}/b")
     u = csvsrc.read_csv(spark, [f"{base}/a", f"{base}/b"])
-    return sig(u.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
+    open_ = F.col("o_orderstatus") == "P"
+    per_file = u.groupBy(csvsrc.SOURCE_FILE).agg((F.min(open_) == F.max(open_)).alias("file_of_one_folder"))
+    return sig(u.join(per_file, csvsrc.SOURCE_FILE).select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "file_of_one_folder"))
 
 
 def sql_multi_file_union():
     return f"""SELECT o_orderkey, o_orderstatus, {S("CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END")} AS o_totalprice,
-      CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS o_orderpriority FROM orders"""
+      CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS o_orderpriority, true AS file_of_one_folder FROM orders"""
 
 
 def q_dataset_roundtrip(spark, sf):
     path = scratch_dir(spark, "dataset")
-    storage.save_dataset(_t(spark, sf, "part"), path, {"source": "part"})
-    data, _meta = storage.load_dataset(spark, path)
-    return sig(data)
+    storage.save_dataset(_t(spark, sf, "part"), path, {"source": "part", "file_names": ["part.parquet"]})
+    data, meta = storage.load_dataset(spark, path)
+    stamp = meta.select(F.col("source").alias("meta_source"), F.concat_ws(",", "file_names").alias("meta_file_names"),
+                        F.concat_ws(",", "data_shape").alias("meta_shape"), F.col("saved_at").isNotNull().alias("meta_saved"))
+    return sig(profile.attach(data, stamp))
 
 
 def sql_dataset_roundtrip():
-    return f"SELECT p_partkey, p_name, p_brand, p_type, p_size, {S('p_retailprice')} AS p_retailprice FROM part"
-
-
-def q_storage_stats(spark, sf):
-    return storage.storage_stats(spark, sf, "*.parquet").select("file_name", "size_bytes")
-
-
-def q_file_admission(spark, sf):
-    return admission.file_admission(spark, sf).select("file_name", "length", "accepted", "reason")
+    return f"""SELECT p_partkey, p_name, p_brand, p_type, p_size, {S('p_retailprice')} AS p_retailprice, 'part' AS meta_source,
+      'part.parquet' AS meta_file_names, (SELECT CAST(count(*) AS VARCHAR) || ',6' FROM part) AS meta_shape, true AS meta_saved FROM part"""
 
 
 def q_ingest_report(spark, sf):
     from ..operators.summary import ingest
     path = scratch_dir(spark, "ingest-src")
     csvsrc.write_csv(_t(spark, sf, "supplier"), path)
-    return ingest(spark, [path], scratch_dir(spark, "ingest-dst"))
+    r = ingest(spark, [path], scratch_dir(spark, "ingest-dst"))
+    r = r.withColumns({c: F.concat_ws(",", c) for c in ("numeric_columns", "categorical_columns")})
+    return sig(r.withColumn("file_names", F.size("file_names") > 0).withColumnRenamed("file_names", "has_file_names"))
+
+
+def sql_ingest_report():
+    # the fifth column is the file name, one of a few
+    return """SELECT count(*) AS total_rows, CAST(5 AS BIGINT) AS total_columns, true AS has_file_names, CAST(0 AS DOUBLE) AS missing_data_percentage,
+      CAST(0 AS BIGINT) AS duplicate_rows, 's_suppkey,s_nationkey,s_acctbal' AS numeric_columns,
+      concat_ws(',', CASE WHEN count(DISTINCT s_name) * 1.0 / count(*) < 0.5 THEN 's_name' END, '__source_file__') AS categorical_columns
+      FROM supplier"""
 
 
 QUERIES = {
@@ -1037,7 +1331,9 @@ QUERIES = {
     "variable_summaries": (q_variable_summaries, sql_variable_summaries),
     "corr_pearson": (q_corr_pearson, sql_corr_pearson),
     "corr_spearman": (q_corr_spearman, sql_corr_spearman),
+    "corr_spearman_gaps": (q_corr_spearman_gaps, sql_corr_spearman_gaps),
     "corr_kendall": (q_corr_kendall, sql_corr_kendall),
+    "corr_kendall_lineitem": (q_corr_kendall_lineitem, sql_corr_kendall_lineitem),
     "corr_matrix": (q_corr_matrix, sql_corr_matrix),
     "corr_top_pairs": (q_corr_top_pairs, sql_corr_top_pairs),
     "corr_summary": (q_corr_summary, sql_corr_summary),
@@ -1048,10 +1344,10 @@ QUERIES = {
     "outlier_summary": (q_outlier_summary, sql_outlier_summary),
     "outlier_records": (q_outlier_records, sql_outlier_records),
     "outlier_records_z": (q_outlier_records_z, sql_outlier_records_z),
-    "distribution_report": (q_distribution_report, None),
+    "distribution_report": (q_distribution_report, sql_distribution_report),
     "distribution_shape": (q_distribution_shape, sql_distribution_shape),
     "distribution_type": (q_distribution_type, sql_distribution_type),
-    "normality_shapiro": (q_normality_shapiro, None),
+    "normality_shapiro": (q_normality_shapiro, sql_normality_shapiro),
     "histogram": (q_histogram, sql_histogram),
     "distribution_by_group": (q_distribution_by_group, sql_distribution_by_group),
     "value_counts": (q_value_counts, sql_value_counts),
@@ -1065,7 +1361,11 @@ QUERIES = {
     "chi_square_2x2": (q_chi_square_2x2, sql_chi_square_2x2),
     "chi_square_wide": (q_chi_square_wide, sql_chi_square_wide),
     "crosstab": (q_crosstab, sql_crosstab),
+    "crosstab_wide": (q_crosstab_wide, sql_crosstab_wide),
     "hypothesis_auto": (q_hypothesis_auto, sql_hypothesis_auto),
+    "hypothesis_auto_pearson": (q_hypothesis_auto_pearson, sql_hypothesis_auto_pearson),
+    "hypothesis_auto_chi": (q_hypothesis_auto_chi, sql_hypothesis_auto_chi),
+    "hypothesis_explicit": (q_hypothesis_explicit, sql_hypothesis_explicit),
     "group_aggregate": (q_group_aggregate, sql_group_aggregate),
     "compare_groups": (q_compare_groups, sql_compare_groups),
     "filter_rows": (q_filter_rows, sql_filter_rows),
@@ -1086,11 +1386,15 @@ QUERIES = {
     "column_info_maps": (q_column_info_maps, sql_column_info_maps),
     "dataset_context": (q_dataset_context, sql_dataset_context),
     "analysis_summary": (q_analysis_summary, sql_analysis_summary),
-    "dataset_info": (q_dataset_info, None),
+    "dataset_info": (q_dataset_info, sql_dataset_info),
+    "context_record": (q_context_record, sql_context_record),
     "null_tokens": (q_null_tokens, sql_null_tokens),
     "coerce_numeric": (q_coerce_numeric, sql_coerce_numeric),
     "infer_types": (q_infer_types, sql_infer_types),
+    "infer_types_exact": (q_infer_types_exact, sql_infer_types_exact),
+    "infer_types_report": (q_infer_types_report, sql_infer_types_report),
     "drop_empty": (q_drop_empty, sql_drop_empty),
+    "drop_empty_report": (q_drop_empty_report, sql_drop_empty_report),
     "sanitize_columns": (q_sanitize_columns, sql_sanitize_columns),
     "conversation_fold": (q_conversation_fold, sql_conversation_fold),
     "conversation_unfold": (q_conversation_unfold, sql_conversation_unfold),
@@ -1099,7 +1403,5 @@ QUERIES = {
     "csv_roundtrip": (q_csv_roundtrip, sql_csv_roundtrip),
     "multi_file_union": (q_multi_file_union, sql_multi_file_union),
     "dataset_roundtrip": (q_dataset_roundtrip, sql_dataset_roundtrip),
-    "storage_stats": (q_storage_stats, None),
-    "file_admission": (q_file_admission, None),
-    "ingest_report": (q_ingest_report, None),
+    "ingest_report": (q_ingest_report, sql_ingest_report),
 }

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DataProcessingError
-from ..functions.columns import NULL_TOKENS
+from ..functions.columns import NULL_TOKENS, col
 from ..operators.cleaning import infer_types, null_tokens
 
 SOURCE_FILE = "__source_file__"
+_EXTRA = "__extra_field__"
 
 
 def _list_files(spark: SparkSession, paths: list[str], ext: str = ".csv") -> list[str]:
@@ -32,53 +33,59 @@ def _list_files(spark: SparkSession, paths: list[str], ext: str = ".csv") -> lis
     return sorted(out)
 
 
-def _header(spark: SparkSession, path: str) -> str | None:
-    """First line of a file (one line read per file; file metadata, not data).
-    Compressed files are read through their Hadoop codec, as Spark reads them."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    stream = fs.open(p)
-    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
-    if codec is not None:
-        stream = codec.createInputStream(stream)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-    try:
-        return reader.readLine()
-    finally:
-        reader.close()
+def _file_facts(spark: SparkSession, files: list[str]) -> list[dict]:
+    """header (first line that is not blank), quoted (some line has an odd number of quotes, so a
+    field may go on in the next line) and the paths of the files that share both: one Spark job."""
+    lines = spark.read.text(files).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"), "value")
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    full = F.trim("value") != ""
+    per_file = lines.groupBy("path").agg(
+        F.min_by("value", F.when(full, F.struct("start", "id"))).alias("header"), F.max(F.when(full, 1)).alias("any"),
+        F.max((quotes % 2).cast("int")).alias("odd"))
+    groups = per_file.where(F.col("any").isNotNull()).groupBy("header", (F.col("odd") == 1).alias("quoted")).agg(
+        F.array_sort(F.collect_list("path")).alias("paths"))  # file names, as in any listing
+    return [r.asDict() for r in groups.orderBy("header", "quoted").collect()]
+
 
+def _reader(spark: SparkSession, quoted: bool):
+    return (spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", quoted)
+            .option("mode", "PERMISSIVE").option("enforceSchema", True))
 
-def read_csv(spark: SparkSession, paths, null_values=NULL_TOKENS, infer: bool = True, narrow: bool = False,
-             multiline: bool = False) -> DataFrame:
+
+def read_csv(spark: SparkSession, paths, null_values=NULL_TOKENS, infer: bool = True, narrow: bool = False) -> DataFrame:
     """Read CSV files into one DataFrame tagged with ``__source_file__``.
 
-    Files are grouped by header line; each group is one splittable scan with
-    every column read as text; groups are combined with
-    ``unionByName(allowMissingColumns=True)``.  Missing-value tokens become
-    NULL; ``infer`` then applies the majority-numeric typing (T3-T5).
+    Files are grouped by header line; each group is one scan with every column
+    read as text; groups are combined with ``unionByName(allowMissingColumns=
+    True)``.  Quotes inside quoted fields are doubled; files in which a quoted
+    field goes over several lines are found beforehand and read whole, all
+    others stay splittable.  Blank lines before the header are skipped, empty
+    files too; missing fields at the end of a line are NULL; a line with more
+    fields than the header ends the query with an error.  Missing-value tokens
+    become NULL; ``infer`` then applies the majority-numeric typing (T3-T5).
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = _list_files(spark, paths)
-    groups: dict[str, list[str]] = {}
-    for f in files:
-        h = _header(spark, f)
-        if h:  # empty files are skipped
-            groups.setdefault(h, []).append(f)
-    if not groups:
-        raise DataProcessingError("No valid data found in any input files")
     out = None
-    for h, fs in groups.items():
-        part = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline)
-                .option("mode", "PERMISSIVE").csv(fs))
-        part = part.withColumn(SOURCE_FILE, F.col("_metadata.file_name"))
+    for g in _file_facts(spark, files) if files else []:
+        names = _reader(spark, g["quoted"]).option("inferSchema", False).csv(g["paths"][0]).columns
+        fields = ", ".join("`" + n.replace("`", "``") + "` string" for n in [*names, _EXTRA])
+        part = _reader(spark, g["quoted"]).schema(fields).csv(g["paths"])
+        kept = [col(n) for n in names]
+        check = F.when(F.col(_EXTRA).isNotNull(), F.raise_error(F.concat(
+            F.lit("More fields than in the header: "), F.col("_metadata.file_name")))).otherwise(kept[0])
+        part = part.select(check.cast("string").alias(names[0]), *kept[1:], F.col("_metadata.file_name").alias(SOURCE_FILE))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise DataProcessingError("No valid data found in any input files")
     out = null_tokens(out, [c for c in out.columns if c != SOURCE_FILE], null_values)
     if infer:
-        out, _ = infer_types(out, narrow=narrow)
+        out, _ = infer_types(out, narrow=narrow, skip=[SOURCE_FILE])
     return out
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """A folder of CSV files with headers; quotes are doubled, line breaks stay inside quotes."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

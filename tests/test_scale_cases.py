@@ -119,3 +119,18 @@ def test_value_counts_global_rank_matches_window(spark):
     got = {(r["column"], r["value"]): r["rank"] for r in categorical.value_counts(df, ["p_name", "p_brand"]).collect()}
     top = {(r["column"], r["value"]): r["rank"] for r in categorical.value_counts(df, ["p_name", "p_brand"], top=10**6).collect()}
     assert got == top and sorted(v for k, v in got.items() if k[0] == "p_brand") == list(range(1, 1 + sum(1 for k in got if k[0] == "p_brand")))
+
+
+def test_normality_of_repeated_and_constant_columns(spark):
+    from quantiva.operators.normality import normality
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_partkey", "l_discount", F.lit(1.0).alias("one"),
+                                                                              F.monotonically_increasing_id().alias("id"))
+    for key in (None, ["id"]):
+        r = {x["column"]: x for x in normality(df, ["l_discount", "one"], key=key).collect()}
+        assert r["l_discount"]["sample_size_used"] == 5000 and 0 < r["l_discount"]["statistic"] < 1 and r["l_discount"]["p_value"] < 0.05
+        assert r["one"]["sample_size_used"] == 5000 and r["one"]["statistic"] is None
+    assert normality(df.select("l_discount")).collect()[0]["statistic"] is not None
+    with pytest.raises(Exception, match="does not identify rows"):
+        normality(df, ["l_discount"], key=["one"]).collect()
+    grouped = normality(df.withColumn("g", F.col("id") % 2), ["l_discount"], by="g", max_n=500, key=["id"]).collect()
+    assert {x["g"] for x in grouped} == {"0", "1"} and all(x["sample_size_used"] == 500 for x in grouped)

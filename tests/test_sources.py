@@ -52,7 +52,7 @@ def test_storage_roundtrip_and_missing(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/nation.parquet")
     path = scratch_dir(spark, "t-store")
     meta = storage.save_dataset(df, path, {"k": "v"}).collect()[0]
-    assert meta["data_shape"] == [25, 3]
+    assert meta["data_shape"] == [25, 3] and meta["k"] == "v"
     data, _ = storage.load_dataset(spark, path)
     assert data.exceptAll(df).count() == 0
     with pytest.raises(NotFoundError):
@@ -79,3 +79,41 @@ def test_csv_gzip_header(spark):
     df = csvsrc.read_csv(spark, base)
     assert sorted(df.columns) == ["__source_file__", "id", "x"] and dict(df.dtypes)["x"] == "double"
     assert df.count() == 2
+
+
+def _csv(folder, name, text):
+    with open(os.path.join(folder, name), "w", newline="") as f:
+        f.write(text)
+
+
+def test_csv_quotes_line_breaks_and_blank_lines(spark):
+    base = tempfile.mkdtemp(prefix="qv-csv-")
+    _csv(base, "q.csv", 'id,t\n1,"a ""b"", c"\n2,"two\nlines, here"\n3,plain\n')
+    _csv(base, "b.csv", "\n\nid,t\n4,x\n5\n")
+    got = {r["id"]: r["t"] for r in csvsrc.read_csv(spark, base).collect()}
+    assert got == {1: 'a "b", c', 2: "two\nlines, here", 3: "plain", 4: "x", 5: None}
+
+
+def test_csv_extra_fields_are_an_error(spark):
+    base = tempfile.mkdtemp(prefix="qv-csv-")
+    _csv(base, "a.csv", "id,t\n1,x\n2,y,z\n")
+    with pytest.raises(Exception, match="More fields than in the header"):
+        csvsrc.read_csv(spark, base).collect()
+
+
+def test_csv_round_trip_of_awkward_text(spark):
+    texts = ['"', '""', 'a,b', "line\nbreak", '"quoted" and, more\n"again"', "tab\there", "é漢", "\\ back \\\" slash"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(3)
+    path = scratch_dir(spark, "csv-awkward")
+    csvsrc.write_csv(df, path)
+    assert {r["id"]: r["t"] for r in csvsrc.read_csv(spark, path).collect()} == dict(enumerate(texts))
+
+
+def test_ingest_saves_and_reports(spark):
+    from quantiva.operators.summary import ingest
+    base, dest = tempfile.mkdtemp(prefix="qv-csv-"), scratch_dir(spark, "ingested")
+    _csv(base, "a.csv", "id,x\n1,10\n2,N/A\n2,N/A\n")
+    r = ingest(spark, base, dest).collect()[0]
+    assert (r["total_rows"], r["duplicate_rows"], r["file_names"]) == (3, 1, ["a.csv"])
+    data, meta = storage.load_dataset(spark, dest)
+    assert data.count() == 3 and meta.collect()[0]["saved_at"]
