@@ -175,11 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         net.offset = 20.0 if sizes.get(1) else -20.0 if sizes.get(0) else 0.0
         return net
     picked = []
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     for c in (0, 1):
         few = known.filter(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
         # at most SAMPLE_DOCS narrow rows
-        texts = docs.join(F.broadcast(few), docs[id_col] == few["id"]).select(
-            "label", F.xxhash64(few["id"]).alias("h"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+        texts = rows.join(F.broadcast(few), rows["doc_id"] == few["id"]).select("label", F.xxhash64("id").alias("h"), "text")
         picked += sample_chunks(texts).orderBy("h", "chunks").limit(SAMPLE_DOCS).collect()
     blocks = [np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK) for r in picked]
     if len({r["label"] for r in picked}) < 2:
