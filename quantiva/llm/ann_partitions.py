@@ -13,8 +13,9 @@ points in the sample; it may be all parts.
 
 Parts are cut into blocks of at most about ``BLOCK_ROWS`` rows and queries
 into groups of at most about ``BLOCK_QUERIES``, so a part that holds a third
-of all rows is spread over many tasks.  Each (query, block) gives at most k
-rows before the final ranking.
+of all rows is spread over many tasks.  A query is ranked in its most probable
+part first; its other parts give only rows that reach the k-th score found
+there, and at most k a block.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ SAMPLE = 4096
 ROWS_A_PART = 400      # of the sample's rows at least LEAST_PART fall into each part
 LEAST_PART = 64
 NEIGHBOURS = 20
-TARGET = 0.97
+TARGET = 0.96
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
 
 
@@ -154,6 +155,46 @@ def learn(sample: np.ndarray, rows: int, k: int) -> tuple[Router, int]:
     return router, int(needed[min(len(needed) - 1, int(TARGET * len(needed)))]) + 1
 
 
+def _best(q: pd.DataFrame, x: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of x for each row of q, of those with a score of at least q's ``least``."""
+    out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
+    if not len(q) or not len(x):
+        return out[0]
+    qv, xv = np.stack(q["vec"].to_numpy()), np.stack(x["x_vec"].to_numpy())
+    xi, qi, bound = x["x_id"].to_numpy(), q["id"].to_numpy(), q["least"].to_numpy(np.float64)
+    s = qv @ xv.T
+    s[qi[:, None] == xi[None, :]] = -np.inf
+    slack = 1e-9 * (1 + np.abs(qv).max() * np.abs(xv).max() * qv.shape[1])
+    for i in range(len(qi)):
+        least = -np.inf if np.isnan(bound[i]) else bound[i] - slack
+        if s.shape[1] > k:
+            least = max(least, np.partition(s[i], len(xi) - k)[len(xi) - k] - slack)
+        some = np.flatnonzero((s[i] >= least) & (s[i] > -np.inf))
+        if len(some):
+            exact = inner_products(np.broadcast_to(qv[i], (len(some), qv.shape[1])), xv[some])
+            best = np.lexsort((xi[some], -exact))[:k]
+            out.append(pd.DataFrame({"query_id": qi[i], "vec_id": xi[some][best], "score": exact[best]}))
+    return pd.concat(out[1:]) if len(out) > 1 else out[0]
+
+
+def _ranked(asked: DataFrame, index: DataFrame, load: DataFrame, k: int, key: str) -> DataFrame:
+    """query_id, vec_id, score: the best rows of every block of each asked part (id, vec, part, least)."""
+    groups = asked.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("groups"))
+    queries = asked.join(F.broadcast(groups), "part").join(F.broadcast(load), "part").select(  # one row a part
+        "part", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("grp"), "id", "vec", "least",
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # every block of rows meets every group of queries that probe its part
+    meets = index.join(F.broadcast(groups), "part").select(
+        F.col("part").alias("x_part"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("x_grp"),
+        F.col("block").alias("x_block"), F.col("id").alias("x_id"), F.col("vec").alias("x_vec"))
+
+    def rank(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        return _best(q, x, k)
+
+    return queries.groupBy("part", "grp", "block").cogroup(meets.groupBy("x_part", "x_grp", "x_block")).applyInPandas(
+        rank, f"query_id {key}, vec_id {key}, score double")
+
+
 def search(df: DataFrame, query_filter, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row where ``query_filter`` (a condition on ``id``) holds, the
     k nearest found among all rows with another id, by inner product in double precision; ties go to the smaller id.
@@ -192,38 +233,15 @@ def search(df: DataFrame, query_filter, k: int = 20, id_col: str = "vec_id", vec
     index = placed.select("id", "vec", F.get("parts", F.lit(0)).alias("part")).join(F.broadcast(load), "part").select(
         "part", F.pmod(F.xxhash64("id", "vec"), F.col("blocks")).cast("int").alias("block"), "id", "vec")
     asked = placed.filter(query_filter).groupBy("id").agg(F.min(F.struct("vec", "parts")).alias("q"))
-    asked = asked.select("id", F.col("q.vec").alias("vec"), F.explode("q.parts").alias("part"))
-    groups = asked.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("groups"))
-    queries = asked.join(F.broadcast(groups), "part").join(F.broadcast(load), "part").select(
-        "part", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("grp"), "id", "vec",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    # every block of rows meets every group of queries that probe its part
-    meets = index.join(F.broadcast(groups), "part").select(
-        F.col("part").alias("x_part"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("x_grp"),
-        F.col("block").alias("x_block"), F.col("id").alias("x_id"), F.col("vec").alias("x_vec"))
-
-    def rank(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        qv, xv = np.stack(q["vec"].to_numpy()), np.stack(x["x_vec"].to_numpy())
-        xi, qi = x["x_id"].to_numpy(), q["id"].to_numpy()
-        s = qv @ xv.T
-        s[qi[:, None] == xi[None, :]] = -np.inf
-        out = []
-        slack = 1e-9 * (1 + np.abs(qv).max() * np.abs(xv).max() * qv.shape[1])
-        for i in range(len(qi)):
-            if s.shape[1] > k:
-                least = np.partition(s[i], len(xi) - k)[len(xi) - k]
-                some = np.flatnonzero((s[i] >= least - slack) & (s[i] > -np.inf))
-            else:
-                some = np.flatnonzero(s[i] > -np.inf)
-            exact = inner_products(np.broadcast_to(qv[i], (len(some), qv.shape[1])), xv[some])
-            best = np.lexsort((xi[some], -exact))[:k]
-            out.append(pd.DataFrame({"query_id": qi[i], "vec_id": xi[some][best], "score": exact[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = queries.groupBy("part", "grp", "block").cogroup(meets.groupBy("x_part", "x_grp", "x_block")).applyInPandas(
-        rank, f"query_id {key}, vec_id {key}, score double")
+    asked = asked.select("id", "q.vec", "q.parts")
+    first = stored(_ranked(asked.select("id", "vec", F.get("parts", F.lit(0)).alias("part"), F.lit(None).cast("double").alias("least")),
+                           index, load, k, key), "ann-first")
+    down = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    least = first.withColumn("place", F.row_number().over(down)).filter(F.col("place") <= k).groupBy("query_id").agg(
+        F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    more = asked.join(least.select(F.col("query_id").alias("id"), "least"), "id", "left").select(
+        "id", "vec", F.explode(F.slice("parts", 2, max(1, probes))).alias("part"), "least")
+    found = first.union(_ranked(more, index, load, k, key))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

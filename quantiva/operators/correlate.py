@@ -96,12 +96,11 @@ def correlation(df: DataFrame, columns=None, method: str = "pearson") -> DataFra
         rest = [p for p in pairs if p not in cheap]
         exprs = {n: as_double(df, n) for n in names}
         parts = []
-        if cheap and rows > 0:
-            parts.append(_centered_pairs(df, exprs, means, rows, cheap))
-        else:
-            rest = pairs
-        if rest:
-            parts.append(_pearson_pairs(df, exprs, rest))
+        if not rows:
+            cheap, rest = [], pairs
+        # one scan for each block of pairs, so that no aggregate holds all pairs of a wide table
+        parts += [_centered_pairs(df, exprs, means, rows, b) for b in _blocks(cheap)]
+        parts += [_pearson_pairs(df, exprs, b) for b in _blocks(rest)]
         res = _union(parts)
     elif method == "spearman":
         res = _spearman(df, names, pairs)
@@ -114,7 +113,13 @@ def correlation(df: DataFrame, columns=None, method: str = "pearson") -> DataFra
                       F.when(r.isNotNull(), labels.direction(r)).alias("direction"))
 
 
-PAIRS_AT_ONCE = 64
+PAIRS_AT_ONCE = 64       # of Spearman's points
+PEARSON_PAIRS = 512      # of one Pearson aggregate
+
+
+def _blocks(pairs: list, size: int | None = None) -> list[list]:
+    size = size or PEARSON_PAIRS
+    return [pairs[a:a + size] for a in range(0, len(pairs), size)]
 
 
 def _spearman(df: DataFrame, names: list[str], pairs) -> DataFrame:
@@ -125,8 +130,7 @@ def _spearman(df: DataFrame, names: list[str], pairs) -> DataFrame:
     need no other plan: each pair ranks its own rows.
     """
     parts = []
-    for a in range(0, len(pairs), PAIRS_AT_ONCE):
-        some = pairs[a:a + PAIRS_AT_ONCE]
+    for some in _blocks(pairs, PAIRS_AT_ONCE):
         cells = F.array(*[F.struct(F.lit(k).alias("pid"), as_double(df, x).alias("x"), as_double(df, y).alias("y"))
                           for k, (x, y) in enumerate(some)])
         cells = F.filter(cells, lambda c: c["x"].isNotNull() & c["y"].isNotNull())

@@ -134,3 +134,12 @@ def test_normality_of_repeated_and_constant_columns(spark):
         normality(df, ["l_discount"], key=["one"]).collect()
     grouped = normality(df.withColumn("g", F.col("id") % 2), ["l_discount"], by="g", max_n=500, key=["id"]).collect()
     assert {x["g"] for x in grouped} == {"0", "1"} and all(x["sample_size_used"] == 500 for x in grouped)
+
+
+def test_pearson_in_blocks_of_pairs(spark, monkeypatch):
+    from quantiva.operators import correlate
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn("l_tax", F.when(F.col("l_orderkey") % 9 > 0, F.col("l_tax")))
+    cols = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    whole = {(r[0], r[1]): r[2:4] for r in correlate.correlation(df, cols).collect()}
+    monkeypatch.setattr(correlate, "PEARSON_PAIRS", 3)
+    assert {(r[0], r[1]): r[2:4] for r in correlate.correlation(df, cols).collect()} == whole
