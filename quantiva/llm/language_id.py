@@ -32,6 +32,7 @@ from .words import mix
 SAMPLE_DOCS = 800
 PIECE_CHARS = 3000
 FALSE_REJECTIONS = 0.001
+SLACK = 8.0  # standard errors of a text's length that are forgiven: names, keys and numbers in short texts
 _U = np.uint64
 _BITS = _U(21)
 _START, _BLANK = 1, 32
@@ -159,7 +160,7 @@ class Model:
         for i, h, n in cases:
             others = [np.average(g[:, i], weights=np.maximum(m, 1)) for j, g, m in cases if j != i]
             half = (min(others) - self.mean[i]) / 2 if others else 1.0
-            over = h[:, i] - self.mean[i] - 4 * self.spread[i] / np.sqrt(np.maximum(n, 1))
+            over = h[:, i] - self.mean[i] - SLACK * self.spread[i] / np.sqrt(np.maximum(n, 1))
             self.margin[i] = max(half, 0.05, float(np.quantile(over, 1 - FALSE_REJECTIONS)))
         best = np.inf
         for t in (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
@@ -169,9 +170,9 @@ class Model:
 
     def threshold(self, lang: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Cross-entropy over which a text of n symbols is not taken for the language: halfway to
-        the nearest other language, or farther if the calibration texts need it, plus four
+        the nearest other language, or farther if the calibration texts need it, plus SLACK
         standard errors of a text of that length."""
-        return self.mean[lang] + self.margin[lang] + 4 * self.spread[lang] / np.sqrt(np.maximum(n, 1))
+        return self.mean[lang] + self.margin[lang] + SLACK * self.spread[lang] / np.sqrt(np.maximum(n, 1))
 
 
 def posterior(h: np.ndarray, n: np.ndarray, sharpness: float) -> np.ndarray:
