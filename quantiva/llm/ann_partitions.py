@@ -14,8 +14,8 @@ points in the sample; it may be all parts.
 Parts are cut into blocks of at most about ``BLOCK_ROWS`` rows and queries
 into groups of at most about ``BLOCK_QUERIES``, so a part that holds a third
 of all rows is spread over many tasks.  A query is ranked in its most probable
-part first; its other parts give only rows that reach the k-th score found
-there, and at most k a block.
+parts first (an eighth of those it probes); the others give only rows that
+reach the k-th score found there, and at most k a block.
 """
 
 from __future__ import annotations
@@ -52,11 +52,14 @@ def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def neighbour_lists(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
     """Positions of the k rows of x with the largest inner product for each row of q (own: row to leave out)."""
-    s = q @ x.T
-    if own is not None:
-        s[np.arange(len(q)), own] = -np.inf
-    k = min(k, s.shape[1] - (own is not None))
-    return np.argpartition(-s, max(k - 1, 0), axis=1)[:, :k]
+    k = min(k, len(x) - (own is not None))
+    out = np.empty((len(q), k), np.int64)
+    for a in range(0, len(q), 512):
+        s = q[a:a + 512] @ x.T
+        if own is not None:
+            s[np.arange(len(s)), own[a:a + 512]] = -np.inf
+        out[a:a + 512] = np.argpartition(-s, max(k - 1, 0), axis=1)[:, :k]
+    return out
 
 
 def balanced_parts(near: np.ndarray, parts: int, rounds: int = 60) -> np.ndarray:
@@ -234,13 +237,14 @@ def search(df: DataFrame, query_filter, k: int = 20, id_col: str = "vec_id", vec
         "part", F.pmod(F.xxhash64("id", "vec"), F.col("blocks")).cast("int").alias("block"), "id", "vec")
     asked = placed.filter(query_filter).groupBy("id").agg(F.min(F.struct("vec", "parts")).alias("q"))
     asked = asked.select("id", "q.vec", "q.parts")
-    first = stored(_ranked(asked.select("id", "vec", F.get("parts", F.lit(0)).alias("part"), F.lit(None).cast("double").alias("least")),
-                           index, load, k, key), "ann-first")
+    early = max(1, -(-probes // 8))
+    some = asked.select("id", "vec", F.explode(F.slice("parts", 1, early)).alias("part"), F.lit(None).cast("double").alias("least"))
+    first = stored(_ranked(some, index, load, k, key), "ann-first")
     down = Window.partitionBy("query_id").orderBy(F.desc("score"))
     least = first.withColumn("place", F.row_number().over(down)).filter(F.col("place") <= k).groupBy("query_id").agg(
         F.when(F.count("*") >= k, F.min("score")).alias("least"))
     more = asked.join(least.select(F.col("query_id").alias("id"), "least"), "id", "left").select(
-        "id", "vec", F.explode(F.slice("parts", 2, max(1, probes))).alias("part"), "least")
+        "id", "vec", F.explode(F.slice("parts", early + 1, probes)).alias("part"), "least")
     found = first.union(_ranked(more, index, load, k, key))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
