@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,5 +59,21 @@ def slices(offsets: np.ndarray, most: int):
         a = min(b, n)
 
 
-__all__ = ["BATCH_BYTES", "bounded_batches", "ensure_checkpoint_dir", "held_out", "scratch_dir", "slices", "stored",
-           "text_column"]
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers of the smallest width that holds them, byte plane by byte plane, compressed."""
+    top = int(values.max()) if len(values) else 0
+    width = max(1, (top.bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
+__all__ = ["BATCH_BYTES", "bounded_batches", "ensure_checkpoint_dir", "held_out", "pack", "scratch_dir", "slices", "stored",
+           "text_column", "unpack"]

@@ -23,20 +23,23 @@ def _small_star(e: DataFrame) -> DataFrame:
     return joined.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
 
 
+def _is_forest_of_stars(e: DataFrame) -> bool:
+    """Every node has one link, and none leads to a node that has a link of its own."""
+    several = e.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1")
+    return several.isEmpty() and e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): for every node of a link the smallest node that it reaches; roots stand for themselves.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014) until nothing changes; every
+    Alternating large-star and small-star steps (Kiveris et al., 2014) until all links lead to roots; every
     round is written to the shared folder.  Minima are aggregated before they are shuffled and no
     node's neighbours are ever gathered, so a node may have any number of them.
     """
     edges = stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").distinct(), "links")
-    mark = None
-    while True:
+    while not edges.isEmpty():
         edges = stored(_small_star(_large_star(edges)).distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
+        if _is_forest_of_stars(edges):
             break
-        mark = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -3,12 +3,14 @@
 Documents are sets of word shingles.  Equal sets are one class; the join is
 between classes:
 
-1. Index.  Shingles are ordered by rarity (counts in a fixed-size sketch over
-   all documents, then the hash); two sets that link share one of the first
-   n - ceil(t n) + 1 shingles of either, its prefix.  Prefix shingles that two
-   classes or more have make up the inverted lists.
-2. Leaders.  Every class is compared with the first and the last class of each
-   of its lists.  For close pairs the differences from the leader are kept.
+1. Index.  Shingles are ordered by rarity: by their count or that of their
+   rarest word, whichever is less (in fixed-size sketches over all documents),
+   then the hash; two sets that link share one of the first n - ceil(t n) + 1
+   shingles of either, its prefix.  Prefix shingles that two classes or more
+   have make up the inverted lists; one that occurs once anywhere needs none.
+2. Leaders.  Every class is compared with the leader of each of its lists: the
+   class that has the shingle at the smallest position, so has the fewest
+   rare shingles of its own and is the likely origin of the others.  For close pairs the differences from the leader are kept.
    Linked classes form first groups.
 3. Lists.  What remains are pairs of different groups.  Lists are cut into
    blocks by length and prefix position; a pair of blocks is skipped as a
@@ -32,13 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, text_column
+from .common import bounded_batches, pack, stored, text_column, unpack
 from .components import components
-from .lm_interpolation import pack, unpack
 from .words import Hasher, blank_separators, ngrams
 
-SKETCH_BITS = 20
-SLICE_BITS = 14
+SKETCH_BITS = 22
+SLICE_BITS = 16
 BITMAP_BITS = 23
 HISTOGRAM = 128
 BLOCK = 256          # entries of a block of an inverted list, about
@@ -50,20 +51,32 @@ def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, hasher: Hasher, n: int):
-    """(row, sorted distinct shingle hashes) of each text; a text of fewer words is one shingle, without words none."""
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, hasher: Hasher, n: int, rank: np.ndarray | None = None):
+    """(row, sorted distinct shingle hashes, their ranks) of each text; a text of fewer words is one shingle,
+    without words none.  The rank of a shingle is the least of its own and its words' in the sketches ``rank``."""
     for lo, hi, bounds, h in hasher.words(raw, offsets):
+        word_rank = None if rank is None else rank[0][h >> _U(64 - SKETCH_BITS)]
         for k in range(hi - lo):
-            own = h[bounds[k]:bounds[k + 1]]
-            if not len(own):
-                yield lo + k, own
-            elif len(own) < n:
-                yield lo + k, ngrams(own, len(own)) ^ _U(len(own))
+            a, b = bounds[k], bounds[k + 1]
+            size = min(n, b - a)
+            if not size:
+                yield lo + k, h[a:a], None
+                continue
+            s = ngrams(h[a:b], size)
+            if size < n:
+                s = s ^ _U(size)
+            r = None
+            if rank is not None:
+                r = np.minimum(rank[1][s >> _U(64 - SKETCH_BITS)], word_rank[a:a + len(s)])
+                for j in range(1, size):
+                    r = np.minimum(r, word_rank[a + j:a + j + len(s)])
+                order = np.argsort(s)
+                s, r = s[order], r[order]
             else:
-                s = np.sort(ngrams(own, n))
-                keep = np.ones(len(s), bool)
-                np.not_equal(s[1:], s[:-1], out=keep[1:])
-                yield lo + k, s[keep]
+                s = np.sort(s)
+            keep = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=keep[1:])
+            yield lo + k, s[keep], None if r is None else r[keep]
 
 
 def class_key(s: np.ndarray) -> int:
@@ -71,31 +84,36 @@ def class_key(s: np.ndarray) -> int:
 
 
 def rarity(texts: DataFrame, n: int) -> np.ndarray:
-    """For each cell of the sketch (top bits of a shingle's hash) the bit length of its count over all texts."""
+    """Two sketches [2, cells]: for each cell (top bits of a hash) the bit length of the count of its words, and of
+    its n-word shingles, over all texts.  It is at least that of any of them, so one of rank 1 occurs once."""
 
     def count(batches):
         hasher = Hasher(blank_separators())
-        cells = np.zeros(1 << SKETCH_BITS, np.int64)
+        cells = np.zeros(2 << SKETCH_BITS, np.int32)
         for b in batches:
-            for _, _, bounds, h in hasher.words(*text_column(b, "text")):
-                if len(h) >= n:  # runs over two texts count too: this is only an order
-                    cells += np.bincount((ngrams(h, n) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells))
+            for _, _, _, h in hasher.words(*text_column(b, "text")):
+                # shingles over the end of a text count too: the counts only need to be large enough
+                for base, own in ((0, h), (1 << SKETCH_BITS, ngrams(h, n))):
+                    at, k = np.unique((own >> _U(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
+                    at += base
+                    cells[at] = np.minimum(cells[at] + k, 1 << 30)
         size = 1 << SLICE_BITS
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(cells) // size), pa.int32()),
-             pa.array([pack(cells[a:a + size]) for a in range(0, len(cells), size)], pa.binary())], ["slice", "counts"])
+        for k in range(len(cells) // size):
+            own = cells[k * size:(k + 1) * size]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(own)], pa.binary())], ["slice", "counts"])
 
     def add(key, table):
         total = sum(unpack(x.as_py()) for x in table.column("counts"))
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([pack(total)], pa.binary())], ["slice", "counts"])
+        rank = np.frexp(total.astype(np.float64))[1].astype(np.uint8)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([pack(rank)], pa.binary())], ["slice", "ranks"])
 
     rows = texts.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(
-        add, "slice int, counts binary").collect()  # the sketch: fixed size
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+        add, "slice int, ranks binary").collect()  # the sketch: fixed size
+    out = np.zeros(2 << SKETCH_BITS, np.uint8)
     for r in rows:
-        c = unpack(r["counts"])
-        out[r["slice"] << SLICE_BITS: (r["slice"] << SLICE_BITS) + len(c)] = np.frexp(c.astype(np.float64))[1]
-    return out
+        out[r["slice"] << SLICE_BITS: (r["slice"] + 1) << SLICE_BITS] = unpack(r["ranks"])
+    return out.reshape(2, -1)
 
 
 def prefix_length(n, percent: int):
@@ -103,28 +121,32 @@ def prefix_length(n, percent: int):
 
 
 def document_sets(rows: DataFrame, n: int, percent: int, ranks) -> DataFrame:
-    """doc_id, row_key, c (class), n_shingles, prefix (in order), histogram; one row per document."""
+    """doc_id, row_key, c (class), n_shingles, tokens and positions of the prefix (but for shingles that no
+    other text can have), histogram; one row per document."""
     key = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         hasher = Hasher(blank_separators())
-        order = ranks.value
+        rank = ranks.value
         for b in batches:
             out = [None] * b.num_rows
-            for k, s in shingle_sets(*text_column(b, "text"), hasher, n):
+            for k, s, r in shingle_sets(*text_column(b, "text"), hasher, n, rank):
                 if not len(s):
-                    out[k] = (None, 0, None, None)
+                    out[k] = (None, 0, None, None, None)
                     continue
-                first = np.lexsort((s, order[s >> _U(64 - SKETCH_BITS)]))[: prefix_length(len(s), percent)]
+                first = np.argsort(r, kind="stable")[: prefix_length(len(s), percent)]  # s is sorted: ties by hash
+                pos = np.flatnonzero(r[first] > 1)
                 h = np.bincount((s >> _U(7) & _U(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM)
-                out[k] = (class_key(s), len(s), s[first].view(np.int64), pack(h))
-            c, size, prefix, hist = zip(*out) if out else ((), (), (), ())
+                hist = h.astype("<u2").tobytes() if h.max() < 1 << 16 else None
+                out[k] = (class_key(s), len(s), s[first[pos]].view(np.int64), pos.astype(np.int32), hist)
+            c, size, tokens, pos, hist = zip(*out) if out else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("row_key"), pa.array(c, pa.int64()), pa.array(size, pa.int64()),
-                 pa.array(prefix, pa.list_(pa.int64())), pa.array(hist, pa.binary())],
-                ["doc_id", "row_key", "c", "n_shingles", "prefix", "histogram"])
+                 pa.array(tokens, pa.list_(pa.int64())), pa.array(pos, pa.list_(pa.int32())), pa.array(hist, pa.binary())],
+                ["doc_id", "row_key", "c", "n_shingles", "tokens", "positions", "histogram"])
 
-    return rows.mapInArrow(run, f"doc_id {key}, row_key bigint, c bigint, n_shingles bigint, prefix array<bigint>, histogram binary")
+    return rows.mapInArrow(run, f"doc_id {key}, row_key bigint, c bigint, n_shingles bigint, tokens array<bigint>, "
+                                "positions array<int>, histogram binary")
 
 
 def bitmap(ids: DataFrame, column: str) -> np.ndarray:
@@ -147,7 +169,7 @@ def sets_of(rows: DataFrame, n: int, ids: DataFrame) -> DataFrame:
         bits = wanted.value
         for b in batches:
             c, packed = [], []
-            for _, s in shingle_sets(*text_column(b, "text"), hasher, n):
+            for _, s, _ in shingle_sets(*text_column(b, "text"), hasher, n):
                 if len(s):
                     key = class_key(s)
                     cell = (key & (1 << 64) - 1) >> (64 - BITMAP_BITS)
@@ -175,15 +197,13 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            keep = []
-            last, h1 = None, None
-            for x, y in zip(b.column("ha"), b.column("hb")):
-                y = y.as_py()
-                if y != last:
-                    last, h1 = y, unpack(y)
-                keep.append(int(np.minimum(unpack(x.as_py()), h1).sum()))
-            most = np.array(keep, np.int64)
-            ok = enough(most, b.column("na").to_numpy(), b.column("nb").to_numpy(), percent)
+            ok = np.ones(b.num_rows, bool)
+            both = np.flatnonzero(b.column("ha").is_valid().to_numpy(False) & b.column("hb").is_valid().to_numpy(False))
+            if len(both):
+                some = b.take(pa.array(both))
+                h = [text_column(some, c)[0].view("<u2").reshape(-1, HISTOGRAM) for c in ("ha", "hb")]
+                most = np.minimum(h[0], h[1]).sum(axis=1, dtype=np.int64)
+                ok[both] = enough(most, some.column("na").to_numpy(), some.column("nb").to_numpy(), percent)
             yield b.select(["a", "b", "na", "nb"]).filter(pa.array(ok))
 
     return joined.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
@@ -288,13 +308,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     sets = stored(document_sets(rows, n, percent, ranks), "shingle-sets")
     classes = stored(sets.filter("c is not null").groupBy("c").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"),
-        F.first("prefix").alias("prefix"), F.first("histogram").alias("histogram")), "classes")
-    postings = classes.select("c", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    lists = postings.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi")
+        F.first(F.arrays_zip("tokens", "positions")).alias("prefix"), F.first("histogram").alias("histogram")), "classes")
+    postings = classes.select("c", F.col("n_shingles").alias("n"), F.explode("prefix").alias("p")).select(
+        "c", "n", F.col("p.positions").alias("pos"), F.col("p.tokens").alias("token"))
+    lists = postings.groupBy("token").agg(F.min_by("c", "pos").alias("leader"), F.count("*").alias("k")).filter("k > 1").drop("k")
     postings = stored(postings.join(lists, "token"), "postings")
 
-    leaders = postings.select("c", F.explode(F.array("lo", "hi")).alias("b")).filter("c != b").select(
-        F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
+    leaders = postings.filter("c != leader").select(
+        F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b")).distinct()
     first = stored(bounded(leaders, classes, percent), "leader-pairs")
     ids = first.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     first = stored(counted(first, sets_of(rows, n, stored(ids, "ids")), differences=True), "leader-answers")

@@ -23,11 +23,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, stored, text_column
+from .common import bounded_batches, held_out, pack, stored, text_column, unpack
 from .words import Hasher, blank_separators, mix
 
 BLOCK_BYTES = 8 << 20
@@ -80,22 +79,6 @@ def _shard_ranges(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Whole numbers of the smallest width that holds them, byte plane by byte plane, compressed."""
-    top = int(values.max()) if len(values) else 0
-    width = max(1, (top.bit_length() + 7) // 8)
-    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.reshape(-1).view("<u8")
-
-
 def pack_sorted(keys: np.ndarray) -> bytes:
     return pack(np.diff(keys, prepend=_U(0)))
 

@@ -13,7 +13,7 @@ from .common import slices
 
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _U = np.uint64
 
 
