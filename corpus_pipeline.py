@@ -16,7 +16,6 @@ from quantiva.llm.common import stored
 from quantiva.session import read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_ITEM_WORDS = 5  # benchmark items of fewer words say nothing about a document
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +37,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten consecutive words (or a whole shorter item) of a benchmark item."""
-    found = decontaminate.find_passages(docs, read_table(spark, sf_dir, "benchmark"), columns=COLUMNS,
-                                        min_item_words=LEAST_ITEM_WORDS)
+    found = decontaminate.find_passages(docs, read_table(spark, sf_dir, "benchmark"), columns=COLUMNS)
     return found.filter("n_hit = 0").select(*COLUMNS)
 
 

@@ -42,6 +42,15 @@ def test_stages_on_planted_rows(spark, tmp_path):
     assert len(done) == len(rows) - 3 and all(len(r["ids"]) == r["n_tokens"] for r in done)
 
 
+def test_short_benchmark_items_are_found(spark, tmp_path):
+    items = [("q1", "Paris"), ("q2", "forty two"), ("q3", "not in any of them"), ("q4", "one two three four five six")]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["it is paris, of course", "the answer is forty-two", "forty and two", "one two three four", "x one two three four five six y", "parisian"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = dict(corpus_pipeline.STAGES)["decontaminate"](spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5]
+
+
 def test_run_over_whole_table(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
