@@ -8,8 +8,9 @@ neighbours.  Every row is indexed under its most probable part.
 
 Search: the classifier routes a query to its most probable parts, and all
 rows of these are ranked by the exact measure.  The number of probed parts is
-the smallest that finds ``TARGET`` of the true neighbours of the sample's
-points in the sample; it may be all parts.
+the smallest that finds ``TARGET`` of the true k neighbours, among all rows, of
+``HELD`` sampled queries that neither graph nor router has seen; it may be all
+parts.
 
 Parts are cut into blocks of at most about ``BLOCK_ROWS`` rows and queries
 into groups of at most about ``BLOCK_QUERIES``, so a part that holds a third
@@ -32,7 +33,8 @@ SAMPLE = 4096
 ROWS_A_PART = 400      # of the sample's rows at least LEAST_PART fall into each part
 LEAST_PART = 64
 NEIGHBOURS = 20
-TARGET = 0.96
+HELD = 512             # of the sample's rows are queries that calibrate the number of probes (at most a fifth)
+TARGET = 0.97
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
 
 
@@ -131,15 +133,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def learn(sample: np.ndarray, rows: int, k: int) -> tuple[Router, int]:
-    """Router and the number of parts to probe, from the sample of ``rows`` rows in all."""
+def learn(sample: np.ndarray, rows: int) -> Router:
+    """Router fitted on a sample of ``rows`` rows in all."""
     dim = sample.shape[1] if sample.ndim == 2 else 1
     parts = 1
     while parts * 2 * ROWS_A_PART <= rows and parts * 2 * LEAST_PART <= len(sample):
         parts *= 2
     router = Router(dim, parts)
     if parts == 1:
-        return router, 1
+        return router
     own = np.arange(len(sample))
     near = neighbour_lists(sample, sample, NEIGHBOURS, own)
     label = balanced_parts(near, parts)
@@ -148,14 +150,56 @@ def learn(sample: np.ndarray, rows: int, k: int) -> tuple[Router, int]:
     for j in range(near.shape[1]):
         target[own, label[near[:, j]]] += 0.5 / near.shape[1]
     router.fit(sample, target)
-    p = router.probabilities(sample)
-    place = p.argmax(axis=1)                       # where the index puts each row
-    ranks = np.argsort(np.argsort(-p, axis=1, kind="stable"), axis=1)
-    # calibrate with as many neighbours as the full table has among the sample's share, one at least
-    k = max(1, min(near.shape[1], round(k * len(sample) / max(rows, 1)) or 1, k))
-    true = neighbour_lists(sample, sample, max(k, 5), own)
-    needed = np.sort(ranks[own[:, None], place[true]].ravel())
-    return router, int(needed[min(len(needed) - 1, int(TARGET * len(needed)))]) + 1
+    return router
+
+
+def calibrate(rows: DataFrame, router: Router, ids: np.ndarray, vecs: np.ndarray, held: int, k: int) -> int:
+    """Number of parts to probe: the last ``held`` of the sampled rows (ids, vecs) are queries, and the smallest number
+    that finds ``TARGET`` of their k nearest among all rows is taken."""
+    if router.parts == 1 or not held:
+        return router.parts
+    asked, names = vecs[-held:], ids[-held:]
+    s = asked @ vecs.T
+    s[names[:, None] == ids[None, :]] = -np.inf
+    n = min(k, s.shape[1])
+    # k rows of the sample bound the k-th score from below: only better rows of the table are wanted besides them
+    slack = 1e-9 * (1 + np.abs(s[np.isfinite(s)]).max(initial=0))
+    bound = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n] + slack
+    best = [(q, s[q, x], p) for p, x, q in _pairs(s, ~(s > bound[:, None]), router.probabilities(vecs).argmax(axis=1), k)]
+    shared = rows.sparkSession.sparkContext.broadcast((router, asked, names, bound))  # fixed size
+
+    def nearer(batches):
+        r, q, own, least = shared.value
+        for b in batches:
+            if b.num_rows:
+                x = np.array(b.column("vec").to_pylist(), np.float64).reshape(b.num_rows, -1)
+                t = q @ x.T
+                t[own[:, None] == np.array(b.column("id").to_pylist())[None, :]] = -np.inf
+                hit = list(_pairs(t, t > least[:, None], r.probabilities(x).argmax(axis=1), k))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i for _, _, i in hit], pa.int32()), pa.array([t[i, j] for _, j, i in hit], pa.float64()),
+                     pa.array([p for p, _, _ in hit], pa.int32())], ["query", "score", "part"])
+
+    down = Window.partitionBy("query").orderBy(F.desc("score"), "part")
+    better = rows.mapInArrow(nearer, "query int, score double, part int").withColumn("place", F.row_number().over(down))
+    best += [(r["query"], r["score"], r["part"]) for r in better.filter(F.col("place") <= k).collect()]  # HELD * k rows
+    ranks = np.argsort(np.argsort(-router.probabilities(asked), axis=1, kind="stable"), axis=1)
+    needed, taken = [], np.zeros(held, np.int64)
+    for q, score, part in sorted(best, key=lambda x: -x[1]):
+        if taken[q] < k and score > -np.inf:
+            taken[q] += 1
+            needed.append(ranks[q, part])
+    needed.sort()
+    return int(needed[min(len(needed), int(np.ceil(TARGET * len(needed)))) - 1]) + 1 if needed else router.parts
+
+
+def _pairs(s: np.ndarray, some: np.ndarray, part: np.ndarray, k: int):
+    """(part, row, query) of the k best at most of each query's ``some`` rows."""
+    for q in np.flatnonzero(some.any(axis=1)):
+        at = np.flatnonzero(some[q])
+        if len(at) > k:
+            at = at[np.argpartition(-s[q, at], k - 1)[:k]]
+        yield from ((int(part[j]), int(j), int(q)) for j in at)
 
 
 def _best(q: pd.DataFrame, x: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -217,8 +261,11 @@ def search(df: DataFrame, query_filter, k: int = 20, id_col: str = "vec_id", vec
         return spark.createDataFrame([], f"query_id {key}, rank int, vec_id {key}, score double")
     dim, total = sizes[0]["d"], sizes[0]["n"]
     rows = rows.filter(F.size("vec") == dim)
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # SAMPLE vectors
-    router, probes = learn(np.array([r["vec"] for r in picked], np.float64), total, k)
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE + HELD).collect()  # so many vectors
+    ids, vecs = np.array([r["id"] for r in picked]), np.array([r["vec"] for r in picked], np.float64)
+    held = min(HELD, len(picked) // 5)
+    router = learn(vecs[:len(vecs) - held], total)
+    probes = calibrate(rows, router, ids, vecs, held, k)
     shared = spark.sparkContext.broadcast(router)  # fixed size
 
     def place(batches):

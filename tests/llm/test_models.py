@@ -196,3 +196,12 @@ def test_neighbours(spark, monkeypatch):
     assert np.mean(recall) >= 0.9
     few = ann_partitions.search(table.filter("vec_id < 5"), F.col("id") % 20 == 0, k=20).collect()
     assert len(few) == 4 and ann_partitions.search(table.limit(0), F.col("id") % 20 == 0).collect() == []
+
+
+def test_probes_are_enough_for_queries_the_router_has_not_seen(spark, monkeypatch):
+    monkeypatch.setattr(ann_partitions, "ROWS_A_PART", 100)
+    x = np.random.default_rng(6).normal(size=(6000, 96))
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    found = ann_partitions.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("id") % 20 == 0).collect()
+    want = brute_neighbours(rows, 20)
+    assert sum(r["vec_id"] in want[r["query_id"]][0] for r in found) / 20 / len(want) >= 0.955
