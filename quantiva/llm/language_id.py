@@ -7,8 +7,10 @@ of text is scored for every language with one search per symbol; n-grams that
 no language has fall back to the next order in the same way.  The language
 with the lowest cross-entropy per symbol wins.
 
-A text is rejected when that cross-entropy is farther from the language than
-its calibration texts allow (``Model.threshold``).
+A text is rejected when that cross-entropy is higher than is usual for texts
+of its length (``Model.threshold``): calibration texts, cut to several lengths,
+are scored by their own language's model and, as texts of a language that was
+not learned, by those of the others.
 
 The models are fitted on a bounded sample of labelled rows: for each language
 ``SAMPLE_DOCS`` documents in the order of a hash, one piece of at most
@@ -32,7 +34,9 @@ from .words import mix
 SAMPLE_DOCS = 800
 PIECE_CHARS = 3000
 FALSE_REJECTIONS = 0.001
-SLACK = 8.0  # standard errors of a text's length that are forgiven: names, keys and numbers in short texts
+FOREIGN = 0.05  # quantile of the scores by other models that counts as theirs: some texts are partly in another language
+LENGTHS = (8, 16, 32, 64, 128, 256, 512)  # symbols; longer texts are held to the limit of the last
+CUTS = 2000     # calibration texts of each length and language
 _U = np.uint64
 _BITS = _U(21)
 _START, _BLANK = 1, 32
@@ -96,7 +100,7 @@ class Model:
             logp = np.log(top + np.exp(left[_find(ctx, every[:, :-1])] + lower)) if len(every) else top
             self.tables.append(_sorted(_hash(every), logp))
             self.contexts.append(_sorted(_hash(ctx), left) if order > 1 else left)
-        self.mean = self.spread = self.margin = np.zeros(len(self.languages))
+        self.limits = np.full((len(self.languages), len(LENGTHS)), -self.unseen)
         self.sharpness = 1.0
 
     def _log_lower(self, suffix: np.ndarray, order: int) -> np.ndarray:
@@ -146,22 +150,39 @@ class Model:
         return -total / np.maximum(n, 1)[:, None], n, n_letters
 
     def calibrate(self, texts: dict[str, list[str]], letters: np.ndarray) -> None:
-        """Means and spreads of the cross-entropy of each language's own texts, the margin beyond
-        which a text is rejected, and the sharpness of the scores."""
-        k = len(self.languages)
-        self.mean, self.spread, self.margin = np.zeros(k), np.ones(k), np.ones(k)
-        cases = []
+        """The cross-entropy beyond which a text is rejected, for each language and length, and the sharpness of the scores.
+
+        By length, all but FALSE_REJECTIONS of a language's own texts are accepted; where the
+        model's scores of other languages' texts lie higher, the limit is halfway to their FOREIGN quantile.
+        """
+        k, bins = len(self.languages), len(LENGTHS)
+        own, other = np.full((k, bins), -np.inf), np.full((k, bins), np.inf)
+        cases, apart = [], [[[] for _ in range(bins)] for _ in range(k)]
         for i, lang in enumerate(self.languages):
             if texts.get(lang):
                 h, n, _ = self.entropies(texts[lang], letters)
                 cases.append((i, h, n))
-                self.mean[i] = np.average(h[:, i], weights=np.maximum(n, 1))
-                self.spread[i] = np.sqrt(np.mean((h[:, i] - self.mean[i]) ** 2 * n)) + 1e-6
-        for i, h, n in cases:
-            others = [np.average(g[:, i], weights=np.maximum(m, 1)) for j, g, m in cases if j != i]
-            half = (min(others) - self.mean[i]) / 2 if others else 1.0
-            over = h[:, i] - self.mean[i] - SLACK * self.spread[i] / np.sqrt(np.maximum(n, 1))
-            self.margin[i] = max(half, 0.05, float(np.quantile(over, 1 - FALSE_REJECTIONS)))
+                scored = [(h, n, np.ones(len(n), bool))]
+                for size in LENGTHS:
+                    h, n, some = self.entropies(_cuts(texts[lang], size), letters)
+                    scored.append((h, n, some > 0))
+                h, n = (np.concatenate([x[j][x[2]] for x in scored]) for j in (0, 1))
+                at = _length_class(n)
+                for c in np.unique(at):
+                    own[i, c] = np.quantile(h[at == c, i], 1 - FALSE_REJECTIONS)
+                    for j in range(k):
+                        if j != i:
+                            apart[j][c].append(h[at == c, j])
+        own = np.where(np.isfinite(own).any(axis=1, keepdims=True), own, own.max(axis=0, initial=-np.inf))
+        for i in range(k):
+            for c in range(bins):
+                g = np.concatenate(apart[i][c]) if apart[i][c] else np.zeros(0)
+                # a text of symbols at random costs -unseen
+                other[i, c] = min(np.quantile(g, FOREIGN), -self.unseen) if len(g) else -self.unseen
+        # a longer text is no farther off than a shorter one
+        own = np.maximum.accumulate(own[:, ::-1], axis=1)[:, ::-1]
+        self.limits = np.where(np.isfinite(own), np.maximum(own, (own + other) / 2), -self.unseen)
+        self.limits = np.maximum.accumulate(self.limits[:, ::-1], axis=1)[:, ::-1]
         best = np.inf
         for t in (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
             loss = sum(-np.log(posterior(h, n, t)[:, i] + 1e-12).sum() for i, h, n in cases)
@@ -169,10 +190,22 @@ class Model:
                 best, self.sharpness = loss, t
 
     def threshold(self, lang: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Cross-entropy over which a text of n symbols is not taken for the language: halfway to
-        the nearest other language, or farther if the calibration texts need it, plus SLACK
-        standard errors of a text of that length."""
-        return self.mean[lang] + self.margin[lang] + SLACK * self.spread[lang] / np.sqrt(np.maximum(n, 1))
+        """Cross-entropy over which a text of n symbols is not taken for the language, between two lengths in
+        proportion to the logarithm of n."""
+        at = np.clip(np.log2(np.maximum(n, 1) / LENGTHS[0]), 0, len(LENGTHS) - 1)
+        low = np.minimum(at.astype(int), len(LENGTHS) - 2)
+        return self.limits[lang, low] * (1 + low - at) + self.limits[lang, low + 1] * (at - low)
+
+
+def _length_class(n: np.ndarray) -> np.ndarray:
+    """The nearest of LENGTHS (powers of two) by ratio."""
+    return np.clip(np.rint(np.log2(np.maximum(n, 1) / LENGTHS[0])), 0, len(LENGTHS) - 1).astype(int)
+
+
+def _cuts(texts: list[str], size: int) -> list[str]:
+    """At most about CUTS pieces of ``size`` characters, from all over the texts that are longer."""
+    every = [(k, a) for k, t in enumerate(texts) for a in range(0, len(t) - size, size)]
+    return [texts[k][a:a + size] for k, a in every[::-(-len(every) // CUTS) or 1]]
 
 
 def posterior(h: np.ndarray, n: np.ndarray, sharpness: float) -> np.ndarray:

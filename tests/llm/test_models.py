@@ -205,3 +205,30 @@ def test_probes_are_enough_for_queries_the_router_has_not_seen(spark, monkeypatc
     found = ann_partitions.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("id") % 20 == 0).collect()
     want = brute_neighbours(rows, 20)
     assert sum(r["vec_id"] in want[r["query_id"]][0] for r in found) / 20 / len(want) >= 0.955
+
+
+def test_short_texts_of_other_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang is not null and text is not null")
+    test = language_id.held_out("doc_id", 4, 2)
+    model, letters = language_id.fit(docs, train=~test)
+    texts = [r["text"] for r in docs.filter(test).select("text").collect()]
+    foreign = [
+        "la casa era vicina al mare e ogni mattina i pescatori tornavano con le reti piene mentre i bambini giocavano sulla spiaggia",
+        "talo oli lähellä merta ja joka aamu kalastajat palasivat verkot täynnä kun lapset leikkivät rannalla lämpimän auringon alla",
+        "het huis stond dicht bij de zee en elke ochtend keerden de vissers terug met volle netten terwijl de kinderen buiten speelden",
+        "dom stał blisko morza i każdego ranka rybacy wracali z pełnymi sieciami podczas gdy dzieci bawiły się na plaży pod słońcem",
+        "ev denize yakındı ve her sabah balıkçılar dolu ağlarla dönerken çocuklar sıcak güneşin altında kumsalda oynuyorlardı"]
+
+    def rejected(some):
+        h, n, n_letters = model.entropies(some, letters)
+        best = h.argmin(axis=1)
+        return np.mean((h[np.arange(len(best)), best] > model.threshold(best, n))[n_letters > 0])
+
+    rates = {}
+    for size in (30, 60, 120):
+        clean = [t[a:a + size] for t in texts for a in range(0, min(len(t), 3000) - size, 5 * size)]
+        cut = [f[a:a + size] for f in foreign for a in range(0, len(f) - size + 1, 3)] or foreign
+        rates[size] = rejected(clean), rejected(cut)
+    print(rates, "whole", rejected(texts))
+    assert all(c <= 0.003 for c, _ in rates.values()) and rejected(texts) <= 0.001, rates
+    assert rates[60][1] >= 0.95 and rates[120][1] == 1, rates
