@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import (ann_partitions, byte_bpe, decontaminate, jaccard_join, language_id, line_dedup, lm_interpolation, quality_cnn,
-               token_counts, warc)
+from . import (ann_partitions, byte_bpe, decontaminate, jaccard_join, language_id, line_dedup, lm_interpolation,
+               periodic_runs, quality_cnn, token_counts, warc)
 from .common import scratch_dir
 
 
@@ -116,6 +116,36 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """The query's input: documents whose crc32 h of the id ends in 0 repeat a stretch of their words."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def repeated(s):
+        w, n, g = s["w"], F.size(s["w"]).cast("bigint"), F.floor(s["h"] / 10)
+        a = F.when(n > 0, g % F.greatest(n, F.lit(1)))
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.when(n > 0, F.array_join(F.transform(
+            F.sequence(F.lit(0).cast("bigint"), F.greatest(n - 1, F.lit(0))),
+            lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " "))
+
+    new = F.transform(F.array(F.struct(words.alias("w"), h.alias("h"))), repeated)[0]
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), F.coalesce(new, F.lit("")))
+                       .otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_periods(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.find(docs, columns=["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("_l"),
+                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", (-F.col("_l.s")).alias("start"), F.col("_l.l").alias("length"), (-F.col("_l.p")).alias("period"),
+        F.floor(1000 * F.col("_l.l") / -F.col("_l.p")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 # name -> (query, oracle SQL or None)
 QUERIES = {
     "op1_warc": (op1_warc, SQL_OP1),
@@ -128,4 +158,5 @@ QUERIES = {
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_lm_score": (op9_lm_score, None),
     "op10_quality": (op10_quality, None),
+    "op12_periodic_runs": (op12_periodic_runs, None),
 }
