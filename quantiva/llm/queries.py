@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import read_table
 from . import (ann_partitions, byte_bpe, decontaminate, jaccard_join, language_id, line_dedup, lm_interpolation,
-               periodic_runs, quality_cnn, token_counts, warc)
+               periodic_runs, quality_cnn, token_counts, warc, whitening)
 from .common import scratch_dir
 
 
@@ -146,6 +146,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(1000 * F.col("_l.l") / -F.col("_l.p")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out = whitening.whiten(table, components=8)
+    return out.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 # name -> (query, oracle SQL or None)
 QUERIES = {
     "op1_warc": (op1_warc, SQL_OP1),
@@ -159,4 +165,5 @@ QUERIES = {
     "op9_lm_score": (op9_lm_score, None),
     "op10_quality": (op10_quality, None),
     "op12_periodic_runs": (op12_periodic_runs, None),
+    "op13_whitening": (op13_whitening, None),
 }
