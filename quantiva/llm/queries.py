@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import read_table
 from . import (ann_partitions, byte_bpe, decontaminate, jaccard_join, language_id, line_dedup, lm_interpolation,
-               periodic_runs, quality_cnn, token_counts, warc, whitening)
+               periodic_runs, personal_data, quality_cnn, token_counts, warc, whitening)
 from .common import scratch_dir
 
 
@@ -116,6 +116,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_data.find_spans(docs, columns=["doc_id"]).withColumn("base", F.filter("spans", lambda s: s["base"]))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """The query's input: documents whose crc32 h of the id ends in 0 repeat a stretch of their words."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -164,6 +178,7 @@ QUERIES = {
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_lm_score": (op9_lm_score, None),
     "op10_quality": (op10_quality, None),
+    "op11_personal_data": (op11_personal_data, None),
     "op12_periodic_runs": (op12_periodic_runs, None),
     "op13_whitening": (op13_whitening, None),
 }
