@@ -42,11 +42,12 @@ def _moments(df: DataFrame, names: list[str]) -> DataFrame:
     return _long_moments(df.agg(*_moment_aggs([as_double(df, n) for n in names])), len(names))
 
 
-def moments_and_sketch(df: DataFrame, names: list[str], probs: dict[str, float]):
-    """(moments, sketch): one scan gives every column's moments (a literal table of one row per
-    column) and the bracketing sketch that ``ranks.exact_quantiles`` starts from."""
+def moments_and_sketch(df: DataFrame, names: list[str], probs: dict[str, float], heavy: bool = False):
+    """(moments, sketch, heavy): one scan gives every column's moments (a literal table of one row per
+    column), the bracketing sketch that ``ranks.exact_quantiles`` starts from and, if asked for, what
+    ``ranks.modes`` starts from."""
     values = [as_double(df, n) for n in names]
-    row = df.agg(*_moment_aggs(values), *ranks.sketch_aggs(values, probs)).collect()[0]
+    row = df.agg(*_moment_aggs(values), *ranks.sketch_aggs(values, probs), *(ranks.heavy_aggs(values) if heavy else [])).collect()[0]
     spark = df.sparkSession
 
     def clean(v):  # NaN (zero variance in skewness/kurtosis) is reported as NULL
@@ -55,10 +56,10 @@ def moments_and_sketch(df: DataFrame, names: list[str], probs: dict[str, float])
     mom = spark.createDataFrame(
         [tuple([i] + [clean(row[f"{m}{i}"]) for m in _MOMENTS]) for i in range(len(names))],
         "cid int, count long, " + ", ".join(f"{m} double" for m in _MOMENTS[1:]))
-    parts = [(f"_n{i}", f"_min{i}", f"_max{i}", f"_s{i}") for i in range(len(names))]
-    schema = ", ".join(f"{n} long, {lo} double, {hi} double, {s} array<double>" for n, lo, hi, s in parts)
-    sketch = spark.createDataFrame([tuple(row[c] for four in parts for c in four)], schema)
-    return mom, sketch
+    parts = [(f"_n{i}", f"_u{i}", f"_s{i}") for i in range(len(names))]
+    schema = ", ".join(f"{n} long, {u} long, {s} array<double>" for n, u, s in parts)
+    sketch = spark.createDataFrame([tuple(row[c] for three in parts for c in three)], schema)
+    return mom, sketch, [(row[f"_n{i}"], row[f"_t{i}"]) for i in range(len(names))] if heavy else None
 
 
 def resolve_numeric(df: DataFrame, columns) -> list[str]:
@@ -95,13 +96,13 @@ def descriptive(df: DataFrame, columns=None, approx: bool = False, accuracy: int
     if not names:
         raise ValidationError("No numeric columns to describe")
     probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    mom, sketch = moments_and_sketch(df, names, probs)
+    mom, sketch, heavy = moments_and_sketch(df, names, probs, heavy=True)
     values = [as_double(df, n) for n in names]
     if approx:
         qs = _approx_quartiles(df, names, accuracy)
     else:
         qs = ranks.exact_quantiles(df, values, probs, sketch=sketch)
-    mode = ranks.mode_of(ranks.value_counts(ranks.long_values(df, values), ["cid"]), ["cid"])
+    mode = ranks.modes(df, values, [t for _, t in heavy], [n for n, _ in heavy])
     res = mom.join(qs.drop("n"), "cid", "left").join(mode, "cid", "left")
     return res.select(
         name_at(names, F.col("cid")).alias("column"),

@@ -24,7 +24,7 @@ METHODS = ("iqr", "zscore")
 def column_stats(df: DataFrame, names: list[str]) -> list[dict]:
     """n, q1, q3, lower_bound, upper_bound, mean, std_pop of each column (None without values)."""
     probs = {"q1": 0.25, "q3": 0.75}
-    mom, sketch = moments_and_sketch(df, names, probs)
+    mom, sketch, _ = moments_and_sketch(df, names, probs)
     q = {r["cid"]: r for r in ranks.exact_quantiles(df, [as_double(df, n) for n in names], probs, sketch=sketch).collect()}
     out = []
     for r in mom.orderBy("cid").collect():  # one row per column

@@ -1,16 +1,24 @@
 """Exact order statistics without a single-task sort.
 
-Quantiles (``exact_quantiles``) by selection: a sketch brackets the wanted
-positions, an exact count says how many rows lie below and inside each
-bracket, and brackets that hold many rows are narrowed by another sketch of
-their rows only.  At the end the rows inside the brackets are counted by
-value; nothing else is shuffled but sketches and counts.  The sketches only
-choose the brackets: a bracket that misses its position is moved, and a
-bracket of any size gives the exact answer.  The same steps run at every
-input size.
+Quantiles (``exact_quantiles``) by selection, from a worklist of brackets, one
+for each (key, column, probability).  A sketch brackets the wanted positions;
+an exact count says how many rows lie below, at and between the bracket's two
+ends.  A position that falls on the rows equal to an end is answered.  A
+bracket that is left with more than ROWS_IN_BRACKET rows, and more distinct
+values than that by its own sketch, stays on the list and is narrowed by
+quantiles of the rows between its ends; the others leave it, each by itself.
+At the end the rows inside the brackets that still have an open position are
+counted by value, so the last window sorts at most ROWS_IN_BRACKET distinct
+values of a bracket.  Nothing else is shuffled but sketches and counts.  The
+sketches only choose the brackets: a bracket that misses its position is
+opened to that side, and one of any size gives the exact answer.
 
 Ranks (``positions``) need every value: the value counts are sorted by range
 partitions, stored, and numbered with one offset per partition and key.
+
+The most frequent value (``modes``): a mergeable heavy-hitter summary with a
+known error gives candidates, which are counted exactly; only columns in which
+its error leaves the answer open are grouped by value.
 """
 
 from __future__ import annotations
@@ -22,7 +30,10 @@ from ..session import scratch_dir
 
 ACCURACY = 10_000        # of the bracketing sketches: rank error at most rows / ACCURACY
 MARGIN = 0.0005          # half width of a bracket, as a share of the rows it is cut from
-ROWS_IN_BRACKET = 100_000  # larger brackets are narrowed before their rows are counted by value
+ROWS_IN_BRACKET = 100_000  # brackets with more rows and more distinct values are narrowed before their rows are counted by value
+DISTINCT_ERROR = 0.05    # relative standard deviation of the distinct sketches; three of it are added
+TRACKED = 10_000         # values that the heavy-hitter summary keeps
+TOP = 32                 # candidates it returns
 
 
 def value_counts(long_df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -51,145 +62,218 @@ def stored_table(df: DataFrame, name: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ selection
-def _wanted(n: Column, p: float) -> tuple[Column, Column, Column]:
+def _wanted(n: Column, p) -> tuple[Column, Column, Column]:
     """h = (n-1)p and the two positions (from 0) around it."""
-    h = (n - F.lit(1)).cast("double") * F.lit(p)
+    h = (n - F.lit(1)).cast("double") * (p if isinstance(p, Column) else F.lit(p))
     return h, F.floor(h).cast("long"), F.ceil(h).cast("long")
 
 
 def sketch_aggs(values: list[Column], probs: dict[str, float]) -> list[Column]:
-    """Count, extremes and bracketing sketch of each column, as aggregates of one pass."""
+    """Count, extremes, distinct sketch and bracketing sketch of each column, as aggregates of one pass."""
     at = [x for p in probs.values() for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
     out = []
     for i, v in enumerate(values):
-        out += [F.count(v).alias(f"_n{i}"), F.min(v).alias(f"_min{i}"), F.max(v).alias(f"_max{i}"),
+        out += [F.count(v).alias(f"_n{i}"), F.approx_count_distinct(v, DISTINCT_ERROR).alias(f"_u{i}"),
                 F.percentile_approx(v, at, ACCURACY).alias(f"_s{i}")]
     return out
 
 
-def _brackets(probs: dict[str, float], i: int) -> list[Column]:
-    """lo / hi of each wanted probability of column i, from its sketch."""
-    out = []
-    for j, p in enumerate(probs.values()):
-        lo = F.col(f"_min{i}") if p - MARGIN <= 0 else F.get(f"_s{i}", F.lit(2 * j))
-        hi = F.col(f"_max{i}") if p + MARGIN >= 1 else F.get(f"_s{i}", F.lit(2 * j + 1))
-        out += [lo.alias(f"_lo{i}_{j}"), hi.alias(f"_hi{i}_{j}")]
-    return out
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value's expression written once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _open_positions(s: Column, a: Column, z: Column) -> tuple[Column, Column]:
+    """The smallest and the largest wanted position of a bracket with the answers a and z."""
+    _, first, last = _wanted(s["n"], s["p"])
+    return F.when(a.isNull(), first).otherwise(last), F.when(z.isNull(), last).otherwise(first)
+
+
+def _at_most(distinct: Column) -> Column:
+    return F.ceil(distinct * (1 + 3 * DISTINCT_ERROR))
 
 
 class _Selection:
-    """The bracket table (one row per key, or literals without keys) and the passes over the data."""
+    """The worklist and the passes over the data.
+
+    A bracket (a struct of the array ``cells``, one array per key) has the open ends ``lo`` and
+    ``hi`` (null: unbounded), the number of rows up to lo (``b``) and below hi (``e``), a bound
+    ``u`` of the distinct values in between, the answers ``a`` and ``z`` at its two positions as far
+    as they are known, and, while new ends are not counted, the former ends ``l`` and ``h``, to
+    which ``b`` and ``e`` then belong.  ``open``: a position is wanted; ``active``: to be narrowed.
+    """
+
+    FIELDS = ("cid", "j", "p", "n", "lo", "hi", "l", "h", "a", "z", "b", "e", "u", "open", "active")
 
     def __init__(self, base: DataFrame, k: int, keys: list[str], probs: dict[str, float]):
         self.base, self.k, self.keys, self.probs = base, k, keys, probs
         self.cells = [(i, j) for i in range(k) for j in range(len(probs))]
+        self.active = self.open = list(range(len(self.cells)))
 
     def start(self, table: DataFrame) -> None:
-        cols = [F.col(f"`{x}`") for x in self.keys]
-        for i in range(self.k):
-            cols += [F.col(f"_n{i}"), F.col(f"_min{i}"), F.col(f"_max{i}"), *_brackets(self.probs, i)]
-        self.keep(table.select(*cols))
+        cells = []
+        for i, j in self.cells:
+            p, sketch = list(self.probs.values())[j], F.col(f"_s{i}")
+            self.kind = table.schema[f"_s{i}"].dataType.elementType
+            none, n = F.lit(None).cast(self.kind), F.col(f"_n{i}")
+            field = {"cid": F.lit(i), "j": F.lit(j), "p": F.lit(p), "n": n,
+                     "lo": none if p - MARGIN <= 0 else F.get(sketch, F.lit(2 * j)),
+                     "hi": none if p + MARGIN >= 1 else F.get(sketch, F.lit(2 * j + 1)),
+                     "l": none, "h": none, "a": none, "z": none, "b": F.lit(0).cast("long"), "e": n,
+                     "u": _at_most(F.col(f"_u{i}")).cast("long"), "open": n > 0, "active": n > 0}
+            cells.append(F.struct(*[field[x].alias(x) for x in self.FIELDS]))
+        self.keep(table.select(*[F.col(f"`{x}`") for x in self.keys], F.array(*cells).alias("cells")))
 
     def keep(self, table: DataFrame) -> None:
         """Without keys the table is one row and becomes literals; with keys it is stored, and Spark
         broadcasts it or not by its size."""
         if self.keys:
             self.table = stored_table(table, "brackets")
+            marks = [F.max(F.get("cells", F.lit(x))[f]).alias(f"{f}{x}") for x in range(len(self.cells)) for f in ("open", "active")]
+            got = self.table.agg(*marks).collect()[0].asDict()
         else:
-            row = table.collect()[0].asDict()  # a few numbers for each column
-            self.table = self.base.sparkSession.createDataFrame([tuple(row.values())], table.schema)
-            self.row = row
+            row = table.collect()[0]["cells"]  # a few numbers for each column
+            self.row, self.schema = row, table.schema
+            got = {f"{f}{x}": row[x][f] for x in range(len(self.cells)) for f in ("open", "active")}
+        self.open = [x for x in range(len(self.cells)) if got[f"open{x}"]]
+        self.active = [x for x in range(len(self.cells)) if got[f"active{x}"]]
+
+    def state(self) -> DataFrame:
+        return self.table if self.keys else self.base.sparkSession.createDataFrame([(self.row,)], self.schema)
 
     def rows(self) -> DataFrame:
-        """The data with its bracket columns."""
-        if self.keys:
-            return self.base.join(self.table, self.keys)
-        return self.base.select("*", *[F.lit(v).cast(self.table.schema[c].dataType).alias(c) for c, v in self.row.items()])
+        """The data, with its brackets where there are keys."""
+        return self.base.join(self.table, self.keys) if self.keys else self.base
 
-    def count(self) -> None:
-        """Exact numbers of rows below each bracket and up to its end; brackets that miss are moved."""
-        d = self.rows()
-        aggs = []
-        for i, j in self.cells:
-            v = F.col(f"_v{i}")
-            aggs += [F.count_if(v < F.col(f"_lo{i}_{j}")).alias(f"_b{i}_{j}"), F.count_if(v <= F.col(f"_hi{i}_{j}")).alias(f"_u{i}_{j}")]
-        counts = d.groupBy(*self.keys).agg(*aggs) if self.keys else d.agg(*aggs)
+    def field(self, x: int, name: str) -> Column:
+        """Bracket ``x`` of a row of ``rows``."""
         if self.keys:
-            both = self.table.join(counts, self.keys)
-        else:
-            both = counts.select(*[F.lit(v).cast(self.table.schema[c].dataType).alias(c) for c, v in self.row.items()], "*")
-        base_cols = [F.col(f"`{c}`") for c in self.table.columns if not c.startswith(("_lo", "_hi", "_b", "_u", "_miss"))]
-        out = []
-        for i, j in self.cells:
-            p = list(self.probs.values())[j]
-            _, first, last = _wanted(F.col(f"_n{i}"), p)
-            lo, hi, below, upto = (F.col(f"_{x}{i}_{j}") for x in ("lo", "hi", "b", "u"))
-            early, late = below > first, upto <= last
-            out += [F.when(early, F.col(f"_min{i}")).otherwise(lo).alias(f"_lo{i}_{j}"),
-                    F.when(late, F.col(f"_max{i}")).otherwise(hi).alias(f"_hi{i}_{j}"),
-                    F.when(early, 0).otherwise(below).alias(f"_b{i}_{j}"),
-                    F.when(late, F.col(f"_n{i}")).otherwise(upto).alias(f"_u{i}_{j}")]
-        self.keep(both.select(*base_cols, *out))
-
-    def largest(self) -> int:
-        """Rows in the largest bracket that can still be narrowed."""
-        sizes = [F.max(F.when(F.col(f"_lo{i}_{j}") < F.col(f"_hi{i}_{j}"), F.col(f"_u{i}_{j}") - F.col(f"_b{i}_{j}")))
-                 for i, j in self.cells]
-        row = self.table.agg(*[F.coalesce(s, F.lit(0)).alias(f"s{x}") for x, s in enumerate(sizes)]).collect()[0]
-        return max(row)
+            return F.get("cells", F.lit(x))[name]
+        kind = self.kind if name in ("lo", "hi", "l", "h", "a", "z") else self.schema["cells"].dataType.elementType[name].dataType
+        return F.lit(self.row[x][name]).cast(kind)
 
-    def narrow(self) -> None:
-        """A sketch of each bracket's own rows around the wanted place gives a narrower one."""
-        d = self.rows()
-        aggs = []
-        steps = [x / 200 for x in range(1, 200)]
-        for i, j in self.cells:
-            v, lo, hi = F.col(f"_v{i}"), F.col(f"_lo{i}_{j}"), F.col(f"_hi{i}_{j}")
-            aggs.append(F.percentile_approx(F.when((v >= lo) & (v <= hi), v), steps, ACCURACY).alias(f"_q{i}_{j}"))
-        sketch = d.groupBy(*self.keys).agg(*aggs) if self.keys else d.agg(*aggs)
+    def value(self, x: int) -> Column:
+        return F.col(f"_v{self.cells[x][0]}")
+
+    def inside(self, x: int) -> Column:
+        v, lo, hi = self.value(x), self.field(x, "lo"), self.field(x, "hi")
+        return v.isNotNull() & (lo.isNull() | (v > lo)) & (hi.isNull() | (v < hi))
+
+    def update(self, aggs: dict[int, Column], change) -> None:
+        """One pass: ``aggs`` gives a struct of aggregates for each active bracket, ``change(bracket, struct)`` the new bracket."""
+        none = F.lit(None)
+        got = F.array(*[aggs.get(x, none) for x in range(len(self.cells))]).alias("got")
         if self.keys:
-            both = self.table.join(sketch, self.keys)
+            both = self.table.join(self.rows().groupBy(*self.keys).agg(got), self.keys)
         else:
-            both = sketch.select(*[F.lit(v).cast(self.table.schema[c].dataType).alias(c) for c, v in self.row.items()], "*")
-        base_cols = [F.col(f"`{c}`") for c in self.table.columns if not c.startswith(("_lo", "_hi", "_b", "_u"))]
-        out = []
-        for i, j in self.cells:
-            p = list(self.probs.values())[j]
-            _, first, last = _wanted(F.col(f"_n{i}"), p)
-            lo, hi, below, upto, q = (F.col(f"_{x}{i}_{j}") for x in ("lo", "hi", "b", "u", "q"))
-            size = (upto - below).cast("double")
-            left = F.floor(200 * (first - below) / size).cast("int") - 2   # one step below the place, as an index of steps
-            right = F.ceil(200 * (last + 1 - below) / size).cast("int")
-            out += [F.when(left >= 0, F.coalesce(F.get(q, left), lo)).otherwise(lo).alias(f"_lo{i}_{j}"),
-                    F.when(right < 199, F.coalesce(F.get(q, right), hi)).otherwise(hi).alias(f"_hi{i}_{j}")]
-        self.keep(both.select(*base_cols, *out))
+            both = self.state().crossJoin(F.broadcast(self.rows().agg(got)))  # one row and one row
+        cells = F.zip_with("cells", "got", lambda s, g: F.when(g.isNull(), s).otherwise(change(s, g)))
+        self.keep(both.select(*[F.col(f"`{x}`") for x in self.keys], cells.alias("cells")))
 
-    def finish(self) -> DataFrame:
-        """Count the rows inside the brackets by value and interpolate."""
+    def changed(self, s: Column, **new: Column) -> Column:
+        """The bracket with new fields, and what follows from them."""
+        f = {x: new.get(x, s[x]) for x in self.FIELDS}
+        f["open"] = (f["n"] > 0) & (f["a"].isNull() | f["z"].isNull())
+        f["active"] = f["open"] & (f["e"] - f["b"] > ROWS_IN_BRACKET) & (f["u"] > ROWS_IN_BRACKET)
+        return F.struct(*[f[x].alias(x) for x in self.FIELDS])
+
+    def count(self) -> None:
+        """Exact numbers of rows around the ends of the active brackets: answers at the ends, and the
+        open interval that holds what is still wanted."""
+        aggs = {}
+        for x in self.active:
+            v, lo, hi = self.value(x), self.field(x, "lo"), self.field(x, "hi")
+            aggs[x] = F.struct(*[F.count_if(c).alias(f"c{k}") for k, c in enumerate((v < lo, v <= lo, v < hi, v <= hi))])
+
+        def answered(s, g):
+            _, first, last = _wanted(s["n"], s["p"])
+            c2, c3 = (F.when(s["hi"].isNull(), s["n"]).otherwise(g[c]) for c in ("c2", "c3"))
+            a, z = (F.coalesce(s[f], F.when((g["c0"] <= at) & (at < g["c1"]), s["lo"]).when((c2 <= at) & (at < c3), s["hi"]))
+                    for f, at in (("a", first), ("z", last)))
+            return F.struct(a.alias("a"), z.alias("z"), c2.alias("c2"), c3.alias("c3"))
+
+        def change(s, g):
+            def ends(w):
+                least, most = _open_positions(s, w["a"], w["z"])
+                early, late = (least < g["c0"], least >= w["c3"]), (most < g["c0"], most >= w["c3"])
+                return self.changed(
+                    s, a=w["a"], z=w["z"],
+                    lo=F.when(early[0], s["l"]).when(early[1], s["hi"]).otherwise(s["lo"]),
+                    b=F.when(early[0], s["b"]).when(early[1], w["c3"]).otherwise(g["c1"]),
+                    hi=F.when(late[1], s["h"]).when(late[0], s["lo"]).otherwise(s["hi"]),
+                    e=F.when(late[1], s["e"]).when(late[0], g["c0"]).otherwise(w["c2"]))
+
+            return _let(answered(s, g), ends)
+
+        self.update(aggs, change)
+
+    def recount(self) -> None:
+        """Counts after narrowing: of every bracket that has just been narrowed, active or not."""
+        self.active = self.narrowed
+        self.count()
+
+    def narrow(self) -> None:
+        """Quantiles of the rows inside each active bracket, around the wanted place, give its new ends."""
+        steps, aggs, self.narrowed = [x / 200 for x in range(1, 200)], {}, self.active
+        for x in self.active:
+            v = F.when(self.inside(x) & self.field(x, "active"), self.value(x))
+            aggs[x] = F.struct(F.percentile_approx(v, steps, ACCURACY).alias("q"), F.approx_count_distinct(v, DISTINCT_ERROR).alias("w"))
+
+        def change(s, g):
+            least, most = _open_positions(s, s["a"], s["z"])
+            size = F.greatest(s["e"] - s["b"], F.lit(1)).cast("double")
+            left = F.floor(200 * (least - s["b"]) / size).cast("int") - 2   # one step below the place, as an index of steps
+            right = F.ceil(200 * (most + 1 - s["b"]) / size).cast("int")
+            cut = (left >= 0) | (right < 199)
+            return F.when(~s["active"], s).otherwise(self.changed(
+                s, l=s["lo"], h=s["hi"],
+                lo=F.when(left >= 0, F.coalesce(F.get(g["q"], left), s["lo"])).otherwise(s["lo"]),
+                hi=F.when(right < 199, F.coalesce(F.get(g["q"], right), s["hi"])).otherwise(s["hi"]),
+                u=F.when(cut, F.least(_at_most(g["w"]), s["u"])).otherwise(F.lit(0)).cast("long")))  # 0: leaves the list
+
+        self.update(aggs, change)
+
+    def _answers(self) -> DataFrame:
+        """(keys..., cid, n, and the two answers of each probability) of columns with values."""
+        m = len(self.probs)
+        each = [F.struct(F.lit(i).alias("cid"), F.get("cells", F.lit(i * m))["n"].alias("n"), *[
+            F.get("cells", F.lit(i * m + j))[x].alias(f"_{x}{j}") for j in range(m) for x in "az"]) for i in range(self.k)]
+        return self.state().select(*[F.col(f"`{x}`") for x in self.keys], F.explode(F.array(*each)).alias("p")).select(
+            *self.keys, "p.*").where("n > 0")
+
+    def _counted(self) -> DataFrame:
+        """(keys..., cid, and the open answers of each probability): rows inside the open brackets by value."""
         d = self.rows()
-        inside = [F.struct(F.lit(i).alias("cid"), F.lit(j).alias("_j"), F.col(f"_v{i}").alias("value"),
-                           F.col(f"_lo{i}_{j}").alias("lo"), F.col(f"_hi{i}_{j}").alias("hi"),
-                           F.col(f"_b{i}_{j}").alias("_below"), F.col(f"_n{i}").alias("n")) for i, j in self.cells]
-        hit = F.filter(F.array(*inside), lambda s: (s["value"] >= s["lo"]) & (s["value"] <= s["hi"]))
-        some = d.select(*[F.col(f"`{x}`") for x in self.keys], F.explode(hit).alias("p")).select(
-            *self.keys, "p.cid", "p._j", "p.value", "p._below", "p.n")
+        cells = {x: self.field(x, "open") & self.inside(x) for x in self.open}
+        hit = None
+        for c in cells.values():
+            hit = c if hit is None else hit | c
+        inside = [F.when(c, F.struct(F.lit(self.cells[x][0]).alias("cid"), F.lit(self.cells[x][1]).alias("_j"), self.value(x).alias("value"),
+                                     self.field(x, "b").alias("_below"), self.field(x, "n").alias("n"))) for x, c in cells.items()]
+        some = d.where(hit).select(*[F.col(f"`{x}`") for x in self.keys], F.explode(F.array_compact(F.array(*inside))).alias("p"))
         by = [*self.keys, "cid", "_j"]
-        vc = some.groupBy(*by, "value", "_below", "n").agg(F.count(F.lit(1)).alias("cnt"))
+        vc = some.select(*self.keys, "p.*").groupBy(*by, "value", "_below", "n").agg(F.count(F.lit(1)).alias("cnt"))
         w = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         pos = vc.withColumn("end", F.col("_below") + F.sum("cnt").over(w))
-        aggs, names = [F.max("n").alias("n")], list(self.probs)
-        for j, (name, p) in enumerate(self.probs.items()):
+        aggs = []
+        for j, p in enumerate(self.probs.values()):
             _, first, last = _wanted(F.col("n"), p)
             own = F.col("_j") == j
-            aggs += [F.min(F.when(own & (F.col("end") > first), F.col("value"))).alias(f"_a{j}"),
-                     F.min(F.when(own & (F.col("end") > last), F.col("value"))).alias(f"_z{j}")]
-        res = pos.groupBy(*self.keys, "cid").agg(*aggs)
+            aggs += [F.min(F.when(own & (F.col("_below") <= at) & (F.col("end") > at), F.col("value"))).alias(f"_{x}c{j}")
+                     for x, at in (("a", first), ("z", last))]
+        return pos.groupBy(*self.keys, "cid").agg(*aggs)
+
+    def finish(self) -> DataFrame:
+        """Interpolated quantiles from the answers at bracket ends and the counted values."""
+        res = self._answers()
+        if self.open:
+            res = res.join(self._counted(), [*self.keys, "cid"], "left")
         out = [F.col(f"`{x}`") for x in self.keys] + [F.col("cid"), F.col("n")]
-        for j, name in enumerate(names):
-            h, first, _ = _wanted(F.col("n"), self.probs[name])
+        for j, (name, p) in enumerate(self.probs.items()):
+            h, first, _ = _wanted(F.col("n"), p)
             frac = h - first.cast("double")
-            a, b = F.col(f"_a{j}"), F.col(f"_z{j}")
-            out.append(F.when(frac == 0, a).otherwise(a + (b - a) * frac).alias(name))
+            a, z = (F.coalesce(F.col(f"_{x}{j}"), F.col(f"_{x}c{j}")) if self.open else F.col(f"_{x}{j}") for x in "az")
+            out.append(F.when(frac == 0, a).otherwise(a + (z - a) * frac).alias(name))
         return res.select(*out)
 
 
@@ -209,14 +293,11 @@ def exact_quantiles(df: DataFrame, values: list[Column], probs: dict[str, float]
         sketch = base.groupBy(*keys).agg(*sketch_aggs(own, probs)) if keys else base.agg(*sketch_aggs(own, probs))
     s = _Selection(base, len(values), list(keys), probs)
     s.start(sketch)
-    s.count()
-    size = s.largest()
-    while size > ROWS_IN_BRACKET:
-        s.narrow()
+    if s.active:
         s.count()
-        before, size = size, s.largest()
-        if size > before // 2:  # few distinct values: their counts are short, whatever their rows
-            break
+    while s.active:
+        s.narrow()
+        s.recount()
     return s.finish()
 
 
@@ -249,3 +330,51 @@ def mode_of(vc: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     return vc.groupBy(*keys).agg(
         F.min_by(F.col(value), F.struct(-F.col("cnt"), F.col(value))).alias("mode")
     )
+
+
+def heavy_aggs(values: list[Column]) -> list[Column]:
+    """A summary of the most frequent values of each column, as aggregates of one pass."""
+    return [F.call_function("approx_top_k", v, F.lit(TOP), F.lit(TRACKED)).alias(f"_t{i}") for i, v in enumerate(values)]
+
+
+def _summary_error() -> float:
+    """Share of the rows by which an estimate may be too high: 3.5 over the summary's table size."""
+    size = 8
+    while size * 0.75 < TRACKED:
+        size *= 2
+    return 3.5 / size
+
+
+def _candidates(items: list, n: int) -> tuple[list, float]:
+    """(values that can be the mode, bound of the count of every value that is not among them)."""
+    found = [(x["item"], x["count"]) for x in items or [] if x["item"] is not None]
+    slack = _summary_error() * n
+    bound = max([2 * slack] + ([found[-1][1]] if len(items or []) >= TOP else []))  # values that are not returned
+    top = max((c for _, c in found), default=0)
+    # an estimate is never too low and at most slack too high: values below top - slack are no modes
+    return [v for v, c in found if c >= top - slack], bound
+
+
+def modes(df: DataFrame, values: list[Column], heavy: list[list], counts: list[int]) -> DataFrame:
+    """(cid, mode): most frequent value, smallest on ties, of each column with values.
+
+    ``heavy`` are the results of ``heavy_aggs`` and ``counts`` the numbers of values.  The candidates
+    are counted exactly in one pass; a column is settled if its best candidate is more frequent than
+    anything the summary may have missed, else its values are grouped.
+    """
+    spark = df.sparkSession
+    lists = [_candidates(h, n) if n else ([], 0.0) for h, n in zip(heavy, counts)]
+    asked = [(i, v) for i, (some, _) in enumerate(lists) for v in some]
+    settled = {}
+    if asked:
+        got = df.agg(*[F.count_if(values[i] == F.lit(v)).alias(f"c{k}") for k, (i, v) in enumerate(asked)]).collect()[0]
+        for k, (i, v) in enumerate(asked):
+            settled[i] = min(settled.get(i, (1, None)), (-got[k], v))
+        settled = {i: v for i, (c, v) in settled.items() if -c > lists[i][1]}
+    kind = df.select(values[0].alias("v")).schema["v"].dataType.simpleString()
+    out = spark.createDataFrame(list(settled.items()), f"cid int, mode {kind}")
+    left = [i for i, n in enumerate(counts) if n and i not in settled]
+    if left:
+        own = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("cid"), values[i].alias("value")) for i in left])).alias("p"))
+        out = out.unionByName(mode_of(value_counts(own.select("p.*"), ["cid"]), ["cid"]))
+    return out

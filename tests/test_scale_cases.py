@@ -143,3 +143,56 @@ def test_pearson_in_blocks_of_pairs(spark, monkeypatch):
     whole = {(r[0], r[1]): r[2:4] for r in correlate.correlation(df, cols).collect()}
     monkeypatch.setattr(correlate, "PEARSON_PAIRS", 3)
     assert {(r[0], r[1]): r[2:4] for r in correlate.correlation(df, cols).collect()} == whole
+
+
+def test_worklist_of_mixed_columns(spark, monkeypatch):
+    """Eleven values beside a near-unique column: the one leaves the list, the other is narrowed on; the last
+    window never sorts more distinct values of a bracket than allowed."""
+    monkeypatch.setattr(ranks, "ROWS_IN_BRACKET", 300)
+    monkeypatch.setattr(ranks, "MARGIN", 0.05)
+    df = spark.range(60_000).select((F.col("id") % 11).cast("double").alias("few"), (F.xxhash64("id") % 1_000_003).cast("double").alias("many"),
+                                    F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.xxhash64("id") % 1_000_003).cast("double").alias("hot"))
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    passes, sorted_values = [], []
+    narrow, counted = ranks._Selection.narrow, ranks._Selection._counted
+
+    def seen(self):
+        passes.append([self.cells[x][0] for x in self.active])
+        narrow(self)
+
+    def last(self):
+        for x in self.open:
+            sorted_values.append(self.base.where(self.inside(x)).select(self.value(x)).distinct().count())
+        return counted(self)
+
+    monkeypatch.setattr(ranks._Selection, "narrow", seen)
+    monkeypatch.setattr(ranks._Selection, "_counted", last)
+    got = {r["cid"]: r for r in ranks.exact_quantiles(df, [F.col(c) for c in df.columns], probs).collect()}
+    ref = df.agg(*[F.percentile(c, list(probs.values())) for c in df.columns]).collect()[0]
+    assert [[got[i][k] for k in probs] for i in range(3)] == [list(r) for r in ref]
+    assert passes and all(0 not in p for p in passes) and 1 in passes[0]
+    assert sorted_values and max(sorted_values) <= 300
+
+
+def test_modes_equal_grouping(spark, monkeypatch):
+    n = 20_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id").cast("double")).alias("leads"), F.col("id").cast("double").alias("distinct"),
+        (F.col("id") % 10).cast("double").alias("ties"), F.lit(None).cast("double").alias("none"),
+        F.when(F.col("id") < 4, -1.5).otherwise(F.col("id").cast("double")).alias("barely"), F.lit(2.5).alias("same"))
+    values = [F.col(c) for c in df.columns]
+
+    def run():
+        row = df.agg(*ranks.heavy_aggs(values), *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)]).collect()[0]
+        heavy, counts = [row[f"_t{i}"] for i in range(len(values))], [row[f"n{i}"] for i in range(len(values))]
+        return {r["cid"]: r["mode"] for r in ranks.modes(df, values, heavy, counts).collect()}
+
+    grouped = []
+    plain = ranks.value_counts
+    monkeypatch.setattr(ranks, "value_counts", lambda d, k: grouped.extend(
+        sorted(r["cid"] for r in d.select("cid").distinct().collect())) or plain(d, k))
+    assert run() == {0: 7.0, 1: 0.0, 2: 0.0, 4: -1.5, 5: 2.5}
+    assert set(grouped) <= {1, 4}  # where one value leads nothing is shuffled by value
+    monkeypatch.setattr(ranks, "TRACKED", 12)
+    monkeypatch.setattr(ranks, "TOP", 3)
+    assert run() == {0: 7.0, 1: 0.0, 2: 0.0, 4: -1.5, 5: 2.5}
