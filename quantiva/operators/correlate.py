@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..errors import AnalysisError, ValidationError
 from ..functions import labels
-from ..functions.columns import as_double, check_columns, col
-from . import ranks
+from ..functions.columns import as_double, check_columns, col, name_at
+from . import gram, ranks
 from .describe import resolve_numeric
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -90,7 +90,9 @@ def correlation(df: DataFrame, columns=None, method: str = "pearson") -> DataFra
     if len(names) < 2:
         raise AnalysisError("Need at least 2 numeric columns for correlation analysis")
     pairs = list(combinations(names, 2))
-    if method == "pearson":
+    if method == "pearson" and len(pairs) > PEARSON_PAIRS:
+        res = _wide_pearson(df, names)
+    elif method == "pearson":
         rows, complete, means = _column_facts(df, names)
         cheap = [(a, b) for a, b in pairs if a in complete and b in complete]
         rest = [p for p in pairs if p not in cheap]
@@ -98,9 +100,10 @@ def correlation(df: DataFrame, columns=None, method: str = "pearson") -> DataFra
         parts = []
         if not rows:
             cheap, rest = [], pairs
-        # one scan for each block of pairs, so that no aggregate holds all pairs of a wide table
-        parts += [_centered_pairs(df, exprs, means, rows, b) for b in _blocks(cheap)]
-        parts += [_pearson_pairs(df, exprs, b) for b in _blocks(rest)]
+        if cheap:
+            parts.append(_centered_pairs(df, exprs, means, rows, cheap))
+        if rest:
+            parts.append(_pearson_pairs(df, exprs, rest))
         res = _union(parts)
     elif method == "spearman":
         res = _spearman(df, names, pairs)
@@ -114,7 +117,8 @@ def correlation(df: DataFrame, columns=None, method: str = "pearson") -> DataFra
 
 
 PAIRS_AT_ONCE = 64       # of Spearman's points
-PEARSON_PAIRS = 512      # of one Pearson aggregate
+PEARSON_PAIRS = 512      # most pairs of one aggregate; more are computed by ``gram``
+SMALL_RANKS = 10_000     # distinct values of a column whose ranks are broadcast
 
 
 def _blocks(pairs: list, size: int | None = None) -> list[list]:
@@ -122,15 +126,86 @@ def _blocks(pairs: list, size: int | None = None) -> list[list]:
     return [pairs[a:a + size] for a in range(0, len(pairs), size)]
 
 
+def _wide_pearson(df: DataFrame, names: list[str]) -> DataFrame:
+    """All pairs in one scan by ``gram``.  Pairs in which a column hardly varies against its mean (constants
+    above all) are decided by plain aggregates of their own."""
+    got = ranks.stored_table(gram.pair_table(df, [as_double(df, n) for n in names]), "pairs")
+    den = F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))
+    r = F.try_divide(F.col("xy"), F.when(den > 0, den))
+    sure = got.where(~F.col("close") & (F.col("n") > 0)).select(
+        name_at(names, F.col("i")).alias("column1"), name_at(names, F.col("j")).alias("column2"), "n",
+        F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias("correlation"))
+    none = got.where(F.col("n") == 0).select(name_at(names, F.col("i")).alias("column1"), name_at(names, F.col("j")).alias("column2"),
+                                             "n", F.lit(None).cast("double").alias("correlation"))
+    close = [(names[x["i"]], names[x["j"]]) for x in got.where(F.col("close") & (F.col("n") > 0)).orderBy("i", "j").collect()]
+    exprs = {n: as_double(df, n) for n in names}
+    if not got.count():  # no rows
+        return df.sparkSession.createDataFrame([(a, b, 0, None) for a, b in combinations(names, 2)],
+                                               "column1 string, column2 string, n bigint, correlation double")
+    return _union([sure, none] + [_pearson_pairs(df, exprs, b) for b in _blocks(close)])
+
+
+def _null_patterns(df: DataFrame, names: list[str], pairs) -> tuple[dict, list]:
+    """({rows' pattern: (columns that must be present, its pairs)}, pairs that share their rows with no other).
+
+    Columns present in the same rows are one class; a pair's rows are those of its two classes, or of
+    one of them if it lies inside the other."""
+    here = {n: as_double(df, n).isNotNull() for n in names}
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(here[n]).alias(f"n{i}") for i, n in enumerate(names)]).collect()[0]
+    single = {n: row[f"n{i}"] for i, n in enumerate(names)}
+    both = {}
+    gaps = [p for p in pairs if single[p[0]] < row["rows"] and single[p[1]] < row["rows"]]
+    for some in _blocks(gaps):
+        got = df.agg(*[F.count_if(here[a] & here[b]).alias(f"b{k}") for k, (a, b) in enumerate(some)]).collect()[0]
+        both |= {p: got[f"b{k}"] for k, p in enumerate(some)}
+    first = {}  # the first column of each column's class
+    for n in names:
+        first[n] = next((m for m in first if first[m] == m and single[m] == single[n]
+                         and both.get((m, n), single[n]) == single[n]), n)
+    patterns: dict[tuple, tuple] = {}
+    for a, b in pairs:
+        n = both.get((a, b), min(single[a], single[b]))
+        need = (a,) if n == single[a] else (b,) if n == single[b] else (a, b)
+        key = tuple(sorted({first[x] for x in need}, key=names.index))
+        patterns.setdefault(key, (need, []))[1].append((a, b))
+    alone = [p for _, own in patterns.values() if len(own) == 1 for p in own]
+    return {k: v for k, v in patterns.items() if len(v[1]) > 1}, alone
+
+
+def _spearman_complete(df: DataFrame, pairs) -> DataFrame:
+    """Spearman of pairs whose columns have no nulls in ``df``: each column is ranked once, its ranks are
+    joined to the rows (broadcast where they are few), and all pairs are one aggregate of centred products."""
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    wide = df.select(*[as_double(df, c).alias(f"_v{i}") for i, c in enumerate(cols)])
+    vc = ranks.value_counts(ranks.long_values(wide, [F.col(f"_v{i}") for i in range(len(cols))]), ["cid"])
+    rk = ranks.stored_table(ranks.average_ranks(vc, ["cid"]), "ranks")
+    sizes = {r["cid"]: (r["d"], r["n"]) for r in rk.groupBy("cid").agg(F.count(F.lit(1)).alias("d"), F.max("n").alias("n")).collect()}
+    if not sizes:
+        return _pearson_pairs(df, {c: as_double(df, c) for c in cols}, pairs)
+    n = sizes[0][1]
+    for i in sorted(sizes, key=lambda c: sizes[c][0]):
+        own = rk.where(F.col("cid") == i).select(F.col("value").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}"))
+        wide = wide.join(F.broadcast(own) if sizes[i][0] <= SMALL_RANKS else own, f"_v{i}").drop(f"_v{i}")
+    exprs = {c: F.col(f"_r{i}") for i, c in enumerate(cols)}
+    means = {c: (n + 1) / 2 for c in cols}
+    return _union([_centered_pairs(wide, exprs, means, n, b) for b in _blocks(pairs)])
+
+
 def _spearman(df: DataFrame, names: list[str], pairs) -> DataFrame:
     """Pearson of the average ranks of each pair's complete rows.
 
-    Rows are collapsed to (pair, x, y, count) before anything else, ranks come from the value counts
-    of each side of a pair, and these are joined to the collapsed rows, never to raw ones.  Nulls
-    need no other plan: each pair ranks its own rows.
+    Pairs with the same complete rows (without nulls: all) are ranked together, each column once
+    (``_spearman_complete``).  For the others rows are collapsed to (pair, x, y, count) before anything else, ranks come from the value counts
+    of each side of a pair, and these are joined to the collapsed rows, never to raw ones.
     """
+    patterns, alone = _null_patterns(df, names, pairs)
     parts = []
-    for some in _blocks(pairs, PAIRS_AT_ONCE):
+    for need, own in patterns.values():
+        rows = df
+        for c in need:
+            rows = rows.where(as_double(df, c).isNotNull())
+        parts.append(_spearman_complete(rows, own))
+    for some in _blocks(alone, PAIRS_AT_ONCE):
         cells = F.array(*[F.struct(F.lit(k).alias("pid"), as_double(df, x).alias("x"), as_double(df, y).alias("y"))
                           for k, (x, y) in enumerate(some)])
         cells = F.filter(cells, lambda c: c["x"].isNotNull() & c["y"].isNotNull())

@@ -122,6 +122,32 @@ def sql_corr_pearson():
     return _labelled(_pearson_sql("lineitem", LINE4))
 
 
+WIDE_BASE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+WIDE = [f"{c[2:]}_{k}" for k in range(9) for c in WIDE_BASE]
+
+
+def _wide_terms(k):
+    """Column k of each measure: the measure mixed with another column, absent in some rows (none for k = 0)."""
+    return [(f"{c[2:]}_{k}", f"{c} * {k + 1} + l_suppkey * {(k * 37) % 11} * 0.001",
+             f"(l_orderkey + {i}) % {7 + k} <> 0" if k else "l_orderkey IS NOT NULL") for i, c in enumerate(WIDE_BASE)]
+
+
+def _wide_sql():
+    return ", ".join(f"CASE WHEN {cond} THEN CAST({e} AS DOUBLE) END AS {name}" for k in range(9) for name, e, cond in _wide_terms(k))
+
+
+def q_corr_wide(spark, sf):
+    wide = _t(spark, sf, "lineitem").selectExpr(*[f"CASE WHEN {cond} THEN CAST({e} AS DOUBLE) END AS {name}"
+                                                 for k in range(9) for name, e, cond in _wide_terms(k)])
+    return sig(correlate.correlation(wide, WIDE))
+
+
+def sql_corr_wide():
+    cells = ", ".join(f"struct_pack(column1 := '{a}', column2 := '{b}', n := count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL),"
+                      f" correlation := corr({a}, {b}))" for a, b in _pairs(WIDE))
+    return _labelled(f"SELECT p.column1, p.column2, p.n, p.correlation FROM (SELECT unnest([{cells}]) AS p FROM (SELECT {_wide_sql()} FROM lineitem) w) u")
+
+
 def q_corr_spearman(spark, sf):
     return sig(correlate.correlation(_t(spark, sf, "lineitem"), LINE4, "spearman"))
 
@@ -1330,6 +1356,7 @@ QUERIES = {
     "descriptive": (q_descriptive, sql_descriptive),
     "variable_summaries": (q_variable_summaries, sql_variable_summaries),
     "corr_pearson": (q_corr_pearson, sql_corr_pearson),
+    "corr_wide": (q_corr_wide, sql_corr_wide),
     "corr_spearman": (q_corr_spearman, sql_corr_spearman),
     "corr_spearman_gaps": (q_corr_spearman_gaps, sql_corr_spearman_gaps),
     "corr_kendall": (q_corr_kendall, sql_corr_kendall),
