@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataProcessingError
 from ..functions.columns import NULL_TOKENS, col
 from ..operators.cleaning import infer_types, null_tokens
+from ..operators.ranks import stored_table
 
 SOURCE_FILE = "__source_file__"
 _EXTRA = "__extra_field__"
@@ -54,14 +55,79 @@ def _reader(spark: SparkSession, quoted: bool):
             .option("mode", "PERMISSIVE").option("enforceSchema", True))
 
 
+# What a line does to the state "inside a quoted field".  A quote opens a field only at the field's start, so quotes
+# within an unquoted field are plain characters; "" is a quote inside a quoted field.  All quantifiers are possessive:
+# a line is read once.
+_QUOTED, _PLAIN = r'(?:[^"]++|"")*+', r'[^",][^,]*+'
+_OPENS = rf'(?:(?:"{_QUOTED}"[^,]*+|{_PLAIN}|),)*+"{_QUOTED}$'
+_STAYS = rf'^{_QUOTED}(?:$|"[^,]*+,{_OPENS})'
+
+
+def _with_states(df: DataFrame, starts: dict[str, Column], within: list[str], order: list[str]) -> DataFrame:
+    """The state before each row of a sequence of transitions ``f0`` / ``f1`` (state after it if it was 0 / 1), one
+    column for each first state of ``starts``: the outcome of the last row before it that has only one, or else
+    the first state, turned by the turns since then."""
+    w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    turns = F.coalesce(F.sum(((F.col("f0") == 1) & (F.col("f1") == 0)).cast("int")).over(w), F.lit(0))
+    fixed = F.when(F.col("f0") == F.col("f1"), F.struct(F.col("f0").alias("state"), F.col("_turns").alias("turns")))
+    last = F.col("_last")
+    return df.withColumn("_turns", turns).withColumn("_last", F.last(fixed, ignorenulls=True).over(w)).withColumns({
+        c: F.when(last.isNull(), (start + F.col("_turns")) % 2).otherwise(
+            (last["state"] + F.col("_turns") - last["turns"]) % 2).cast("int") for c, start in starts.items()}).drop("_turns", "_last")
+
+
+def records(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(path, file, start, rec, text): the records of CSV files whose quoted fields may go over lines, in byte ranges.
+
+    Every range of a file is a task's lines.  What a range does to the state is known without the others
+    (one of four transitions); a prefix over the ranges of a file gives each its first state.  Then each
+    range cuts its lines into records by itself, and only its first and last piece are put together with
+    the neighbours'.  Lines end with a line feed, with or without a carriage return.
+    """
+    lines = spark.read.option("lineSep", "\n").text(files).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("id"), "value")
+    moves = {"f0": F.col("value").rlike("^" + _OPENS).cast("int"), "f1": F.col("value").rlike(_STAYS).cast("int")}
+    block = ["path", "start"]
+    # both outcomes of a range: the state after its last line, for each first state
+    both = _with_states(lines.select(*block, "id", *[f.alias(c) for c, f in moves.items()]),
+                        {"s0": F.lit(0), "s1": F.lit(1)}, block, ["id"])
+    ends = both.groupBy(*block).agg(*[
+        F.max_by(F.when(F.col(f"s{k}") == 0, F.col("f0")).otherwise(F.col("f1")), "id").alias(f"f{k}") for k in (0, 1)])
+    ranges = _with_states(ends, {"_first": F.lit(0)}, ["path"], ["start"])
+    ranges = stored_table(ranges.select(*block, "_first"), "csv-ranges")  # one row for each range
+    own = _with_states(lines.withColumns(moves).join(ranges, block), {"_state": F.col("_first")}, block, ["id"])
+    w = Window.partitionBy(*block).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = own.withColumn("rec", F.sum((F.col("_state") == 0).cast("int")).over(w))
+    pieces = own.groupBy(*block, "file", "rec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("id", "value"))), lambda x: x["value"]), "\n").alias("text"))
+    pieces = pieces.withColumn("_edge", (F.col("rec") == 0) | (F.col("rec") == F.max("rec").over(Window.partitionBy(*block))))
+    edges = pieces.where("_edge").withColumn("_owner", F.sum((F.col("rec") > 0).cast("int")).over(
+        Window.partitionBy("path").orderBy("start", "rec").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    joined = edges.groupBy("path", "file", "_owner").agg(F.array_sort(F.collect_list(F.struct("start", "rec", "text"))).alias("p")).select(
+        "path", F.get("p", F.lit(0))["start"].alias("start"), "file", F.get("p", F.lit(0))["rec"].alias("rec"),
+        F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
+    out = pieces.where(~F.col("_edge")).select("path", "start", "file", "rec", "text").unionByName(joined)
+    return out.withColumn("text", F.regexp_replace("text", "\\r$", "")).where(F.trim("text") != "")
+
+
+def _read_quoted(spark: SparkSession, files: list[str], fields: str) -> DataFrame:
+    """The parsed records of ``files`` but for each one's first (its header), and the file's name."""
+    every = records(spark, files)
+    head = every.groupBy("path").agg(F.min(F.struct("start", "rec")).alias("head"))  # one row for each file
+    body = every.join(head, "path").where(F.struct("start", "rec") != F.col("head"))
+    row = F.from_csv("text", F.lit(fields), {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"})
+    return body.select(row.alias("row"), F.col("file").alias(SOURCE_FILE)).select("row.*", SOURCE_FILE)
+
+
 def read_csv(spark: SparkSession, paths, null_values=NULL_TOKENS, infer: bool = True, narrow: bool = False) -> DataFrame:
     """Read CSV files into one DataFrame tagged with ``__source_file__``.
 
     Files are grouped by header line; each group is one scan with every column
     read as text; groups are combined with ``unionByName(allowMissingColumns=
     True)``.  Quotes inside quoted fields are doubled; files in which a quoted
-    field goes over several lines are found beforehand and read whole, all
-    others stay splittable.  Blank lines before the header are skipped, empty
+    field may go over several lines are found beforehand and cut into records
+    by ``records``, so all files stay splittable.  Blank lines before the header are skipped, empty
     files too; missing fields at the end of a line are NULL; a line with more
     fields than the header ends the query with an error.  Missing-value tokens
     become NULL; ``infer`` then applies the majority-numeric typing (T3-T5).
@@ -72,11 +138,14 @@ def read_csv(spark: SparkSession, paths, null_values=NULL_TOKENS, infer: bool =
     for g in _file_facts(spark, files) if files else []:
         names = _reader(spark, g["quoted"]).option("inferSchema", False).csv(g["paths"][0]).columns
         fields = ", ".join("`" + n.replace("`", "``") + "` string" for n in [*names, _EXTRA])
-        part = _reader(spark, g["quoted"]).schema(fields).csv(g["paths"])
+        if g["quoted"]:
+            part = _read_quoted(spark, g["paths"], fields)
+        else:
+            part = _reader(spark, False).schema(fields).csv(g["paths"]).select("*", F.col("_metadata.file_name").alias(SOURCE_FILE))
         kept = [col(n) for n in names]
         check = F.when(F.col(_EXTRA).isNotNull(), F.raise_error(F.concat(
-            F.lit("More fields than in the header: "), F.col("_metadata.file_name")))).otherwise(kept[0])
-        part = part.select(check.cast("string").alias(names[0]), *kept[1:], F.col("_metadata.file_name").alias(SOURCE_FILE))
+            F.lit("More fields than in the header: "), F.col(SOURCE_FILE)))).otherwise(kept[0])
+        part = part.select(check.cast("string").alias(names[0]), *kept[1:], SOURCE_FILE)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise DataProcessingError("No valid data found in any input files")

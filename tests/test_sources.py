@@ -117,3 +117,41 @@ def test_ingest_saves_and_reports(spark):
     assert (r["total_rows"], r["duplicate_rows"], r["file_names"]) == (3, 1, ["a.csv"])
     data, meta = storage.load_dataset(spark, dest)
     assert data.count() == 3 and meta.collect()[0]["saved_at"]
+
+
+def test_quoted_line_breaks_in_many_byte_ranges(spark):
+    """A quoted file is read by many tasks; records equal Python's csv module for every split of the file."""
+    import csv as pycsv
+    import io
+    import random
+
+    r = random.Random(6)
+    rows = []
+    for i in range(700):
+        t = r.choice(["plain", 'a "quoted" word', "two\nlines", "crlf\r\ninside", "c,o,m", "", "x" * 300, '"', '""', ',"\n', "é\n漢", 'end"\n"start'])
+        rows.append([str(i), t, r.choice(["y", "multi\n\nline", 'tail"'])])
+    out = io.StringIO()
+    pycsv.writer(out, lineterminator="\n").writerows([["id", "t", "u"], *rows])
+    # a quote inside an unquoted field is a plain character
+    text = out.getvalue() + '700,5" pipe,z\n701,"open\n""close""",6" x 4"\n'
+    rows += [["700", '5" pipe', "z"], ["701", 'open\n"close"', '6" x 4"']]
+    base = tempfile.mkdtemp(prefix="qv-csv-")
+    for name, body in (("a.csv", text), ("b.csv", "id,t,u\r\n1,\"p\r\nq\",r\r\n"), ("c.csv", 'id,t,u\n9,"never closed\n8,x,y\n')):
+        with open(os.path.join(base, name), "w", newline="") as f:
+            f.write(body)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("500", "4001", "1000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            df = csvsrc.read_csv(spark, [os.path.join(base, "a.csv"), os.path.join(base, "b.csv")], null_values=[], infer=False)
+            got = df.collect()
+            mine = {x["id"]: [x["t"] or "", x["u"] or ""] for x in got if x["__source_file__"] == "a.csv"}
+            assert len(got) == len(rows) + 1 and mine == {a: [b, c] for a, b, c in rows}
+            assert [(x["id"], x["t"], x["u"]) for x in got if x["__source_file__"] == "b.csv"] == [("1", "p\r\nq", "r")]
+            parts = csvsrc.records(spark, [os.path.join(base, "a.csv")]).select("start").distinct().count()
+            assert parts > 20 if size == "500" else parts >= 1
+        assert csvsrc.records(spark, [os.path.join(base, "c.csv")]).count() == 2
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
