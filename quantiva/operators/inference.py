@@ -7,7 +7,7 @@ pandas-UDF kernels, applied to the one-row results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import AnalysisError, ValidationError
@@ -34,6 +34,8 @@ REC_NOT_SIGNIFICANT = [
     "There is insufficient evidence to reject the null hypothesis",
 ]
 
+MAX_CELLS = 10_000   # of the group list or contingency table in a result row
+MAX_COLUMNS = 1_000  # of the wide contingency table
 RESULT_COLUMNS = ["test_type", "variables", "statistic", "p_value", "df1", "df2", "n",
                   "is_significant", "interpretation", "recommendations"]
 
@@ -126,10 +128,24 @@ def crosstab(df: DataFrame, column1: str, column2: str) -> DataFrame:
             .groupBy("a", "b").agg(F.count(F.lit(1)).cast("long").alias("n")))
 
 
-def crosstab_wide(df: DataFrame, column1: str, column2: str) -> DataFrame:
-    """H6 wide form: one row per value of column1, one column per value of column2."""
+def crosstab_wide(df: DataFrame, column1: str, column2: str, max_columns: int = MAX_COLUMNS) -> DataFrame:
+    """H6 wide form: one row per value of column1, one column per value of column2.
+
+    The values of column2 are counted first; more than ``max_columns`` raise ``AnalysisError`` (``crosstab``
+    gives the table in long form at any size)."""
     ct = crosstab(df, column1, column2)
-    return ct.groupBy("a").pivot("b").agg(F.first("n")).na.fill(0)
+    values = [r["b"] for r in ct.select("b").distinct().orderBy("b").limit(int(max_columns) + 1).collect()]
+    if len(values) > max_columns:
+        raise AnalysisError(f"Column '{column2}' has more than {max_columns} values for a wide contingency table; use the long form")
+    return ct.groupBy("a").pivot("b", values).agg(F.first("n")).na.fill(0)
+
+
+def _listed(rows: DataFrame, cell, order: list[str], what: str) -> Column:
+    """The rows of a small table as one literal array; more than MAX_CELLS raise ``AnalysisError``."""
+    got = rows.orderBy(*order).limit(MAX_CELLS + 1).collect()
+    if len(got) > MAX_CELLS:
+        raise AnalysisError(f"More than {MAX_CELLS} {what} for a result row; use the long form")
+    return F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in cell]) for r in got])
 
 
 def chi_square_test(df: DataFrame, column1: str, column2: str) -> DataFrame:
@@ -189,9 +205,13 @@ def chi_square_of(ct: DataFrame, column1: str, column2: str) -> DataFrame:
     )
 
 
-def hypothesis_test(df: DataFrame, column1: str, column2: str, test_type: str = "auto") -> DataFrame:
+def hypothesis_test(df: DataFrame, column1: str, column2: str, test_type: str = "auto", details: bool = False) -> DataFrame:
     """H1/H2: auto picks by strict-numeric roles (num x num -> Pearson, num x cat -> ANOVA
-    with the numeric column first, cat x cat -> chi-square); explicit types are honoured."""
+    with the numeric column first, cat x cat -> chi-square); explicit types are honoured.
+
+    ``details`` adds three columns, null where they do not apply: ``groups`` (number of groups of an
+    ANOVA), ``group_sizes`` (array of group and n, by group) and ``contingency`` (array of a, b and n of the
+    non-empty cells, by a and b).  More than ``MAX_CELLS`` groups or cells raise ``AnalysisError`` then."""
     if test_type not in TEST_TYPES:
         raise ValidationError(f"Unsupported test type: {test_type}")
     check_columns(df, [column1, column2])
@@ -206,8 +226,20 @@ def hypothesis_test(df: DataFrame, column1: str, column2: str, test_type: str =
                 column1, column2 = column2, column1
         else:
             test_type = "chi_square"
+    groups, sizes, table = F.lit(None), F.lit(None), F.lit(None)
     if test_type == "correlation":
-        return pearson_test(df, column1, column2).select(*RESULT_COLUMNS)
-    if test_type == "anova":
-        return anova_test(df, column1, column2).select(*RESULT_COLUMNS)
-    return chi_square_test(df, column1, column2).select(*RESULT_COLUMNS)
+        out = pearson_test(df, column1, column2)
+    elif test_type == "anova":
+        out = anova_test(df, column1, column2)
+        if details:
+            groups = F.col("groups")
+            sizes = _listed(anova_groups(df, column1, column2), ["group", "n"], ["group"], "groups")
+    else:
+        out = chi_square_test(df, column1, column2)
+        if details:
+            table = _listed(crosstab(df, column1, column2), ["a", "b", "n"], ["a", "b"], "cells")
+    if not details:
+        return out.select(*RESULT_COLUMNS)
+    return out.select(*RESULT_COLUMNS, groups.cast("long").alias("groups"),
+                      sizes.cast("array<struct<group:string,n:bigint>>").alias("group_sizes"),
+                      table.cast("array<struct<a:string,b:string,n:bigint>>").alias("contingency"))

@@ -4,7 +4,8 @@ column (and group), then one bounded ``applyInPandas`` task per column.
 Sampling: the ``max_n`` smallest md5 digests of the seed and the row's key
 columns, a pure function of the key, so reruns and recomputed tasks pick the
 same rows and equal values are picked independently of each other.  Without
-key columns a seeded random number stands for the digest.  A threshold on the
+key columns the file and row number of Parquet rows are the key; for rows from
+elsewhere a seeded random number stands for the digest.  A threshold on the
 digest first keeps about 2 * max_n rows per column (a narrow filter), so the
 ranking runs on a small remainder only.
 W and p follow Royston's AS R94 (1995); numpy + ``statistics.NormalDist``
@@ -18,6 +19,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,10 +105,21 @@ def _kernel(pdf: pd.DataFrame) -> pd.DataFrame:
 _SPACE = 16 ** 15  # of the first 15 hex digits of a digest
 
 
-def _digest(key: list[str] | None, seed: int):
-    if key is None:
+def row_place(df: DataFrame) -> list | None:
+    """File path and row number in it, where the rows come from Parquet files; else None."""
+    place = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    try:
+        df.select(*[c.alias(f"_p{i}") for i, c in enumerate(place)])
+    except AnalysisException:
+        return None
+    return place
+
+
+def _digest(df: DataFrame, key: list[str] | None, seed: int):
+    parts = [col(c) for c in key] if key is not None else row_place(df)
+    if parts is None:
         return (F.rand(seed) * float(_SPACE)).cast("long")
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(c).cast("string"), F.lit("")) for c in key])
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in parts])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
@@ -116,13 +129,15 @@ def normality(df: DataFrame, columns=None, by: str | None = None, max_n: int = 5
 
     Every column (and group) with values has a row; W and p are NULL where they are undefined
     (fewer than three values, or all equal).  ``key`` names columns that identify a row; if a column
-    with more than ``max_n`` values meets a key that does not, the query fails with an error.
+    with more than ``max_n`` values meets a key that does not, the query fails with an error.  Without
+    ``key`` rows of Parquet files are known by file and row number, so the sample stays the same however
+    the rows are dealt to tasks; rows from elsewhere get a seeded random number.
     """
     names = resolve_numeric(df, columns)
     if key is not None:
         check_columns(df, key)
     g = col(by).cast("string") if by else F.lit("")  # a non-NULL constant group keeps the joins equi-joins
-    wide = df.select(_digest(key, seed).alias("_h"), g.alias("_g"), *[as_double(df, n).alias(f"_v{i}") for i, n in enumerate(names)])
+    wide = df.select(_digest(df, key, seed).alias("_h"), g.alias("_g"), *[as_double(df, n).alias(f"_v{i}") for i, n in enumerate(names)])
     long = wide.select("_h", "_g", F.explode(F.array(*[
         F.struct(F.lit(i).alias("cid"), F.col(f"_v{i}").alias("value")) for i in range(len(names))])).alias("p")).select(
         "_h", "_g", "p.cid", "p.value").where(F.col("value").isNotNull())

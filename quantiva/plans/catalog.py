@@ -755,6 +755,28 @@ def sql_hypothesis_explicit():
     return " UNION ALL ".join(_cut(x) for x in (sql_pearson_test(), sql_anova_test(), sql_chi_square_test()))
 
 
+def q_anova_details(spark, sf):
+    """The group list of an ANOVA's result row, one row per group."""
+    row = inference.hypothesis_test(_t(spark, sf, "lineitem"), "l_returnflag", "l_quantity", details=True)
+    return row.select("groups", F.explode("group_sizes").alias("g"), F.col("contingency").isNull().alias("no_table")).select(
+        "groups", "g.group", "g.n", "no_table")
+
+
+def sql_anova_details():
+    return """SELECT count(*) OVER () AS groups, l_returnflag AS "group", count(l_quantity) AS n, true AS no_table
+      FROM lineitem WHERE l_returnflag IS NOT NULL AND l_quantity IS NOT NULL GROUP BY l_returnflag"""
+
+
+def q_chi_square_details(spark, sf):
+    """The contingency table of a chi-square result row, one row per cell."""
+    row = inference.hypothesis_test(_t(spark, sf, "orders"), "o_orderstatus", "o_orderpriority", details=True)
+    return row.select(F.explode("contingency").alias("c"), F.col("groups").isNull().alias("no_groups")).select("c.a", "c.b", "c.n", "no_groups")
+
+
+def sql_chi_square_details():
+    return f"SELECT a, b, n, true AS no_groups FROM ({sql_crosstab()}) t"
+
+
 def q_crosstab_wide(spark, sf):
     return inference.crosstab_wide(_t(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
 
@@ -1389,6 +1411,8 @@ QUERIES = {
     "chi_square_wide": (q_chi_square_wide, sql_chi_square_wide),
     "crosstab": (q_crosstab, sql_crosstab),
     "crosstab_wide": (q_crosstab_wide, sql_crosstab_wide),
+    "anova_details": (q_anova_details, sql_anova_details),
+    "chi_square_details": (q_chi_square_details, sql_chi_square_details),
     "hypothesis_auto": (q_hypothesis_auto, sql_hypothesis_auto),
     "hypothesis_auto_pearson": (q_hypothesis_auto_pearson, sql_hypothesis_auto_pearson),
     "hypothesis_auto_chi": (q_hypothesis_auto_chi, sql_hypothesis_auto_chi),
