@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, packed, stored, unpacked
 
 SAMPLE = 4096
 ROWS_A_PART = 400      # of the sample's rows at least LEAST_PART fall into each part
@@ -166,10 +166,10 @@ def calibrate(rows: DataFrame, router: Router, ids: np.ndarray, vecs: np.ndarray
     slack = 1e-9 * (1 + np.abs(s[np.isfinite(s)]).max(initial=0))
     bound = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n] + slack
     best = [(q, s[q, x], p) for p, x, q in _pairs(s, ~(s > bound[:, None]), router.probabilities(vecs).argmax(axis=1), k)]
-    shared = rows.sparkSession.sparkContext.broadcast((router, asked, names, bound))  # fixed size
+    shared = rows.sparkSession.sparkContext.broadcast(packed((router, asked, names, bound)))  # fixed size
 
     def nearer(batches):
-        r, q, own, least = shared.value
+        r, q, own, least = unpacked(shared)
         for b in batches:
             if b.num_rows:
                 x = np.array(b.column("vec").to_pylist(), np.float64).reshape(b.num_rows, -1)
@@ -266,10 +266,10 @@ def search(df: DataFrame, query_filter, k: int = 20, id_col: str = "vec_id", vec
     held = min(HELD, len(picked) // 5)
     router = learn(vecs[:len(vecs) - held], total)
     probes = calibrate(rows, router, ids, vecs, held, k)
-    shared = spark.sparkContext.broadcast(router)  # fixed size
+    shared = spark.sparkContext.broadcast(packed(router))  # fixed size
 
     def place(batches):
-        r = shared.value
+        r = unpacked(shared)
         for b in batches:
             x = np.array(b.column("vec").to_pylist(), np.float64).reshape(b.num_rows, -1)
             p = r.probabilities(x) if b.num_rows else np.zeros((0, r.parts))

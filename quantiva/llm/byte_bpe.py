@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, text_column
+from .common import bounded_batches, packed, slices, text_column, unpacked
 from .words import mix
 
 _U = np.uint64
@@ -194,14 +194,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     spark = docs.sparkSession
     bounded_batches(spark)
     entries = read_ranks(ranks_path)
-    shared = spark.sparkContext.broadcast((entries, PerfectHash(entries)))  # size fixed by the vocabulary
+    shared = spark.sparkContext.broadcast(packed((entries, PerfectHash(entries))))  # size fixed by the vocabulary
     key = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {key}, " + "ids array<int>, " * keep_ids + \
         "n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
     names = ["doc_id"] + ["ids"] * keep_ids + ["n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
 
     def run(batches):
-        codec = Codec(shared.value[0], pattern, shared.value[1])
+        own, table = unpacked(shared)
+        codec = Codec(own, pattern, table)
         for b in batches:
             raw, offsets = text_column(b, "text")
             data = raw.tobytes()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,16 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def packed(value) -> bytes:
+    """For a broadcast: pickled with the classes of this package, so that tasks need not have it."""
+    return cloudpickle.dumps(value)
+
+
+def unpacked(shared):
+    """The value of a broadcast of ``packed``; call it once a task."""
+    return pickle.loads(shared.value)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared scratch folder and read it back (lineage is cut)."""
     spark = df.sparkSession
@@ -75,5 +88,5 @@ def unpack(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-__all__ = ["BATCH_BYTES", "bounded_batches", "ensure_checkpoint_dir", "held_out", "pack", "scratch_dir", "slices", "stored",
-           "text_column", "unpack"]
+__all__ = ["BATCH_BYTES", "bounded_batches", "ensure_checkpoint_dir", "held_out", "pack", "packed", "scratch_dir", "slices", "stored",
+           "text_column", "unpack", "unpacked"]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_column
+from .common import bounded_batches, packed, text_column, unpacked
 from .words import Hasher, alnum_separators, ngrams
 
 BLOCK_BYTES = 32 << 20
@@ -113,7 +113,7 @@ def count_shingles(texts: DataFrame, windows) -> dict[tuple[int, int], int]:
     """How often each benchmark shingle of one block occurs in all texts."""
 
     def run(batches):
-        tables = windows.value.shingles
+        tables = unpacked(windows).shingles
         hasher = Hasher(alnum_separators())
         seen = {s: np.zeros(len(t), np.int64) for s, t in tables.items()}
         for b in batches:
@@ -197,8 +197,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, min_i
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
         rows = part.collect()  # one block: BLOCK_BYTES on average
         w = Windows([r["id"] for r in rows], [r["text"] for r in rows], window, min_item_words)
-        w.order(count_shingles(keep, spark.sparkContext.broadcast(w)))
-        out = _pass(out, spark.sparkContext.broadcast(w), first=k == 0, with_text=k < blocks - 1 or text_col in names)
+        w.order(count_shingles(keep, spark.sparkContext.broadcast(packed(w))))
+        out = _pass(out, spark.sparkContext.broadcast(packed(w)), first=k == 0, with_text=k < blocks - 1 or text_col in names)
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
     return out.select(*[F.col(carried.get(c, "text")).alias(c) for c in names], "n_words", hit.alias("n_hit"), "spans",
                       "items")
@@ -211,7 +211,7 @@ def _pass(df: DataFrame, shared, first: bool, with_text: bool) -> DataFrame:
     names = [f.name for f in through] + state
 
     def run(batches):
-        w = shared.value
+        w = unpacked(shared)
         hasher = Hasher(alnum_separators())
         for b in batches:
             n = b.num_rows

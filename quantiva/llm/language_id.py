@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, slices
+from .common import bounded_batches, held_out, packed, slices, unpacked
 from .words import mix
 
 SAMPLE_DOCS = 800
@@ -282,7 +282,7 @@ def predict(docs: DataFrame, model: Model, letters: np.ndarray, text_col: str =
     bounded_batches(spark)
     own = ["lang_pred", "score", "cross_entropy", "rejected"]
     names = [c for c in (docs.columns if columns is None else columns) if c.lower() not in own]
-    shared = spark.sparkContext.broadcast((model, letters))  # bounded by the sample
+    shared = spark.sparkContext.broadcast(packed((model, letters)))  # bounded by the sample
     carried = {c: f"c{k}" for k, c in enumerate(names) if c != text_col}
     with_text = text_col in names
     flat = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in carried.items()], F.col(f"`{text_col}`").alias("text"))
@@ -292,7 +292,7 @@ def predict(docs: DataFrame, model: Model, letters: np.ndarray, text_col: str =
     out_names = [f.name for f in through] + own
 
     def run(batches):
-        m, table = shared.value
+        m, table = unpacked(shared)
         names_of = np.array(m.languages + ["und"], object)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]

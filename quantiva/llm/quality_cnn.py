@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, text_column
+from .common import bounded_batches, held_out, packed, text_column, unpacked
 
 WIDTH, STEP, FILTERS, EMBED = 8, 4, 24, 8
 CHUNK, HOP = 256, 128
@@ -200,10 +200,10 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(fit(docs, labels, label_col, id_col, text_col, folds, fold))  # fixed size
+    shared = spark.sparkContext.broadcast(packed(fit(docs, labels, label_col, id_col, text_col, folds, fold)))  # fixed size
 
     def run(batches):
-        scorer = Scorer(shared.value)
+        scorer = Scorer(unpacked(shared))
         for b in batches:
             raw, offsets = text_column(b, "text")
             yield pa.RecordBatch.from_arrays(

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import AnalysisError
-from .common import bounded_batches
+from .common import bounded_batches, packed
 
 SCALE, SHIFT = 1024, 100_000
 COMPONENTS = 8
@@ -216,19 +216,13 @@ class Fit:
         return pa.array([decimal.Decimal(v) if v < 10 ** 38 else None for v in total], pa.decimal128(38, 0))
 
 
-def _packed(fit: Fit) -> bytes:
-    from pyspark import cloudpickle
-
-    return cloudpickle.dumps(fit)  # by value: tasks need not have this package
-
-
 def fit(vectors: DataFrame, components: int = COMPONENTS) -> Fit | None:
     """``vectors`` has one column of arrays; None without any vector that takes part."""
     got = _merged(_tasks(vectors, _count, "n bigint, sums array<decimal(38,0)>"), _add_counts, "n bigint, sums array<decimal(38,0)>")
     if not got:
         return None
     model = Fit(got[0]["n"], [int(s) for s in got[0]["sums"]])
-    data, d = _packed(model), len(got[0]["sums"])
+    data, d = packed(model), len(got[0]["sums"])
     band = max(1, BAND // d)  # rows of the scatter in one record
 
     def scatter(blocks):
@@ -250,7 +244,7 @@ def fit(vectors: DataFrame, components: int = COMPONENTS) -> Fit | None:
 
 def identity_error(vectors: DataFrame, model: Fit) -> float:
     """Largest absolute entry of the whitened vectors' covariance (centred at their own mean) minus the identity."""
-    k, data = len(model.values), _packed(model)
+    k, data = len(model.values), packed(model)
     if not k:
         return 0.0
 
@@ -297,7 +291,7 @@ def whiten(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     if model is None or not len(model.values):
         return table.select(F.col(f"`{id_col}`").alias("vec_id")).limit(0).select("vec_id", *[
             F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in schema.split(", ")[1:])])
-    error, data = identity_error(vectors, model), _packed(model)
+    error, data = identity_error(vectors, model), packed(model)
 
     def run(batches):
         import pickle
