@@ -38,7 +38,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that no later step reads, before the session ends."""
+    for table in tables:
+        spark = table.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(table.stored_path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def held_out(id_col: str, folds: int, fold: int):
@@ -88,5 +98,5 @@ def unpack(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-__all__ = ["BATCH_BYTES", "bounded_batches", "ensure_checkpoint_dir", "held_out", "pack", "packed", "scratch_dir", "slices", "stored",
+__all__ = ["BATCH_BYTES", "bounded_batches", "discard", "ensure_checkpoint_dir", "held_out", "pack", "packed", "scratch_dir", "slices", "stored",
            "text_column", "unpack", "unpacked"]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, pack, stored, text_column, unpack
+from .common import bounded_batches, discard, pack, stored, text_column, unpack
 from .components import components
 from .words import Hasher, blank_separators, ngrams
 
@@ -122,11 +122,12 @@ def prefix_length(n, percent: int):
 
 def document_sets(rows: DataFrame, n: int, percent: int, ranks) -> DataFrame:
     """doc_id, row_key, c (class), n_shingles, tokens and positions of the prefix (but for shingles that no
-    other text can have), histogram; one row per document."""
+    other text can have), histogram; one row per document.  A task gives tokens and histogram of a class once,
+    with the first of the copies that it reads."""
     key = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        hasher = Hasher(blank_separators())
+        hasher, sent = Hasher(blank_separators()), set()
         rank = ranks.value
         for b in batches:
             out = [None] * b.num_rows
@@ -134,11 +135,16 @@ def document_sets(rows: DataFrame, n: int, percent: int, ranks) -> DataFrame:
                 if not len(s):
                     out[k] = (None, 0, None, None, None)
                     continue
+                key = class_key(s)
+                if key in sent:
+                    out[k] = (key, len(s), None, None, None)
+                    continue
+                sent.add(key)
                 first = np.argsort(r, kind="stable")[: prefix_length(len(s), percent)]  # s is sorted: ties by hash
                 pos = np.flatnonzero(r[first] > 1)
                 h = np.bincount((s >> _U(7) & _U(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM)
                 hist = h.astype("<u2").tobytes() if h.max() < 1 << 16 else None
-                out[k] = (class_key(s), len(s), s[first[pos]].view(np.int64), pos.astype(np.int32), hist)
+                out[k] = (key, len(s), s[first[pos]].view(np.int64), pos.astype(np.int32), hist)
             c, size, tokens, pos, hist = zip(*out) if out else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("row_key"), pa.array(c, pa.int64()), pa.array(size, pa.int64()),
@@ -260,6 +266,7 @@ def list_pairs(postings: DataFrame, groups: DataFrame, percent: int) -> DataFram
         F.collect_list("e").alias("es"), F.min("e.n").alias("least"), F.max("e.n").alias("most"),
         F.max(F.col("e.n") - F.col("e.pos")).alias("rest"), F.min("e.g").alias("g0"), F.max("e.g").alias("g1"), F.max("e.c").alias("c1"))
     blocks = stored(blocks.drop("lc", "pc", "salt"), "blocks")
+    discard(major, entries)
     x = blocks.filter("minor").select([F.col(c).alias(c if c == "token" else f"x_{c}") for c in blocks.columns])
     y = blocks.select([F.col(c).alias(c if c == "token" else f"y_{c}") for c in blocks.columns])
     # whole blocks are skipped: lengths out of reach, too few shingles left after the positions, or one group
@@ -308,22 +315,30 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     sets = stored(document_sets(rows, n, percent, ranks), "shingle-sets")
     classes = stored(sets.filter("c is not null").groupBy("c").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"),
-        F.first(F.arrays_zip("tokens", "positions")).alias("prefix"), F.first("histogram").alias("histogram")), "classes")
-    postings = classes.select("c", F.col("n_shingles").alias("n"), F.explode("prefix").alias("p")).select(
+        F.first("histogram", ignorenulls=True).alias("histogram")), "classes")
+    # straight from the documents, so prefixes are not shuffled by class first: a class comes once a task at most
+    postings = sets.select("c", F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("tokens", "positions")).alias("p")).select(
         "c", "n", F.col("p.positions").alias("pos"), F.col("p.tokens").alias("token"))
-    lists = postings.groupBy("token").agg(F.min_by("c", "pos").alias("leader"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    postings = stored(postings.join(lists, "token"), "postings")
+    # the tokens alone say which have several entries (counted map-side); only entries of these go further
+    repeated = postings.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
+    met = stored(postings.join(repeated, "token"), "met")
+    place = F.struct("pos", "c")  # a class has a shingle at one position, so equal ends are copies of one class
+    lists = met.groupBy("token").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least != most")
+    postings = stored(met.join(lists.select("token", F.col("least.c").alias("leader")), "token").distinct(), "postings")
+    discard(met)
 
     leaders = postings.filter("c != leader").select(
         F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b")).distinct()
     first = stored(bounded(leaders, classes, percent), "leader-pairs")
-    ids = first.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    first = stored(counted(first, sets_of(rows, n, stored(ids, "ids")), differences=True), "leader-answers")
+    pairs, ids = first, stored(first.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "ids")
+    first = stored(counted(pairs, sets_of(rows, n, ids), differences=True), "leader-answers")
+    discard(pairs, ids)
     linked = lambda df: df.filter(enough(F.col("common"), F.col("na"), F.col("nb"), percent)).select("a", "b")
     groups = stored(components(linked(first)), "groups")
 
     second = list_pairs(postings.select("token", "c", "n", "pos"), groups, percent)
     second = stored(bounded(second.join(first, ["a", "b"], "left_anti"), classes, percent), "list-pairs")
+    discard(postings)
     near = first.filter("only_a is not null")
     # differences of a class from a leader, in both directions
     away = near.select(F.col("a").alias("c"), F.col("b").alias("leader"), F.col("only_a").alias("plus"), F.col("only_b").alias("minus"),
