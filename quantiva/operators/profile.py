@@ -8,6 +8,8 @@ one ``Expand`` of rows x C) by one partially aggregated shuffle per family.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -187,19 +189,17 @@ def missing_cells(df: DataFrame) -> DataFrame:
     )
 
 
+def value_bytes(f: T.StructField):
+    """Aggregate: fixed width x non-null values, or the bytes of text (nested values as JSON)."""
+    c = col(f.name)
+    w = FIXED_WIDTH.get(f.dataType.simpleString(), 16 if isinstance(f.dataType, T.DecimalType) else None)
+    if w is not None:
+        return F.count(c) * F.lit(w)
+    return F.coalesce(F.sum(F.octet_length(c if isinstance(f.dataType, T.StringType) else F.to_json(c))), F.lit(0))
+
+
 def _bytes_agg(df: DataFrame):
-    parts = []
-    for f in df.schema.fields:
-        c = col(f.name)
-        w = FIXED_WIDTH.get(f.dataType.simpleString())
-        if w is not None:
-            parts.append(F.count(c) * F.lit(w))
-        elif isinstance(f.dataType, T.StringType):
-            parts.append(F.coalesce(F.sum(F.octet_length(c)), F.lit(0)))
-        elif isinstance(f.dataType, T.DecimalType):
-            parts.append(F.count(c) * F.lit(16))
-        else:
-            parts.append(F.coalesce(F.sum(F.octet_length(F.to_json(c))), F.lit(0)))
+    parts = [value_bytes(f) for f in df.schema.fields]
     return (sum(parts[1:], parts[0]) if parts else F.lit(0)).cast("long")
 
 
@@ -277,13 +277,37 @@ def column_listing(df: DataFrame, n: int = 5, order_by: str | None = None) -> Da
     return ov.join(s, "cid", "left").drop("rows", "dtype_role")
 
 
+def _least_values(values: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit + 1`` values (one column) from each task, among them its ``limit`` least distinct ones.
+
+    Each Arrow batch is merged into a sorted set that is cut again, so a task holds a batch and the set.
+    The spare value makes up for 0.0 and -0.0, which are two values to Arrow and one to Spark.
+    """
+    def run(batches):
+        kept = None
+        for b in batches:
+            own = b.column(0).unique()
+            kept = own if kept is None else pa.concat_arrays([kept, own]).unique()
+            if len(kept) > limit + 1:
+                kept = kept.take(pc.sort_indices(kept)[: limit + 1])
+        if kept is not None:
+            yield pa.RecordBatch.from_arrays([kept], ["value"])
+
+    return values.mapInArrow(run, values.schema)
+
+
 def unique_values(df: DataFrame, column: str, limit: int = 100) -> DataFrame:
-    """Distinct non-null values, first ``limit`` in ascending order (1..1000)."""
+    """Distinct non-null values, first ``limit`` in ascending order (1..1000).
+
+    Numbers, text, dates and times are cut to the least values in each task before anything is shuffled;
+    values of other types are grouped whole."""
     check_columns(df, [column])
     if not 1 <= int(limit) <= 1000:
         raise ValidationError("limit must be between 1 and 1000")
-    c = col(column)
-    return df.select(c.alias("value")).where(F.col("value").isNotNull()).distinct().orderBy("value").limit(int(limit))
+    values = df.select(col(column).alias("value")).where(F.col("value").isNotNull())
+    if isinstance(df.schema[column].dataType, (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        values = _least_values(values, int(limit))
+    return values.distinct().orderBy("value").limit(int(limit))
 
 
 def column_info(df: DataFrame, column: str, limit: int = 100) -> DataFrame:

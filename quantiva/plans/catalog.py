@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import (adhoc, categorical, cleaning, conversations, correlate, describe, distribution, inference,
-                         kendall, normality, outliers, profile)
+                         kendall, normality, outliers, profile, profile_state)
 from ..session import read_table, scratch_dir
 from ..sources import csv as csvsrc, storage
 
@@ -1357,6 +1357,35 @@ def sql_dataset_roundtrip():
       'part.parquet' AS meta_file_names, (SELECT CAST(count(*) AS VARCHAR) || ',6' FROM part) AS meta_shape, true AS meta_saved FROM part"""
 
 
+ORDER_KINDS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+               "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+
+
+def q_profile_append(spark, sf):
+    """Orders stored in two loads; the second is profiled by its own files and merged."""
+    path, orders = scratch_dir(spark, "profiled"), _t(spark, sf, "orders")
+    first = F.coalesce(F.col("o_orderdate") < "1995-01-01", F.lit(True))
+    storage.save_dataset(orders.where(first), path)
+    profile_state.refresh_profile(spark, path)
+    profile_state.append_dataset(orders.where(~first), path)
+    p = profile_state.stored_profile(spark, path)
+    return sig(p.select("column", "total_rows", "null_count", "mean", "std_dev", "min", "max", "min_text", "max_text", "estimated_bytes"))
+
+
+def sql_profile_append():
+    parts = []
+    for c, kind in ORDER_KINDS.items():
+        num = kind in ("bigint", "double")
+        stats = (f"{S(f'avg({c})')}, {S(f'stddev_samp({c})')}, {S(f'CAST(min({c}) AS DOUBLE)')}, {S(f'CAST(max({c}) AS DOUBLE)')}, "
+                 "CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)" if num else
+                 f"CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), "
+                 f"CAST(min({c}) AS VARCHAR), CAST(max({c}) AS VARCHAR)")
+        width = f"coalesce(sum(strlen({c})), 0)" if kind == "string" else f"count({c}) * {profile.FIXED_WIDTH[kind]}"
+        parts.append(f"SELECT '{c}', count(*), count(*) - count({c}), {stats}, CAST({width} AS BIGINT) FROM orders")
+    return ("SELECT * FROM (" + " UNION ALL ".join(parts) + ") t(\"column\", total_rows, null_count, mean, std_dev, min, max, "
+            "min_text, max_text, estimated_bytes)")
+
+
 def q_ingest_report(spark, sf):
     from ..operators.summary import ingest
     path = scratch_dir(spark, "ingest-src")
@@ -1454,5 +1483,6 @@ QUERIES = {
     "csv_roundtrip": (q_csv_roundtrip, sql_csv_roundtrip),
     "multi_file_union": (q_multi_file_union, sql_multi_file_union),
     "dataset_roundtrip": (q_dataset_roundtrip, sql_dataset_roundtrip),
+    "profile_append": (q_profile_append, sql_profile_append),
     "ingest_report": (q_ingest_report, sql_ingest_report),
 }
