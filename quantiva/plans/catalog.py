@@ -1283,6 +1283,20 @@ def sql_conversation_unfold():
       FROM conversations"""
 
 
+def q_conversation_segments(spark, sf):
+    """Segments of four messages, unfolded again, with each message's chunk and the chunk's size."""
+    g = conversations.conversation_segments(_t(spark, sf, "conversations"), size=4)
+    back = conversations.segments_unfold(g).withColumn("chunk", F.expr("position div 4"))
+    return back.join(g.select("conv_id", "chunk", "message_count"), ["conv_id", "chunk"])
+
+
+def sql_conversation_segments():
+    return """WITH p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position,
+        turn, role, text FROM conversations)
+      SELECT conv_id, position // 4 AS chunk, CAST(position AS BIGINT) AS position, turn, role, text,
+        count(*) OVER (PARTITION BY conv_id, position // 4) AS message_count FROM p"""
+
+
 def q_conversation_counts(spark, sf):
     return conversations.conversation_counts(_t(spark, sf, "conversations"))
 
@@ -1478,6 +1492,7 @@ QUERIES = {
     "sanitize_columns": (q_sanitize_columns, sql_sanitize_columns),
     "conversation_fold": (q_conversation_fold, sql_conversation_fold),
     "conversation_unfold": (q_conversation_unfold, sql_conversation_unfold),
+    "conversation_segments": (q_conversation_segments, sql_conversation_segments),
     "conversation_counts": (q_conversation_counts, sql_conversation_counts),
     "query_topics": (q_query_topics, sql_query_topics),
     "csv_roundtrip": (q_csv_roundtrip, sql_csv_roundtrip),
