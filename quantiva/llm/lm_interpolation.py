@@ -12,8 +12,9 @@ of the row.  Each block reports its distinct words and word pairs, as sorted
 the blocks' counts and sends every block the totals of the n-grams that it
 asked for, in the block's own order.  So a word or pair moves once for each
 block that has it, however often it occurs there, and nothing that grows with
-the corpus is collected or broadcast.  Word keys keep 64 bits; pair keys keep
-the shard's bits and 40 more.
+the corpus is collected or broadcast.  Rows that repeat an id and its text would
+all fall into one block: where they have more text than a block, the rows are
+written once with a number each, and dealt by it.
 
 The weights need the counts of context and word for every pair of the deleted
 part; these pairs are joined with the table of word counts.
@@ -33,7 +34,6 @@ BLOCK_BYTES = 8 << 20
 TOKENS_A_SHARD = 3_000_000
 DELETED_ONE_IN = 32
 ITERATIONS = 12
-PAIR_BITS = 40
 BUCKETS = 40
 LEAST_UNIFORM = 1e-4
 _U = np.uint64
@@ -87,11 +87,6 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=_U)
 
 
-def _pair_keys(pairs: np.ndarray, shards: int) -> np.ndarray:
-    """Shard bits and PAIR_BITS more; order is kept."""
-    return pairs >> _U(max(0, 64 - (shards.bit_length() - 1) - PAIR_BITS))
-
-
 REPORT = "shard int, block int, kind int, keys binary, retained binary, deleted binary, contexts binary, words binary"
 TOTALS = "kind int, block int, shard int, counts binary, a bigint, b bigint, retained bigint, n bigint"
 _WORDS, _PAIRS, _EVENT, _VOCABULARY, _SIZES = 1, 2, 3, 4, 5
@@ -110,12 +105,11 @@ def _report(shards: int):
                 where[of] = np.arange(len(of))
                 context, word = block.context[where], block.tokens[where]
             bounds = _shard_ranges(keys, shards)
-            sent = _pair_keys(keys, shards) if kind == _PAIRS else keys
             for s in range(shards):
                 own = slice(bounds[s], bounds[s + 1])
                 if bounds[s] < bounds[s + 1]:
                     some = counts[1][own] > 0
-                    out.append((s, int(key[0].as_py()), kind, pack_sorted(sent[own]), pack(counts[0][own]), pack(counts[1][own]),
+                    out.append((s, int(key[0].as_py()), kind, pack_sorted(keys[own]), pack(counts[0][own]), pack(counts[1][own]),
                                 pack(context[own][some]) if kind == _PAIRS else b"",
                                 pack(word[own][some]) if kind == _PAIRS else b""))
         cols = list(zip(*out))
@@ -264,17 +258,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
     test = held_out("doc_id", folds, fold)
-    size = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n"),
-                    F.count(F.when(~test, 1)).alias("learned")).first()
+    mark = F.xxhash64("doc_id", "text")
+    alike = rows.groupBy(mark.alias("mark")).agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n"),
+                                                 F.count(F.when(~test, 1)).alias("learned"))
+    size = alike.agg(F.sum("b").alias("b"), F.sum("n").alias("n"), F.sum("learned").alias("learned"),
+                     F.max(F.when(F.col("n") > 1, F.col("b"))).alias("repeated")).first()
     if not size["n"]:
         return spark.createDataFrame([], schema).select("doc_id", "held_out", "n_tokens", "n_known",
                                                         F.lit(0).cast("bigint").alias("train_tokens"), "base_score", "score")
     blocks = max(1, -(-(size["b"] or 0) // BLOCK_BYTES))
     shards = 1 << max(0, (((size["b"] or 0) // 6 + size["n"]) // TOKENS_A_SHARD).bit_length())
-    mark = F.xxhash64("doc_id", "text")
+    deal = mark
+    if (size["repeated"] or 0) > BLOCK_BYTES:
+        rows = stored(rows.withColumn("place", F.monotonically_increasing_id()), "lm-rows")
+        deal = F.xxhash64(mark, "place")
     rows = rows.select("doc_id", "text", test.alias("held_out"),
                        F.when(test, _TEST).when(F.pmod(F.xxhash64(mark, F.lit("deleted")), F.lit(DELETED_ONE_IN)) == 0, _DELETED)
-                       .otherwise(_RETAINED).alias("role"), F.pmod(mark, F.lit(blocks)).cast("int").alias("block"))
+                       .otherwise(_RETAINED).alias("role"), F.pmod(deal, F.lit(blocks)).cast("int").alias("block"))
     reports = rows.select("block", "text", "role").groupBy("block").applyInArrow(_report(shards), REPORT)
     totals = stored(reports.groupBy("shard").applyInArrow(_add, TOTALS), "lm-totals")
     sizes = totals.filter(F.col("kind") == _SIZES).agg(F.sum("a").alias("v"), F.sum("retained").alias("r"), F.sum("n").alias("n")).first()
