@@ -51,6 +51,14 @@ def discard(*tables: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def lowest(hashes, distinct, n: int):
+    """Condition that keeps about the 2n lowest of ``distinct`` different 64-bit hashes (all, if there are not so many),
+    so that the first n in their order can be taken from a table of bounded size.  An estimate of ``distinct`` will do:
+    fewer than n are kept only if it is twice too high."""
+    share = F.least(F.lit(2.0 * n) / F.greatest(distinct, F.lit(1)), F.lit(1.0))
+    return hashes.cast("double") <= share * 2.0 ** 64 - 2.0 ** 63
+
+
 def held_out(id_col: str, folds: int, fold: int):
     """crc32 of the id as text, modulo ``folds``, equals ``fold`` (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
@@ -98,5 +106,5 @@ def unpack(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-__all__ = ["BATCH_BYTES", "bounded_batches", "discard", "ensure_checkpoint_dir", "held_out", "pack", "packed", "scratch_dir", "slices", "stored",
+__all__ = ["BATCH_BYTES", "bounded_batches", "discard", "ensure_checkpoint_dir", "held_out", "lowest", "pack", "packed", "scratch_dir", "slices", "stored",
            "text_column", "unpack", "unpacked"]

@@ -13,10 +13,13 @@ are scored by their own language's model and, as texts of a language that was
 not learned, by those of the others.
 
 The models are fitted on a bounded sample of labelled rows: for each language
-``SAMPLE_DOCS`` documents in the order of a hash, one piece of at most
-``PIECE_CHARS`` characters at a hashed place of each.  Every fifth of them is
+``SAMPLE_DOCS`` different documents in the order of a hash.  Texts of up to
+``PIECE_CHARS`` characters are learned whole; a longer one gives ``PIECES``
+pieces of together as many characters, one at a hashed place of each of
+``PIECES`` equal parts of its whole length.  Every fifth document is
 kept for calibration.  This bounds the model by SAMPLE_DOCS * PIECE_CHARS
-n-grams a language; scoring reads whole texts.
+n-grams a language; scoring reads whole texts, long ones in slices that hand
+their last two symbols on.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, packed, slices, unpacked
+from .common import bounded_batches, held_out, lowest, packed, slices, unpacked
 from .words import mix
 
 SAMPLE_DOCS = 800
 PIECE_CHARS = 3000
+PIECES = 4
 FALSE_REJECTIONS = 0.001
 FOREIGN = 0.05  # quantile of the scores by other models that counts as theirs: some texts are partly in another language
 LENGTHS = (8, 16, 32, 64, 128, 256, 512)  # symbols; longer texts are held to the limit of the last
@@ -52,15 +56,36 @@ def symbols(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Symbols of the texts one after another (start mark, blank, text, blank), and each text's number of letters."""
     parts = [t.lower() for t in texts]
     joined = "\x01 " + " \x01 ".join(p.replace("\x01", " ") for p in parts) + " "
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = (letters[code >> 3] >> (7 - (code & 7)).astype(np.uint8) & 1).astype(bool)
-    sym = np.where(letter | (code == _START), code, np.uint32(_BLANK))
+    sym, letter = _folded(joined, letters)
     keep = np.ones(len(sym), bool)
     keep[1:] = (sym[1:] != _BLANK) | (sym[:-1] != _BLANK)
     starts = np.flatnonzero(sym == _START)
     return sym[keep], np.add.reduceat(letter.astype(np.int64), starts)
 
 
+def _folded(text: str, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points with blanks for all but letters and start marks, and which are letters."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = (letters[code >> 3] >> (7 - (code & 7)).astype(np.uint8) & 1).astype(bool)
+    return np.where(letter | (code == _START), code, np.uint32(_BLANK)), letter
+
+
+def symbol_slices(text: str, letters: np.ndarray, size: int):
+    """The symbols of one text in slices of about ``size``, each after the two symbols before it (at first the start
+    mark and a blank), and each slice's number of letters: together those of ``symbols``."""
+    lowered = text.lower().replace("\x01", " ")
+    before = np.array([_START, _BLANK], np.uint32)
+    for a in range(0, len(lowered) + 1, size):
+        part = lowered[a:a + size]
+        sym, letter = _folded(part if a + size <= len(lowered) else part + " ", letters)
+        whole = np.concatenate([before, sym])
+        keep = (whole != _BLANK) | (np.concatenate([[_START], whole[:-1]]) != _BLANK)
+        keep[:2] = True
+        whole = whole[keep]
+        yield whole, int(letter.sum())
+        before = whole[-2:]
+
+
 class Model:
     """Kneser-Ney models of several languages in shared sorted hash arrays."""
 
@@ -136,6 +161,13 @@ class Model:
 
     def entropies(self, texts: list[str], letters: np.ndarray):
         """Cross-entropy per symbol [texts, languages], numbers of symbols and of letters."""
+        if len(texts) == 1 and len(texts[0]) > _SLICE:
+            total, n, n_letters = np.zeros((1, len(self.languages))), 0, 0
+            for sym, some in symbol_slices(texts[0], letters, _SLICE):
+                s = sym.astype(_U)
+                total += self._logp([s[:-2], s[1:-1], s[2:]]).sum(axis=0, dtype=np.float64)
+                n, n_letters = n + len(s) - 2, n_letters + some
+            return -total / max(n, 1), np.array([n]), np.array([n_letters])
         sym, n_letters = symbols(texts, letters)
         at = predicted(sym)
         cols = [sym[at - 2].astype(_U), sym[at - 1].astype(_U), sym[at].astype(_U)]
@@ -250,20 +282,27 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         train=None) -> tuple[Model, np.ndarray]:
     """Model from the bounded sample of the rows where ``train`` holds and language and text are not null."""
     text = F.col(f"`{text_col}`").cast("string")
-    order = F.xxhash64(F.col(f"`{id_col}`"), text)
     rows = docs.filter(F.col(f"`{lang_col}`").isNotNull() & text.isNotNull())
     if train is not None:
         rows = rows.filter(train)
-    place = F.pmod(order, F.greatest(F.length(text) - PIECE_CHARS + 1, F.lit(1))).cast("int") + 1
-    rows = rows.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), order.alias("h"),
-                       F.substring(text, place, F.lit(PIECE_CHARS)).alias("piece"))
-    first = Window.partitionBy("lang").orderBy("h", "piece")
-    sample = rows.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE_DOCS) \
+    rows = rows.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("h"),
+                       text.alias("text"))
+    kinds = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("kinds"))  # one row a language
+    few = rows.join(F.broadcast(kinds), "lang").filter(lowest(F.col("h"), F.col("kinds"), SAMPLE_DOCS))
+    part = F.length("text") / PIECES
+    spare = F.greatest(part - PIECE_CHARS // PIECES, F.lit(0.0))  # places to choose from in each part
+    place = lambda i: F.floor(i * part + F.pmod(F.xxhash64("h", i), F.lit(1 << 20)) / (1 << 20) * spare).cast("int") + 1
+    pieces = F.when(F.length("text") <= PIECE_CHARS, F.array("text")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring("text", place(i), F.lit(PIECE_CHARS // PIECES))))
+    # repeated rows count once; they are merged in each task
+    few = few.groupBy("lang", "h").agg(F.min(pieces).alias("pieces"))
+    first = Window.partitionBy("lang").orderBy("h")
+    sample = few.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE_DOCS) \
         .orderBy("lang", "k").collect()  # SAMPLE_DOCS * PIECE_CHARS characters a language
     letters = letter_table()
     own, spare = {}, {}
     for r in sample:
-        (spare if r["k"] % 5 == 0 else own).setdefault(r["lang"], []).append(r["piece"])
+        (spare if r["k"] % 5 == 0 else own).setdefault(r["lang"], []).extend(r["pieces"])
     model = Model(own, letters)
     model.calibrate(spare, letters)
     return model, letters
