@@ -10,7 +10,8 @@ Search: the classifier routes a query to its most probable parts, and all
 rows of these are ranked by the exact measure.  The number of probed parts is
 the smallest that finds ``TARGET`` of the true k neighbours, among all rows, of
 ``HELD`` sampled queries that neither graph nor router has seen; it may be all
-parts.
+parts.  A query whose parts hold fewer than k rows besides its own is routed to
+further ones until they hold as many.
 
 Parts are cut into blocks of at most about ``BLOCK_ROWS`` rows and queries
 into groups of at most about ``BLOCK_QUERIES``, so a part that holds a third
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, packed, stored, unpacked
+from .common import bounded_batches, lowest, packed, stored, unpacked
 
 SAMPLE = 4096
 ROWS_A_PART = 400      # of the sample's rows at least LEAST_PART fall into each part
@@ -47,6 +48,12 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             .filter(F.forall(v, finite) & F.exists(v, lambda x: x != 0)))
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length, none null, as the rows of a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
 def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row-wise inner products in double precision, each summed in the same order whatever its place."""
     return np.einsum("ij,ij->i", q, x)
@@ -172,7 +179,7 @@ def calibrate(rows: DataFrame, router: Router, ids: np.ndarray, vecs: np.ndarray
         r, q, own, least = unpacked(shared)
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column("vec").to_pylist(), np.float64).reshape(b.num_rows, -1)
+                x = matrix(b.column("vec"))
                 t = q @ x.T
                 t[own[:, None] == np.array(b.column("id").to_pylist())[None, :]] = -np.inf
                 hit = list(_pairs(t, t > least[:, None], r.probabilities(x).argmax(axis=1), k))
@@ -255,13 +262,16 @@ def search(df: DataFrame, query_filter, k: int = 20, id_col: str = "vec_id", vec
     spark = df.sparkSession
     bounded_batches(spark)
     rows = valid_vectors(df, id_col, vec_col)
-    sizes = rows.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    sizes = rows.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("id"), 0.02)
+                                                       .alias("kinds")).orderBy(F.desc("n"), "d").limit(1).collect()
     key = df.schema[id_col].dataType.simpleString()
     if not sizes:
         return spark.createDataFrame([], f"query_id {key}, rank int, vec_id {key}, score double")
     dim, total = sizes[0]["d"], sizes[0]["n"]
     rows = rows.filter(F.size("vec") == dim)
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE + HELD).collect()  # so many vectors
+    # rows that repeat an id are merged in each task
+    few = rows.select(F.xxhash64("id").alias("h"), "id", "vec").filter(lowest(F.col("h"), F.lit(sizes[0]["kinds"]), SAMPLE + HELD))
+    picked = few.groupBy("h", "id").agg(F.min("vec").alias("vec")).orderBy("h", "id").limit(SAMPLE + HELD).collect()  # so many vectors
     ids, vecs = np.array([r["id"] for r in picked]), np.array([r["vec"] for r in picked], np.float64)
     held = min(HELD, len(picked) // 5)
     router = learn(vecs[:len(vecs) - held], total)
@@ -271,19 +281,31 @@ def search(df: DataFrame, query_filter, k: int = 20, id_col: str = "vec_id", vec
     def place(batches):
         r = unpacked(shared)
         for b in batches:
-            x = np.array(b.column("vec").to_pylist(), np.float64).reshape(b.num_rows, -1)
-            p = r.probabilities(x) if b.num_rows else np.zeros((0, r.parts))
-            order = np.argsort(-p, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(list(order), pa.list_(pa.int32()))],
-                                             ["id", "vec", "parts"])
-
-    placed = stored(rows.mapInArrow(place, f"id {key}, vec array<double>, parts array<int>"), "ann-index")
-    load = placed.groupBy(F.get("parts", F.lit(0)).alias("part")).agg(F.count("*").alias("n"))
-    load = load.select("part", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    index = placed.select("id", "vec", F.get("parts", F.lit(0)).alias("part")).join(F.broadcast(load), "part").select(
+            if b.num_rows:
+                part = r.probabilities(matrix(b.column("vec"))).argmax(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(part)], ["id", "vec", "part"])
+
+    placed = stored(rows.mapInArrow(place, f"id {key}, vec array<double>, part int"), "ann-index")
+    held_rows = placed.groupBy("part").agg(F.count("*").alias("n"))
+    load = held_rows.select("part", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    index = placed.join(F.broadcast(load), "part").select(
         "part", F.pmod(F.xxhash64("id", "vec"), F.col("blocks")).cast("int").alias("block"), "id", "vec")
-    asked = placed.filter(query_filter).groupBy("id").agg(F.min(F.struct("vec", "parts")).alias("q"))
-    asked = asked.select("id", "q.vec", "q.parts")
+    in_part = np.zeros(router.parts, np.int64)
+    for r in held_rows.collect():  # one row a part
+        in_part[r["part"]] = r["n"]
+
+    def route(batches):
+        r = unpacked(shared)
+        for b in batches:
+            if b.num_rows:
+                order = np.argsort(-r.probabilities(matrix(b.column("vec"))), axis=1, kind="stable").astype(np.int32)
+                others = np.cumsum(in_part[order], axis=1) - b.column("own").to_numpy()[:, None]
+                n = np.maximum(probes, np.minimum((others < k).sum(axis=1) + 1, r.parts))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array([o[:m] for o, m in zip(order, n)], pa.list_(pa.int32()))],
+                                                 ["id", "vec", "parts"])
+
+    asked = placed.filter(query_filter).groupBy("id").agg(F.min("vec").alias("vec"), F.count("*").alias("own"))
+    asked = stored(asked.mapInArrow(route, f"id {key}, vec array<double>, parts array<int>"), "ann-queries")
     early = max(1, -(-probes // 8))
     some = asked.select("id", "vec", F.explode(F.slice("parts", 1, early)).alias("part"), F.lit(None).cast("double").alias("least"))
     first = stored(_ranked(some, index, load, k, key), "ann-first")
@@ -291,7 +313,7 @@ def search(df: DataFrame, query_filter, k: int = 20, id_col: str = "vec_id", vec
     least = first.withColumn("place", F.row_number().over(down)).filter(F.col("place") <= k).groupBy("query_id").agg(
         F.when(F.count("*") >= k, F.min("score")).alias("least"))
     more = asked.join(least.select(F.col("query_id").alias("id"), "least"), "id", "left").select(
-        "id", "vec", F.explode(F.slice("parts", early + 1, probes)).alias("part"), "least")
+        "id", "vec", F.explode(F.slice("parts", early + 1, router.parts)).alias("part"), "least")
     found = first.union(_ranked(more, index, load, k, key))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(

@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -207,6 +208,104 @@ def test_probes_are_enough_for_queries_the_router_has_not_seen(spark, monkeypatc
     assert sum(r["vec_id"] in want[r["query_id"]][0] for r in found) / 20 / len(want) >= 0.955
 
 
+def test_queries_of_small_parts_and_repeated_ids_get_k_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann_partitions, "ROWS_A_PART", 64)
+    monkeypatch.setattr(ann_partitions, "TARGET", 0.0)  # one part a query
+    r = np.random.default_rng(3)
+    common = r.normal(size=(600, 8)) * 0.01 + 3  # nearly all rows lie together
+    rows = [(i, v) for i, v in enumerate(common.tolist())] + [(700, v) for v in common[:300].tolist()] + \
+        [(10**4 + i, v) for i, v in enumerate((r.normal(size=(40, 8)) - 6).tolist())]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    got = {}
+    for x in ann_partitions.search(table, F.col("id") % 20 == 0, k=50).collect():
+        got.setdefault(x["query_id"], []).append(x["vec_id"])
+    assert sorted(got) == sorted({i for i, _ in rows if i % 20 == 0})
+    assert all(len(v) == 50 and q not in v for q, v in got.items())
+
+
+def test_sample_is_the_lowest_hashes_of_distinct_rows(spark):
+    from quantiva.llm.common import lowest
+
+    rows = spark.range(20000).union(spark.range(5000).select(F.lit(1).cast("bigint"))).select(F.xxhash64("id").alias("h"))
+    kept = {r["h"] for r in rows.filter(lowest(F.col("h"), F.lit(20000), 300)).collect()}
+    every = sorted({r["h"] for r in rows.collect()})
+    assert every[:len(kept)] == sorted(kept) and 500 <= len(kept) <= 700
+    assert rows.filter(lowest(F.col("h"), F.lit(500), 300)).count() == rows.count()
+
+
+def test_long_texts_are_scored_in_slices(monkeypatch):
+    letters = language_id.letter_table()
+    model = language_id.Model({"x": ["abc abd abc cab", "bad cab dab"], "y": ["xyz zyx abx"]}, letters)
+    r = random.Random(4)
+    for text in ["", " ", "  12 ", "Abc", "\x01a\x01", "é漢 \U0001d400b", "".join(r.choice("aBcx  1é\x01") for _ in range(997))]:
+        sym, n_letters = language_id.symbols([text], letters)
+        want = model.entropies([text], letters)
+        for size in (1, 2, 3, 10, 997, 5000):
+            parts = list(language_id.symbol_slices(text, letters, size))
+            assert np.concatenate([sym[:2]] + [p[2:] for p, _ in parts]).tolist() == sym.tolist()
+            assert sum(x for _, x in parts) == n_letters[0]
+            with monkeypatch.context() as m:
+                m.setattr(language_id, "_SLICE", size)
+                for a, b in zip(model.entropies([text], letters), want):
+                    assert a == pytest.approx(b)
+
+
+def brute_kneser_ney(texts, letters):
+    """P(symbol | two before) recomputed from plain dictionaries."""
+    tri = collections.Counter()
+    for t in texts:
+        s = ["^"] + list(re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in t.lower()) + " "))
+        for i in range(2, len(s)):
+            tri[tuple(s[i - 2:i + 1])] += 1
+    bi = collections.Counter(g[1:] for g in tri)
+    uni = collections.Counter(g[1:] for g in bi)
+
+    def discount(c):
+        a, b = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+        return a / (a + 2 * b) if a and b else 0.5
+
+    def p(g, tables, size):
+        if not tables:
+            return 1 / (size + 1)
+        c, d = tables[0], discount(tables[0])
+        own = {x: n for x, n in c.items() if x[:-1] == g[:-1]}
+        lower = p(g[1:], tables[1:], size)
+        if not own:
+            return lower
+        total = sum(own.values())
+        return max(own.get(g, 0) - d, 0) / total + d * len(own) / total * lower
+
+    return lambda g, size: p(g, [tri, bi, uni], size), set(x[0] for x in uni)
+
+
+def test_kneser_ney_from_plain_counts():
+    letters = language_id.letter_table()
+    texts = {"x": ["abc abd abc cab", "bad, cab 1 dab", "a"], "y": ["xyz zyx abx", "zz yx xyz"]}
+    model = language_id.Model(texts, letters)
+    brute = {k: brute_kneser_ney(v, letters) for k, v in texts.items()}
+    size = len(brute["x"][1] | brute["y"][1])
+    for a in "^ abxzq":
+        for b in " abxzq":
+            for c in " abcdxyzq":
+                cols = [np.array([1 if v == "^" else ord(v)], np.uint64) for v in (a, b, c)]
+                want = [math.log(brute[k][0]((a, b, c), size)) for k in ("x", "y")]
+                assert model._logp(cols)[0] == pytest.approx(want, abs=1e-5), (a, b, c)
+
+
+def test_lm_repeated_rows_are_dealt_over_blocks(spark, monkeypatch):
+    docs = [(i, prose(i, 30, 25)) for i in range(60)] + [(7, "one row again and again " * 10)] * 400
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    whole = sorted(tuple(r) for r in lm_interpolation.score(table).collect())
+    seen, keep = [], lm_interpolation.stored
+    monkeypatch.setattr(lm_interpolation, "BLOCK_BYTES", 5_000)
+    monkeypatch.setattr(lm_interpolation, "stored", lambda df, name: seen.append(name) or keep(df, name))
+    dealt = sorted(tuple(r) for r in lm_interpolation.score(table).collect())
+    assert "lm-rows" in seen and len(dealt) == len(whole)
+    assert [x[:5] for x in dealt] == [x[:5] for x in whole]
+    for a, b in zip(dealt, whole):
+        assert a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
 def test_short_texts_of_other_languages_are_rejected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang is not null and text is not null")
     test = language_id.held_out("doc_id", 4, 2)
