@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.01"
 def test_every_operator_is_registered():
     names = list(entry.queries())
     assert [n for n in names if n.startswith("op")] == list(queries.QUERIES) and "pipeline" in names
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_stages_on_planted_rows(spark, tmp_path):
