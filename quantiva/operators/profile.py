@@ -56,6 +56,13 @@ def _value_expr(df: DataFrame, name: str, family: str):
     return c.cast("string")
 
 
+def _value_or_digest(df: DataFrame, name: str, family: str):
+    """A value to count distinct ones by: of text of 64 characters or more its SHA-256 (64 hex digits, so it
+    equals no shorter text), so that whole texts are not shuffled."""
+    v = _value_expr(df, name, family)
+    return F.when(F.length(v) >= 64, F.sha2(v, 256)).otherwise(v) if family == "other" else v
+
+
 def _missing(df: DataFrame, name: str):
     """NULL test that also treats NaN as missing."""
     dt = df.schema[name].dataType
@@ -78,7 +85,7 @@ def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
         ids = [i for i, n in enumerate(names) if _family(df.schema[n].dataType) == fam]
         if not ids:
             continue
-        pairs = [F.struct(F.lit(i).alias("cid"), _value_expr(df, names[i], fam).alias("v")) for i in ids]
+        pairs = [F.struct(F.lit(i).alias("cid"), _value_or_digest(df, names[i], fam).alias("v")) for i in ids]
         long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.cid", "p.v").where(F.col("v").isNotNull())
         parts.append(long.distinct().groupBy("cid").agg(F.count(F.lit(1)).alias("unique_count")))
     out = parts[0]

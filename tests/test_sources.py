@@ -1,9 +1,13 @@
 """Sources and sinks: xlsx (S2/S4), CSV union (S3), storage (S7/S8/S12), admission."""
 
+import contextlib
+import io
 import os
+import re
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from quantiva.errors import NotFoundError
 from quantiva.session import scratch_dir
@@ -155,3 +159,73 @@ def test_quoted_line_breaks_in_many_byte_ranges(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def _shuffled(df):
+    """Names of the columns that the plan of ``df`` shuffles."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    inputs = re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]$", out.getvalue(), re.M)
+    return [re.sub(r"#\d+L?$", "", c) for columns in inputs for c in columns.split(", ")]
+
+
+def test_quoted_csv_is_cut_where_it_is_read_and_once(spark, monkeypatch):
+    """Lines and whole records are not shuffled; only pieces of records that go over an end of a range are."""
+    base = tempfile.mkdtemp(prefix="qv-csv-")
+    _csv(base, "q.csv", "id,t\n" + "".join(f'{i},"two {i}\nlines, here"\n' for i in range(50)))
+    shuffled, names, plain = [], [], csvsrc.stored_table
+
+    def watched(df, name):
+        names.append(name)
+        shuffled.extend(_shuffled(df))
+        return plain(df, name)
+
+    monkeypatch.setattr(csvsrc, "stored_table", watched)
+    df = csvsrc.read_csv(spark, base, infer=False)
+    assert len(df.collect()) == 50
+    shuffled += _shuffled(df)
+    assert shuffled and not {"value", "text"} & set(shuffled)
+    assert "csv-records" in names
+
+
+def test_records_over_many_byte_ranges(spark):
+    """Blank lines first, records longer than a byte range, bytes that are no UTF-8 (replaced), odd file names."""
+    base = tempfile.mkdtemp(prefix="qv-csv-")
+    long = [("line " * 30 + "\n") * 40, "no break " * 500, "\n" * 3000, '"\n' * 700]
+    body = b"\n" * 900 + b"id,t\n" + b"".join(
+        b'%d,"%s"\n%d,\xe9t\xe9\n' % (i, t.replace('"', '""').encode(), i + 100) for i, t in enumerate(long)) + b'7,"open at\nthe end'
+    for name in ("a.csv", "b+1.csv"):
+        with open(os.path.join(base, name), "wb") as f:
+            f.write(body)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("700", "5003", "1000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            rec = csvsrc.records(spark, [os.path.join(base, "a.csv"), os.path.join(base, "b+1.csv")])
+            got = [(r["file"], bytes(r["raw"])) for r in rec.select("file", "start", "rec", F.col("text").cast("binary").alias("raw"))
+                   .orderBy("file", "start", "rec").collect()]
+            want = [b"id,t"]
+            for i, t in enumerate(long):
+                want += [b'%d,"%s"' % (i, t.replace('"', '""').encode()), "%d,\ufffdt\ufffd".encode() % (i + 100)]
+            want.append(b'7,"open at\nthe end')
+            assert got == [(f, t) for f in ("a.csv", "b+1.csv") for t in want]
+            assert rec.count() == rec.select("path", "start", "rec").distinct().count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_distinct_counts_of_long_texts(spark):
+    """Long texts are counted by a digest of fixed length; equal beginnings and texts that are digests count apart."""
+    import hashlib
+
+    from quantiva.operators import profile
+    long = "x" * 500
+    digest = hashlib.sha256(long.encode()).hexdigest()
+    texts = [long, long, long + "y", digest, digest, "x" * 63, "x" * 64, "é" * 64, "", None]
+    df = spark.createDataFrame([(t, t and t[:2]) for t in texts], "a string, b string")
+    assert {r["cid"]: r["unique_count"] for r in profile.distinct_counts(df).collect()} == {
+        0: len(set(texts) - {None}), 1: len({t[:2] for t in texts if t is not None})}
+    assert df.select(F.max(F.length(profile._value_or_digest(df, "a", "other")))).collect()[0][0] == 64
