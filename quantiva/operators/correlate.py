@@ -24,8 +24,10 @@ def _pair_exprs(a, b, i: int):
     both = a.isNotNull() & b.isNotNull()
     a2, b2 = F.when(both, a), F.when(both, b)
     denom = F.stddev_pop(a2) * F.stddev_pop(b2)
-    # zero variance gives NULL (plain corr would divide by zero under ANSI)
-    r = F.try_divide(F.covar_pop(a2, b2), F.when(denom > 0, denom))
+    # zero variance gives NULL (plain corr would divide by zero under ANSI); merged deviations of a constant
+    # may be above 0 by rounding
+    varies = (F.min(a2) < F.max(a2)) & (F.min(b2) < F.max(b2))
+    r = F.try_divide(F.covar_pop(a2, b2), F.when(varies & (denom > 0), denom))
     return [F.count_if(both).alias(f"n{i}"), r.alias(f"r{i}")]
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 GROUP = 64
 ROWS = 4096             # of one matrix product
 SMALL = 1e-10           # variance below this share of the squared mean: too close to rounding to decide here
+NOISE = 64 * np.finfo(np.float64).eps  # share of a sum of squares that is rounding once the mean's part is taken off
 _PARTS = ("n", "mx", "my", "xx", "yy", "xy")
 
 
@@ -46,8 +47,10 @@ def products(x: np.ndarray) -> dict:
     else:
         n, sx, qx = m.T @ m, z.T @ m, (z * z).T @ m     # over the rows in which the other column is present
     inv = np.divide(1.0, n, out=np.zeros_like(n), where=n > 0)
-    return {"n": n, "mx": shift[:, None] + sx * inv, "my": shift[None, :] + sx.T * inv, "xx": qx - sx * sx * inv,
-            "yy": qx.T - sx.T * sx.T * inv, "xy": z.T @ z - sx * sx.T * inv}
+    xx = qx - sx * sx * inv
+    xx[xx <= NOISE * qx] = 0.0  # a column that is constant in a pair's rows, far from its mean over all rows
+    return {"n": n, "mx": shift[:, None] + sx * inv, "my": shift[None, :] + sx.T * inv, "xx": xx, "yy": xx.T,
+            "xy": z.T @ z - sx * sx.T * inv}
 
 
 def pair_table(df: DataFrame, values: list[Column]) -> DataFrame:
